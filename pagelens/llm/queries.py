@@ -22,5 +22,30 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_and_read(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files,)}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict_documents
+
+    return predict_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    from .common import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: The registered queries' key; a caller of the operator brings a secret one.
+PSEUDONYM_KEY = b"pagelens demonstration key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op6_quality, op7_pii)}
 ORACLES: dict[str, str] = {}
