@@ -47,5 +47,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op6_quality, op7_pii)}
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=2048)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op6_quality, op7_pii, op9_packing)}
 ORACLES: dict[str, str] = {}
