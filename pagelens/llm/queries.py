@@ -28,6 +28,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
     from .common import held_out
@@ -59,5 +65,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op6_quality, op7_pii, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op5_ngram_join, op6_quality, op7_pii, op9_packing)}
 ORACLES: dict[str, str] = {}
