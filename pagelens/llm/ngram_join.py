@@ -213,7 +213,7 @@ def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: in
         sized = materialize(nodes.join(sizes, "path"), "sized-paths")
         drop_materialized(nodes)
         last = level == depth
-        splits = F.lit(False) if last else (F.col("n") > bucket) & (F.col("n") * 10 < F.col("above") * 7)
+        splits = F.lit(False) if last else (F.col("n") > bucket) & (F.col("n") < F.col("above").cast("double") * 0.7)
         leaf = _blocks(sized.filter(~splits).select("path", "rid", "n"), "n", "path", bucket, parts * 4)
         found = leaf.select("task", "bucket", "side", "rid").join(reps.select("rid", "sketch"), "rid").groupBy("task").applyInArrow(compare, "a long, b long")
         found = materialize(found, "candidate-links")
