@@ -65,5 +65,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op5_ngram_join, op6_quality, op7_pii, op9_packing)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_score
+
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op5_ngram_join, op6_quality, op7_pii, op9_packing, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
