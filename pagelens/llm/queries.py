@@ -59,6 +59,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -71,5 +77,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op5_ngram_join, op6_quality, op7_pii, op9_packing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op5_ngram_join, op6_quality, op7_pii, op8_vectors, op9_packing, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
