@@ -28,6 +28,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return license_scan(files).select("doc_id", "license", "score", "via", "license_dir")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -77,5 +85,37 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op5_ngram_join, op6_quality, op7_pii, op8_vectors, op9_packing, op10_lm_scoring)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op4_licenses, op5_ngram_join, op6_quality, op7_pii, op8_vectors, op9_packing, op10_lm_scoring)}
+
+
+def _license_sql() -> str:
+    """op4 in SQL: the same segments, counts, weights and cosines by joins."""
+    from .licenses import MARKS, TEMPLATES, TERM
+
+    notices = ", ".join(f"('{name}', '{notice}')" for name, notice in TEMPLATES.items())
+    marked = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{m}')" for m in MARKS) + ")"
+    return rf"""
+WITH templates(license, notice) AS (VALUES {notices}),
+tterm AS (SELECT license, term, count(*)::DOUBLE AS c FROM (SELECT license, unnest(regexp_extract_all(lower(notice), '{TERM}')) AS term FROM templates) GROUP BY ALL),
+vocab AS (SELECT term, count(DISTINCT license) AS n FROM tterm GROUP BY term),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text, concat_ws('/', source, lang) AS dir FROM documents),
+lines AS (SELECT r, unnest(string_split(regexp_replace(text, '([.!?])\s+', E'\1
+', 'g'), chr(10))) AS segment FROM docs WHERE {marked('text')}),
+segs AS (SELECT row_number() OVER () AS s, r, segment FROM lines WHERE {marked('segment')}),
+sterm AS (SELECT s, term, count(*)::DOUBLE AS c FROM (SELECT s, unnest(regexp_extract_all(lower(segment), '{TERM}')) AS term FROM segs) GROUP BY ALL),
+total AS (SELECT (SELECT count(*) FROM segs) + (SELECT count(*) FROM templates) AS n),
+idf AS (SELECT v.term, ln((1 + (SELECT n FROM total)) / (1 + v.n + coalesce(d.n, 0))::DOUBLE) + 1 AS w FROM vocab v LEFT JOIN (SELECT term, count(*) AS n FROM sterm GROUP BY term) d USING (term)),
+norms AS (SELECT s, sqrt(sum(pow(c * coalesce(w, ln(1 + (SELECT n FROM total)::DOUBLE) + 1), 2))) AS norm FROM sterm LEFT JOIN idf USING (term) GROUP BY s),
+tnorm AS (SELECT license, sqrt(sum(pow(c * w, 2))) AS size FROM tterm JOIN idf USING (term) GROUP BY license),
+dots AS (SELECT s, license, sum(a.c * w * b.c * w) AS dot FROM sterm a JOIN tterm b USING (term) JOIN idf USING (term) GROUP BY s, license),
+scores AS (SELECT s, license, round(dot / size / norm, 6) AS score FROM dots JOIN tnorm USING (license) JOIN norms USING (s)),
+hits AS (SELECT s, r, license, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, license) AS k FROM scores JOIN segs USING (s)) WHERE k = 1 AND score >= 0.6),
+own AS (SELECT r, license, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, license) AS k FROM hits) WHERE k = 1),
+whole AS (SELECT o.r, o.license, o.score FROM own o WHERE (SELECT count(*) FROM hits h WHERE h.r = o.r) = (SELECT count(*) FROM lines l WHERE l.r = o.r AND trim(l.segment) <> '')),
+cover AS (SELECT dir, license FROM (SELECT d.dir, w.license, row_number() OVER (PARTITION BY d.dir ORDER BY w.score DESC, w.license) AS k FROM whole w JOIN docs d USING (r)) WHERE k = 1)
+SELECT d.doc_id, coalesce(o.license, c.license) AS license, o.score, CASE WHEN o.r IS NOT NULL THEN 'own' WHEN c.dir IS NOT NULL THEN 'inherited' ELSE 'none' END AS via, CASE WHEN o.r IS NULL THEN c.dir END AS license_dir
+FROM docs d LEFT JOIN own o USING (r) LEFT JOIN cover c ON c.dir = d.dir
+"""
+
+
+ORACLES: dict[str, str] = {"op4_licenses": _license_sql()}
