@@ -1,4 +1,5 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables and their SQL, and the plan of a whole run."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
