@@ -31,7 +31,7 @@ def by_suffix(ext: Column) -> Column:
 
 def asset_category(url: Column, tag: Column | None = None, attr: Column | None = None) -> Column:
     """By suffix, else by the element that refers to the URL, else 'other'."""
-    out = by_suffix(urls.url_ext(url))
+    out = urls.let(urls.url_ext(url), by_suffix)
     if tag is not None:
         attr = F.lit(None).cast("string") if attr is None else attr
         out = F.coalesce(out, F.when(tag.isin("img", "picture"), "images").when(tag == "script", "scripts").when((tag == "link") & (attr == "href"), "stylesheets").when(tag.isin("audio", "video", "source"), "media"))
@@ -40,8 +40,8 @@ def asset_category(url: Column, tag: Column | None = None, attr: Column | None =
 
 def css_asset_category(url: Column, prop: Column) -> Column:
     """Fonts and style sheets by suffix, images by property, the rest by suffix."""
-    ext = urls.url_ext(url)
-    return F.when(ext.isin(*FONTS), "fonts").when(ext.isin(*STYLESHEETS), "stylesheets").when(prop.isin(*css.IMAGE_PROPERTIES), "images").otherwise(F.coalesce(by_suffix(ext), F.lit("other")))
+    rule = lambda ext: F.when(ext.isin(*FONTS), "fonts").when(ext.isin(*STYLESHEETS), "stylesheets").when(prop.isin(*css.IMAGE_PROPERTIES), "images").otherwise(F.coalesce(by_suffix(ext), F.lit("other")))
+    return urls.let(urls.url_ext(url), rule)
 
 
 def _any_in(text: Column, parts: tuple[str, ...]) -> Column:

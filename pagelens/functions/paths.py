@@ -36,13 +36,16 @@ def sanitized_name(name: Column) -> Column:
     """A file name of word characters, spaces, dots and hyphens that no system reserves; 'unnamed' if nothing is left."""
     s = F.regexp_replace(_no_traversal(name), r"(?U)[^\w\s.\-]", "_")
     s = F.regexp_replace(F.regexp_replace(s, r"[\x00-\x1f\x7f]", ""), r"^[. ]+|[. ]+$", "")
-    s = F.when(F.upper(s).isin(*RESERVED_NAMES), F.concat(F.lit("_"), s)).otherwise(s)
-    ext = F.regexp_extract(s, r"(?s)\.([^.]*)$", 1)
-    stem = F.regexp_extract(s, r"(?s)^(.*)\.[^.]*$", 1)
-    room = F.greatest(F.lit(MAX_NAME - 1) - F.char_length(ext), F.lit(0))
-    short = F.when(s.contains("."), F.concat(F.substr(stem, F.lit(1), room), F.lit("."), ext)).otherwise(F.substr(s, F.lit(1), F.lit(MAX_NAME)))
-    s = F.when(F.char_length(s) > MAX_NAME, short).otherwise(s)
-    return F.when(F.coalesce(s, F.lit("")).isin("", "."), F.lit("unnamed")).otherwise(s)
+    free = lambda s: F.when(F.upper(s).isin(*RESERVED_NAMES), F.concat(F.lit("_"), s)).otherwise(s)
+
+    def shortened(s: Column) -> Column:
+        ext = F.regexp_extract(s, r"(?s)\.([^.]*)$", 1)
+        stem = F.regexp_extract(s, r"(?s)^(.*)\.[^.]*$", 1)
+        room = F.greatest(F.lit(MAX_NAME - 1) - F.char_length(ext), F.lit(0))
+        short = F.when(s.contains("."), F.concat(F.substr(stem, F.lit(1), room), F.lit("."), ext)).otherwise(F.substr(s, F.lit(1), F.lit(MAX_NAME)))
+        return F.when(F.char_length(s) > MAX_NAME, short).when(s.isin("", "."), F.lit("unnamed")).otherwise(s)
+
+    return urls.let(F.coalesce(s, F.lit("")), lambda s: urls.let(free(s), shortened))
 
 
 def sanitized_extension(ext: Column) -> Column:
@@ -74,16 +77,23 @@ def local_path(url: Column, base_url: Column, unicode: bool = False) -> Column:
     raw = F.regexp_replace(urls.percent_decoded(urls.path(url), plus=False), r"[\x00\n\r]", "")
     if unicode:
         raw = nfkc(raw)
-    parts = F.transform(F.filter(F.split(raw, "/"), lambda c: (c != "") & ~c.contains("..") & ~c.contains("\\")), sanitized_name)
-    parts = F.filter(parts, lambda c: ~c.isin("", ".", ".."))
-    every = F.concat(F.array(sanitized_name(urls.authority(url))), parts)
-    head, last = F.slice(every, F.lit(1), F.size(every) - 1), F.element_at(every, -1)
-    mark = F.concat(F.lit("_q"), F.substr(F.md5(urls.query(url).cast("binary")), F.lit(1), F.lit(8)))
-    stem, ext = F.regexp_extract(last, r"(?s)^(.*)\.[^.]*$", 1), F.regexp_extract(last, r"(?s)\.([^.]*)$", 1)
-    marked = F.when(urls.query(url) == "", last).when(last.contains("."), F.concat(stem, mark, F.lit("."), sanitized_extension(ext))).otherwise(F.concat(last, mark, F.lit(".html")))
-    name = F.when(~marked.contains("."), F.concat(marked, F.lit("/index.html"))).when(has_valid_extension(marked) | has_binary_extension(marked), marked).otherwise(F.concat(marked, F.lit(".html")))
-    full = F.array_join(F.concat(head, F.array(name)), "/")
-    safe = F.when(full.rlike(r"(^|/)\.\.(/|$)") | full.startswith("/"), fallback_name(url)).otherwise(full)
+    parts = F.transform(F.filter(F.split(raw, "/"), lambda c: (c != "") & ~c.contains("..") & ~c.contains("\\")), lambda c: sanitized_name(c))
+    every = F.concat(F.array(sanitized_name(urls.authority(url))), F.filter(parts, lambda c: ~c.isin("", ".", "..")))
+
+    def marked(last: Column, q: Column) -> Column:
+        mark = F.concat(F.lit("_q"), F.substr(F.md5(q.cast("binary")), F.lit(1), F.lit(8)))
+        stem, ext = F.regexp_extract(last, r"(?s)^(.*)\.[^.]*$", 1), F.regexp_extract(last, r"(?s)\.([^.]*)$", 1)
+        return F.when(q == "", last).when(last.contains("."), F.concat(stem, mark, F.lit("."), sanitized_extension(ext))).otherwise(F.concat(last, mark, F.lit(".html")))
+
+    def named(m: Column) -> Column:
+        return F.when(~m.contains("."), F.concat(m, F.lit("/index.html"))).when(has_valid_extension(m) | has_binary_extension(m), m).otherwise(F.concat(m, F.lit(".html")))
+
+    def whole(x: Column) -> Column:
+        name = urls.let(marked(F.element_at(x["every"], -1), x["q"]), named)
+        return F.array_join(F.concat(F.slice(x["every"], F.lit(1), F.size(x["every"]) - 1), F.array(name)), "/")
+
+    full = urls.let(F.struct(every.alias("every"), urls.query(url).alias("q")), whole)
+    safe = urls.let(full, lambda p: F.when(p.rlike(r"(^|/)\.\.(/|$)") | p.startswith("/"), fallback_name(url)).otherwise(p))
     return F.when(url == base_url, F.lit("index.html")).otherwise(safe)
 
 

@@ -21,6 +21,11 @@ MAX_URL_LENGTH = 2048
 _SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable, so that the plan does not repeat the value's expression."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def cleaned(url: Column) -> Column:
     """Without leading control characters and spaces, and without tabs and line ends anywhere."""
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
@@ -59,9 +64,27 @@ def params(url: Column) -> Column:
     return F.regexp_extract(path_and_params(url), r"(?s)^(?:[^/]*/)*[^/;]*;(.*)$", 1)
 
 
+_PATH = r"(?s)^((?:[^/]*/)*[^/;]*)"
+_PARAMS = r"(?s)^(?:[^/]*/)*[^/;]*;(.*)$"
+
+
+def split(url: Column) -> Column:
+    """struct(scheme, authority, whole, path, params, query, fragment), each part matched once."""
+    part = lambda u, k: F.regexp_extract(u, _SPLIT, k)
+    return let(
+        cleaned(url),
+        lambda u: let(
+            part(u, 3),
+            lambda whole: F.struct(
+                F.lower(part(u, 1)).alias("scheme"), part(u, 2).alias("authority"), whole.alias("whole"), F.regexp_extract(whole, _PATH, 1).alias("path"), F.regexp_extract(whole, _PARAMS, 1).alias("params"), part(u, 4).alias("query"), part(u, 5).alias("fragment")
+            ),
+        ),
+    )
+
+
 def url_parts(url: Column) -> Column:
     """struct(scheme, authority, path, params, query, fragment); absent parts are empty."""
-    return F.struct(scheme(url).alias("scheme"), authority(url).alias("authority"), path(url).alias("path"), params(url).alias("params"), query(url).alias("query"), fragment(url).alias("fragment"))
+    return let(split(url), lambda p: F.struct(*[p[k].alias(k) for k in ("scheme", "authority", "path", "params", "query", "fragment")]))
 
 
 def domain(url: Column) -> Column:
@@ -92,7 +115,7 @@ def folded_segments(p: Column) -> Column:
 
 def normal_path(p: Column) -> Column:
     body = F.concat(F.lit("/"), F.array_join(folded_segments(p), "/"))
-    return F.when(p.endswith("/") & ~body.endswith("/"), F.concat(body, F.lit("/"))).otherwise(body)
+    return let(body, lambda x: F.when(p.endswith("/") & ~x.endswith("/"), F.concat(x, F.lit("/"))).otherwise(x))
 
 
 def percent_decoded(s: Column, plus: bool = True) -> Column:
@@ -112,11 +135,19 @@ def normal_query(q: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(form_encoded(p["k"]), F.lit("="), form_encoded(p["v"]))), "&")
 
 
+def _optional(mark: str, s: Column) -> Column:
+    return F.when(s != "", F.concat(F.lit(mark), s)).otherwise("")
+
+
+def canonical_of(p: Column) -> Column:
+    """``canonical`` of a split URL."""
+    q = F.when(p["query"] != "", normal_query(p["query"])).otherwise("")
+    return F.concat(p["scheme"], F.lit("://"), F.lower(p["authority"]), normal_path(p["path"]), _optional(";", p["params"]), let(q, lambda s: _optional("?", s)))
+
+
 def canonical(url: Column) -> Column:
     """Lower-case scheme and host, folded path, sorted query, no fragment."""
-    q = F.when(query(url) != "", normal_query(query(url))).otherwise("")
-    p = params(url)
-    return F.concat(scheme(url), F.lit("://"), domain(url), normal_path(path(url)), F.when(p != "", F.concat(F.lit(";"), p)).otherwise(""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when(url.isNotNull(), let(split(url), canonical_of))
 
 
 def without_dots(p: Column) -> Column:
@@ -124,25 +155,28 @@ def without_dots(p: Column) -> Column:
     parts = F.split(p, "/", -1)
     step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
     folded = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    return F.when(p.rlike(r"(^|/)\.\.?$") & ~folded.endswith("/"), F.concat(folded, F.lit("/"))).otherwise(folded)
+    return let(folded, lambda x: F.when(p.rlike(r"(^|/)\.\.?$") & ~x.endswith("/"), F.concat(x, F.lit("/"))).otherwise(x))
 
 
-def url_join(base: Column, ref: Column) -> Column:
-    """RFC 3986 reference resolution; a reference with its own scheme or authority keeps its dot segments."""
-    own, base_path = path_and_params(ref), path_and_params(base)
-    merged = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(base_path == "", F.lit("/")).otherwise(F.regexp_extract(base_path, r"(?s)^(.*/)", 1)), own))
-    tail = lambda q, f: F.concat(F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""), F.when(f != "", F.concat(F.lit("#"), f)).otherwise(""))
-    head = F.concat(scheme(base), F.lit("://"), authority(base))
-    r = cleaned(ref)
+def _joined(base: Column, b: Column, ref: Column, r: Column) -> Column:
+    """The join of a base and a (cleaned) reference, both also given in parts."""
+    tail = lambda q: F.concat(_optional("?", q), _optional("#", r["fragment"]))
+    merged = F.when(r["whole"].startswith("/"), r["whole"]).otherwise(F.concat(F.when(b["whole"] == "", F.lit("/")).otherwise(F.regexp_extract(b["whole"], r"(?s)^(.*/)", 1)), r["whole"]))
+    head = F.concat(b["scheme"], F.lit("://"), b["authority"])
     return (
-        F.when(r == "", base)
-        .when((scheme(ref) != "") & (scheme(ref) != scheme(base)), r)
-        .when(authority(ref) != "", F.concat(scheme(base), F.lit("://"), authority(ref), own, tail(query(ref), fragment(ref))))
-        .when(own == "", F.concat(head, base_path, tail(F.when(query(ref) != "", query(ref)).otherwise(query(base)), fragment(ref))))
-        .otherwise(F.concat(head, without_dots(merged), tail(query(ref), fragment(ref))))
+        F.when(ref == "", base)
+        .when((r["scheme"] != "") & (r["scheme"] != b["scheme"]), ref)
+        .when(r["authority"] != "", F.concat(b["scheme"], F.lit("://"), r["authority"], r["whole"], tail(r["query"])))
+        .when(r["whole"] == "", F.concat(head, b["whole"], tail(F.when(r["query"] != "", r["query"]).otherwise(b["query"]))))
+        .otherwise(F.concat(head, let(merged, without_dots), tail(r["query"])))
     )
 
 
+def url_join(base: Column, ref: Column) -> Column:
+    """RFC 3986 reference resolution; a reference with its own scheme or authority keeps its dot segments."""
+    return let(F.struct(base.alias("base"), split(base).alias("b"), cleaned(ref).alias("ref"), split(ref).alias("r")), lambda x: _joined(x["base"], x["b"], x["ref"], x["r"]))
+
+
 def is_suspicious(url: Column) -> Column:
     low = F.lower(url)
     out = low.contains(SUSPICIOUS[0])
@@ -161,9 +195,7 @@ def is_fetchable(url: Column) -> Column:
     return F.coalesce(scheme(url).isin("http", "https") & (authority(url) != "") & (F.char_length(url) <= MAX_URL_LENGTH), F.lit(False))
 
 
-def is_private_host(url: Column, strict: bool = False) -> Column:
-    """Prefix test on the authority; ``strict`` also looks behind user information and at further local addresses."""
-    host = domain(url)
+def _is_private(host: Column, strict: bool) -> Column:
     out = host.rlike("^(" + "|".join(p.replace(".", r"\.") for p in PRIVATE_PREFIXES) + ")")
     if strict:
         bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
@@ -171,28 +203,40 @@ def is_private_host(url: Column, strict: bool = False) -> Column:
     return out
 
 
+def is_private_host(url: Column, strict: bool = False) -> Column:
+    """Prefix test on the authority; ``strict`` also looks behind user information and at further local addresses."""
+    return _is_private(domain(url), strict)
+
+
+def _is_fetchable_parts(url: Column, p: Column) -> Column:
+    return F.coalesce(p["scheme"].isin("http", "https") & (p["authority"] != "") & (F.char_length(url) <= MAX_URL_LENGTH), F.lit(False))
+
+
 def resolve(ref: Column, page: Column, mode: str = "rfc3986", safe_hosts: bool = False) -> Column:
     """A reference on a page as a canonical URL, or null.
 
     ``rfc3986`` joins first and validates the result; ``strict`` accepts only
     absolute references (and '//host' ones), as a validator before the join does.
     """
-    r = F.trim(ref)
-    r = F.when(r.startswith("//"), F.concat(scheme(page), F.lit(":"), r)).otherwise(r)
-    full = url_join(page, r)
-    ok = ~should_skip(F.trim(ref)) & is_fetchable(full) & ~is_private_host(full, safe_hosts)
-    if mode == "strict":
-        ok = ok & is_fetchable(r)
-    elif mode != "rfc3986":
+    if mode not in ("rfc3986", "strict"):
         raise ValueError(f"unknown mode: {mode}")
-    return F.when(ok, canonical(full))
+    r = F.trim(ref)
+    absolute = F.when(r.startswith("//"), F.concat(scheme(page), F.lit(":"), r)).otherwise(r)
+
+    def checked(x: Column) -> Column:
+        ok = _is_fetchable_parts(x["full"], x["p"]) & ~_is_private(F.lower(x["p"]["authority"]), safe_hosts)
+        return F.when(ok, canonical_of(x["p"]))
+
+    full = url_join(page, absolute)
+    out = let(full, lambda u: let(F.struct(u.alias("full"), split(u).alias("p")), checked))
+    keep = ~should_skip(r) & page.isNotNull()
+    return F.when(keep & is_fetchable(absolute) if mode == "strict" else keep, out)
 
 
 def safe_join(base: Column, ref: Column) -> Column:
     """Plain join where base and result are http(s), else null."""
-    full = url_join(base, ref)
     ok = lambda u: scheme(u).isin("http", "https") & (authority(u) != "")
-    return F.when(ok(base) & ok(full), full)
+    return F.when(ok(base), let(url_join(base, ref), lambda u: F.when(ok(u), u)))
 
 
 def should_process(url: Column) -> Column:
