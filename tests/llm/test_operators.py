@@ -1,0 +1,600 @@
+"""Each operator against brute force, a round trip or its definition, and on awkward tables."""
+
+import collections
+import datetime
+import math
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def words():
+    rng = random.Random(7)
+    return ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+
+
+def prose(words, rng, n):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, words):
+    """Nulls, empty and very long texts, repeated rows, a null id, and columns that clash with the operators' own."""
+    rng = random.Random(1)
+    base = prose(words, rng, 80)
+    rows = [(0, None, None, None, None), (1, "", "en", "s", 0), (2, "  \n\t ", "en", "s", 5), (3, base, "en", "s", 9), (3, base, "en", "s", 9), (4, base, "fr", None, 9), (5, "one two", "fr", "t", 7), (None, "no id here at all", "en", "s", 3), (6, prose(words, rng, 60_000), "en", "s", 1), (7, "\x1c.#@! 12 ٣ é ß", None, "u", 2)]
+    return spark.createDataFrame(rows, DOC).withColumn("score", F.lit(1)).withColumn("sig", F.lit("x")).withColumn("block", F.lit(0)).withColumn("shard", F.lit(0)).withColumn("rid", F.lit(0)).withColumn("path", F.lit("a/b")).withColumn("held_out", F.lit(True))
+
+
+def empty(spark, schema=DOC):
+    return spark.createDataFrame([], schema)
+
+
+def tokenizer_path():
+    from pagelens.llm.queries import word_tokenizer
+
+    return word_tokenizer()
+
+
+# 1: token files
+
+
+@pytest.mark.parametrize("width", [1, 3, 11, 16, 17, 32])
+def test_bit_packing_round_trip(width):
+    from pagelens.llm.token_pack import pack_ids, unpack_ids
+
+    ids = np.random.default_rng(width).integers(0, 1 << min(width, 31), 1001).astype(np.uint32) & np.uint32((1 << width) - 1 if width < 32 else 0xFFFFFFFF)
+    data = pack_ids(ids, width)
+    assert len(data) == (1001 * width + 7) // 8
+    assert (unpack_ids(data, width, 1001) == ids).all()
+
+
+def test_token_files_equal_the_library(spark, awkward):
+    from tokenizers import Tokenizer
+
+    from pagelens.llm.common import scratch_path
+    from pagelens.llm.token_pack import ShardReader, _open, read_tokens, write_tokens
+
+    path = scratch_path(spark, "tokens")
+    manifest = write_tokens(awkward, path, tokenizer_path(), 1, shards=3, block_ids=64)
+    got = sorted(read_tokens(manifest, path, per_read=500).collect(), key=lambda r: r["start"])
+    tk = Tokenizer.from_file(tokenizer_path())
+    want = collections.Counter()
+    for r in awkward.select("doc_id", "text").collect():
+        ids = [*tk.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want[r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
+    assert ids == sorted(ids)
+    where, base = _open(path)
+    first = manifest.orderBy("shard").first()["file"]
+    with where.open_input_file(f"{base}/{first}") as f:
+        shard = ShardReader(f)
+        whole = shard.ids(0, shard.n_ids)
+        assert (shard.ids(1, shard.n_ids - 1) == whole[1:-1]).all()
+
+
+def test_word_encoder_odd_texts():
+    from tokenizers import Tokenizer
+
+    from pagelens.llm.token_pack import WordEncoder
+
+    texts = ["It's don't  O'Neil's", "<|endoftext|> a<|startoftext|>b", "ÀÉÎ Straße, İstanbul ΣΑΣ.", "a1b2 x²y ½ 3.14!!", "tab\x1cfs nbsp em", "éclair ñ.", "日本語 text，混在", "...!!", "a_b __c__ --d", "word<|end", "'s 's", "x" * 500]
+    enc, tk = WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for _ in range(2):  # the second time from the cache
+        ids, sizes = enc.encode(texts)
+        at = 0
+        for t, n in zip(texts, sizes):
+            assert ids[at : at + n].tolist() == tk.encode(t, add_special_tokens=False).ids, t
+            at += n
+
+
+def test_token_files_of_nothing(spark):
+    from pagelens.llm.token_pack import pack_and_read
+
+    assert pack_and_read(empty(spark), tokenizer_path()).count() == 0
+
+
+# 2: languages
+
+
+def test_language_bloom_and_decision(spark):
+    from pagelens.llm import language_id as li
+
+    rng = random.Random(3)
+    parts = {"aa": ["ba", "lo", "mi"], "bb": ["zu", "kra", "ti"], "cc": ["été", "ço", "ñi"]}
+    rows = [(k, "".join(rng.choice(parts[lang]) + rng.choice(["", " "]) for _ in range(80)), lang) for k, lang in enumerate(list(parts) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    f = li.train(docs)
+    assert set(f.languages) == set(parts)
+    got = {r["doc_id"]: r for r in li.identify(docs, f).collect()}
+    assert all(got[k]["lang_pred"] == lang and 0 <= got[k]["score"] <= 1 for k, _, lang in rows)
+    # Every n-gram kept for a language is found in its filter: Bloom filters have no false negatives.
+    keys = li.grams(rows[0][1])
+    counts = f.counts(keys, np.array([0, len(keys)]))[0]
+    assert counts[f.languages.index("aa")] >= 0.9 * len(keys)
+
+
+def test_language_awkward(spark, awkward):
+    from pagelens.llm import language_id as li
+
+    out = li.predict_documents(awkward).collect()
+    assert len(out) == awkward.count()
+    by = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
+    assert by[0]["lang_pred"] == by[1]["lang_pred"] == by[2]["lang_pred"] == "und" and by[0]["score"] == 0
+    assert li.predict_documents(empty(spark)).count() == 0
+    assert {r["lang_pred"] for r in li.predict_documents(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_more_languages_than_bits():
+    from pagelens.llm.language_id import Filters, positions
+
+    names = [f"l{k:03d}" for k in range(70)]
+    words = [np.zeros(1 << 12, np.uint64) for _ in range(2)]
+    key = np.array([12345], np.uint32)
+    for p in positions(key, 1 << 12):
+        words[1][p] |= np.uint64(1 << (69 - 63))
+    assert Filters(names, words).counts(key, np.array([0, 1]))[0].nonzero()[0].tolist() == [69]
+
+
+# 3: decontamination
+
+
+def edit_distance_inside(p, t):
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p, 1):
+        new = [i]
+        for j, b in enumerate(t, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_myers_equals_dynamic_programming():
+    from pagelens.llm.decontaminate import myers
+
+    rng = random.Random(5)
+    for _ in range(200):
+        p, t = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, n))) for n in (70, 90))
+        want = edit_distance_inside(p, t)
+        got = myers(p, t, len(p))
+        assert got[0] == want
+        assert (myers(p, t, want - 1) is None) if want else True
+
+
+def test_matcher_equals_brute_force(words):
+    from pagelens.llm.decontaminate import Matcher, budget, normal
+
+    rng = random.Random(11)
+    items = [(k, prose(words, rng, rng.randint(4, 30))) for k in range(25)]
+    texts = []
+    for k in range(60):
+        item = list(items[k % 25][1])
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randrange(len(item))
+            item[at : at + 1] = rng.choice([["x"], [], [item[at], "y"]])
+        texts.append(f"{prose(words, rng, 30)} {''.join(item).upper()}! {prose(words, rng, 30)}")
+    matcher = Matcher(items, 0.06)
+    for text in texts:
+        got = {i: d for i, d, _ in matcher.find(text)}
+        want = {}
+        for i, item in items:
+            p = normal(item)
+            d = edit_distance_inside(p, normal(text))
+            if d <= budget(len(p), 0.06):
+                want[i] = d
+        assert got == want
+
+
+def test_decontamination_tables(spark, awkward, words):
+    from pagelens.llm.decontaminate import contaminated, drop_contaminated
+
+    rng = random.Random(2)
+    item = prose(words, rng, 25)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "   ")], "item_id long, text string")
+    docs = awkward.unionByName(awkward.limit(1).withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.lit("before. " + item + " after")))
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in contaminated(docs, bench).collect()] == [(99, 1, 0)] * 2
+    for chars in (4_000_000, 50):  # one block, and many
+        left = drop_contaminated(docs, bench, block_chars=chars)
+        assert left.columns == docs.columns and left.count() == docs.count() - 1
+    assert drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+    assert contaminated(empty(spark), bench).count() == 0
+
+
+# 4: licences
+
+
+def test_license_inheritance(spark):
+    from pagelens.llm.licenses import license_scan
+
+    files = [
+        ("LICENSE", "Released under the MIT License."),
+        ("a/x.py", "code\nmore"),
+        ("a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0.\n\n"),
+        ("a/b/c/d/y.py", None),
+        ("a/b/z.py", "# Licensed under CC BY-NC 4.0.\ncode"),
+        ("a/bb/w.py", ""),
+        (None, "free"),
+        ("a/b/c/d/y.py", None),
+    ]
+    got = [tuple(r) for r in license_scan(spark.createDataFrame(files, "path string, text string").withColumn("own", F.lit(1))).select("path", "license", "via", "license_dir").collect()]
+    want = [
+        ("LICENSE", "MIT", "own", None), ("a/x.py", "MIT", "inherited", ""), ("a/b/COPYING.txt", "Apache-2.0", "own", None), ("a/b/c/d/y.py", "Apache-2.0", "inherited", "a/b"),
+        ("a/b/z.py", "CC-BY-NC-4.0", "own", None), ("a/bb/w.py", "MIT", "inherited", ""), (None, None, "none", None), ("a/b/c/d/y.py", "Apache-2.0", "inherited", "a/b"),
+    ]
+    key = lambda r: tuple(x or "" for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert license_scan(empty(spark, "path string, text string")).count() == 0
+
+
+def test_license_plan_is_native(spark):
+    from pagelens.llm.licenses import license_scan
+
+    df = license_scan(spark.createDataFrame([("a", "Released under the MIT License.")], "path string, text string"))
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+# 5: n-gram join
+
+
+def jaccard_reference(rows):
+    from pagelens.llm.common import WordHashes
+    from pagelens.llm.ngram_join import shingle_sets
+
+    sets = [set(s.tolist()) for s in shingle_sets([t for _, t in rows], 5, WordHashes())]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((root(a), root(b)), key=lambda k: rows[k][0])
+                up[y] = x
+    return {rows[k][0]: (rows[root(k)][0], links[k]) for k in range(len(rows))}
+
+
+def near_copies(words, rng, groups, size):
+    rows, k = [], 0
+    for g in range(groups):
+        base = prose(words, rng, rng.randint(60, 200)).split()
+        for c in range(size if g else size * 6):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((k, " ".join(w)))
+            k += 1
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [2048, 8])
+def test_ngram_join_equals_brute_force(spark, words, bucket, monkeypatch):
+    from pagelens.llm import ngram_join as nj
+
+    rng = random.Random(4)
+    rows = near_copies(words, rng, 30, 4) + [(1000 + k, prose(words, rng, 3)) for k in range(5)]
+    rng.shuffle(rows)
+    real = nj.candidate_links
+    monkeypatch.setattr(nj, "candidate_links", lambda *a, **k: real(*a, bucket=bucket, **k))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = jaccard_reference(rows)
+    wrong = [k for k in want if got[k] != want[k]]
+    assert not wrong, [(k, got[k], want[k]) for k in wrong[:5]]
+
+
+def test_ngram_join_blocks(spark, words, monkeypatch):
+    from pagelens.llm import ngram_join as nj
+
+    rng = random.Random(9)
+    rows = near_copies(words, rng, 3, 12)
+    real = nj.verify
+    monkeypatch.setattr(nj, "verify", lambda m, t: real(m, t, block=5))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_reference(rows)
+
+
+def test_ngram_join_awkward(spark, awkward):
+    from pagelens.llm.ngram_join import drop_near_copies, ngram_join
+
+    out = ngram_join(awkward).collect()
+    assert len(out) == awkward.count()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["doc_id"]].append((r["class_id"], r["n_links"]))
+    assert by[0] == [(0, 0)] and by[1] == [(1, 0)] and by[3] == [(3, 2)] * 2 and by[4] == [(3, 2)] and by[None] == [(None, 0)]
+    left = drop_near_copies(awkward)
+    assert left.columns == awkward.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(map(str, [0, 1, 2, 3, 5, 6, 7, None]))
+    assert ngram_join(empty(spark)).count() == 0
+
+
+def test_components(spark):
+    from pagelens.llm.components import components
+
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)] + [(500, k) for k in range(501, 700)] + [(9, 9)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(up)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 6: quality
+
+
+def test_nnpu_learns_from_positives_and_unlabelled():
+    from pagelens.llm.quality import estimate_prior, fit_nnpu
+
+    rng = np.random.default_rng(0)
+    good = lambda n: rng.normal(1.0, 0.7, (n, 20))
+    bad = lambda n: rng.normal(-1.0, 0.7, (n, 20))
+    unlabelled = np.vstack([good(1400), bad(600)])
+    model = fit_nnpu(good(800), unlabelled, 0.7, steps=300)
+    assert (model.score(good(500)) >= 0.7).mean() > 0.97 and (model.score(bad(500)) < 0.7).mean() > 0.97
+    assert abs(estimate_prior(good(800), unlabelled) - 0.7) < 0.15
+
+
+def test_quality_tables(spark, awkward):
+    from pagelens.llm import quality
+
+    labels = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (5, 0, 0), (6, 1, None), (7, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(awkward, labels)
+    out = quality.score(awkward, model).collect()
+    assert len(out) == awkward.count() and all(0 <= r["score"] <= 1 for r in out)
+    kept = quality.keep_good(awkward, model)
+    assert kept.columns == awkward.columns
+    none = quality.train(awkward, labels.limit(0))
+    assert all(r["score"] == none.prior for r in quality.score(awkward, none).collect())
+    assert quality.score(empty(spark), quality.train(empty(spark), labels)).count() == 0
+
+
+def test_quality_held_out_accuracy(spark):
+    from pagelens.llm.queries import op6_quality
+
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = op6_quality(spark, d).filter("held_out").join(labels, "doc_id").collect()
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.95 * len(rows)
+
+
+# 7: personal data
+
+
+def test_feistel_is_a_permutation_without_fixed_points():
+    from pagelens.llm.pii import Feistel
+
+    f = Feistel(b"k")
+    for n in (2, 3, 10, 97, 1000):
+        image = [f.permute(x, n, b"t") for x in range(n)]
+        assert sorted(image) == list(range(n)) and all(x != y for x, y in enumerate(image))
+        assert [f.permute(y, n, b"t", back=True) for y in image] == list(range(n))
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("4111 1111 1111 1111", "card"), ("378282246310005", "card"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("2024-02-29", "iso_date"), ("1850-01-01", "iso_date"), ("31/12/1999", "day_date"), ("12/31/1999", "day_date"),
+        ("+1 (310) 555-4510", "phone"), ("(310) 555-4510", "phone"), ("123-45-6789", "national_id"), ("10.0.0.1", "ipv4"), ("ana.lopez@example.com", "email"), ('token = "11acdfb36bb72224148e6160f674b4be45601bf1"', "secret"),
+    ],
+)
+def test_pseudonyms_keep_format_and_invert(text, kind):
+    from pagelens.llm.pii import Pseudonyms, luhn_digit
+
+    there, back = Pseudonyms(b"key"), Pseudonyms(b"key", back=True)
+    new, n, kinds = there.text(f"see {text}, ok")
+    assert n == 1 and kinds == [kind] and text not in new
+    assert back.text(new)[0] == f"see {text}, ok"
+    shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
+    if kind in ("card", "phone", "national_id", "iso_date", "day_date"):
+        assert shape(new) == shape(f"see {text}, ok")
+    digits = "".join(c for c in new if c.isdigit())
+    if kind == "card":
+        assert luhn_digit(digits[:-1]) == digits[-1]
+    if kind == "iso_date":
+        datetime.date.fromisoformat(new[4:14])
+
+
+def test_unvalidated_values_stay():
+    from pagelens.llm.pii import Pseudonyms
+
+    for text in ("4111 1111 1111 1112", "2023-02-30", "999.1.1.1", "000-12-3456", "GB82 WEST 1234 5698 7654 33", "order 12345", "1.2.3"):
+        assert Pseudonyms(b"key").text(text)[1] == 0, text
+
+
+def test_pii_tables(spark, awkward):
+    from pagelens.llm.pii import pseudonymise
+
+    docs = awkward.limit(0).unionByName(awkward).withColumn("text", F.when(F.col("doc_id").isin(3, 4), F.concat(F.col("text"), F.lit(" mail a.b@c.org and a.b@c.org"))).otherwise(F.col("text")))
+    out = pseudonymise(docs, b"key").collect()
+    assert len(out) == docs.count()
+    mails = {w for r in out if r["doc_id"] in (3, 4) for w in r["text"].split() if "@" in w}
+    assert len(mails) == 1 and "a.b@c.org" not in mails
+    assert [r["text"] for r in out if r["doc_id"] == 0] == [None]
+    assert pseudonymise(empty(spark), b"key").count() == 0
+
+
+# 8: vectors
+
+
+def test_vectors_equal_brute_force(spark):
+    from pagelens.llm.vector_dedup import near_vectors
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(400, 32))
+    near = base[:120] + rng.normal(scale=0.05, size=(120, 32))
+    hot = np.repeat(base[:1], 60, axis=0)
+    x = np.vstack([base, near, hot])
+    labels = [k % 3 for k in range(400)] + [k % 3 for k in range(120)] + [0] * 60
+    rows = [(k, [float(v) for v in r], lab) for k, (r, lab) in enumerate(zip(x, labels))]
+    odd = [(900, None, 0), (901, [0.0] * 32, 0), (902, [float("nan")] * 32, 0), (903, [float("inf")] + [1.0] * 31, 0), (904, [1.0, None] + [1.0] * 30, 0), (905, rows[0][1], None), (906, [1.0] * 5, 0), (None, rows[0][1], 0), (0, rows[0][1], 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").withColumn("unit", F.lit(1))
+    got = {r["vec_id"]: r for r in near_vectors(df, list_rows=64, block=40).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = (unit @ unit.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels))
+    np.fill_diagonal(hit, False)
+    want = hit.sum(axis=1)
+    links = np.array([got[k]["n_links"] for k in range(len(x))])
+    assert (links <= want).all() and links.sum() >= 0.98 * want.sum()
+    up = list(range(len(x)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in zip(*np.nonzero(hit)):
+        p, q = sorted((root(a), root(b)))
+        up[q] = p
+    assert np.mean([got[k]["component_id"] == root(k) for k in range(len(x))]) >= 0.98
+    assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(900, 907))
+    assert near_vectors(df.limit(0)).count() == 0
+    assert near_vectors(df.filter("vec_id = 901")).count() == 1
+
+
+# 9: packing
+
+
+def test_best_fit_equals_plain_search():
+    from pagelens.llm.packing import best_fit
+
+    rng = random.Random(6)
+    for _ in range(60):
+        cap = rng.randint(20, 60)
+        n = rng.randint(1, 60)
+        sizes = sorted((rng.randint(1, cap) for _ in range(n)), reverse=True)
+        masks = [(1 << rng.randrange(4) if rng.random() < 0.7 else 0, 1 << rng.randrange(3) if rng.random() < 0.3 else 0) for _ in range(n)]
+        bins = []  # room, source, cluster
+        want = []
+        for s, (a, c) in zip(sizes, masks):
+            fits = [(b[0], k) for k, b in enumerate(bins) if b[0] >= s and not b[1] & a and not b[2] & c]
+            if fits:
+                k = min(fits)[1]
+            else:
+                k = len(bins)
+                bins.append([cap, 0, 0])
+            want.append((k, cap - bins[k][0]))
+            bins[k] = [bins[k][0] - s, bins[k][1] | a, bins[k][2] | c]
+        assert best_fit(sizes, masks, cap) == want
+
+
+def test_packing_tables(spark, awkward):
+    from pagelens.llm.packing import measure, pack_documents
+
+    out = pack_documents(awkward, tokenizer_path(), capacity=256).collect()
+    sizes = collections.Counter()
+    for r in measure(awkward, tokenizer_path()).collect():
+        sizes[r["doc_id"]] += r["n_tokens"]
+    packed, bins = collections.Counter(), collections.defaultdict(list)
+    for r in out:
+        packed[r["doc_id"]] += r["n_tokens"]
+        bins[r["bin"]].append(r)
+    assert packed == sizes
+    source = {r["doc_id"]: r["source"] for r in awkward.collect()}
+    for rows in bins.values():
+        assert sum(r["n_tokens"] for r in rows) == rows[0]["bin_tokens"] <= 256
+        spans = sorted((r["offset"], r["offset"] + r["n_tokens"]) for r in rows)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        own = [source[r["doc_id"]] for r in rows if source[r["doc_id"]]]
+        assert len(own) == len(set(own))
+    assert pack_documents(empty(spark), tokenizer_path()).count() == 0
+
+
+# 10: language-model scores
+
+
+def lm_reference(rows):
+    import re
+
+    def tokens(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
+
+    held = [k is not None and zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
+    one, two, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for (_, t), h in zip(rows, held):
+        if not h:
+            x = tokens(t)
+            one.update(x)
+            two.update(zip(x, x[1:]))
+            for a, b in zip(x, x[1:]):
+                after[a].add(b)
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w] - 0.5) / n if one[w] else 0.5 * v / n
+    out = []
+    for (k, t), h in zip(rows, held):
+        x = tokens(t)
+        total = math.log10(p1(x[0]))
+        for a, w in zip(x, x[1:]):
+            total += math.log10(max(two[a, w] - 0.75, 0) / one[a] + 0.75 * len(after[a]) / one[a] * p1(w) if one[a] else p1(w))
+        out.append((k, h, len(x), sum(one[w] > 0 for w in x), n, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in x), total))
+    return out
+
+
+@pytest.mark.parametrize("size", [10_000_000, 3000])
+def test_lm_scores_equal_brute_force(spark, words, size):
+    from pagelens.llm.lm_scoring import lm_score
+
+    rng = random.Random(12)
+    rows = [(k, prose(words[:200], rng, rng.randint(0, 60)) + (" Common Pair" * (k % 5))) for k in range(150)] + [(200, None), (201, ""), (None, "No Id"), (202, "É\x0bé\x1cx  Y")]
+    rows += rows[:3]
+    got = lm_score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(1)), block_bytes=size, part_bytes=size).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[6])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(lm_reference(rows), key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
+
+
+def test_lm_probabilities_sum_to_one():
+    rows = [(k, t) for k, t in enumerate(["a b a c", "b a", "c c b"]) if zlib.crc32(str(k).encode()) % 7 != 2]
+    one = collections.Counter(w for _, t in rows for w in [*t.split(), None])
+    n, v = sum(one.values()), len(one)
+    assert sum((c - 0.5) / n for c in one.values()) + 0.5 * v / n == pytest.approx(1)
+
+
+def test_lm_empty(spark):
+    from pagelens.llm.lm_scoring import lm_score
+
+    assert lm_score(empty(spark)).count() == 0
+    only_held = spark.createDataFrame([(k, "a b") for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2], "doc_id long, text string")
+    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 for r in lm_score(only_held).collect())
+
+
+def test_pack_array_round_trip():
+    from pagelens.llm.lm_scoring import pack_array, unpack_array
+
+    x = np.array([0, 3, 3, 900, 70_000])
+    for steps in (False, True):
+        assert unpack_array(pack_array(x, "<u4", steps), "<u4", steps).tolist() == x.tolist()
+        assert len(unpack_array(pack_array(x[:0], "<u4", steps), "<u4", steps)) == 0
+
+
+def test_batches_by_size_covers_all_rows():
+    from pagelens.llm.common import batches_by_size
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "", "b" * 1000, "c"]})
+    assert [t for b in batches_by_size([batch], chars=16) for t in b.column(0).to_pylist()] == batch.column(0).to_pylist()
