@@ -14,8 +14,8 @@ is the last word if it was seen, else the start state.
 The automaton grows with the corpus and is never sent to every executor.
 Documents are dealt to blocks of bounded size by hash.  Each block sends the
 words and pairs it holds, with its own training counts, to the parts that
-count them (parts are by first word; very frequent words are spread by the
-second as well).  A part answers each block with what differs from the
+count them (parts are by first word; a very frequent word is spread over
+several parts by the second).  A part answers each block with what differs from the
 block's own counts.  So each block holds the part of the automaton that its
 own texts can reach, whatever the size of the corpus.  All n-grams are kept.
 
@@ -39,6 +39,30 @@ WORD_DISCOUNT = 0.5
 END = 0x5851F42D4C957F2D
 
 
+#: Second words travel as 48 bits: they only tell the followers of one first word apart.
+SECOND_BITS = np.uint64((1 << 48) - 1)
+
+
+#: What a block sends to a part, and what the part answers (ascending columns travel as differences).
+SENT = {"words": "<u8", "counts": "<i4", "spans": "<u4", "second_low": "<u4", "second_high": "<u2", "pair_counts": "<u4"}
+ANSWERS = {"changed": ("<u4", True), "totals": ("<i8", False), "followers": ("<i8", False), "pairs": ("<u4", True), "sums": ("<i8", False)}
+
+
+def pack_array(x: np.ndarray, kind: str, steps: bool = False) -> bytes:
+    """An array for a shuffle: fixed width, as differences if ``steps`` (ascending numbers), compressed."""
+    import zstandard
+
+    x = np.asarray(x).astype(kind)
+    return zstandard.ZstdCompressor(level=1).compress((np.diff(x, prepend=x.dtype.type(0)) if steps else x).tobytes())
+
+
+def unpack_array(data: bytes, kind: str, steps: bool = False) -> np.ndarray:
+    import zstandard
+
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.cumsum(x, dtype=x.dtype) if steps else x
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words without the end: ASCII letters in lower case, split at ASCII white space."""
     return text.encode().lower().split() if text else []
@@ -47,7 +71,7 @@ def tokens(text: str | None) -> list[bytes]:
 class Block:
     """The words and pairs of one block's documents, in an order that depends on their hashes alone."""
 
-    def __init__(self, texts: list[str | None], train: np.ndarray, parts: int, heavy: np.ndarray):
+    def __init__(self, texts: list[str | None], train: np.ndarray, parts: int, heavy: tuple[np.ndarray, np.ndarray]):
         each = [tokens(t) for t in texts]
         words = WordHashes(most=1 << 62)
         sizes = np.array([len(x) + 1 for x in each], dtype=np.int64)
@@ -67,17 +91,24 @@ class Block:
         code, self.pair_at = np.unique(first.astype(np.int64) * len(self.word) + second, return_inverse=True)
         self.first, self.second = code // max(1, len(self.word)), code % max(1, len(self.word))
         self.pair_count = np.bincount(self.pair_at[weight[self.follows]], minlength=len(code)).astype(np.int64)
-        # Parts: of a word by its hash, of a pair by its first word's, or by both if that word is very frequent.
+        # Parts: of a word by its hash; of a pair by its first word's, and from there over as many parts as that word's share asks for.
         n = np.uint64(parts)
+        width = np.ones(len(self.word), np.int64)
+        at = np.searchsorted(heavy[0], self.word)
+        known = at < len(heavy[0])
+        known[known] = heavy[0][at[known]] == self.word[known]
+        width[known] = heavy[1][at[known]]
         with np.errstate(over="ignore"):
             self.part = (mix64(self.word * MIX_A) % n).astype(np.int64)
-            spread = (mix64(self.word[self.first] * MIX_A + self.word[self.second] * MIX_B) % n).astype(np.int64)
-        self.pair_part = np.where(np.isin(self.word, heavy)[self.first], spread, self.part[self.first])
+            spread = (mix64(self.word[self.first] * MIX_A + self.word[self.second] * MIX_B) % width[self.first].astype(np.uint64)).astype(np.int64)
+        self.pair_part = (self.part[self.first] + spread) % parts
         # The order in which each part sees them.
         self.pair_order = np.argsort(self.pair_part, kind="stable")
         self.pair_edges = np.searchsorted(self.pair_part[self.pair_order], np.arange(parts + 1))
-        # The words that a part sees: those that it counts, and first words of its pairs.
-        seen = np.unique(np.concatenate([self.part * len(self.word) + np.arange(len(self.word)), self.pair_part * len(self.word) + self.first])) if len(self.word) else np.empty(0, np.int64)
+        # The words that a part sees: those that it counts, and those whose pairs it may count.
+        every = np.repeat(np.arange(len(self.word)), width)
+        step = np.arange(len(every)) - np.repeat(np.cumsum(width) - width, width)
+        seen = np.sort((self.part[every] + step) % parts * len(self.word) + every)
         self.seen_word = seen % max(1, len(self.word))
         self.seen_edges = np.searchsorted(seen // max(1, len(self.word)), np.arange(parts + 1))
 
@@ -87,7 +118,8 @@ class Block:
         pairs = self.pair_order[self.pair_edges[p] : self.pair_edges[p + 1]]
         counts = np.where(self.part[words] == p, self.count[words], -1)
         spans = np.bincount(np.searchsorted(words, self.first[pairs]), minlength=len(words))
-        return self.word[words], counts, spans, self.word[self.second[pairs]], self.pair_count[pairs]
+        second = self.word[self.second[pairs]] & SECOND_BITS
+        return self.word[words], counts, spans, second & np.uint64(0xFFFFFFFF), second >> np.uint64(32), self.pair_count[pairs]
 
 
 def _merge(blocks: list[int], sent: list[tuple], n_blocks: int):
@@ -99,8 +131,8 @@ def _merge(blocks: list[int], sent: list[tuple], n_blocks: int):
     own = np.where(counted, counts, 0)
     total = np.bincount(inv, weights=own, minlength=len(keys)).astype(np.int64)
     first = np.concatenate([np.repeat(np.arange(len(s[0])), s[2]) + at for s, at in zip(sent, np.cumsum([0, *(len(s[0]) for s in sent)]))]).astype(np.int64)
-    second = np.concatenate([s[3] for s in sent])
-    pair_own = np.concatenate([s[4] for s in sent]).astype(np.int64)
+    second = np.concatenate([s[3].astype(np.uint64) | s[4].astype(np.uint64) << np.uint64(32) for s in sent])
+    pair_own = np.concatenate([s[5] for s in sent]).astype(np.int64)
     with np.errstate(over="ignore"):
         code = mix64(keys[inv[first]] * MIX_A + second * MIX_B) if len(first) else np.empty(0, np.uint64)
     order = np.argsort(code, kind="stable")
@@ -174,11 +206,16 @@ class Automaton:
         return tuple(np.add.reduceat(x, b.starts) for x in (step, base, known))
 
 
-def frequent_words(docs: DataFrame, share: float) -> np.ndarray:
-    """Hashes of words with at least ``share`` of a task's words and of the words so reported: at most a few per ``1 / share``.
+def frequent_words(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words whose pairs would fill an eighth of a part or more, and over how many parts to spread them.
 
-    They only decide where pairs are counted, not what is counted.
+    They only decide where pairs are counted, not what is counted.  A word
+    with such a share of all words has it in some task; at most 64 * ``parts``
+    words come back.
     """
+    if parts < 2:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    share = 1 / (8 * parts)
 
     def run(batches):
         from collections import Counter
@@ -197,8 +234,11 @@ def frequent_words(docs: DataFrame, share: float) -> np.ndarray:
         top = [(w, n) for w, n in held.items() if n >= share * total]
         yield pa.RecordBatch.from_arrays([pa.array(np.array([xxh3_64_intdigest(w) for w, _ in top], np.uint64).view(np.int64)), pa.array([n for _, n in top], pa.int64()), pa.array([total] * len(top), pa.int64())], names=["word", "n", "of"])
 
-    rows = docs.select("text").mapInArrow(run, "word long, n long, of long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).filter(F.col("n") >= share * F.col("of")).orderBy(F.desc("n"), "word").limit(int(8 / share)).select("word").toArrow()
-    return np.sort(rows.column("word").to_numpy().view(np.uint64))
+    found = docs.select("text").mapInArrow(run, "word long, n long, of long").groupBy("word").agg((F.sum("n") / F.sum("of")).alias("share"))
+    rows = found.filter(F.col("share") >= share).orderBy(F.desc("share"), "word").limit(64 * parts).toArrow()
+    words = rows.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.clip(np.ceil(rows.column("share").to_numpy()[order] * 8 * parts), 1, parts).astype(np.int64)
 
 
 def lm_score(docs: DataFrame, modulus: int = 7, block_bytes: int = 12_000_000, part_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +249,7 @@ def lm_score(docs: DataFrame, modulus: int = 7, block_bytes: int = 12_000_000, p
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-size // part_bytes))
-    heavy = frequent_words(docs, 1 / (8 * parts)) if parts > 1 else np.empty(0, np.uint64)
+    heavy = frequent_words(docs, parts)
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_blocks)).cast("int")
     dealt = docs.withColumn("held_out", held_out("doc_id", modulus)).withColumn("block", block).repartition(n_blocks, "block")
 
@@ -220,19 +260,17 @@ def lm_score(docs: DataFrame, modulus: int = 7, block_bytes: int = 12_000_000, p
         k = table.column("block")[0].as_py()
         own = of_table(table)
         rows = [own.sent(p) for p in range(parts)]
-        kinds = ("<u8", "<i4", "<u4", "<u8", "<u4")
-        cols = [pa.array([np.asarray(r[i]).astype(kind).tobytes() for r in rows], pa.binary()) for i, kind in enumerate(kinds)]
-        return pa.Table.from_arrays([pa.array(range(parts), pa.int32()), pa.array([k] * parts, pa.int32()), *cols], names=["part", "block", "words", "counts", "spans", "seconds", "pair_counts"])
+        cols = [pa.array([pack_array(r[i], kind) for r in rows], pa.binary()) for i, kind in enumerate(SENT.values())]
+        return pa.Table.from_arrays([pa.array(range(parts), pa.int32()), pa.array([k] * parts, pa.int32()), *cols], names=["part", "block", *SENT])
 
     def answer(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         blocks = table.column("block").to_pylist()
-        kinds = {"words": "<u8", "counts": "<i4", "spans": "<u4", "seconds": "<u8", "pair_counts": "<u4"}
-        cols = [[np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in kinds.items()]
+        cols = [[unpack_array(x, kind) for x in table.column(c).to_pylist()] for c, kind in SENT.items()]
         rows = _merge(blocks, list(zip(*cols)), n_blocks)
         return pa.Table.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32())] + [pa.array([r[1][i].tobytes() for r in rows], pa.binary()) for i in range(5)] + [pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
-            names=["block", "part", "changed", "totals", "followers", "pairs", "sums", "n", "v"],
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32())] + [pa.array([pack_array(r[1][i], kind, steps) for r in rows], pa.binary()) for i, (kind, steps) in enumerate(ANSWERS.values())] + [pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
+            names=["block", "part", *ANSWERS, "n", "v"],
         )
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -240,15 +278,14 @@ def lm_score(docs: DataFrame, modulus: int = 7, block_bytes: int = 12_000_000, p
         if not table.num_rows:
             return schema.empty_table()
         own = of_table(table)
-        kinds = {"changed": "<u4", "totals": "<i8", "followers": "<i8", "pairs": "<u4", "sums": "<i8"}
-        cols = [[np.frombuffer(x, kind) for x in answers.column(c).to_pylist()] for c, kind in kinds.items()]
+        cols = [[unpack_array(x, kind, steps) for x in answers.column(c).to_pylist()] for c, (kind, steps) in ANSWERS.items()]
         automaton = Automaton(own, list(zip(answers.column("part").to_pylist(), zip(*cols), answers.column("n").to_pylist(), answers.column("v").to_pylist())))
         total, base, known = automaton.read()
         return pa.Table.from_arrays(
             [table.column("doc_id"), table.column("held_out"), pa.array(own.sizes), pa.array(known), pa.array([automaton.n] * table.num_rows, pa.int64()), pa.array(base), pa.array(total)], schema=schema
         )
 
-    sent = dealt.groupBy("block").applyInArrow(send, "part int, block int, words binary, counts binary, spans binary, seconds binary, pair_counts binary")
-    answers = sent.groupBy("part").applyInArrow(answer, "block int, part int, changed binary, totals binary, followers binary, pairs binary, sums binary, n long, v long")
+    sent = dealt.groupBy("block").applyInArrow(send, "part int, block int, " + ", ".join(f"{c} binary" for c in SENT))
+    answers = sent.groupBy("part").applyInArrow(answer, "block int, part int, " + ", ".join(f"{c} binary" for c in ANSWERS) + ", n long, v long")
     answers = answers.repartition(n_blocks, "block")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

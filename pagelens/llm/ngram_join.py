@@ -113,14 +113,55 @@ def _tokens(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<u4").reshape(-1, TOKENS)
 
 
-def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bytes of each row of ``a`` equal those of each row of ``b``."""
+def agreements(a: np.ndarray, b: np.ndarray, rows: int = 128) -> np.ndarray:
+    """How many bytes of each row of ``a`` equal those of each row of ``b``; some rows at a time, to stay in cache."""
     out = np.zeros((len(a), len(b)), np.uint8)
-    for i in range(TOKENS):
-        out += a[:, i][:, None] == b[:, i][None, :]
+    columns = np.ascontiguousarray(b.T)
+    for s in range(0, len(a), rows):
+        part, block = out[s : s + rows], a[s : s + rows]
+        for i in range(TOKENS):
+            part += block[:, i][:, None] == columns[i][None, :]
     return out
 
 
+def spanning(hit: np.ndarray, within: bool):
+    """(row, columns) pairs that connect whatever the hits connect, each vertex reached once.
+
+    ``within``: rows and columns are the same vertices; else they are two sides.
+    """
+    todo = np.ones(hit.shape[1], bool)
+    if within:
+        for s in range(len(hit)):
+            if todo[s]:
+                todo[s] = False
+                stack = [s]
+                while stack:
+                    k = stack.pop()
+                    new = np.flatnonzero(hit[k] & todo)
+                    if len(new):
+                        todo[new] = False
+                        stack.extend(new.tolist())
+                        yield k, new
+        return
+    left = np.ones(hit.shape[0], bool)
+    for s in range(len(hit)):
+        if left[s]:
+            left[s] = False
+            stack = [s]
+            while stack:
+                k = stack.pop()
+                new = np.flatnonzero(hit[k] & todo)
+                if len(new):
+                    todo[new] = False
+                    yield k, new
+                    for j in new.tolist():
+                        rows = np.flatnonzero(hit[:, j] & left)
+                        left[rows] = False
+                        stack.extend(rows.tolist())
+                        for r in rows.tolist():
+                            yield r, np.array([j])
+
+
 def _bucket_forest(bucket: np.ndarray, side: np.ndarray, rid: np.ndarray, low: np.ndarray, least: int) -> Forest:
     """Spanning forest of the pairs with ``least`` equal sketch bytes in the buckets of one task."""
     order = np.lexsort((rid, side, bucket))
@@ -137,14 +178,12 @@ def _bucket_forest(bucket: np.ndarray, side: np.ndarray, rid: np.ndarray, low: n
             forest.join(int(rid[k]), int(rid[k + shift]))
     for s, n in zip(starts[:-1][sizes > small], sizes[sizes > small]):
         cut = s + int(np.searchsorted(side[s : s + n], 1))
-        other = slice(cut, s + n) if cut < s + n else slice(s, cut)
-        left = slice(s, cut)
-        hit = agreements(low[left], low[other]) >= least
-        ids, others = rid[left].tolist(), rid[other].tolist()
-        for k in range(hit.shape[0]):
-            for j in np.flatnonzero(hit[k]):
-                if ids[k] != others[j]:
-                    forest.join(ids[k], others[j])
+        within = cut == s + n
+        left, other = slice(s, cut), slice(s, cut) if within else slice(cut, s + n)
+        ids, others = rid[left], rid[other]
+        for k, found in spanning(agreements(low[left], low[other]) >= least, within):
+            for j in others[found].tolist():
+                forest.join(int(ids[k]), j)
     return forest
 
 
@@ -177,7 +216,7 @@ def _forest_batch(forest: Forest) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: int = 512, depth: int = 3, boost: float = 2.0) -> DataFrame:
+def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: int = 2048, depth: int = 3, boost: float = 2.0) -> DataFrame:
     """(a, b): stars whose components hold, at the target recall, all pairs of ``reps`` (rid, sketch) over the threshold."""
     runs = runs_for(recall, boost, depth)
     rate = boost / (threshold * TOKENS)
@@ -294,8 +333,9 @@ def verify(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
             if not within:
                 for k, n in zip(right, copies[left] @ hit):
                     links[int(rid[k])] = links.get(int(rid[k]), 0) + int(n)
-            for k, j in zip(*np.nonzero(hit)):
-                forest.join(int(rid[left[k]]), int(rid[right[j]]))
+            for k, found in spanning(hit, within):
+                for j in rid[right[found]].tolist():
+                    forest.join(int(rid[left[k]]), j)
         x, y = forest.stars()
         ids = list(links)
         return pa.Table.from_arrays(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import ipaddress
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -95,10 +96,8 @@ def bearer_header(token: Column) -> Column:
 
 def merged_headers(*maps: Column) -> Column:
     """Later maps win."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
-    return out
+    over = lambda old, new: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    return reduce(over, maps)
 
 
 def headers_of(config: dict) -> dict[str, str]:
