@@ -71,8 +71,9 @@ def table_parts(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_column(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+def raw_column(batch: pa.RecordBatch, k: int) -> list[bytes]:
+    """The UTF-8 bytes of a text column; nulls are empty."""
+    return pc.fill_null(batch.column(k).cast(pa.binary()), b"").to_pylist()
 
 
 def batches_by_size(batches, name: str = "text", chars: int = 4_000_000):

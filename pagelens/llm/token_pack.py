@@ -24,6 +24,7 @@ import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, scratch_path, table_parts
+from .common import batches_by_size, raw_column, scratch_path, table_parts
 
 MAGIC = b"PLTOKENS"
 HEADER = "<8sHHIQQQ"
@@ -123,8 +124,8 @@ class WordEncoder:
         self.index: dict[bytes, int] = {}
         self.cores: dict[str, list[int]] = {}
         self.signs: dict[str, list[int]] = {}
-        self.flat, self.size = [], []
-        self.arrays = None
+        self.flat, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.start = np.empty(0, np.int64)
 
     def whole(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
@@ -152,38 +153,38 @@ class WordEncoder:
             return ids + tail
         return ids
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of ids of each text."""
+    def learn(self, words) -> None:
+        """Add the pieces of ``words`` to the cache."""
+        flat, size = [], []
+        for w in words:
+            ids = self.piece(w)
+            self.index[w] = len(self.size) + len(size)
+            flat.extend(ids)
+            size.append(len(ids))
+        size = np.array(size, dtype=np.int64)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.uint32)])
+
+    def encode(self, texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of ids of each text (UTF-8 where it is given as bytes)."""
         if not self.by_word:
-            each = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            each = [e.ids for e in self.tokenizer.encode_batch([t.decode() if isinstance(t, bytes) else t for t in texts], add_special_tokens=False)]
             return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(x) for x in each], dtype=np.int64)
         if len(self.index) > self.most:
             self.clear()
-        parts = [t.encode().split() for t in texts]
-        counts = np.array([len(p) for p in parts], dtype=np.int64)
-        words = [w for p in parts for w in p]
-        at = list(map(self.index.get, words))
-        if None in at:
-            for k, i in enumerate(at):
-                if i is None:
-                    w = words[k]
-                    i = self.index.get(w)
-                    if i is None:
-                        ids = self.piece(w)
-                        i = self.index[w] = len(self.size)
-                        self.flat.extend(ids)
-                        self.size.append(len(ids))
-                    at[k] = i
-            self.arrays = None
-        if self.arrays is None:
-            size = np.array(self.size, dtype=np.int64)
-            self.arrays = np.array(self.flat, dtype=np.uint32), size, np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-        flat, size, start = self.arrays
-        at = np.array(at, dtype=np.int64)
-        sizes = size[at] if len(at) else np.empty(0, np.int64)
+        parts = [(t if isinstance(t, bytes) else t.encode()).split() for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        words = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self.learn(dict.fromkeys(words[k] for k in new))
+            for k in new:
+                at[k] = self.index[words[k]]
+        sizes = self.size[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        total = int(ends[-1])
-        ids = flat[np.repeat((start[at] if len(at) else sizes) - ends[:-1], sizes) + np.arange(total)] if total else np.empty(0, np.uint32)
+        ids = self.flat[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
         edges = np.concatenate([[0], np.cumsum(counts)])
         return ids, ends[edges[1:]] - ends[edges[:-1]]
 
@@ -201,12 +202,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
         enc = encoder(tokenizer)
         kind = "<u2" if bit_width(enc.tokenizer.get_vocab_size()) <= 16 else "<u4"
         for batch in batches_by_size(batches):
-            ids, sizes = enc.encode([x or "" for x in batch.column(1).to_pylist()])
-            out, at = [], 0
-            for n in sizes.tolist():
-                out.append(np.append(ids[at : at + n], np.uint32(end_id)).astype(kind).tobytes())
-                at += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes + 1, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            ids, sizes = enc.encode(raw_column(batch, 1))
+            data = np.insert(ids, np.cumsum(sizes), end_id).astype(kind).tobytes()
+            ends = np.concatenate([[0], np.cumsum(sizes + 1)]) * int(kind[-1])
+            out = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes + 1, pa.int64()), out], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
