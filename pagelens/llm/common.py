@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def raw_column(batch: pa.RecordBatch, k: int) -> list[bytes]:
     return pc.fill_null(batch.column(k).cast(pa.binary()), b"").to_pylist()
 
 
-def batches_by_size(batches, name: str = "text", chars: int = 4_000_000):
+def batches_by_size(batches, name: str = "text", chars: int = 1_000_000):
     """Record batches cut so that each holds about ``chars`` bytes of the text column, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -90,6 +91,21 @@ def batches_by_size(batches, name: str = "text", chars: int = 4_000_000):
                 yield batch.slice(a, b - a)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """An object that this worker process keeps from task to task.
+
+    Only the last one asked for stays, so the memory of stages that share
+    workers does not add up.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 #: 64-bit odd mixing constants.
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
@@ -105,7 +121,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of byte words through a bounded cache that lives as long as the task."""
+    """64-bit hashes of byte words through a bounded cache."""
 
     def __init__(self, most: int = 400_000):
         from xxhash import xxh3_64_intdigest
@@ -114,15 +130,14 @@ class WordHashes:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        got = list(map(known.get, words))
-        if None in got:
-            if len(known) > self.most:
-                known.clear()
-            for k, h in enumerate(got):
-                if h is None:
-                    w = words[k]
-                    got[k] = known[w] = self.digest(w)
-        return np.array(got, dtype=np.uint64)
+        if len(known) > self.most:
+            known.clear()
+        out = np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))
+        for k in np.flatnonzero(out == 0).tolist():
+            w = words[k]
+            out[k] = h = known.get(w) or self.digest(w)
+            known[w] = h
+        return out
 
 
 _LETTERS_DIGITS = re.compile(r"[^\W_]+")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -123,18 +125,11 @@ def blocks(benchmark: DataFrame, block_chars: int = 4_000_000, id_col: str = "it
         yield [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
-_MATCHERS: dict = {}
-
-
 def matches(text: Column, items: list[tuple[int, str]], error_rate: float) -> Column:
     """array<struct(item_id, distance, end)> of a text's items."""
 
     def matcher() -> Matcher:
-        key = hash((tuple(items), error_rate))
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(items, error_rate)
-        return _MATCHERS[key]
+        return kept(("matcher", tuple(items), error_rate), lambda: Matcher(items, error_rate))
 
     @F.arrow_udf("array<struct<item_id:long,distance:int,end:int>>")
     def run(col: pa.Array) -> pa.Array:

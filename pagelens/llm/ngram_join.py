@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, WordHashes, batches_by_size, drop_materialized, materialize, mix64, plain_words, table_parts
+from .common import MIX_A, WordHashes, batches_by_size, drop_materialized, kept, materialize, mix64, plain_words, table_parts
 from .components import Forest, components
 
 TOKENS = 64
@@ -353,7 +353,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     def sketch(batches):
         from xxhash import xxh3_128_digest
 
-        hashes = WordHashes()
+        hashes = kept("word hashes", WordHashes)
         for batch in batches_by_size(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), n, hashes)
             full = [k for k, s in enumerate(sets) if len(s)]
@@ -378,7 +378,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     def shingles(batches):
         from xxhash import xxh3_128_digest
 
-        hashes = WordHashes()
+        hashes = kept("word hashes", WordHashes)
         for batch in batches_by_size(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), n, hashes)
             keep = pa.array([xxh3_128_digest(s.tobytes()) == g for s, g in zip(sets, batch.column(2).to_pylist())])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, materialize
+from .common import batches_by_size, materialize, raw_column
 from .token_pack import encoder
 
 
@@ -112,9 +112,9 @@ def measure(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         enc = encoder(tokenizer)
         for batch in batches_by_size(batches):
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            _, sizes = enc.encode(texts)
-            clusters = [xxh3_64_intdigest(" ".join(t.lower().split())) - (1 << 63) for t in texts]
+            texts = raw_column(batch, 2)
+            sizes = enc.lengths(texts)
+            clusters = [xxh3_64_intdigest(" ".join(t.decode().lower().split())) - (1 << 63) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(clusters, pa.int64()), pa.array(sizes + 1, pa.int64())], names=["doc_id", "source", "cluster", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, cluster long, n_tokens long")

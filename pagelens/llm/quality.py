@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, held_out
+from .common import batches_by_size, held_out, kept
 
 # Byte classes of the feature counts.
 SPACE, LOWER, UPPER, DIGIT, STOP, SIGN, HIGH, LINE = range(8)
@@ -196,6 +196,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spread = [model.mean, model.scale, model.weights, model.prior]
 
     def run(batches):
+        kept(None, object)  # frees what another stage left here
         own = Model(*spread)
         for batch in batches_by_size(batches):
             x = np.array([features(t or "") for t in batch.column(1).to_pylist()])
@@ -210,6 +211,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: s
 
     @F.arrow_udf("double")
     def run(col: pa.Array) -> pa.Array:
+        kept(None, object)  # frees what another stage left here
         own = Model(*spread)
         x = np.array([features(t.as_py() or "") for t in col]).reshape(-1, N_FEATURES)
         return pa.array(own.score(x), pa.float64())

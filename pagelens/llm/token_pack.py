@@ -23,7 +23,6 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, raw_column, scratch_path, table_parts
+from .common import batches_by_size, kept, raw_column, scratch_path, table_parts
 
 MAGIC = b"PLTOKENS"
 HEADER = "<8sHHIQQQ"
@@ -97,6 +96,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 _TAIL = re.compile(r"^([^\W\d_]+)([^\w\s]*)$")
+#: Signs that never join the letters before them.
+PLAIN_SIGNS = b'!"#$%&()*+,-./:;=>?@[\\]^`{|}~'
 
 
 class WordEncoder:
@@ -130,28 +131,36 @@ class WordEncoder:
     def whole(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
+    def core(self, core: str) -> list[int]:
+        """Ids of lower-case letters."""
+        ids = self.cores.get(core)
+        if ids is None:
+            word = core if core.isascii() else "".join(self.letters[b] for b in core.encode())
+            ids = self.cores[core] = [t.id for t in self.model.tokenize(word)]
+        return ids
+
+    def sign(self, sign: str) -> list[int]:
+        ids = self.signs.get(sign)
+        if ids is None:
+            ids = self.signs[sign] = self.whole(sign)
+        return ids
+
     def piece(self, raw: bytes) -> list[int]:
+        # Most pieces are ASCII letters, with one sign at the end at most.
+        if raw.isalpha():
+            return self.core(raw.lower().decode())
+        if raw[-1] in PLAIN_SIGNS and raw[:-1].isalpha():
+            return self.core(raw[:-1].lower().decode()) + self.sign(raw[-1:].decode())
         text = raw.decode()
         m = _TAIL.match(text)
-        if not m or "'" in m[2] or "<" in m[2] or "Σ" in text:
+        if not m or "'" in m[2] or "<" in m[2] or "Σ" in text or not m[2].isascii():
             return self.whole(text)
         core, sign = m[1].lower(), m[2]
         if not core.isascii():
             core = unicodedata.normalize("NFC", core)
             if not core.isalpha() or (sign and unicodedata.normalize("NFC", core[-1] + sign) != core[-1] + sign):
                 return self.whole(text)
-        if sign and not sign.isascii():
-            return self.whole(text)
-        ids = self.cores.get(core)
-        if ids is None:
-            word = core if core.isascii() else "".join(self.letters[b] for b in core.encode())
-            ids = self.cores[core] = [t.id for t in self.model.tokenize(word)]
-        if sign:
-            tail = self.signs.get(sign)
-            if tail is None:
-                tail = self.signs[sign] = self.whole(sign)
-            return ids + tail
-        return ids
+        return self.core(core) + self.sign(sign) if sign else self.core(core)
 
     def learn(self, words) -> None:
         """Add the pieces of ``words`` to the cache."""
@@ -166,15 +175,12 @@ class WordEncoder:
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.uint32)])
 
-    def encode(self, texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of ids of each text (UTF-8 where it is given as bytes)."""
-        if not self.by_word:
-            each = [e.ids for e in self.tokenizer.encode_batch([t.decode() if isinstance(t, bytes) else t for t in texts], add_special_tokens=False)]
-            return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(x) for x in each], dtype=np.int64)
+    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The cached pieces of all texts in order, and where each text's pieces begin and end."""
         if len(self.index) > self.most:
             self.clear()
-        parts = [(t if isinstance(t, bytes) else t.encode()).split() for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        parts = [t.split() for t in texts]
+        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
         words = list(chain.from_iterable(parts))
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0).tolist()
@@ -182,17 +188,30 @@ class WordEncoder:
             self.learn(dict.fromkeys(words[k] for k in new))
             for k in new:
                 at[k] = self.index[words[k]]
+        return at, edges
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of ids of each text (UTF-8)."""
+        if not self.by_word:
+            each = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(x) for x in each], dtype=np.int64)
+        at, edges = self.pieces(texts)
         sizes = self.size[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
-        edges = np.concatenate([[0], np.cumsum(counts)])
         return ids, ends[edges[1:]] - ends[edges[:-1]]
 
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """The number of ids of each text."""
+        if not self.by_word:
+            return self.encode(texts)[1]
+        at, edges = self.pieces(texts)
+        ends = np.concatenate([[0], np.cumsum(self.size[at])])
+        return ends[edges[1:]] - ends[edges[:-1]]
+
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One per worker process."""
-    return WordEncoder(path)
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

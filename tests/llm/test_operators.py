@@ -90,10 +90,11 @@ def test_word_encoder_odd_texts():
 
     from pagelens.llm.token_pack import WordEncoder
 
-    texts = ["It's don't  O'Neil's", "<|endoftext|> a<|startoftext|>b", "ÀÉÎ Straße, İstanbul ΣΑΣ.", "a1b2 x²y ½ 3.14!!", "tab\x1cfs nbsp em", "éclair ñ.", "日本語 text，混在", "...!!", "a_b __c__ --d", "word<|end", "'s 's", "x" * 500]
+    texts = ["It's don't  O'Neil's", "<|endoftext|> a<|startoftext|>b", "ÀÉÎ Straße, İstanbul ΣΑΣ.", "a1b2 x²y ½ 3.14!!", "tab\x1cfs nbsp em", "éclair ñ.", "日本語 text，混在", "...!!", "a_b __c__ --d", "word<|end", "'s 's", "Abc. abc, ABC' abc< abc_ abc1 x! y? z; w: v) u\" t~ s- r@ é. É,", "don't. cafe\u0301, \u212b!", "x" * 500]
     enc, tk = WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     for _ in range(2):  # the second time from the cache
-        ids, sizes = enc.encode(texts)
+        ids, sizes = enc.encode([t.encode() for t in texts])
+        assert (enc.lengths([t.encode() for t in texts]) == sizes).all()
         at = 0
         for t, n in zip(texts, sizes):
             assert ids[at : at + n].tolist() == tk.encode(t, add_special_tokens=False).ids, t
