@@ -63,23 +63,22 @@ def unpack_array(data: bytes, kind: str, steps: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype) if steps else x
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words without the end: ASCII letters in lower case, split at ASCII white space."""
-    return text.encode().lower().split() if text else []
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text without the end: ASCII letters in lower case, split at ASCII white space."""
+    return text.lower().split() if text else []
 
 
 class Block:
     """The words and pairs of one block's documents, in an order that depends on their hashes alone."""
 
-    def __init__(self, texts: list[str | None], train: np.ndarray, parts: int, heavy: tuple[np.ndarray, np.ndarray]):
-        each = [tokens(t) for t in texts]
+    def __init__(self, texts: list[bytes | None], train: np.ndarray, parts: int, heavy: tuple[np.ndarray, np.ndarray]):
         words = WordHashes(most=1 << 62)
-        sizes = np.array([len(x) + 1 for x in each], dtype=np.int64)
+        hashes, end = [], np.array([END], np.uint64)
+        for t in texts:  # one text's words at a time
+            hashes += [words(tokens(t)), end]
+        sizes = np.array([len(h) + 1 for h in hashes[::2]], dtype=np.int64)
         self.ends = np.cumsum(sizes)
-        flat = np.full(int(self.ends[-1]) if len(each) else 0, END, np.uint64)
-        inner = np.ones(len(flat), bool)
-        inner[self.ends - 1] = False
-        flat[inner] = words([w for x in each for w in x])
+        flat = np.concatenate(hashes)
         self.starts, self.sizes = self.ends - sizes, sizes
         weight = np.repeat(train, sizes)
         self.word, self.at = np.unique(flat, return_inverse=True)
@@ -225,7 +224,7 @@ def frequent_words(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]
         held: Counter = Counter()
         total = 0
         for batch in batches_by_size(batches):
-            for t in batch.column(0).to_pylist():
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
                 words = tokens(t)
                 total += len(words)
                 held.update(words)
@@ -254,7 +253,7 @@ def lm_score(docs: DataFrame, modulus: int = 7, block_bytes: int = 12_000_000, p
     dealt = docs.withColumn("held_out", held_out("doc_id", modulus)).withColumn("block", block).repartition(n_blocks, "block")
 
     def of_table(table: pa.Table) -> Block:
-        return Block(table.column("text").to_pylist(), ~np.asarray(table.column("held_out").to_pylist(), dtype=bool), parts, heavy)
+        return Block(table.column("text").cast(pa.binary()).to_pylist(), ~np.asarray(table.column("held_out").to_pylist(), dtype=bool), parts, heavy)
 
     def send(table: pa.Table) -> pa.Table:
         k = table.column("block")[0].as_py()
