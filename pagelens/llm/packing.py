@@ -105,7 +105,7 @@ def pack(items: DataFrame, capacity: int, shard_rows: int = 4096) -> DataFrame:
 
 
 def measure(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, source, cluster, n_tokens): token counts with the end id; the cluster is a hash of the text's lower-case words."""
+    """(doc_id, source, cluster, n_tokens): token counts with the end id; the cluster is a hash of the text's words, ASCII letters in lower case."""
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
@@ -114,7 +114,7 @@ def measure(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches_by_size(batches):
             texts = raw_column(batch, 2)
             sizes = enc.lengths(texts)
-            clusters = [xxh3_64_intdigest(" ".join(t.decode().lower().split())) - (1 << 63) for t in texts]
+            clusters = [xxh3_64_intdigest(b" ".join(t.lower().split())) - (1 << 63) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(clusters, pa.int64()), pa.array(sizes + 1, pa.int64())], names=["doc_id", "source", "cluster", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, cluster long, n_tokens long")

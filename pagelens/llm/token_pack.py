@@ -122,7 +122,8 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes, int] = {}  # of whole ids: a place in the arrays
+        self.sizes: dict[bytes, int] = {}  # where only lengths are asked for
         self.cores: dict[str, list[int]] = {}
         self.signs: dict[str, list[int]] = {}
         self.flat, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -163,39 +164,33 @@ class WordEncoder:
         return self.core(core) + self.sign(sign) if sign else self.core(core)
 
     def learn(self, words) -> None:
-        """Add the pieces of ``words`` to the cache."""
-        flat, size = [], []
-        for w in words:
-            ids = self.piece(w)
-            self.index[w] = len(self.size) + len(size)
-            flat.extend(ids)
-            size.append(len(ids))
-        size = np.array(size, dtype=np.int64)
+        """Add the pieces of ``words``, distinct and new, to the cache."""
+        ids = [self.piece(w) for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.index.update(zip(words, range(len(self.size), len(self.size) + len(ids))))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.uint32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
 
-    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The cached pieces of all texts in order, and where each text's pieces begin and end."""
-        if len(self.index) > self.most:
+    def words(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The white-space-separated words of all texts in order, and where each text's begin and end."""
+        if len(self.index) + len(self.sizes) > self.most:
             self.clear()
         parts = [t.split() for t in texts]
-        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        words = list(chain.from_iterable(parts))
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            self.learn(dict.fromkeys(words[k] for k in new))
-            for k in new:
-                at[k] = self.index[words[k]]
-        return at, edges
+        return list(chain.from_iterable(parts)), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text (UTF-8)."""
         if not self.by_word:
             each = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
             return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(x) for x in each], dtype=np.int64)
-        at, edges = self.pieces(texts)
+        words, edges = self.words(texts)
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            late = [words[k] for k in new]
+            self.learn(dict.fromkeys(late))
+            at[new] = [self.index[w] for w in late]
         sizes = self.size[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
@@ -205,8 +200,15 @@ class WordEncoder:
         """The number of ids of each text."""
         if not self.by_word:
             return self.encode(texts)[1]
-        at, edges = self.pieces(texts)
-        ends = np.concatenate([[0], np.cumsum(self.size[at])])
+        words, edges = self.words(texts)
+        known = self.sizes
+        sizes = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(sizes < 0)
+        if len(new):
+            late = [words[k] for k in new]
+            known.update((w, len(self.piece(w))) for w in dict.fromkeys(late))
+            sizes[new] = [known[w] for w in late]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         return ends[edges[1:]] - ends[edges[:-1]]
 
 
