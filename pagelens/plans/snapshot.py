@@ -13,8 +13,8 @@ from ..sources import readers
 
 def link_closure(pages: DataFrame, settings: Settings) -> DataFrame:
     """(node, depth): the pages that the target's links reach within ``max_depth``."""
-    assets = discover.discover(pages, extractors=("attribute",))
-    edges = assets.filter(settings.follows(F.col("asset"), F.col("url"))).select(urls.canonical(F.col("url")).alias("src"), F.col("asset").alias("dst"))
+    refs = discover.references(discover.parsed(pages), ("attribute",)).filter("tag IN ('a', 'area') AND attr = 'href'")
+    edges = discover.resolved(refs).filter(settings.follows(F.col("asset"), F.col("url"))).select(urls.canonical(F.col("url")).alias("src"), F.col("asset").alias("dst"))
     spark = pages.sparkSession
     seed = spark.createDataFrame([(settings.target_url,)], "u string").select(urls.canonical(F.col("u")).alias("node"))
     return graph.closure(edges, seed, settings.max_depth)
