@@ -2,17 +2,21 @@
 
 Unit vectors are indexed in coarse inverted lists (k-means centroids); what a
 centroid leaves over, the residual, is coded by subspace: one byte per group
-of dimensions.  Each vector probes the lists that can hold a neighbour,
-estimates distances by table look-ups (exact query side, coded index side)
-and reranks those near the threshold by exact cosine in double precision.
+of dimensions.  Each vector probes every list that can hold a neighbour: by
+the list's radius over all its rows, and by the plane between the list's
+centre and its own.  Distances are estimated by table look-ups (exact query
+side, coded index side); every pair whose estimate is within the coded
+vector's own error of the threshold is reranked by exact cosine in double
+precision.  Both bounds hold for every pair, so no link is lost; the price is
+that vectors without any clusters probe nearly all lists.
 
 Centroids and codebooks are fitted on a bounded sample (``sample`` rows,
 ordered by a hash of the vector); every row is indexed and every row queries.
 Vectors are compared only within equal, non-null labels.
 
 A vector lies in one list, so link counts need no pair table: each task adds
-up the links that it finds and keeps a spanning forest of them.  A pair that
-only one of its two sides probes is counted for both.
+up the links that it finds and keeps a spanning forest of them.  Of two lists
+only the rows of the first probe the second, and a link counts for both ends.
 
 Null vectors, null labels, zero vectors, null or non-finite components and
 vectors of another length than most link with nothing.  Repeated vectors link
@@ -31,6 +35,8 @@ from .common import drop_materialized, materialize, table_parts
 from .components import Forest, components
 
 CODES = 256
+#: Far above the rounding of double precision, far below any distance that matters.
+ROUNDING = 1e-6
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -53,24 +59,33 @@ def nearest(x: np.ndarray, centres: np.ndarray, step: int = 4096) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids, subspace codebooks, and the errors that they leave on the sample."""
+    """Coarse centroids, subspace codebooks, and the radius of each list over all its rows."""
 
-    def __init__(self, centres: np.ndarray, books: np.ndarray, slack: float, probes: int):
-        self.centres, self.books, self.slack, self.probes = centres, books, slack, probes
+    def __init__(self, centres: np.ndarray, books: np.ndarray, radii: np.ndarray | None = None):
+        self.centres, self.books, self.radii = centres, books, radii
         self.width = books.shape[2]
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         return nearest(x, self.centres)
 
-    def probed(self, x: np.ndarray) -> np.ndarray:
-        """For each row its nearest ``probes`` lists."""
-        d = (self.centres**2).sum(axis=1) / 2 - x @ self.centres.T
-        return np.argpartition(d, self.probes - 1, axis=1)[:, : self.probes] if self.probes < len(self.centres) else np.tile(np.arange(len(self.centres)), (len(x), 1))
+    def probed(self, x: np.ndarray, home: np.ndarray, some: np.ndarray, reach: float) -> np.ndarray:
+        """Whether each of ``some`` lists can hold a vector within ``reach`` of each row; of the pairs of lists, those not before the row's own."""
+        centres = self.centres[some]
+        square = np.maximum((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * x @ centres.T, 0)
+        # A vector lies no nearer to another list's centre than to its own, so the plane between the two is in reach.
+        beyond = square - ((x - self.centres[home]) ** 2).sum(axis=1)[:, None]
+        homes, at = np.unique(home, return_inverse=True)
+        apart = np.linalg.norm(self.centres[homes][:, None] - centres[None], axis=2)[at] if len(homes) * len(some) * x.shape[1] < 1 << 22 else np.stack([np.linalg.norm(centres - self.centres[h], axis=1) for h in homes])[at]
+        inside = (np.sqrt(square) <= self.radii[some] + reach + ROUNDING) & (beyond <= 2 * apart * reach + ROUNDING)
+        return (inside | (some == home[:, None])) & (some >= home[:, None])
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = x - self.centres[lists]
         return np.stack([nearest(rest[:, m * self.width : (m + 1) * self.width], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
 
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.centres[lists] + np.hstack([self.books[m][codes[:, m]] for m in range(len(self.books))])
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query with every codeword of every subspace."""
         return np.stack([queries[:, m * self.width : (m + 1) * self.width] @ self.books[m].T for m in range(len(self.books))], axis=1)
@@ -84,9 +99,11 @@ class Index:
         return out
 
 
-def fit(sample: np.ndarray, lists: int, subspaces: int, probes: int) -> Index:
-    """Fit an index; ``slack`` covers the largest estimation error seen among the sample's own vectors and near copies of them."""
+def fit(sample: np.ndarray, lists: int, subspaces: int) -> Index:
+    """Fit centroids, in the order of their main axis (neighbours get near numbers), and codebooks."""
     centres = kmeans(sample, lists)
+    axis = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
+    centres = centres[np.argsort(centres @ axis, kind="stable")]
     own = nearest(sample, centres)
     rest = sample - centres[own]
     width = sample.shape[1] // subspaces
@@ -95,12 +112,7 @@ def fit(sample: np.ndarray, lists: int, subspaces: int, probes: int) -> Index:
         part = rest[:, m * width : (m + 1) * width]
         book = kmeans(part, CODES, rounds=6, seed=m)
         books.append(np.vstack([book, np.repeat(book[:1], CODES - len(book), axis=0)]))
-    index = Index(centres, np.stack(books), 0.0, min(probes, len(centres)))
-    codes = index.encode(sample, own)
-    coded = centres[own] + np.hstack([books[m][codes[:, m]] for m in range(subspaces)])
-    # |<q, x> - <q, coded x>| <= |x - coded x| for unit q: the sample's largest error bounds what it has seen.
-    index.slack = float(np.quantile(np.linalg.norm(sample - coded, axis=1), 0.999)) if len(sample) else 0.0
-    return index
+    return Index(centres, np.stack(books))
 
 
 def _unit_rows(table: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
@@ -130,7 +142,7 @@ def sound_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str)
     return ok.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, "vec_id long, label string, dim int, unit binary")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000, list_rows: int = 512, most_lists: int = 4096, probes: int = 8, subspaces: int = 16, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000, list_rows: int = 512, most_lists: int = 4096, subspaces: int = 16, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     sound = materialize(sound_vectors(vectors, id_col, vec_col, label_col).dropDuplicates(["vec_id"]), "unit-vectors")
@@ -144,39 +156,63 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
     lists = int(np.clip(total // list_rows, 1, most_lists))
     # The bounded sample, at most ``sample`` rows.
     rows = sound.select("unit").orderBy(F.xxhash64("unit"), "vec_id").limit(sample).toArrow()
-    index = fit(np.frombuffer(b"".join(rows.column("unit").to_pylist()), "<f8").reshape(-1, dim), lists, parts_of, probes)
-    sent = spark.sparkContext.broadcast((index.centres, index.books, index.slack, index.probes))
+    index = fit(np.frombuffer(b"".join(rows.column("unit").to_pylist()), "<f8").reshape(-1, dim), lists, parts_of)
+    lists = len(index.centres)
+    fitted = spark.sparkContext.broadcast((index.centres, index.books))
+    # Unit vectors with a cosine of ``threshold`` are this far apart.
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def deal(batches):
-        own = Index(*sent.value)
+        own = Index(*fitted.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit_rows(batch, "unit", dim)
             home = own.lists(x)
             codes = own.encode(x, home)
-            probed = [np.union1d(p, [h]) for p, h in zip(own.probed(x), home)]
-            n = np.array([len(p) for p in probed])
-            ids, labels, unit = batch.column(0), batch.column(1), batch.column(3)
-            at = np.repeat(np.arange(len(x)), n)
-            kept = [p.astype("<i4").tobytes() for p in probed]
-            yield pa.RecordBatch.from_arrays(
-                [ids, labels, pa.array(home.astype(np.int32)), pa.array(np.ones(len(x), np.int32)), pa.array(home.astype(np.int32)), unit, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(kept, pa.binary())],
-                names=["vec_id", "label", "list", "indexed", "home", "unit", "codes", "probed"],
-            )
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at)), labels.take(pa.array(at)), pa.array(np.concatenate(probed).astype(np.int32)), pa.array(np.zeros(len(at), np.int32)), pa.array(home[at].astype(np.int32)), unit.take(pa.array(at)), pa.array([b""] * len(at), pa.binary()), pa.array([b""] * len(at), pa.binary())],
-                names=["vec_id", "label", "list", "indexed", "home", "unit", "codes", "probed"],
+                [
+                    *(batch.column(k) for k in (0, 1, 3)),
+                    pa.array(home.astype(np.int32)),
+                    pa.array([c.tobytes() for c in codes], pa.binary()),
+                    pa.array(np.linalg.norm(x - own.decode(home, codes), axis=1)),
+                    pa.array(np.linalg.norm(x - own.centres[home], axis=1)),
+                ],
+                names=["vec_id", "label", "unit", "home", "codes", "error", "radius"],
             )
 
-    dealt = materialize(sound.select("vec_id", "label", "dim", "unit").mapInArrow(deal, "vec_id long, label string, list int, indexed int, home int, unit binary, codes binary, probed binary"), "inverted-lists")
-    # Large lists are cut into blocks of index rows times blocks of queries, by counts of both.
-    sizes = dealt.groupBy("label", "list").agg(F.sum("indexed").alias("n_index"), F.sum(1 - F.col("indexed")).alias("n_query")).filter("n_index > 0")
+    dealt = materialize(sound.select("vec_id", "label", "dim", "unit").mapInArrow(deal, "vec_id long, label string, unit binary, home int, codes binary, error double, radius double"), "inverted-lists")
+    radii = np.zeros(lists)
+    for r in dealt.groupBy("home").agg(F.max("radius").alias("radius")).collect():  # at most most_lists rows
+        radii[r["home"]] = r["radius"]
+    sent = spark.sparkContext.broadcast((index.centres, index.books, radii))
+    # The lists of a label are read in runs of about ``block`` rows, so a query goes once to each run and not to each list.
+    labels = dealt.groupBy("label").agg(F.least(F.lit(lists), F.ceil(F.count("*") / block)).cast("int").alias("runs"))
+    based = dealt.join(labels, "label")
+
+    def ask(batches):
+        own, every_list = Index(*sent.value), np.arange(lists)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, home, runs = _unit_rows(batch, "unit", dim), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            asked = []
+            for a in range(0, len(x), 512):
+                for k, row in enumerate(own.probed(x[a : a + 512], home[a : a + 512], every_list, reach), a):
+                    asked.append(np.unique(np.flatnonzero(row) * int(runs[k]) // lists).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(asked, pa.list_(pa.int32()))], names=["vec_id", "label", "unit", "home", "asked"])
+
+    queries = materialize(based.select("vec_id", "label", "unit", "home", "runs").mapInArrow(ask, "vec_id long, label string, unit binary, home int, asked array<int>"), "vector-queries")
+    # Large runs are cut into blocks of index rows times blocks of queries, by counts of both.
+    run = F.floor(F.col("home").cast("long") * F.col("runs") / F.lit(lists)).cast("int")
+    indexed = based.select("vec_id", "label", run.alias("run"), F.lit(1).alias("indexed"), "home", "unit", "codes", "error")
+    asking = queries.select("vec_id", "label", F.explode("asked").alias("run"), F.lit(0).alias("indexed"), "home", "unit", F.lit(b"").alias("codes"), F.lit(0.0).alias("error"))
     cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
-    sized = dealt.join(sizes.select("label", "list", cut("n_index").alias("bi"), cut("n_query").alias("bq")), ["label", "list"])
+    sizes = indexed.groupBy("label", "run").agg(F.count("*").alias("n_index")).join(asking.groupBy("label", "run").agg(F.count("*").alias("n_query")), ["label", "run"])
+    sized = indexed.unionByName(asking).join(sizes.select("label", "run", cut("n_index").alias("bi"), cut("n_query").alias("bq")), ["label", "run"])
     mine = F.pmod(F.xxhash64("vec_id"), F.when(F.col("indexed") == 1, F.col("bi")).otherwise(F.col("bq"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("indexed") == 1, F.col("bq")).otherwise(F.col("bi")) - 1))
-    tasks = sized.withColumn("mine", mine).withColumn("other", other).withColumn("task", F.xxhash64("label", "list", F.when(F.col("indexed") == 1, F.col("mine")).otherwise(F.col("other")), F.when(F.col("indexed") == 1, F.col("other")).otherwise(F.col("mine"))))
+    tasks = sized.withColumn("mine", mine).withColumn("other", other).withColumn("task", F.xxhash64("label", "run", F.when(F.col("indexed") == 1, F.col("mine")).otherwise(F.col("other")), F.when(F.col("indexed") == 1, F.col("other")).otherwise(F.col("mine"))))
 
     def search(table: pa.Table) -> pa.Table:
         own = Index(*sent.value)
@@ -186,31 +222,37 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
         links, forest = {}, Forest()
         if len(q) and len(x):
             matrix = lambda rows: np.frombuffer(b"".join([units[k] for k in rows]), "<f8").reshape(-1, dim)
-            queries, base = matrix(q), matrix(x)
-            centre = int(table.column("list")[0].as_py())
-            codes = np.frombuffer(b"".join([c for c in table.column("codes").to_pylist() if c]), np.uint8).reshape(len(x), -1)
-            kept = table.column("probed").to_pylist()
-            probes_of = [set(np.frombuffer(kept[k], "<i4").tolist()) for k in x]
+            x = x[np.argsort(home[x], kind="stable")]
+            queries, base, asked = matrix(q), matrix(x), home[q]
+            listed, error, coded = home[x], table.column("error").to_numpy()[x], table.column("codes").to_pylist()
+            codes = np.frombuffer(b"".join([coded[k] for k in x]), np.uint8).reshape(len(x), -1)
+            some, first = np.unique(listed, return_index=True)
+            last = np.append(first[1:], len(x))
             for a in range(0, len(q), 512):
-                k, j = np.nonzero(own.estimate(queries[a : a + 512], centre, codes) >= threshold - own.slack)
-                k += a
-                sure = (ids[q[k]] != ids[x[j]]) & (np.einsum("ij,ij->i", queries[k], base[j]) >= threshold)
-                k, j = k[sure], j[sure]
-                one_sided = np.array([int(h) not in probes_of[c] for h, c in zip(home[q[k]], j)], dtype=bool)
-                for rows in (q[k], x[j[one_sided]]):
-                    for v, n in zip(*np.unique(ids[rows], return_counts=True)):
-                        links[int(v)] = links.get(int(v), 0) + int(n)
-                for one, two in zip(ids[q[k]].tolist(), ids[x[j]].tolist()):
-                    forest.join(one, two)
+                probed = own.probed(queries[a : a + 512], asked[a : a + 512], some, reach)
+                for n, (c, start, stop) in enumerate(zip(some.tolist(), first, last)):
+                    at = a + np.flatnonzero(probed[:, n])
+                    k, j = np.nonzero(own.estimate(queries[at], c, codes[start:stop]) >= threshold - error[start:stop] - ROUNDING)
+                    k, j = at[k], j + start
+                    sure = ids[q[k]] != ids[x[j]]
+                    k, j = k[sure], j[sure]
+                    sure = np.concatenate([np.einsum("ij,ij->i", queries[k[i : i + 65536]], base[j[i : i + 65536]]) for i in range(0, len(k), 65536)] or [np.empty(0)]) >= threshold
+                    k, j = k[sure], j[sure]
+                    # Within a list both ends ask; between two lists only the first does.
+                    for rows in (q[k], x[j[asked[k] != c]]):
+                        for v, m in zip(*np.unique(ids[rows], return_counts=True)):
+                            links[int(v)] = links.get(int(v), 0) + int(m)
+                    for one, two in zip(ids[q[k]].tolist(), ids[x[j]].tolist()):
+                        forest.join(one, two)
         a, b = forest.stars()
         return pa.Table.from_arrays(
             [pa.array([*links, *a.tolist()], pa.int64()), pa.array([*[None] * len(links), *b.tolist()], pa.int64()), pa.array([*links.values(), *[0] * len(a)], pa.int64())], names=["vec_id", "other", "links"]
         )
 
-    found = materialize(tasks.select("task", "vec_id", "list", "indexed", "home", "unit", "codes", "probed").groupBy("task").applyInArrow(search, "vec_id long, other long, links long"), "vector-links")
+    found = materialize(tasks.select("task", "vec_id", "indexed", "home", "unit", "codes", "error").groupBy("task").applyInArrow(search, "vec_id long, other long, links long"), "vector-links")
     counts = found.filter("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     groups = components(found.filter("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    for t in (dealt,):
+    for t in (dealt, queries):
         drop_materialized(t)
     out = every.join(counts, "vec_id", "left").join(groups.select(F.col("id").alias("vec_id"), F.col("component").alias("component_id")), "vec_id", "left")
     group = F.coalesce("component_id", "vec_id")

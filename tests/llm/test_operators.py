@@ -479,6 +479,24 @@ def test_vectors_equal_brute_force(spark):
     assert near_vectors(df.filter("vec_id = 901")).count() == 1
 
 
+def test_vectors_recall_in_a_hot_group_of_near_vectors(spark):
+    """Many more lists than a fixed number of probes, and a third of the rows near, not equal, to each other."""
+    from pagelens.llm.vector_dedup import near_vectors
+
+    rng = np.random.default_rng(4)
+    group = rng.normal(size=32) + rng.normal(scale=0.23, size=(700, 32))
+    x = np.vstack([group, rng.normal(size=(1400, 32))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    pairs = unit[:700] @ unit[:700].T
+    assert 0.94 < np.median(pairs) < 0.96
+    hit = unit @ unit.T >= 0.93
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(k, [float(v) for v in r], 0) for k, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in near_vectors(df, list_rows=16, block=300).collect()}
+    assert [got[k]["n_links"] for k in range(len(x))] == hit.sum(axis=1).tolist()
+    assert {got[k]["component_id"] for k in range(700) if hit[k].any()} == {0}
+
+
 # 9: packing
 
 
