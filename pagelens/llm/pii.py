@@ -8,6 +8,11 @@ index, with cycle walking to the domain's size.  The map is a bijection
 without fixed points, so equal values stay equal in every document, distinct
 values stay distinct, and the holder of the key can invert it.
 
+A match may have swallowed text that follows the value.  An IBAN is read in
+its country's length; cards and phone numbers are tried at every end of a
+group of digits, the longest first.  A card keeps its Luhn sum at the other
+parity, so digits after or before it read the same with its pseudonym.
+
 A null text stays null with no values; an empty text stays empty.  Rows are
 independent: repeated rows get equal results.  Other columns pass unchanged.
 """
@@ -27,6 +32,15 @@ ROUNDS = 8
 #: Alphabets that a character of a value may stand in.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
+#: Lengths of IBANs by country (other countries: the whole match).
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+        "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 "
+        "TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -133,21 +147,31 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", s)
         if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
             return None
-        payload = self._number(digits[:-1], b"card")
-        return _fill(s, payload + luhn_digit(payload))
+        # The check digit of a number that the card begins is the same for the pseudonym.
+        new = digits
+        while True:
+            payload = self._number(new[:-1], b"card")
+            new = payload + luhn_digit(payload)
+            if luhn_digit(new) == luhn_digit(digits) and len(set(new)) > 1:
+                return _fill(s, new)
 
     def iban(self, s: str) -> str | None:
         plain = s.replace(" ", "")
         as_number = lambda x: int("".join(str(int(c, 36)) for c in x))
         if not 15 <= len(plain) <= 34 or as_number(plain[4:] + plain[:4]) % 97 != 1:
             return None
-        body = self._mixed(plain[4:], b"iban" + plain[:2].encode())
-        new = plain[:2] + f"{98 - as_number(body + plain[:2] + '00') % 97:02d}" + body
-        it = iter(new)
-        return "".join(c if c == " " else next(it) for c in s)
+        body = plain[4:]
+        while True:
+            body = self._mixed(body, b"iban" + plain[:2].encode())
+            it = iter(plain[:2] + f"{98 - as_number(body + plain[:2] + '00') % 97:02d}" + body)
+            new = "".join(c if c == " " else next(it) for c in s)
+            # A value of another length than its country's must not begin with one of that length.
+            short = new[: self._ends("iban", new, 0, len(new))[0]].replace(" ", "")
+            if len(short) == len(plain) or as_number(short[4:] + short[:4]) % 97 != 1:
+                return new
 
     def phone(self, s: str) -> str | None:
-        head = re.match(r"\+\d{1,3}(?=[\s.(-])", s)
+        head = re.match(r"\+\d{1,3}(?=[\s.(-])|0(?=\d[ .-]\d\d[ .-])", s)
         rest = s[head.end() if head else 0 :]
         digits = re.sub(r"\D", "", rest)
         if not 7 <= len(digits) <= 14:
@@ -201,12 +225,52 @@ class Pseudonyms:
         "iso_date": r"(?P<iso_date>(?<![\d-])\d{4}[-/.]\d{2}[-/.]\d{2}(?![\d-]))",
         "day_date": r"(?P<day_date>(?<![\d/.-])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{4}(?![\d/-]))",
         "national_id": r"(?P<national_id>(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-]))",
-        "phone": r"(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))",
+        "phone": r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d\)[ .-]?)?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])0\d(?:[ .-]\d{2}){4}(?!\d|[.-]\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))",
         "card": r"(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d))",
     }
     PATTERN = re.compile("|".join(KINDS.values()))
+    CARD = re.compile(KINDS["card"])
     HINT = re.compile(r"[\d@]|[=:]\s*[\"']")
 
+    @staticmethod
+    def _ends(kind: str, text: str, a: int, b: int) -> list[int]:
+        """Where a value that the match ``a`` to ``b`` begins with may end, in the order to try."""
+        if kind == "iban":
+            left = IBAN_LENGTHS.get(text[a : a + 2], 0)
+            for end in range(a, b):
+                left -= text[end] != " "
+                if left == 0 and (end + 1 == b or text[end + 1] == " "):
+                    return [end + 1, b] if end + 1 < b else [b]
+        if kind in ("card", "phone"):
+            return [b, *(e for e in range(b - 1, a, -1) if text[e - 1].isdigit() and not text[e].isdigit())]
+        return [b]
+
+    def _known(self, kind: str, s: str) -> str | None:
+        key = kind, s
+        if key not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[key] = getattr(self, kind)(s)
+        return self.known[key]
+
+    def _read(self, kind: str, text: str, a: int, b: int) -> tuple[int, str] | None:
+        """End and replacement of the value at ``a``."""
+        for end in self._ends(kind, text, a, b):
+            new = self._known(kind, text[a:end])
+            if new is not None:
+                return None if kind == "card" and end < b and self._longer_card(text, a, end) else (end, new)
+        return None
+
+    def _longer_card(self, text: str, a: int, b: int) -> bool:
+        """Whether a card of more digits begins at a later group of ``a`` to ``b``: the shorter one is a chance hit across its head."""
+        digits = lambda x, y: sum(c.isdigit() for c in text[x:y])
+        least = digits(a, b)
+        for k in range(a + 1, b):
+            if text[k].isdigit() and not text[k - 1].isdigit() and (m := self.CARD.match(text, k)):
+                if any(digits(k, e) > least and self._known("card", text[k:e]) is not None for e in self._ends("card", text, k, m.end())):
+                    return True
+        return False
+
     def text(self, text: str) -> tuple[str, int, list[str]]:
         """The text with its values replaced, their number, and the kinds found."""
         if not self.HINT.search(text):
@@ -215,17 +279,13 @@ class Pseudonyms:
         while m := self.PATTERN.search(text, pos):
             kind = m.lastgroup
             a, b = m.span(kind)
-            key = kind, text[a:b]
-            if key not in self.known:
-                if len(self.known) > 50_000:
-                    self.known.clear()
-                self.known[key] = getattr(self, kind)(text[a:b])
-            new = self.known[key]
-            if new is None:
+            read = self._read(kind, text, a, b)
+            if read is None:
                 pos = m.start() + 1
                 while pos < len(text) and text[pos - 1].isdigit() and text[pos].isdigit():
                     pos += 1
                 continue
+            b, new = read
             out += [text[at:a], new]
             at = pos = b
             kinds.add(kind)

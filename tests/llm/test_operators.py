@@ -429,6 +429,34 @@ def test_unvalidated_values_stay():
         assert Pseudonyms(b"key").text(text)[1] == 0, text
 
 
+@pytest.mark.parametrize(
+    "value,after,kind",
+    [
+        ("DE89370400440532013000", " BIC COBADEFFXXX", "iban"), ("DE89 3704 0044 0532 0130 00", " EUR 50", "iban"), ("GB82 WEST 1234 5698 7654 32", " PAID", "iban"),
+        ("4111111111111111", " 12/27", "card"), ("4111 1111 1111 1111", " 123", "card"), ("4111 1111 1111 1111", " 12 27 123", "card"), ("4111-1111-1111-1111", " 50 EUR", "card"),
+        ("+33 6 12 34 56 78", "", "phone"), ("06 12 34 56 78", "", "phone"), ("06.12.34.56.78", "", "phone"), ("+33 (0)6 12 34 56 78", "", "phone"), ("+49 30 12 34 56 78", "", "phone"),
+    ],
+)
+def test_values_end_before_the_text_that_follows(value, after, kind):
+    from pagelens.llm.pii import Pseudonyms
+
+    for key in (b"key", b"another", b"third"):
+        there, back = Pseudonyms(key), Pseudonyms(key, back=True)
+        new, n, kinds = there.text(f"see {value}{after}, ok")
+        assert n == 1 and kinds == [kind] and value not in new and new.endswith(f"{after}, ok")
+        assert new == f"see {there.text(value)[0]}{after}, ok"
+        assert back.text(new)[0] == f"see {value}{after}, ok"
+
+
+def test_cards_after_other_numbers_are_replaced_whole():
+    from pagelens.llm.pii import Pseudonyms
+
+    own = Pseudonyms(b"key")
+    for k in range(10, 100):
+        new, n, kinds = own.text(f"no {k} 4111 1111 1111 1111 end")
+        assert n == 1 and kinds == ["card"] and "1111" not in new and new.endswith(" end"), new
+
+
 def test_pii_tables(spark, awkward):
     from pagelens.llm.pii import pseudonymise
 
