@@ -70,17 +70,42 @@ def on_cycles(edges: DataFrame, max_depth: int = 64) -> DataFrame:
 
 
 def capped_imports(imports: DataFrame, caps: Caps = Caps()) -> DataFrame:
-    """Imports of files of bounded size, the first of each file by URL, the first in all by (src, dst)."""
+    """Imports of files of bounded size, the first of each file by URL."""
     rows = imports.filter(F.coalesce(F.col("src_bytes") <= caps.file_bytes, F.lit(True))) if "src_bytes" in imports.columns else imports
     rows = rows.select("src", "dst").distinct()
     each = rows.withColumn("k", F.row_number().over(W.partitionBy("src").orderBy("dst"))).filter(F.col("k") <= caps.imports_per_file)
-    return each.orderBy("src", "dst").limit(caps.imports).select("src", "dst")
+    return each.select("src", "dst")
 
 
 def css_closure(imports: DataFrame, seeds: DataFrame, caps: Caps = Caps()) -> DataFrame:
-    """The style sheets that seeds import, directly or not, within the caps; files by depth, then URL."""
-    reached = closure(capped_imports(imports, caps), seeds, min(caps.rounds, caps.depth))
-    return reached.orderBy("depth", "node").limit(caps.files)
+    """The style sheets that seeds import, directly or not, with their least depths.
+
+    Seeds are (node) or (target, node); the caps on files and imports hold for
+    each target, without targets for each seed.  Files count by depth, then
+    URL.  The imports of reached files are added up in that order; the file
+    that passes the cap, and those after it, are reached but not followed.
+    """
+    _ready(imports.sparkSession)
+    named = "target" in seeds.columns
+    edges = capped_imports(imports, caps).filter("dst IS NOT NULL").checkpoint()
+    sizes = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
+    by_url = W.partitionBy("target").orderBy("node")
+    first = seeds.select(F.col("target" if named else "node").alias("target"), "node").distinct()
+    frontier = first.withColumn("n", F.row_number().over(by_url)).filter(F.col("n") <= caps.files).select("target", "node", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("spent")).checkpoint()
+    visited = frontier.select("target", "node", "depth")
+    for depth in range(1, min(caps.rounds, caps.depth) + 1):
+        running = F.col("spent") + F.sum(F.coalesce("k", F.lit(0))).over(by_url.rowsBetween(W.unboundedPreceding, 0))
+        counted = frontier.join(sizes, "node", "left").withColumn("total", running).select("target", "node", "total").checkpoint()
+        spent = counted.groupBy("target").agg(F.max("total").alias("spent"))
+        found = counted.filter(F.col("total") <= caps.imports).join(edges, F.col("node") == F.col("src")).select("target", F.col("dst").alias("node")).distinct()
+        new = found.join(visited, ["target", "node"], "left_anti").withColumn("n", F.row_number().over(by_url))
+        files = visited.groupBy("target").agg(F.count("*").alias("files"))
+        frontier = new.join(files, "target").filter(F.col("files") + F.col("n") <= caps.files).join(spent, "target").select("target", "node", F.lit(depth).alias("depth"), "spent").checkpoint()
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier.select("target", "node", "depth")).checkpoint()
+    reached = visited if named else visited.groupBy("node").agg(F.min("depth").alias("depth"))
+    return reached.orderBy(*(["target"] if named else []), "depth", "node")
 
 
 def closure_summary(reached: DataFrame, imports: DataFrame) -> DataFrame:

@@ -200,6 +200,21 @@ def test_closure_caps_and_cycles(spark):
     assert graph.capped_imports(big).count() == 0
 
 
+def test_css_closure_counts_reached_imports_only(spark):
+    other = [(f"a{k:04d}", f"b{k:04d}") for k in range(2500)]
+    edges = spark.createDataFrame(other + [("y", "y1"), ("y1", "y2"), ("z", "z1"), ("z", "z2"), ("z1", "z3"), ("z1", "z4"), ("z2", "z5"), ("z3", "z6")], "src string, dst string")
+    reach = lambda rows, schema, **caps: {tuple(r) for r in graph.css_closure(edges, spark.createDataFrame(rows, schema), graph.Caps(**caps)).collect()}
+    y = {("y", 0), ("y1", 1), ("y2", 2)}
+    z = {("z", 0), ("z1", 1), ("z2", 1), ("z3", 2), ("z4", 2), ("z5", 2), ("z6", 3)}
+    both = [("y",), ("z",)]
+    assert reach(both, "node string") == y | z
+    # Files and imports are counted for each seed; z2 passes the cap of four imports and is not followed.
+    assert reach(both, "node string", files=3) == y | {("z", 0), ("z1", 1), ("z2", 1)}
+    assert reach(both, "node string", imports=4) == y | z - {("z5", 2), ("z6", 3)}
+    # Seeds of one target share its caps.
+    assert reach([("t", "y"), ("t", "z")], "target string, node string", files=3) == {("t", "y", 0), ("t", "z", 0), ("t", "y1", 1)}
+
+
 def test_breaker_vectors():
     b = resilience.Breaker()
     for t in range(5):
