@@ -576,51 +576,92 @@ def test_packing_tables(spark, awkward):
 # 10: language-model scores
 
 
-def lm_reference(rows):
+def lm_tokens(t):
     import re
 
-    def tokens(t):
-        return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
 
+
+def lm_reference(rows, order=3, prior=64.0):
+    """Plain recursion over dictionaries of counts."""
     held = [k is not None and zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
-    one, two, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    count = collections.Counter()
     for (_, t), h in zip(rows, held):
+        x = lm_tokens(t)
+        for k in range(order) if not h else ():
+            count.update(tuple(x[i : i + k + 1]) for i in range(len(x) - k))
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+
+    def p(w, h):
         if not h:
-            x = tokens(t)
-            one.update(x)
-            two.update(zip(x, x[1:]))
-            for a, b in zip(x, x[1:]):
-                after[a].add(b)
-    n, v = sum(one.values()), len(one)
-    p1 = lambda w: (one[w] - 0.5) / n if one[w] else 0.5 * v / n
+            return (count[w,] + 1) / (n + v + 1) if n else 1.0
+        return (count[*h, w] + prior * p(w, h[1:])) / (count[h] + prior)
+
     out = []
     for (k, t), h in zip(rows, held):
-        x = tokens(t)
-        total = math.log10(p1(x[0]))
-        for a, w in zip(x, x[1:]):
-            total += math.log10(max(two[a, w] - 0.75, 0) / one[a] + 0.75 * len(after[a]) / one[a] * p1(w) if one[a] else p1(w))
-        out.append((k, h, len(x), sum(one[w] > 0 for w in x), n, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in x), total))
+        x = lm_tokens(t)
+        total = sum(math.log10(p(w, tuple(x[max(0, i - order + 1) : i]))) for i, w in enumerate(x))
+        base = sum(math.log10((count[w,] + 1) / (n + v + 1)) for w in x) if n else 0.0
+        out.append((k, h, len(x), sum(count[w,] > 0 for w in x), n, base, total))
     return out
 
 
-@pytest.mark.parametrize("size", [10_000_000, 3000])
-def test_lm_scores_equal_brute_force(spark, words, size):
-    from pagelens.llm.lm_scoring import lm_score
+@pytest.mark.parametrize("size,order,fan_out", [(10_000_000, 3, 512), (3000, 3, 512), (600, 3, 3), (3000, 2, 512), (3000, 4, 2), (3000, 1, 512)])
+def test_lm_scores_equal_brute_force(spark, words, size, order, fan_out, monkeypatch):
+    """One block or many, one hop of messages or several, and texts longer than one sweep."""
+    from pagelens.llm import lm_scoring
 
+    monkeypatch.setattr(lm_scoring, "SWEEP", 16)
     rng = random.Random(12)
     rows = [(k, prose(words[:200], rng, rng.randint(0, 60)) + (" Common Pair" * (k % 5))) for k in range(150)] + [(200, None), (201, ""), (None, "No Id"), (202, "É\x0bé\x1cx  Y")]
     rows += rows[:3]
-    got = lm_score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(1)), block_bytes=size, part_bytes=size).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(1)).withColumn("part", F.lit("x"))
+    got = lm_scoring.lm_score(docs, order=order, block_bytes=size, part_bytes=size, fan_out=fan_out).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[6])
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(lm_reference(rows), key=key), strict=True):
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(lm_reference(rows, order), key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
 
 
+def test_lm_hops_grow_with_the_logarithm():
+    from pagelens.llm.lm_scoring import hops, ranges
+
+    assert hops(1, 1, 512) == [1] and hops(500, 300, 512) == [300] and len(hops(12_500_000, 8_000_000, 512)) == 3
+    assert math.prod(hops(12_500_000, 8_000_000, 512)) >= 8_000_000
+    for of, into in ((1, 7), (7, 5), (512, 512)):
+        inner = [ranges(40, part, of, into) for part in range(of)]
+        assert [int(r[0]) for r in inner] == ranges(40, 0, 1, of).tolist()[:-1] and int(inner[-1][-1]) == 1 << 40
+        assert all(a[-1] == b[0] for a, b in zip(inner, inner[1:]))
+
+
+def test_lm_prefers_prose_to_nonsense(spark, words):
+    from pagelens.llm.lm_scoring import lm_score
+
+    rng = random.Random(5)
+    known = [prose(words, rng, 12) for _ in range(40)]
+    rows = [(k, ". ".join(rng.sample(known, 5))) for k in range(300)] + [(1000 + k, ". ".join(f"zq{k}x{j}" for j in range(60))) for k in range(20)] + [(2000 + k, prose(words, rng, 60)) for k in range(20)]
+    each = {r["doc_id"]: (r["score"] / r["n_tokens"], r["held_out"]) for r in lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held_prose = [s for k, (s, h) in each.items() if h and k < 300]
+    unseen = [s for k, (s, h) in each.items() if h and 1000 <= k < 2000]
+    shuffled = [s for k, (s, h) in each.items() if h and k >= 2000]
+    assert unseen and shuffled and max(unseen) < min(shuffled) < max(shuffled) < min(held_prose)
+
+
 def test_lm_probabilities_sum_to_one():
+    """Over all seen words and one virtual unseen one, after every context."""
     rows = [(k, t) for k, t in enumerate(["a b a c", "b a", "c c b"]) if zlib.crc32(str(k).encode()) % 7 != 2]
-    one = collections.Counter(w for _, t in rows for w in [*t.split(), None])
-    n, v = sum(one.values()), len(one)
-    assert sum((c - 0.5) / n for c in one.values()) + 0.5 * v / n == pytest.approx(1)
+    known = {w for _, t in rows for w in lm_tokens(t)}
+    count = collections.Counter()
+    for _, t in rows:
+        x = lm_tokens(t)
+        for k in range(3):
+            count.update(tuple(x[i : i + k + 1]) for i in range(len(x) - k))
+    n, v = sum(c for g, c in count.items() if len(g) == 1), len(known)
+
+    def p(w, h):
+        return (count[*h, w] + 4.0 * p(w, h[1:])) / (count[h] + 4.0) if h else (count[w,] + 1) / (n + v + 1)
+
+    for h in ("", "a", "b a", "c c", "a z"):
+        assert sum(p(w, tuple(h.split())) for w in [*known, "unseen"]) == pytest.approx(1)
 
 
 def test_lm_empty(spark):
@@ -636,8 +677,8 @@ def test_pack_array_round_trip():
 
     x = np.array([0, 3, 3, 900, 70_000])
     for steps in (False, True):
-        assert unpack_array(pack_array(x, "<u4", steps), "<u4", steps).tolist() == x.tolist()
-        assert len(unpack_array(pack_array(x[:0], "<u4", steps), "<u4", steps)) == 0
+        assert unpack_array(pack_array(x, steps), steps).tolist() == x.tolist()
+        assert len(unpack_array(pack_array(x[:0], steps), steps)) == 0
 
 
 def test_batches_by_size_covers_all_rows():
