@@ -28,11 +28,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_documents(table(spark, sf_dir, "documents"))
 
 
+#: Where the corpus' documents lie: some at the top of their source, some by language, some in parts below that.
+DOCUMENT_PATH = "concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 = 2 THEN concat('part-', doc_id % 5) END, concat(doc_id, '.txt'))"
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
-    docs = table(spark, sf_dir, "documents")
-    files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(DOCUMENT_PATH).alias("path"))
     return license_scan(files).select("doc_id", "license", "score", "via", "license_dir")
 
 
@@ -89,32 +92,37 @@ QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_deconta
 
 
 def _license_sql() -> str:
-    """op4 in SQL: the same segments, counts, weights and cosines by joins."""
-    from .licenses import MARKS, TEMPLATES, TERM
+    """op4 in SQL: all units of all files, without anchors, and covered directories as prefixes of paths."""
+    from .licenses import PARAGRAPH_END, SENTENCE_END, TERM, parts
 
-    notices = ", ".join(f"('{name}', '{notice}')" for name, notice in TEMPLATES.items())
-    marked = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{m}')" for m in MARKS) + ")"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(parts()))
+    path = DOCUMENT_PATH.replace("concat('part-', doc_id % 5)", "'part-' || (doc_id % 5)").replace("concat(doc_id, '.txt')", "doc_id || '.txt'")
+    newline = "chr(10)"
     return rf"""
-WITH templates(license, notice) AS (VALUES {notices}),
-tterm AS (SELECT license, term, count(*)::DOUBLE AS c FROM (SELECT license, unnest(regexp_extract_all(lower(notice), '{TERM}')) AS term FROM templates) GROUP BY ALL),
-vocab AS (SELECT term, count(DISTINCT license) AS n FROM tterm GROUP BY term),
-docs AS (SELECT row_number() OVER () AS r, doc_id, text, concat_ws('/', source, lang) AS dir FROM documents),
-lines AS (SELECT r, unnest(string_split(regexp_replace(text, '([.!?])\s+', E'\1
-', 'g'), chr(10))) AS segment FROM docs WHERE {marked('text')}),
-segs AS (SELECT row_number() OVER () AS s, r, segment FROM lines WHERE {marked('segment')}),
-sterm AS (SELECT s, term, count(*)::DOUBLE AS c FROM (SELECT s, unnest(regexp_extract_all(lower(segment), '{TERM}')) AS term FROM segs) GROUP BY ALL),
-total AS (SELECT (SELECT count(*) FROM segs) + (SELECT count(*) FROM templates) AS n),
-idf AS (SELECT v.term, ln((1 + (SELECT n FROM total)) / (1 + v.n + coalesce(d.n, 0))::DOUBLE) + 1 AS w FROM vocab v LEFT JOIN (SELECT term, count(*) AS n FROM sterm GROUP BY term) d USING (term)),
-norms AS (SELECT s, sqrt(sum(pow(c * coalesce(w, ln(1 + (SELECT n FROM total)::DOUBLE) + 1), 2))) AS norm FROM sterm LEFT JOIN idf USING (term) GROUP BY s),
-tnorm AS (SELECT license, sqrt(sum(pow(c * w, 2))) AS size FROM tterm JOIN idf USING (term) GROUP BY license),
-dots AS (SELECT s, license, sum(a.c * w * b.c * w) AS dot FROM sterm a JOIN tterm b USING (term) JOIN idf USING (term) GROUP BY s, license),
-scores AS (SELECT s, license, round(dot / size / norm, 6) AS score FROM dots JOIN tnorm USING (license) JOIN norms USING (s)),
-hits AS (SELECT s, r, license, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, license) AS k FROM scores JOIN segs USING (s)) WHERE k = 1 AND score >= 0.6),
-own AS (SELECT r, license, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, license) AS k FROM hits) WHERE k = 1),
-whole AS (SELECT o.r, o.license, o.score FROM own o WHERE (SELECT count(*) FROM hits h WHERE h.r = o.r) = (SELECT count(*) FROM lines l WHERE l.r = o.r AND trim(l.segment) <> '')),
-cover AS (SELECT dir, license FROM (SELECT d.dir, w.license, row_number() OVER (PARTITION BY d.dir ORDER BY w.score DESC, w.license) AS k FROM whole w JOIN docs d USING (r)) WHERE k = 1)
-SELECT d.doc_id, coalesce(o.license, c.license) AS license, o.score, CASE WHEN o.r IS NOT NULL THEN 'own' WHEN c.dir IS NOT NULL THEN 'inherited' ELSE 'none' END AS via, CASE WHEN o.r IS NULL THEN c.dir END AS license_dir
-FROM docs d LEFT JOIN own o USING (r) LEFT JOIN cover c ON c.dir = d.dir
+WITH parts(part, license, text) AS (VALUES {values}),
+pterm AS (SELECT part, term, count(*)::DOUBLE AS n FROM (SELECT part, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM parts) GROUP BY ALL),
+vocab AS (SELECT term, count(*) AS n FROM pterm GROUP BY term),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text, {path} AS path FROM documents),
+placed AS (SELECT *, trim(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/?[^/]*$', ''), '/') AS dir FROM docs),
+pieces AS (
+  SELECT r, text AS unit FROM docs WHERE text IS NOT NULL
+  UNION SELECT r, unnest(string_split(regexp_replace(text, '{SENTENCE_END}', '\1' || {newline}, 'g'), {newline})) FROM docs
+  UNION SELECT r, unnest(regexp_split_to_array(text, '{PARAGRAPH_END}')) FROM docs),
+unit AS (SELECT row_number() OVER () AS u, p.r, p.unit, p.unit = d.text AS whole FROM pieces p JOIN docs d USING (r)),
+total AS (SELECT (SELECT count(*) FROM docs) + (SELECT count(*) FROM parts) AS n),
+dterm AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM docs) GROUP BY term),
+idf AS (SELECT v.term, ln((1 + t.n) / (1 + v.n + coalesce(d.n, 0))::DOUBLE) + 1 AS w FROM vocab v CROSS JOIN total t LEFT JOIN dterm d USING (term)),
+psize AS (SELECT part, sqrt(sum(pow(n * w, 2))) AS size, sum(n) AS terms FROM pterm JOIN idf USING (term) GROUP BY part),
+uterm AS (SELECT u, term, count(*)::DOUBLE AS n FROM (SELECT u, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM unit) GROUP BY ALL),
+norms AS (SELECT u, sqrt(sum(pow(n * coalesce(w, (SELECT ln(1 + n::DOUBLE) + 1 FROM total)), 2))) AS norm FROM uterm LEFT JOIN idf USING (term) GROUP BY u),
+dots AS (SELECT u, part, sum(a.n * w * b.n * w) AS dot FROM uterm a JOIN pterm b USING (term) JOIN idf USING (term) GROUP BY u, part),
+hits AS (SELECT r, license, round(dot / size / norm, 6) AS score, terms, whole FROM dots JOIN psize USING (part) JOIN parts USING (part) JOIN norms USING (u) JOIN unit USING (u) WHERE round(dot / size / norm, 6) >= 0.6),
+own AS (SELECT r, license, score, whole FROM (SELECT r, license, score, bool_or(whole) OVER (PARTITION BY r) AS whole, row_number() OVER (PARTITION BY r ORDER BY score DESC, terms DESC, license) AS k FROM hits) WHERE k = 1),
+cover AS (SELECT dir, license FROM (SELECT p.dir, o.license, row_number() OVER (PARTITION BY p.dir ORDER BY o.score DESC, o.license) AS k FROM own o JOIN placed p USING (r) WHERE o.whole) WHERE k = 1),
+near AS (SELECT p.r, c.dir, c.license, row_number() OVER (PARTITION BY p.r ORDER BY length(c.dir) DESC) AS k FROM placed p JOIN cover c ON c.dir = p.dir OR c.dir = '' OR starts_with(p.dir, c.dir || '/'))
+SELECT p.doc_id, coalesce(o.license, n.license) AS license, o.score, CASE WHEN o.r IS NOT NULL THEN 'own' WHEN n.r IS NOT NULL THEN 'inherited' ELSE 'none' END AS via, CASE WHEN o.r IS NULL THEN n.dir END AS license_dir
+FROM placed p LEFT JOIN own o USING (r) LEFT JOIN near n ON n.r = p.r AND n.k = 1
 """
 
 

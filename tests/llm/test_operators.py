@@ -240,10 +240,107 @@ def test_license_inheritance(spark):
 
 
 def test_license_plan_is_native(spark):
+    from pagelens.llm.licenses import TEMPLATES, Weights, own_licenses, license_scan, units
+
+    files = spark.createDataFrame([("a", "Released under the MIT License.")], "path string, text string")
+    weights = Weights(files, 0.6, TEMPLATES)
+    stored = files.select(F.lit(1).cast("long").alias("key"), units(F.col("text"), weights.anchors).alias("units"))
+    for df in (own_licenses(stored, weights, 0.6), license_scan(files)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def _commented(text, sign="# ", width=12):
+    w = text.split()
+    return "\n".join(sign + " ".join(w[k : k + width]) for k in range(0, len(w), width))
+
+
+def test_license_texts_heads_headers_and_tags(spark, words):
+    from pagelens.llm import licenses as li
+
+    rng = random.Random(3)
+    code = "\n\ndef run(x):\n    return x\n" * 20
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + "\n\n".join(_commented(p, "") for p in li._MIT)
+    bsd = (*li._BSD, li._BSD_NAMES, li._BSD_AS_IS)
+    gpl3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+    cases = [
+        ("m/odd-name", mit, "MIT"),
+        ("b/terms.txt", "Copyright (c) 2011, B. Person\nAll rights reserved.\n\n" + "\n\n".join(bsd), "BSD-3-Clause"),
+        ("b2/terms.txt", "\n\n".join((*li._BSD, li._BSD_AS_IS)), "BSD-2-Clause"),
+        ("c/x.py", "\n#\n".join(map(_commented, bsd)) + code, "BSD-3-Clause"),
+        ("d/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions." + prose(words, rng, 2000), "Apache-2.0"),
+        ("e/y.c", "/*\n" + "\n *\n".join(_commented(p, " * ") for p in li._APACHE) + "\n */" + code, "Apache-2.0"),
+        ("f/z.py", "\n#\n".join(_commented(p) for p in gpl3.split("\n\n")) + code, "GPL-3.0"),
+        ("g/z.py", _commented(gpl3.replace("version 3", "version 2")) + code, "GPL-2.0"),
+        ("h/t.rs", "// SPDX-License-Identifier: MIT" + code, "MIT"),
+        ("h/u.rs", "// SPDX-License-Identifier: GPL-2.0-or-later" + code, "GPL-2.0"),
+        ("i/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + prose(words, rng, 500), "GPL-3.0"),
+        ("j/a.js", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */" + code, "MPL-2.0"),
+        ("k/ISC.md", "\n\n".join(li._ISC), "ISC"),
+        ("l/n.txt", "\n".join(li._UNLICENSE), "Unlicense"),
+        ("n/none.py", "the software and the licence of it are under the table" + code, None),
+        ("n/spdx.py", "# SPDX-License-Identifier: Made-Up-1.0" + code, None),
+    ]
+    below = [(f"{p.rsplit('/', 1)[0]}/deep/down/q{k}.py", prose(words, rng, 20), None) for k, (p, _, _) in enumerate(cases)]
+    got = {r["path"]: (r["license"], r["via"], r["license_dir"]) for r in li.license_scan(spark.createDataFrame(cases + below, "path string, text string, want string")).collect()}
+    for path, _, want in cases:
+        assert got[path][:2] == ((want, "own") if want else (None, "none")), (path, got[path])
+    covers = {"m": "MIT", "b": "BSD-3-Clause", "b2": "BSD-2-Clause", "d": "Apache-2.0", "i": "GPL-3.0", "k": "ISC", "l": "Unlicense"}
+    for path, _, _ in below:
+        top = path.split("/")[0]
+        assert got[path] == ((covers[top], "inherited", top) if top in covers else (None, "none", None)), path
+
+
+def test_license_anchors_lose_nothing(spark, words):
+    """Every cosine at the threshold, by plain counting over all units, is found."""
+    import re
+
+    from pagelens.llm import licenses as li
+
+    rng = random.Random(8)
+    texts = []
+    for _, text in li.parts():
+        for keep in (1.0, 0.7, 0.5, 0.35):
+            w = [x if rng.random() < keep else rng.choice(words) for x in text.split()]
+            texts.append(" ".join(w).replace(".", ""))
+    files = spark.createDataFrame([(f"d{k}/x", t) for k, t in enumerate(texts)], "path string, text string")
+    weights = li.Weights(files, 0.6, li.TEMPLATES)
+    got = {r["path"]: (r["license"], r["score"]) for r in li.license_scan(files).collect()}
+    found = 0
+    for k, t in enumerate(texts):
+        best = (0.0, "")
+        for unit in {t, *re.sub(li.SENTENCE_END, r"\1\n", t).split("\n")}:
+            c = li.term_counts(unit)
+            norm = math.sqrt(sum((n * weights.idf.get(x, weights.other)) ** 2 for x, n in c.items()))
+            for (name, _), v in zip(li.parts(), weights.vectors):
+                best = max(best, (sum(n * weights.idf.get(x, 0) * v.get(x, 0) for x, n in c.items()) / norm, name))
+        if abs(best[0] - 0.6) > 1e-5:
+            assert (got[f"d{k}/x"][0] is not None) == (best[0] >= 0.6)
+            if best[0] >= 0.6:
+                found += 1
+                assert got[f"d{k}/x"][1] == pytest.approx(best[0], abs=2e-6)
+    assert 50 < found < len(texts)
+
+
+def test_license_awkward(spark, awkward, words):
     from pagelens.llm.licenses import license_scan
 
-    df = license_scan(spark.createDataFrame([("a", "Released under the MIT License.")], "path string, text string"))
-    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+    odd = awkward.withColumn("_lines", F.lit(2)).withColumn("dir", F.lit(3)).withColumn("row", F.lit(4)).withColumn("units", F.lit(5)).withColumn("key", F.lit(6)).withColumn("whole", F.lit(7)).withColumn("named", F.lit(8)).withColumn("from_dir", F.lit(9))
+    out = license_scan(odd)
+    assert set(out.columns) == (set(odd.columns) - {"text"}) | {"license", "score", "via", "license_dir"}
+    rows = out.collect()
+    assert len(rows) == odd.count() and all(r["_lines"] == 2 and r["dir"] == 3 and r["key"] == 6 and r["via"] == "none" for r in rows)
+    rng = random.Random(1)
+    long_line = " ".join(f"w{rng.randrange(10_000)}" for _ in range(30_000)) + " license"
+    got = license_scan(spark.createDataFrame([("a/b", long_line), ("a//c", long_line), ("/", "Released under the MIT License."), ("", None)], "path string, text string")).collect()
+    assert sorted(r["via"] for r in got) == ["inherited"] * 3 + ["own"] and {r["license"] for r in got} == {"MIT"}
+
+
+def test_license_query_inherits_over_levels(spark):
+    from pagelens.llm.queries import op4_licenses
+
+    got = op4_licenses(spark, "/root/testdata/sf0.01").filter("via = 'inherited'").select("license_dir", "doc_id").collect()
+    assert {r["license_dir"].count("/") for r in got} >= {0, 1} and any(r["doc_id"] % 3 > r["license_dir"].count("/") for r in got)
 
 
 # 5: n-gram join
