@@ -16,14 +16,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder is set on a local master (tests);
+    a cluster must name one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: this operator needs a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pagelens-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/pagelens/{name}-{uuid.uuid4().hex}"

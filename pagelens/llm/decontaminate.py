@@ -8,7 +8,10 @@ pieces' exact hits in a whole text; each hit fixes the place of the item, and
 Myers' bit-parallel distance verifies the window around it.
 
 The items are a query set: they are scanned in blocks of bounded size against
-all documents, so a larger set takes more passes and never more memory.
+all documents, so a larger set takes more passes and never more memory.  The
+driver reads one block at a time, sends it as a broadcast of at most
+``block_chars`` characters (one item at least), and stores what the block
+finds before it reads the next.
 
 Null and empty texts and items match nothing.  Repeated items or rows match
 each on their own.  An empty benchmark leaves all documents clean.
@@ -17,12 +20,13 @@ each on their own.  An empty benchmark leaves all documents clean.
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import drop_materialized, kept, materialize
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -117,23 +121,29 @@ class Matcher:
 
 
 def blocks(benchmark: DataFrame, block_chars: int = 4_000_000, id_col: str = "item_id", text_col: str = "text"):
-    """The items in blocks of about ``block_chars`` characters, one block on the driver at a time."""
+    """The items in blocks of at most ``block_chars`` characters (one item at least), and whether more follow; rows of a block reach the driver together."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
-    for k in range(n):
-        yield [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-
-
-def matches(text: Column, items: list[tuple[int, str]], error_rate: float) -> Column:
+    # Rows in hash order, read partition by partition: nothing but the block and one partition is on the driver.
+    parts = max(1, -(-total // block_chars))
+    rows = items.repartition(parts, F.xxhash64("item_id", "text")).toLocalIterator() if parts > 1 else iter(items.collect())
+    held, size = [], 0
+    for r in rows:
+        if held and size + len(r["text"]) > block_chars:
+            yield held, True
+            held, size = [], 0
+        held.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+    yield held, False
+
+
+def matches(spark: SparkSession, text: Column, items: list[tuple[int, str]], error_rate: float) -> Column:
     """array<struct(item_id, distance, end)> of a text's items."""
-
-    def matcher() -> Matcher:
-        return kept(("matcher", tuple(items), error_rate), lambda: Matcher(items, error_rate))
+    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
     @F.arrow_udf("array<struct<item_id:long,distance:int,end:int>>")
     def run(col: pa.Array) -> pa.Array:
-        own = matcher()
+        own = kept(("matcher", name), lambda: Matcher(sent.value, error_rate))
         rows = [[{"item_id": i, "distance": d, "end": e} for i, d, e in own.find(t.as_py())] for t in col]
         return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())])))
 
@@ -143,14 +153,20 @@ def matches(text: Column, items: list[tuple[int, str]], error_rate: float) -> Co
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, item_id, distance, end): every item found in every document, at its best place."""
     out = None
-    for items in blocks(benchmark, **options):
-        found = docs.select(F.col(id_col).alias("doc_id"), F.explode(matches(F.col(text_col), items, error_rate)).alias("m")).select("doc_id", "m.*")
+    for items, more in blocks(benchmark, **options):
+        found = docs.select(F.col(id_col).alias("doc_id"), F.explode(matches(docs.sparkSession, F.col(text_col), items, error_rate)).alias("m")).select("doc_id", "m.*")
+        if more or out is not None:
+            found = materialize(found, "contaminated")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns unchanged."""
-    for items in blocks(benchmark, **options):
-        docs = docs.filter(F.size(matches(F.col(text_col), items, error_rate)) == 0)
+    """The rows of ``docs`` that hold no item, all columns unchanged; with several blocks, stored after each but the last."""
+    for items, more in blocks(benchmark, **options):
+        left = docs.filter(F.size(matches(docs.sparkSession, F.col(text_col), items, error_rate)) == 0)
+        if more:
+            left, before = materialize(left, "uncontaminated"), docs
+            drop_materialized(before)
+        docs = left
     return docs

@@ -7,6 +7,10 @@ its positions, a word with one bit per language: ANDing an n-gram's positions
 returns all languages that contain it at once.  A text's popcounts per
 language, corrected for each slice's false-positive rate, decide.
 
+The filter grows with its n-grams, so its false-positive rate does not.  A
+language keeps n-grams of at least ``least_rate`` of its own, so it has at
+most 1 / ``least_rate`` of them, however large the corpus.
+
 Null texts and texts without letters are ``und`` with score 0.  Ties go to
 the language with more training text, then to the smaller name.  Without any
 training row every text is ``und``.  Repeated rows count as often as they
@@ -132,13 +136,19 @@ def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "lang string, gram long, n long")
 
 
-def train(docs: DataFrame, least: int = 3, ratio: float = 0.15, bits_per_gram: int = 16, most_words: int = 1 << 22, lang_col: str = "lang", text_col: str = "text") -> Filters:
+def filter_size(n: int, bits_per_gram: int) -> int:
+    """Positions of a filter of ``n`` n-grams: at most HASHES / ``bits_per_gram`` of them are set, so that share to the power of HASHES is the false-positive rate at most."""
+    return 1 << max(12, (max(1, n) * bits_per_gram - 1).bit_length())
+
+
+def train(docs: DataFrame, least: int = 3, least_rate: float = 1e-6, ratio: float = 0.15, bits_per_gram: int = 16, most_bytes: int = 1 << 30, lang_col: str = "lang", text_col: str = "text") -> Filters:
     """Filters from every row of ``docs`` that has a language.
 
-    ``least``: an n-gram's occurrences in a language; ``ratio``: its relative
-    frequency there over the highest of all languages; ``most_words`` bounds
-    the filter (8 bytes each), whatever the corpus: a fuller filter has a
-    higher false-positive rate, which the correction takes into account.
+    ``least``: an n-gram's occurrences in a language; ``least_rate``: its
+    relative frequency there; ``ratio``: that frequency over the highest of all
+    languages.  With 16 bits an n-gram the false-positive rate of a slice is
+    0.4 % at most.  A filter that would take more than ``most_bytes`` raises an
+    error (which 1,000,000 n-grams for each of some sixty languages may do).
     """
     from .common import drop_materialized, materialize
 
@@ -153,14 +163,16 @@ def train(docs: DataFrame, least: int = 3, ratio: float = 0.15, bits_per_gram: i
         counts.join(own, "lang")
         .withColumn("rate", F.col("n") / F.col("total"))
         .withColumn("top", F.max("rate").over(W.partitionBy("gram")))
-        .filter((F.col("n") >= least) & (F.col("rate") >= ratio * F.col("top")))
+        .filter((F.col("n") >= least) & (F.col("rate") >= least_rate) & (F.col("rate") >= ratio * F.col("top")))
         .groupBy("gram")
         .agg(F.collect_set("bit").alias("bits"))
     )
     kept = materialize(kept, "kept-grams")
     n = kept.count()
-    size = 1 << max(12, min(most_words.bit_length() - 1, int(max(1, n) * bits_per_gram - 1).bit_length()))
+    size = filter_size(n, bits_per_gram)
     planes = -(-len(languages) // LANGUAGES_PER_WORD)
+    if size * planes * 8 > most_bytes:
+        raise ValueError(f"filters of {n} n-grams take {size * planes * 8} bytes, more than most_bytes = {most_bytes}; raise that or least_rate")
 
     def place(batches):
         for batch in batches:
@@ -172,7 +184,7 @@ def train(docs: DataFrame, least: int = 3, ratio: float = 0.15, bits_per_gram: i
                 where = np.concatenate(at)
                 yield pa.RecordBatch.from_arrays([pa.array([plane] * len(where), pa.int32()), pa.array(where, pa.int64()), pa.array(np.tile(mask, HASHES), pa.int64())], names=["plane", "pos", "mask"])
 
-    # At most ``planes * size`` rows, each a position of the bounded filter.
+    # At most HASHES positions of each n-gram, within ``most_bytes``.
     got = kept.repartition(table_parts(kept), "gram").mapInArrow(place, "plane int, pos long, mask long").groupBy("plane", "pos").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = [np.zeros(size, np.uint64) for _ in range(planes)]
     plane, pos, mask = (got.column(c).to_numpy() for c in ("plane", "pos", "mask"))

@@ -24,8 +24,8 @@ reach) and its number of links; copies count as links of each other.
 
 Null and empty texts, and texts without words, link with nothing.  A row with
 a null id is returned with a null class and no links.  Repeated rows are
-copies of each other.  An empty table gives no rows; other columns are
-ignored.
+copies of each other; if an id has several texts, each row has the class and
+links of its own.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, WordHashes, batches_by_size, drop_materialized, kept, materialize, mix64, plain_words, table_parts
+from .common import MIX_A, WordHashes, batches_by_size, drop_materialized, free_name, kept, materialize, mix64, plain_words, table_parts
 from .components import Forest, components
 
 TOKENS = 64
@@ -346,8 +346,12 @@ def verify(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
     return dealt.select("task", "bucket", "side", "rid", "copies", "shingles").groupBy("task").applyInArrow(compare, "rid long, other long, links long")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, kept) of every row: kept marks the document that gives its class the id."""
+def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text", with_text_hash: bool = False) -> DataFrame:
+    """(doc_id, class_id, n_links, kept) of every row: kept marks the document that gives its class the id.
+
+    Of several texts with that id one is marked.  ``with_text_hash`` adds a
+    hash of the text, which tells them apart.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sketch(batches):
@@ -362,55 +366,59 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
             for k, row in zip(full, sk):
                 sketch_of[k] = row.astype("<u4").tobytes()
             sig = [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(sketch_of, pa.binary())], names=["doc_id", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sig, pa.binary()), pa.array(sketch_of, pa.binary())], names=["doc_id", "text_hash", "sig", "sketch"])
 
-    table = materialize(docs.mapInArrow(sketch, "doc_id long, sig binary, sketch binary"), "sketches")
+    # A row is known by its id and a hash of its text: an id may have several texts.
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    table = materialize(hashed.select("doc_id", "text", "text_hash").mapInArrow(sketch, "doc_id long, text_hash long, sig binary, sketch binary"), "sketches")
     sound = table.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(sound.groupBy("sig").agg(F.min("doc_id").alias("rid"), F.count("*").alias("copies")), "classes")
-    reps = sound.join(classes.select("sig", "rid"), "sig").filter("doc_id = rid").groupBy("rid").agg(F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
-    reps = materialize(reps, "representatives")
+    # One representative row for each set of shingles; ``rid`` numbers the sets.
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = sound.groupBy("sig").agg(first, F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rid"), "sig", "first.*", "copies", "sketch"), "classes")
+    reps = classes.select("rid", "sketch")
     links = candidate_links(reps, threshold, recall)
     candidates = materialize(components(links), "candidate-components")
     sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
-    members = candidates.join(sizes, "component").join(reps.select(F.col("rid").alias("id"), "sig"), "id").join(classes.select("sig", "copies"), "sig")
-    members = members.select(F.col("id").alias("rid"), "component", "size", "sig", "copies")
+    members = candidates.join(sizes, "component").join(classes.select(F.col("rid").alias("id"), "doc_id", "text_hash", "copies"), "id")
+    members = members.select(F.col("id").alias("rid"), "component", "size", "copies", "doc_id", "text_hash")
 
     def shingles(batches):
-        from xxhash import xxh3_128_digest
-
         hashes = kept("word hashes", WordHashes)
         for batch in batches_by_size(batches):
-            sets = shingle_sets(batch.column(1).to_pylist(), n, hashes)
-            keep = pa.array([xxh3_128_digest(s.tobytes()) == g for s, g in zip(sets, batch.column(2).to_pylist())])
-            out = batch.append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield out.select(["rid", "component", "size", "copies", "shingles"]).filter(keep)
+            out = batch.append_column("shingles", pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n, hashes)], pa.binary()))
+            yield out.select(["rid", "component", "size", "copies", "shingles"])
 
-    text = docs.join(members, docs["doc_id"] == members["rid"]).select("rid", "text", "sig", "component", "size", "copies")
+    text = hashed.join(members, ["doc_id", "text_hash"]).select("rid", "text", "component", "size", "copies")
     sets = text.mapInArrow(shingles, "rid long, component long, size long, copies long, shingles binary")
     verified = materialize(verify(materialize(sets, "shingle-sets"), threshold), "verified")
     counts = verified.filter("other IS NULL").groupBy("rid").agg(F.sum("links").alias("links"))
     final = components(verified.filter("other IS NOT NULL").select(F.col("rid").alias("a"), F.col("other").alias("b")))
-    by_class = classes.join(counts, "rid", "left").join(final.select(F.col("id").alias("rid"), "component"), "rid", "left")
-    by_class = by_class.select("sig", F.coalesce("component", "rid").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = table.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(by_class, "sig", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class of ``ngram_join``, all columns unchanged.
-
-    Rows that share an id are one document, of which one row stays; rows with
-    a null id all stay.
+    ids = final.withColumnRenamed("id", "rid").join(classes.select("rid", F.struct("doc_id", "text_hash").alias("head")), "rid")
+    least = ids.groupBy("component").agg(F.min("head").alias("head"))
+    heads = ids.select("rid", "component").join(least, "component").select("rid", "head")
+    by_class = classes.select("rid", "sig", F.struct("doc_id", "text_hash").alias("own"), "copies").join(counts, "rid", "left").join(heads, "rid", "left")
+    by_class = by_class.select("sig", F.coalesce("head", "own").alias("head"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = table.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(by_class, "sig", "left")
+    kept_row = F.coalesce((F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.text_hash") == F.col("text_hash")), F.lit(True))
+    out = out.select("doc_id", F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept_row.alias("kept"), "text_hash")
+    return out if with_text_hash else out.drop("text_hash")
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of ``ngram_join``, the one with the smallest id; all columns unchanged.
+
+    Texts without words stay, but one row of each id and text; rows with a
+    null id all stay.
     """
-    from pyspark.sql import Window as W
-
     columns = docs.columns
-    kept = ngram_join(docs, n, threshold, id_col=id_col, text_col=text_col, **options)
-    gone = kept.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    known = docs.filter(F.col(id_col).isNotNull())
-    left = known.join(gone, known[id_col] == gone["_gone"], "left_anti")
-    # Repeated rows of a kept id: the first stays.
-    copy = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    first = left.withColumn("_copy", copy).filter("_copy = 1").select(*columns)
-    return first.unionByName(docs.filter(F.col(id_col).isNull()))
+    names = [free_name(c, columns) for c in ("gone_id", "gone_text")]
+    pair = F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])
+    joined = materialize(ngram_join(docs, n, threshold, id_col=id_col, text_col=text_col, with_text_hash=True).filter("doc_id IS NOT NULL"), "joined")
+    gone = joined.filter("NOT kept").select(*pair)
+    again = joined.filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select(*pair)
+    same = (F.col(id_col).cast("long") == F.col(names[0])) & (F.xxhash64(F.col(text_col)) == F.col(names[1]))
+    once = docs.join(gone.unionByName(again).distinct(), same, "left_anti")
+    # Of repeated rows of an id and text one stays, whichever; pre-aggregated, so very many of them do no harm.
+    several = docs.join(again, same, "left_semi").groupBy(F.col(id_col).alias(names[0]), F.xxhash64(F.col(text_col)).alias(names[1])).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    return once.unionByName(several)

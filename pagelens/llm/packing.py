@@ -69,14 +69,16 @@ def pack(items: DataFrame, capacity: int, shard_rows: int = 4096) -> DataFrame:
     bin_tokens (the bin's fill).  ``items`` is read twice: pass a stored table.
     """
     shards = max(1, -(-items.count() // shard_rows))
-    where = F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(shards)).cast("int")
+    # Rows that are equal in everything are spread by the stored partitions they lie in.
+    where = F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_tokens", F.spark_partition_id()), F.lit(shards)).cast("int")
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         ids, size = table.column("doc_id").to_pylist(), table.column("n_tokens").to_pylist()
-        keys = [(-(n % capacity or capacity), d is None, d or 0, c or 0) for n, d, c in zip(size, ids, table.column("cluster").to_pylist())]
+        sources, clusters = table.column("source").to_pylist(), table.column("cluster").to_pylist()
+        keys = [(-(n % capacity or capacity), d is None, d or 0, c or 0, s or "") for n, d, c, s in zip(size, ids, clusters, sources)]
         order = sorted(range(len(ids)), key=keys.__getitem__)
-        masks = list(zip(_bits(table.column("source").to_pylist()), _bits(table.column("cluster").to_pylist())))
+        masks = list(zip(_bits(sources), _bits(clusters)))
         rest = [size[k] % capacity or capacity for k in order]
         placed = best_fit(rest, [masks[k] for k in order], capacity)
         opened = max((b for b, _ in placed), default=-1) + 1

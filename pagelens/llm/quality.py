@@ -10,8 +10,8 @@ P(positive | text).  The prior is estimated from the labelled training rows
 where both classes are marked, else by the Elkan-Noto ratio of held-in scores.
 
 Features describe form, not words, so any language can be scored.  Training
-takes a bounded sample (``most`` rows of each kind, chosen by hash of the id);
-scoring covers all rows and whole texts.
+takes a bounded sample (``most`` rows of each kind, chosen by hash of id and
+text); scoring covers all rows and whole texts.
 
 Null and empty texts have the features of an empty text and get a score.
 Repeated label rows count once (quality 1 wins only if no row says 0);
@@ -171,21 +171,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, modulus: int =
     """Fit on rows that are not held out: up to ``most`` trusted positives and ``most`` unlabelled texts, by order of a hash."""
     open_labels = labels.filter(~held_out("doc_id", modulus) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = open_labels.agg(F.avg((F.col("quality") == 1).cast("double")), F.min("quality"), F.max("quality")).first()
-    by_hash = lambda df: df.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select("doc_id")
-    positives = by_hash(open_labels.filter("quality = 1")).withColumn("kind", F.lit(1))
-    unlabelled = by_hash(docs.filter(~held_out("doc_id", modulus) & F.col("doc_id").isNotNull())).withColumn("kind", F.lit(0))
-    # At most 2 * most ids: small by construction.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(positives.unionByName(unlabelled)), "doc_id")
-    rows = feature_table(chosen.select((F.col("doc_id") * 2 + F.col("kind")).alias("doc_id"), "text")).toArrow()
-    kind = rows.column("doc_id").to_numpy() % 2
-    x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES)
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    kind, x = kind[order], x[order]
-    positive, rest = x[kind == 1], x[kind == 0]
+    sound = docs.filter(~held_out("doc_id", modulus) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    positives = sound.join(open_labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id")
+
+    def sample(df: DataFrame) -> np.ndarray:
+        """Features of the ``most`` rows with the least hashes, in an order of their own; rows are bounded, whatever their ids."""
+        order = F.xxhash64("doc_id", "text")
+        top = df.select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+        if top is None:
+            return np.empty((0, N_FEATURES))
+        x = np.array(feature_table(df.filter(order <= top)).limit(most).toArrow().column("x").to_pylist(), dtype=float)
+        return x[np.lexsort(x.T)]
+
+    positive, rest = sample(positives), sample(sound)
     if share[0] is not None and share[1] != share[2]:
         prior = float(np.clip(share[0], 0.02, 0.98))
     elif len(positive) and len(rest):
-        prior = estimate_prior(positive, rest)
+        prior = estimate_prior(positive[np.random.default_rng(1).permutation(len(positive))], rest)
     else:
         prior = 0.5
     return fit_nnpu(positive, rest, prior)
