@@ -1,8 +1,8 @@
 """Operator 7: format-preserving pseudonyms for personal data.
 
 Values that pass their format's validation (card numbers: Luhn; IBAN: mod 97;
-dates: the calendar; IPv4: octets; phone numbers, national ids, e-mail
-addresses and quoted secrets: their pattern) are replaced by a keyed
+dates: the calendar; IPv4 and IPv6 addresses: their octets or groups; phone
+numbers, national ids, e-mail addresses and secrets: their pattern) are replaced by a keyed
 permutation of the format's own domain: a Feistel network over the value's
 index, with cycle walking to the domain's size.  The map is a bijection
 without fixed points, so equal values stay equal in every document, distinct
@@ -13,6 +13,9 @@ its country's length; cards and phone numbers are tried at every end of a
 group of digits, the longest first.  A card keeps its Luhn sum at the other
 parity, so digits after or before it read the same with its pseudonym.
 
+A secret is what follows a key word (password, token, ...) and = or :, in
+quotes, or without them if it holds a digit and a letter or follows =.
+
 A null text stays null with no values; an empty text stays empty.  Rows are
 independent: repeated rows get equal results.  Other columns pass unchanged.
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import datetime
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -147,12 +151,12 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", s)
         if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
             return None
-        # The check digit of a number that the card begins is the same for the pseudonym.
+        # The check digit of a number that the card begins is the same for the pseudonym; a leading 0 would make it a phone number.
         new = digits
         while True:
             payload = self._number(new[:-1], b"card")
             new = payload + luhn_digit(payload)
-            if luhn_digit(new) == luhn_digit(digits) and len(set(new)) > 1:
+            if luhn_digit(new) == luhn_digit(digits) and len(set(new)) > 1 and (new[0] == "0") == (digits[0] == "0"):
                 return _fill(s, new)
 
     def iban(self, s: str) -> str | None:
@@ -171,7 +175,7 @@ class Pseudonyms:
                 return new
 
     def phone(self, s: str) -> str | None:
-        head = re.match(r"\+\d{1,3}(?=[\s.(-])|0(?=\d[ .-]\d\d[ .-])", s)
+        head = re.match(r"\+\d{1,3}(?=[\s.(-])|0(?=\d[ .-]\d\d[ .-])|\(?0(?=\d{1,4}[) /-])", s)
         rest = s[head.end() if head else 0 :]
         digits = re.sub(r"\D", "", rest)
         if not 7 <= len(digits) <= 14:
@@ -186,6 +190,31 @@ class Pseudonyms:
         n = self.feistel.permute((areas.index(int(area)) * 99 + int(group) - 1) * 9999 + int(serial) - 1, len(areas) * 99 * 9999, b"national id", self.back)
         return f"{areas[n // 9999 // 99]:03d}{s[3]}{n // 9999 % 99 + 1:02d}{s[6]}{n % 9999 + 1:04d}"
 
+    def bare_secret(self, s: str) -> str | None:
+        return self.secret(s)
+
+    def ipv6(self, s: str) -> str | None:
+        """The groups that are written, each in its own letters and length."""
+        try:
+            ipaddress.IPv6Address(s)
+        except ValueError:
+            return None
+        groups = [g for g in s.split(":") if g]
+        if not groups or (len(groups) < 3 and not any(c.isdigit() for c in s)):
+            return None  # "a::b" is rather a name in a program
+        upper = any(c in "ABCDEF" for c in s)
+        if upper and any(c in "abcdef" for c in s):
+            return None
+        n, tweak = sum(map(len, groups)), b"ipv6" + re.sub(r"\w", "h", s).encode()
+        value = int("".join(groups), 16)
+        while True:  # capital letters stay capital: the pseudonym has one, too
+            value = self.feistel.permute(value, 16**n, tweak + b"ABC" * upper, self.back)
+            text = f"{value:0{n}X}" if upper else f"{value:0{n}x}"
+            it = iter(text)
+            new = "".join(c if c == ":" else next(it) for c in s)
+            if (any(map(str.isalpha, text)) or not upper) and (len(groups) > 2 or any(map(str.isdigit, text))):
+                return new
+
     def ipv4(self, s: str) -> str | None:
         parts = [int(x) for x in s.split(".")]
         if any(x > 255 for x in parts):
@@ -216,21 +245,25 @@ class Pseudonyms:
             return f"{first:02d}{sep}{second:02d}{sep}{day.year:04d}"
         return None
 
+    #: Words that name a secret.
+    SECRET_WORDS = r"token|secret|password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key"
     #: Tried in this order at each place.
     KINDS = {
-        "secret": r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["'](?P<secret>[^"'\s]{6,})["']""",
+        "secret": rf"""(?i:{SECRET_WORDS})["']?\s*[=:]\s*["'](?P<secret>[^"'\s]{{6,}})["']""",
+        "bare_secret": rf"""(?i:{SECRET_WORDS})["']?(?:\s*=\s*|:\s*(?=[^\s"'<>,;]*\d)(?=[^\s"'<>,;]*[A-Za-z]))(?P<bare_secret>[^\s"'<>,;=][^\s"'<>,;]*[^\s"'<>,;.!?)\]}}]{{4,}})""",
         "email": r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
         "iban": r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b)",
+        "ipv6": r"(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d|[0-9A-Fa-f]*::|(?:[0-9A-Fa-f]+:){7})(?:[0-9A-Fa-f]{1,4}:){1,7}(?::(?:[0-9A-Fa-f]{1,4}:){0,6})?(?:[0-9A-Fa-f]{1,4})?(?![\w:])|(?<![\w:.])::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}(?![\w:]))",
         "ipv4": r"(?P<ipv4>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))",
         "iso_date": r"(?P<iso_date>(?<![\d-])\d{4}[-/.]\d{2}[-/.]\d{2}(?![\d-]))",
         "day_date": r"(?P<day_date>(?<![\d/.-])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{4}(?![\d/-]))",
         "national_id": r"(?P<national_id>(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-]))",
-        "phone": r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d\)[ .-]?)?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])0\d(?:[ .-]\d{2}){4}(?!\d|[.-]\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))",
+        "phone": r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d\)[ .-]?)?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])0\d(?:[ .-]\d{2}){4}(?!\d|[.-]\d)|(?<![\w.-])(?:0\d{2,4}[ /-]|\(0\d{1,4}\) ?)\d{3,4}(?:[ -]?\d{2,4}){1,2}(?![\w-]|\.\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))",
         "card": r"(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d))",
     }
     PATTERN = re.compile("|".join(KINDS.values()))
     CARD = re.compile(KINDS["card"])
-    HINT = re.compile(r"[\d@]|[=:]\s*[\"']")
+    HINT = re.compile(r"[\d@]|[=:]\s*[\"']|::|(?i:%s)[\"']?\s*=" % SECRET_WORDS)
 
     @staticmethod
     def _ends(kind: str, text: str, a: int, b: int) -> list[int]:
