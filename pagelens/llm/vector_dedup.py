@@ -2,26 +2,34 @@
 
 Unit vectors are indexed in coarse inverted lists (k-means centroids); what a
 centroid leaves over, the residual, is coded by subspace: one byte per group
-of dimensions.  Each vector probes every list that can hold a neighbour: by
-the list's radius over all its rows, and by the plane between the list's
-centre and its own.  Distances are estimated by table look-ups (exact query
-side, coded index side); every pair whose estimate is within the coded
-vector's own error of the threshold is reranked by exact cosine in double
-precision.  Both bounds hold for every pair, so no link is lost; the price is
-that vectors without any clusters probe nearly all lists.
-
-Centroids and codebooks are fitted on a bounded sample (``sample`` rows,
-ordered by a hash of the vector); every row is indexed and every row queries.
-Vectors are compared only within equal, non-null labels.
+of dimensions.  Distances are estimated by table look-ups (exact query side,
+coded index side); every pair whose estimate is within the coded vector's own
+error of the threshold is reranked by exact cosine in double precision.
+
+A vector probes a list if the list's radius allows a neighbour, and if the
+plane between the list's centre and its own is near enough.  No neighbour lies
+further behind that plane than the whole distance that the threshold allows;
+but it would have to lie straight across.  How far neighbours do go is measured
+on the sample, on its links and on vectors moved to the threshold in the
+directions of the data, and the planes are read to the ``recall`` quantile.
+With ``recall`` = 1 the whole distance counts, and no link is lost.
+
+Centroids and codebooks are fitted on a bounded sample, in the order of a hash
+of the vector: eight rows for each list, ``sample`` at least and
+``most_sample`` at most.  There are as many lists as it takes for ``list_rows``
+rows in each, up to an eighth of ``most_sample``; from there on lists grow and
+are read in blocks.  Every row is indexed and every row queries.  Vectors are
+compared only within equal, non-null labels, and each vector length has an
+index of its own.
 
 A vector lies in one list, so link counts need no pair table: each task adds
 up the links that it finds and keeps a spanning forest of them.  Of two lists
 only the rows of the first probe the second, and a link counts for both ends.
 
-Null vectors, null labels, zero vectors, null or non-finite components and
-vectors of another length than most link with nothing.  Repeated vectors link
-with each other.  Repeated or null ids: rows of one id are one vertex, null
-ids link with nothing.  An empty table gives no rows.
+Null vectors, null labels, zero vectors, vectors with null or non-finite
+components and rows with a null id link with nothing.  Repeated vectors link
+with each other; every row is a vector, also where ids repeat.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize, table_parts
+from .common import drop_materialized, materialize
 from .components import Forest, components
 
 CODES = 256
@@ -68,15 +76,19 @@ class Index:
     def lists(self, x: np.ndarray) -> np.ndarray:
         return nearest(x, self.centres)
 
-    def probed(self, x: np.ndarray, home: np.ndarray, some: np.ndarray, reach: float) -> np.ndarray:
-        """Whether each of ``some`` lists can hold a vector within ``reach`` of each row; of the pairs of lists, those not before the row's own."""
+    def beyond(self, x: np.ndarray, home: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Squared distances of rows to centres, how much they exceed those to their own, and twice the distance of the two centres."""
         centres = self.centres[some]
         square = np.maximum((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * x @ centres.T, 0)
-        # A vector lies no nearer to another list's centre than to its own, so the plane between the two is in reach.
-        beyond = square - ((x - self.centres[home]) ** 2).sum(axis=1)[:, None]
         homes, at = np.unique(home, return_inverse=True)
-        apart = np.linalg.norm(self.centres[homes][:, None] - centres[None], axis=2)[at] if len(homes) * len(some) * x.shape[1] < 1 << 22 else np.stack([np.linalg.norm(centres - self.centres[h], axis=1) for h in homes])[at]
-        inside = (np.sqrt(square) <= self.radii[some] + reach + ROUNDING) & (beyond <= 2 * apart * reach + ROUNDING)
+        own = self.centres[homes]
+        apart = np.sqrt(np.maximum((own**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * own @ centres.T, 0))
+        return square, square - ((x - self.centres[home]) ** 2).sum(axis=1)[:, None], 2 * apart[at]
+
+    def probed(self, x: np.ndarray, home: np.ndarray, some: np.ndarray, reach: float, margin: float) -> np.ndarray:
+        """Whether each row asks each of ``some`` lists for vectors within ``reach``; of the pairs of lists, those not before the row's own."""
+        square, beyond, apart = self.beyond(x, home, some)
+        inside = (np.sqrt(square) <= self.radii[some] + reach + ROUNDING) & (beyond <= apart * reach * margin + ROUNDING)
         return (inside | (some == home[:, None])) & (some >= home[:, None])
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
@@ -115,49 +127,83 @@ def fit(sample: np.ndarray, lists: int, subspaces: int) -> Index:
     return Index(centres, np.stack(books))
 
 
+def measure_margin(index: Index, x: np.ndarray, labels: np.ndarray, threshold: float, recall: float, queries: int = 2048, most: int = 200_000) -> float:
+    """The share of the greatest possible distance behind the planes that holds ``recall`` of the neighbours of a sample."""
+    if recall >= 1 or len(index.centres) < 2 or len(x) < 2:
+        return 1.0
+    rng, reach = np.random.default_rng(7), float(np.sqrt(max(1e-12, 2 - 2 * threshold)))
+    home = index.lists(x)
+
+    def needed(a: np.ndarray, ha: np.ndarray, hb: np.ndarray) -> np.ndarray:
+        """What the row of the first list needs to ask the second."""
+        out = np.zeros(len(a))
+        for k in range(0, len(a), 4096):
+            c, own = index.centres[hb[k : k + 4096]], index.centres[ha[k : k + 4096]]
+            part = a[k : k + 4096]
+            gap = ((part - c) ** 2).sum(axis=1) - ((part - own) ** 2).sum(axis=1)
+            out[k : k + 4096] = gap / np.maximum(2 * np.linalg.norm(c - own, axis=1) * reach, 1e-12)
+        return np.where(ha == hb, 0.0, out)
+
+    some = rng.permutation(len(x))[:queries]
+    # Links within the sample, a bounded number of them.
+    left, right = [], []
+    for k in range(0, len(some), 256):
+        rows = some[k : k + 256]
+        i, j = np.nonzero((x[rows] @ x.T >= threshold) & (labels[rows][:, None] == labels[None, :]) & (rows[:, None] != np.arange(len(x))[None, :]))
+        pick = rng.permutation(len(i))[: most * 256 // queries]
+        left.append(rows[i[pick]])
+        right.append(j[pick])
+    i, j = np.concatenate(left), np.concatenate(right)
+    first = home[i] <= home[j]
+    real = needed(x[np.where(first, i, j)], np.minimum(home[i], home[j]), np.maximum(home[i], home[j]))
+    # Sample vectors moved to the threshold in the direction of other sample vectors.
+    a = x[some]
+    way = x[rng.integers(0, len(x), len(some))] - x[rng.integers(0, len(x), len(some))] + rng.normal(scale=1e-6, size=a.shape)
+    way -= (way * a).sum(axis=1)[:, None] * a
+    b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * way / np.maximum(np.linalg.norm(way, axis=1), 1e-12)[:, None]
+    ha, hb = home[some], index.lists(b)
+    moved = needed(np.where((ha <= hb)[:, None], a, b), np.minimum(ha, hb), np.maximum(ha, hb))
+    return float(np.clip(max(np.quantile(v, recall) if len(v) else 0.0 for v in (real, moved)), 0.0, 1.0))
+
+
 def _unit_rows(table: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
     flat = table.column(table.schema.get_field_index(column))
     return np.frombuffer(b"".join(flat.to_pylist()), "<f8").reshape(-1, dim)
 
 
-def sound_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(vec_id, label, dim, unit): unit vectors in double precision, as bytes, of the rows that can link."""
+def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """(key, vec_id, label, dim, unit) of every row: unit vectors in double precision, as bytes; null where the row cannot link."""
     x = F.col("embedding")
-    ok = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label")).filter(
-        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
-    )
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
+    rows = vectors.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("embedding"))
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch.column(2).to_pylist()
-            unit = []
-            for r in rows:
-                v = np.array(r, dtype=np.float64)
-                v = v / np.abs(v).max()
-                unit.append((v / np.linalg.norm(v)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in rows], pa.int32()), pa.array(unit, pa.binary())], names=["vec_id", "label", "dim", "unit"])
-
-    return ok.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, "vec_id long, label string, dim int, unit binary")
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000, list_rows: int = 512, most_lists: int = 4096, subspaces: int = 16, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    sound = materialize(sound_vectors(vectors, id_col, vec_col, label_col).dropDuplicates(["vec_id"]), "unit-vectors")
-    spark = vectors.sparkSession
-    dims = sound.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, total = dims[0]["dim"], dims[0]["count"]
-    sound = sound.filter(F.col("dim") == dim)
+            unit, dim = [], []
+            for r in batch.column(3).to_pylist():
+                dim.append(None if r is None else len(r))
+                if r is not None:
+                    v = np.array(r, dtype=np.float64)
+                    v = v / np.abs(v).max()
+                    r = (v / np.linalg.norm(v)).tobytes()
+                unit.append(r)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(dim, pa.int32()), pa.array(unit, pa.binary())], names=["key", "vec_id", "label", "dim", "unit"])
+
+    return rows.withColumn("embedding", F.when(sound, x)).mapInArrow(run, "key long, vec_id long, label string, dim int, unit binary")
+
+
+def find_links(sound: DataFrame, dim: int, total: int, threshold: float, recall: float, sample: int, most_sample: int, list_rows: int, subspaces: int, block: int) -> DataFrame:
+    """(key, other, links) of the ``total`` vectors of one length (key, label, unit): link counts (other null) and a spanning forest (links 0)."""
+    spark = sound.sparkSession
     parts_of = next(s for s in range(min(subspaces, dim), 0, -1) if dim % s == 0)
-    lists = int(np.clip(total // list_rows, 1, most_lists))
-    # The bounded sample, at most ``sample`` rows.
-    rows = sound.select("unit").orderBy(F.xxhash64("unit"), "vec_id").limit(sample).toArrow()
-    index = fit(np.frombuffer(b"".join(rows.column("unit").to_pylist()), "<f8").reshape(-1, dim), lists, parts_of)
+    lists = int(np.clip(total // list_rows, 1, max(1, most_sample // 8)))
+    # The bounded sample.
+    rows = sound.select("unit", F.xxhash64("label").alias("label")).orderBy(F.xxhash64("unit"), "key").limit(int(np.clip(8 * lists, sample, max(sample, most_sample)))).toArrow()
+    x = np.frombuffer(b"".join(rows.column("unit").to_pylist()), "<f8").reshape(-1, dim)
+    index = fit(x, lists, parts_of)
     lists = len(index.centres)
+    margin = measure_margin(index, x, rows.column("label").to_numpy(), threshold, recall)
+    del x, rows
     fitted = spark.sparkContext.broadcast((index.centres, index.books))
     # Unit vectors with a cosine of ``threshold`` are this far apart.
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
@@ -172,23 +218,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
             codes = own.encode(x, home)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(k) for k in (0, 1, 3)),
+                    *(batch.column(k) for k in range(3)),
                     pa.array(home.astype(np.int32)),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array(np.linalg.norm(x - own.decode(home, codes), axis=1)),
                     pa.array(np.linalg.norm(x - own.centres[home], axis=1)),
                 ],
-                names=["vec_id", "label", "unit", "home", "codes", "error", "radius"],
+                names=["key", "label", "unit", "home", "codes", "error", "radius"],
             )
 
-    dealt = materialize(sound.select("vec_id", "label", "dim", "unit").mapInArrow(deal, "vec_id long, label string, unit binary, home int, codes binary, error double, radius double"), "inverted-lists")
+    dealt = materialize(sound.select("key", "label", "unit").mapInArrow(deal, "key long, label string, unit binary, home int, codes binary, error double, radius double"), "inverted-lists")
     radii = np.zeros(lists)
-    for r in dealt.groupBy("home").agg(F.max("radius").alias("radius")).collect():  # at most most_lists rows
+    for r in dealt.groupBy("home").agg(F.max("radius").alias("radius")).collect():  # one row per list
         radii[r["home"]] = r["radius"]
     sent = spark.sparkContext.broadcast((index.centres, index.books, radii))
     # The lists of a label are read in runs of about ``block`` rows, so a query goes once to each run and not to each list.
     labels = dealt.groupBy("label").agg(F.least(F.lit(lists), F.ceil(F.count("*") / block)).cast("int").alias("runs"))
     based = dealt.join(labels, "label")
+    chunk = max(16, min(512, (1 << 21) // lists))
 
     def ask(batches):
         own, every_list = Index(*sent.value), np.arange(lists)
@@ -197,27 +244,27 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
                 continue
             x, home, runs = _unit_rows(batch, "unit", dim), batch.column(3).to_numpy(), batch.column(4).to_numpy()
             asked = []
-            for a in range(0, len(x), 512):
-                for k, row in enumerate(own.probed(x[a : a + 512], home[a : a + 512], every_list, reach), a):
+            for a in range(0, len(x), chunk):
+                for k, row in enumerate(own.probed(x[a : a + chunk], home[a : a + chunk], every_list, reach, margin), a):
                     asked.append(np.unique(np.flatnonzero(row) * int(runs[k]) // lists).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(asked, pa.list_(pa.int32()))], names=["vec_id", "label", "unit", "home", "asked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(asked, pa.list_(pa.int32()))], names=["key", "label", "unit", "home", "asked"])
 
-    queries = materialize(based.select("vec_id", "label", "unit", "home", "runs").mapInArrow(ask, "vec_id long, label string, unit binary, home int, asked array<int>"), "vector-queries")
+    queries = materialize(based.select("key", "label", "unit", "home", "runs").mapInArrow(ask, "key long, label string, unit binary, home int, asked array<int>"), "vector-queries")
     # Large runs are cut into blocks of index rows times blocks of queries, by counts of both.
     run = F.floor(F.col("home").cast("long") * F.col("runs") / F.lit(lists)).cast("int")
-    indexed = based.select("vec_id", "label", run.alias("run"), F.lit(1).alias("indexed"), "home", "unit", "codes", "error")
-    asking = queries.select("vec_id", "label", F.explode("asked").alias("run"), F.lit(0).alias("indexed"), "home", "unit", F.lit(b"").alias("codes"), F.lit(0.0).alias("error"))
+    indexed = based.select("key", "label", run.alias("run"), F.lit(1).alias("indexed"), "home", "unit", "codes", "error")
+    asking = queries.select("key", "label", F.explode("asked").alias("run"), F.lit(0).alias("indexed"), "home", "unit", F.lit(b"").alias("codes"), F.lit(0.0).alias("error"))
     cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
     sizes = indexed.groupBy("label", "run").agg(F.count("*").alias("n_index")).join(asking.groupBy("label", "run").agg(F.count("*").alias("n_query")), ["label", "run"])
     sized = indexed.unionByName(asking).join(sizes.select("label", "run", cut("n_index").alias("bi"), cut("n_query").alias("bq")), ["label", "run"])
-    mine = F.pmod(F.xxhash64("vec_id"), F.when(F.col("indexed") == 1, F.col("bi")).otherwise(F.col("bq"))).cast("int")
+    mine = F.pmod(F.xxhash64("key"), F.when(F.col("indexed") == 1, F.col("bi")).otherwise(F.col("bq"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("indexed") == 1, F.col("bq")).otherwise(F.col("bi")) - 1))
     tasks = sized.withColumn("mine", mine).withColumn("other", other).withColumn("task", F.xxhash64("label", "run", F.when(F.col("indexed") == 1, F.col("mine")).otherwise(F.col("other")), F.when(F.col("indexed") == 1, F.col("other")).otherwise(F.col("mine"))))
 
     def search(table: pa.Table) -> pa.Table:
         own = Index(*sent.value)
         side = table.column("indexed").to_numpy()
-        ids, home, units = table.column("vec_id").to_numpy(), table.column("home").to_numpy(), table.column("unit").to_pylist()
+        ids, home, units = table.column("key").to_numpy(), table.column("home").to_numpy(), table.column("unit").to_pylist()
         q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         links, forest = {}, Forest()
         if len(q) and len(x):
@@ -229,9 +276,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
             some, first = np.unique(listed, return_index=True)
             last = np.append(first[1:], len(x))
             for a in range(0, len(q), 512):
-                probed = own.probed(queries[a : a + 512], asked[a : a + 512], some, reach)
+                probed = own.probed(queries[a : a + 512], asked[a : a + 512], some, reach, margin)
                 for n, (c, start, stop) in enumerate(zip(some.tolist(), first, last)):
                     at = a + np.flatnonzero(probed[:, n])
+                    if not len(at):
+                        continue
                     k, j = np.nonzero(own.estimate(queries[at], c, codes[start:stop]) >= threshold - error[start:stop] - ROUNDING)
                     k, j = at[k], j + start
                     sure = ids[q[k]] != ids[x[j]]
@@ -246,14 +295,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
                         forest.join(one, two)
         a, b = forest.stars()
         return pa.Table.from_arrays(
-            [pa.array([*links, *a.tolist()], pa.int64()), pa.array([*[None] * len(links), *b.tolist()], pa.int64()), pa.array([*links.values(), *[0] * len(a)], pa.int64())], names=["vec_id", "other", "links"]
+            [pa.array([*links, *a.tolist()], pa.int64()), pa.array([*[None] * len(links), *b.tolist()], pa.int64()), pa.array([*links.values(), *[0] * len(a)], pa.int64())], names=["key", "other", "links"]
         )
 
-    found = materialize(tasks.select("task", "vec_id", "indexed", "home", "unit", "codes", "error").groupBy("task").applyInArrow(search, "vec_id long, other long, links long"), "vector-links")
-    counts = found.filter("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    groups = components(found.filter("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    found = materialize(tasks.select("task", "key", "indexed", "home", "unit", "codes", "error").groupBy("task").applyInArrow(search, "key long, other long, links long"), "vector-links")
     for t in (dealt, queries):
         drop_materialized(t)
-    out = every.join(counts, "vec_id", "left").join(groups.select(F.col("id").alias("vec_id"), F.col("component").alias("component_id")), "vec_id", "left")
+    return found
+
+
+def near_vectors(
+    vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, sample: int = 20_000, most_sample: int = 100_000, list_rows: int = 512, subspaces: int = 16, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
+) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    every = materialize(unit_vectors(vectors, id_col, vec_col, label_col), "unit-vectors")
+    dims = every.filter("unit IS NOT NULL").groupBy("dim").count().orderBy("dim").collect()  # one row per vector length
+    found = every.sparkSession.createDataFrame([], "key long, other long, links long")
+    for r in dims:
+        if r["count"] > 1:
+            found = found.unionByName(find_links(every.filter((F.col("dim") == r["dim"]) & F.col("unit").isNotNull()), r["dim"], r["count"], threshold, recall, sample, most_sample, list_rows, subspaces, block))
+    counts = found.filter("other IS NULL").groupBy("key").agg(F.sum("links").alias("n_links"))
+    groups = components(found.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "key")
+    least = groups.join(every.select("key", "vec_id"), "key").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    out = every.select("key", "vec_id").join(counts, "key", "left").join(groups.join(least, "component").select("key", "component_id"), "key", "left")
     group = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.alias("component_id"), F.coalesce(group == F.col("vec_id"), F.lit(True)).alias("kept"))

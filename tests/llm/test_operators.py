@@ -758,7 +758,7 @@ def test_vectors_equal_brute_force(spark):
     x = np.vstack([base, near, hot])
     labels = [k % 3 for k in range(400)] + [k % 3 for k in range(120)] + [0] * 60
     rows = [(k, [float(v) for v in r], lab) for k, (r, lab) in enumerate(zip(x, labels))]
-    odd = [(900, None, 0), (901, [0.0] * 32, 0), (902, [float("nan")] * 32, 0), (903, [float("inf")] + [1.0] * 31, 0), (904, [1.0, None] + [1.0] * 30, 0), (905, rows[0][1], None), (906, [1.0] * 5, 0), (None, rows[0][1], 0), (0, rows[0][1], 0)]
+    odd = [(900, None, 0), (901, [0.0] * 32, 0), (902, [float("nan")] * 32, 0), (903, [float("inf")] + [1.0] * 31, 0), (904, [1.0, None] + [1.0] * 30, 0), (905, rows[0][1], None), (906, [1.0] * 5, 0), (None, rows[0][1], 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").withColumn("unit", F.lit(1))
     got = {r["vec_id"]: r for r in near_vectors(df, list_rows=64, block=40).collect()}
     unit = x / np.linalg.norm(x, axis=1)[:, None]
@@ -796,11 +796,46 @@ def test_vectors_recall_in_a_hot_group_of_near_vectors(spark):
     hit = unit @ unit.T >= 0.93
     np.fill_diagonal(hit, False)
     df = spark.createDataFrame([(k, [float(v) for v in r], 0) for k, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in near_vectors(df, list_rows=16, block=300).collect()}
+    got = {r["vec_id"]: r for r in near_vectors(df, recall=1, list_rows=16, block=300).collect()}
     assert [got[k]["n_links"] for k in range(len(x))] == hit.sum(axis=1).tolist()
     assert {got[k]["component_id"] for k in range(700) if hit[k].any()} == {0}
 
 
+@pytest.mark.parametrize("kind", ["unclustered", "hot group", "pairs"])
+def test_vectors_recall_with_measured_probes(spark, kind):
+    """Recall at the default, with few of many lists probed."""
+    from pagelens.llm import vector_dedup as vd
+
+    rng = np.random.default_rng(4)
+    near = {"unclustered": 0, "hot group": 1000, "pairs": 0}[kind]
+    x = rng.normal(size=(3000 - near, 64))
+    if near:
+        x = np.vstack([x, rng.normal(size=64) + rng.normal(scale=0.23, size=(near, 64))])
+    x = np.vstack([x, x[:500] + rng.normal(scale=0.36 if kind == "pairs" else 0.2, size=(500, 64))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = unit @ unit.T >= 0.93
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(k, [float(v) for v in r], 0) for k, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vd.near_vectors(df, list_rows=16, block=300).collect()}
+    links = np.array([got[k] for k in range(len(x))])
+    assert (links <= hit.sum(axis=1)).all() and links.sum() >= 0.99 * hit.sum() > 0
+    index = vd.fit(unit, len(x) // 16, 16)
+    home = index.lists(unit)
+    index.radii = np.array([np.linalg.norm(unit[home == c] - index.centres[c], axis=1).max(initial=0) for c in range(len(index.centres))])
+    share = [index.probed(unit, home, np.arange(len(index.centres)), np.sqrt(0.14), m).mean() for m in (vd.measure_margin(index, unit, np.zeros(len(unit)), 0.93, 0.999), 1.0)]
+    assert share[0] < share[1] * 0.7
+    print(kind, share)
+
+
+def test_vectors_of_several_lengths_and_repeated_ids(spark):
+    from pagelens.llm.vector_dedup import near_vectors
+
+    rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.01], 0), (3, [1.0, 0.0, 0.0], 0), (4, [0.9, 0.0, 0.1], 0), (5, [0.0, 1.0], 0), (6, [5.0], 0), (7, [-1.0], 0), (8, [3.0], 0), (9, [1.0, 0.0], 1), (10, [0.0, 1.0, 0.0], 0), (10, [1.0, 0.0, 0.01], 0), (10, [0.0, 1.0, 0.0], 0)]
+    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (4, 2, 3, False), (5, 0, 5, True), (6, 1, 6, True), (7, 0, 7, True), (8, 1, 6, False), (9, 0, 9, True), (10, 1, 10, True), (10, 1, 10, True), (10, 2, 3, False)]
+    assert got == want
+
+
 # 9: packing
 
 
