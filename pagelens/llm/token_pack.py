@@ -3,12 +3,17 @@
 Each id takes the minimum number of bits that the vocabulary needs.  A file
 (one per shard, shards in ascending ``doc_id`` order) is laid out as::
 
-    header   magic, version, bit width, ids per block, documents, ids, blocks   (little endian)
+    payload  blocks of packed ids; each block starts on a byte
     docs     doc_id int64[n], valid uint8[n], start uint64[n + 1]               (starts count ids of this file)
     offsets  uint64[blocks + 1]                                                 (byte offset of each block's payload)
-    payload  blocks of packed ids; each block starts on a byte
+    trailer  magic, version, bit width, ids per block, documents, ids, blocks   (little endian)
 
-A reader seeks to the block of any id and unpacks it with numpy alone.
+A reader seeks to the block of any id and unpacks it with numpy alone.  A
+writer holds one block and its documents' numbers, not the shard.
+
+A shard has about ``shard_bytes`` of text, so shards grow in number with the
+corpus, not in size.  Rows of one id that would fill several shards, or of no
+id, are divided among these by the hash of their text.
 
 Null, empty and repeated rows: a null or empty text has only the end id; each
 row is one document even if its ``doc_id`` repeats or is null (nulls come
@@ -31,10 +36,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, kept, raw_column, scratch_path, table_parts
+from .common import batches_by_size, kept, raw_column, scratch_path
 
 MAGIC = b"PLTOKENS"
-HEADER = "<8sHHIQQQ"
+TRAILER = "<8sHHIQQQ"
 BLOCK_IDS = 65_536
 
 
@@ -66,10 +71,12 @@ class ShardReader:
 
     def __init__(self, file):
         self.file = file
-        file.seek(0)
-        magic, version, self.width, self.block, self.n_docs, self.n_ids, self.n_blocks = struct.unpack(HEADER, file.read(struct.calcsize(HEADER)))
-        if magic != MAGIC or version != 1:
+        end = file.size() - struct.calcsize(TRAILER)
+        file.seek(end)
+        magic, version, self.width, self.block, self.n_docs, self.n_ids, self.n_blocks = struct.unpack(TRAILER, file.read(struct.calcsize(TRAILER)))
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token file")
+        file.seek(end - 8 * (self.n_blocks + 1) - 8 * (self.n_docs + 1) - 9 * self.n_docs)
         self.doc_id = np.frombuffer(file.read(8 * self.n_docs), "<i8")
         self.valid = np.frombuffer(file.read(self.n_docs), np.uint8).astype(bool)
         self.start = np.frombuffer(file.read(8 * (self.n_docs + 1)), "<u8").astype(np.int64)
@@ -216,20 +223,60 @@ def encoder(path: str) -> WordEncoder:
     return kept(("encoder", path), lambda: WordEncoder(path))
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 16- or 32-bit integers, the end id included."""
+class Shards:
+    """Which shard a row belongs to: by ranges of ids, and by ranges of the text's hash for ids that fill several shards."""
+
+    def __init__(self, quantiles: list[int], null_shards: int):
+        """``quantiles``: ids that divide the rows evenly; one that comes again fills as many shards."""
+        bounds, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.bounds, self.times = bounds, times
+        # Each bound closes a shard, or, if it comes again, one of the ids before it and some of its own.
+        width = np.where(times > 1, 1 + times, 1)
+        self.first = null_shards + np.cumsum(width) - width
+        self.null_shards, self.count = null_shards, null_shards + int(width.sum()) + 1
+
+    def of(self, ids: np.ndarray, valid: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
+        share = (text_hash.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(np.float64) / 2.0**64
+        at = np.searchsorted(self.bounds, ids, "left")
+        out = np.append(self.first, self.count - 1)[at]
+        inside = np.minimum(at, max(0, len(self.bounds) - 1))
+        hot = (at < len(self.bounds)) & (self.bounds[inside] == ids) & (self.times[inside] > 1) if len(self.bounds) else np.zeros(len(ids), bool)
+        out = np.where(hot, out + 1 + np.minimum((share * self.times[inside]).astype(np.int64), self.times[inside] - 1) if len(self.bounds) else out, out)
+        return np.where(valid, out, np.minimum((share * self.null_shards).astype(np.int64), max(0, self.null_shards - 1)))
+
+
+def plan_shards(docs: DataFrame, shard_bytes: int, id_col: str, text_col: str) -> Shards | None:
+    """Shards of about ``shard_bytes`` of text; None for an empty table.  Quantiles come from the ids alone, so texts are encoded once."""
+    key = F.col(id_col).cast("long")
+    rows, ids, size = docs.agg(F.count(F.lit(1)), F.count(key), F.sum(F.octet_length(text_col))).first()
+    if not rows:
+        return None
+    wanted = max(1, -(-(size or 0) // shard_bytes))
+    nulls = -(-wanted * (rows - ids) // rows)
+    parts = max(1, wanted - nulls)
+    quantiles = docs.select(F.percentile_approx(key, [k / parts for k in range(1, parts)], min(100 * parts, 1_000_000))).first()[0] if parts > 1 else []
+    return Shards(quantiles or [], nulls)
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: Shards | None = None) -> DataFrame:
+    """(doc_id, text_hash, n_tokens, ids, shard): ids as little-endian unsigned 16- or 32-bit integers, the end id included; shard is 0 without ``shards``."""
+    sent = docs.sparkSession.sparkContext.broadcast(shards)
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc, where = encoder(tokenizer), sent.value
         kind = "<u2" if bit_width(enc.tokenizer.get_vocab_size()) <= 16 else "<u4"
         for batch in batches_by_size(batches):
             ids, sizes = enc.encode(raw_column(batch, 1))
             data = np.insert(ids, np.cumsum(sizes), end_id).astype(kind).tobytes()
             ends = np.concatenate([[0], np.cumsum(sizes + 1)]) * int(kind[-1])
             out = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes + 1, pa.int64()), out], names=["doc_id", "n_tokens", "ids"])
+            shard = np.zeros(len(sizes), np.int64)
+            if where is not None:
+                shard = where.of(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False), np.asarray(pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)), batch.column(2).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes + 1, pa.int64()), out, pa.array(shard, pa.int32())], names=["doc_id", "text_hash", "n_tokens", "ids", "shard"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_tokens long, ids binary, shard int")
 
 
 def _open(path: str):
@@ -238,69 +285,66 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, block_ids: int = BLOCK_IDS, **columns: str) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = 32_000_000, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` and write one file per shard below ``path`` (a URI that all executors reach).
 
-    Shards are ranges of ``doc_id``; their bounds come from quantiles of the
-    ids alone, so texts are encoded once.  A task writes to a name of its own
-    and renames it at the end: a repeated task leaves one whole file.
-    Returns the manifest (shard, file, n_docs, n_tokens), ordered by shard.
+    A task writes to a name of its own and renames it at the end: a repeated
+    task leaves one whole file.  Returns the manifest (shard, file, n_docs,
+    n_tokens), ordered by shard.
     """
     from tokenizers import Tokenizer
 
+    schema = "shard int, file string, n_docs long, n_tokens long"
     width = bit_width(Tokenizer.from_file(tokenizer).get_vocab_size())
-    shards = shards or table_parts(docs)
-    key = columns.get("id_col", "doc_id")
-    bounds = docs.select(F.percentile_approx(F.col(key).cast("long"), [k / shards for k in range(1, shards)] or [0.5], 100 * shards)).first()[0] or [] if shards > 1 else []
-    bounds = sorted(set(bounds))
-    encoded = encode_documents(docs, tokenizer, end_id, **columns)
-    shard = F.expr("0" if not bounds else f"CASE WHEN doc_id IS NULL THEN 0 ELSE size(filter(array({','.join(f'{b}L' for b in bounds)}), b -> b < doc_id)) END")
-    placed = encoded.withColumn("shard", shard.cast("int")).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
+    shards = plan_shards(docs, shard_bytes, id_col, text_col)
+    if shards is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    encoded = encode_documents(docs, tokenizer, end_id, id_col, text_col, shards)
+    placed = encoded.repartitionById(shards.count, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash").select("doc_id", "n_tokens", "ids", "shard")
+    kind = "<u2" if width <= 16 else "<u4"
 
     def write(batches):
         where, base = _open(path)
         where.create_dir(base, recursive=True)
-        ids, docs_, valid, sizes, shard_ = [], [], [], [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard_ = batch.column(3)[0].as_py()
-            valid.append(np.asarray(pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)))
-            docs_.append(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False))
-            sizes.append(batch.column(1).to_numpy(zero_copy_only=False))
-            ids.append(b"".join(batch.column(2).to_pylist()))
-        if shard_ is None:
+        batches = (b for b in batches if b.num_rows)
+        batch = next(batches, None)
+        if batch is None:
             return
-        doc_id, ok, size = np.concatenate(docs_), np.concatenate(valid), np.concatenate(sizes)
-        total = int(size.sum())
-        kind = "<u2" if width <= 16 else "<u4"
-        blocks = -(-total // block_ids)
-        name = f"{base}/shard-{shard_:06d}.bin"
-        temp = f"{base}/.{uuid.uuid4().hex}.part"
-        lengths = [(min(block_ids, total - k * block_ids) * width + 7) // 8 for k in range(blocks)]
-        top = struct.calcsize(HEADER) + 8 * len(doc_id) + len(doc_id) + 8 * (len(doc_id) + 1) + 8 * (blocks + 1)
+        shard = batch.column(3)[0].as_py()
+        name, temp = f"{base}/shard-{shard:06d}.bin", f"{base}/.{uuid.uuid4().hex}.part"
+        docs_, valid, sizes, offsets, held, held_ids = [], [], [], [0], [], 0
         with where.open_output_stream(temp) as out:
-            out.write(struct.pack(HEADER, MAGIC, 1, width, block_ids, len(doc_id), total, blocks))
+
+            def flush(ids: np.ndarray):
+                for k in range(0, len(ids), block_ids):
+                    data = pack_ids(ids[k : k + block_ids], width)
+                    out.write(data)
+                    offsets.append(offsets[-1] + len(data))
+
+            for batch in chain([batch], batches):
+                valid.append(np.asarray(pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)))
+                docs_.append(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False))
+                sizes.append(batch.column(1).to_numpy(zero_copy_only=False))
+                held.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), kind))
+                held_ids += len(held[-1])
+                if held_ids >= block_ids:
+                    ids = np.concatenate(held)
+                    cut = len(ids) // block_ids * block_ids
+                    flush(ids[:cut])
+                    held, held_ids = [ids[cut:].copy()], len(ids) - cut
+            flush(np.concatenate(held))
+            doc_id, ok, size = np.concatenate(docs_), np.concatenate(valid), np.concatenate(sizes)
+            total = int(size.sum())
             out.write(doc_id.astype("<i8").tobytes() + ok.astype(np.uint8).tobytes())
             out.write(np.concatenate([[0], np.cumsum(size)]).astype("<u8").tobytes())
-            out.write((top + np.concatenate([[0], np.cumsum(lengths)])).astype("<u8").tobytes())
-            held, held_ids = [], 0
-            for data in [*ids, None]:
-                if data is not None:
-                    held.append(np.frombuffer(data, kind))
-                    held_ids += len(held[-1])
-                if held_ids and (data is None or held_ids >= block_ids):
-                    all_ids = np.concatenate(held)
-                    cut = len(all_ids) if data is None else len(all_ids) // block_ids * block_ids
-                    for k in range(0, cut, block_ids):
-                        out.write(pack_ids(all_ids[k : min(cut, k + block_ids)], width))
-                    held, held_ids = [all_ids[cut:]], len(all_ids) - cut
+            out.write(np.array(offsets, "<u8").tobytes())
+            out.write(struct.pack(TRAILER, MAGIC, 2, width, block_ids, len(doc_id), total, len(offsets) - 1))
         where.move(temp, name)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard_], pa.int32()), "file": [f"shard-{shard_:06d}.bin"], "n_docs": pa.array([len(doc_id)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [f"shard-{shard:06d}.bin"], "n_docs": pa.array([len(doc_id)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     # One row per shard, not per document: the manifest is small by construction.
-    rows = placed.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long").collect()
-    return docs.sparkSession.createDataFrame(sorted(tuple(r) for r in rows), "shard int, file string, n_docs long, n_tokens long")
+    rows = placed.mapInArrow(write, schema).collect()
+    return docs.sparkSession.createDataFrame(sorted(tuple(r) for r in rows), schema)
 
 
 def read_tokens(manifest: DataFrame, path: str, per_read: int = 2_000_000) -> DataFrame:
