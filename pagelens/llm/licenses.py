@@ -8,8 +8,8 @@ templates' terms, plus one dimension for each other term.  Document
 frequencies are counted over all files.  A file's own licence is its best
 template with a cosine of ``threshold`` or more.
 
-Units are compared only if they hold an anchor: the heaviest terms of each
-template, as many as it takes for the rest to weigh less than ``threshold``.
+Units are compared only if they hold an anchor: a template's rarest terms, as
+many as it takes for the others to weigh less than ``threshold`` together.
 A unit without an anchor cannot reach it, so the filter loses nothing.  From
 there on terms are rows: joined with the templates' weights, added up by unit.
 
@@ -172,12 +172,12 @@ class Weights:
             size = math.sqrt(sum(x * x for x in w.values()))
             unit = {t: x / size for t, x in w.items()}
             self.vectors.append(unit)
-            left = 1.0
-            for t, x in sorted(unit.items(), key=lambda e: (-e[1], e[0])):
-                if left < (threshold - 1e-6) ** 2:
-                    break
-                anchors.add(t)
-                left -= x * x
+            # The terms that most files hold are left out first, as long as they weigh less than the threshold together.
+            rest = 0.0
+            for t, x in sorted(unit.items(), key=lambda e: (self.idf[e[0]], e[1], e[0])):
+                rest += x * x
+                if rest >= (threshold - 1e-6) ** 2:
+                    anchors.add(t)
         self.anchors = sorted(anchors)
 
     def table(self, spark) -> DataFrame:
