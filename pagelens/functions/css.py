@@ -25,7 +25,7 @@ WORKER_PATTERNS = (
 )
 #: Properties whose url() is an image.
 IMAGE_PROPERTIES = ("background", "background-image", "border-image", "mask", "mask-image", "cursor")
-#: Properties that may hold a url().
+#: Properties that may hold a url(); ``discover_css`` can be held to them.
 URL_PROPERTIES = ("background", "background-image", "border-image", "border-image-source", "content", "cursor", "filter", "list-style-image", "mask", "mask-image", "shape-outside", "src")
 
 
@@ -33,6 +33,14 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group)), lambda m: F.trim(m))
 
 
+#: Quoted strings and url(), which may hold what looks like a comment, or a comment.
+COMMENT_OR_QUOTED = r"""(?s)("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|url\([^)"']*\))|/\*.*?(?:\*/|\z)"""
+
+
+def without_comments(css: Column) -> Column:
+    return F.regexp_replace(css, COMMENT_OR_QUOTED, "$1")
+
+
 def css_urls(css: Column) -> Column:
     """url() references, then @import strings, each once."""
     return F.array_union(all_matches(css, CSS_URL), all_matches(css, CSS_IMPORT))

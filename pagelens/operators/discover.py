@@ -160,21 +160,48 @@ def asset_map(assets: DataFrame) -> DataFrame:
     return each.groupBy("page_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "urls")))).alias("assets"))
 
 
-def discover_css(sheets: DataFrame, mode: str = "rfc3986", url_col: str = "css_url", css_col: str = "css") -> DataFrame:
-    """Distinct (css_url, category, asset): imports are style sheets, declarations by property, the rest by suffix."""
+def discover_css(sheets: DataFrame, mode: str = "rfc3986", url_col: str = "css_url", css_col: str = "css", properties: tuple[str, ...] | None = None) -> DataFrame:
+    """Distinct (css_url, category, asset): imports are style sheets, declarations by property, the rest by suffix.
+
+    Comments are left out.  With ``properties``, only imports and declarations of these properties count.
+    """
     text = F.col(css_col)
     none = F.lit(None).cast("string")
-    imports = F.transform(css.css_imports(text), lambda u: F.struct(u.alias("raw"), F.lit("@import").alias("property")))
-    declared = F.transform(css.css_declarations(text), lambda d: F.struct(d["url"].alias("raw"), d["property"].alias("property")))
-    plain = F.transform(css.css_urls(text), lambda u: F.struct(u.alias("raw"), none.alias("property")))
-    known = F.transform(F.concat(imports, declared), lambda d: d["raw"])
-    rest = F.filter(plain, lambda p: ~F.array_contains(known, p["raw"]))
-    rows = sheets.select(F.col(url_col).alias("css_url"), F.explode(F.concat(imports, declared, rest)).alias("f")).select("css_url", "f.*")
+
+    def found(clean: Column) -> Column:
+        imports = F.transform(css.css_imports(clean), lambda u: F.struct(u.alias("raw"), F.lit("@import").alias("property")))
+        declared = F.transform(css.css_declarations(clean), lambda d: F.struct(d["url"].alias("raw"), d["property"].alias("property")))
+        if properties is not None:
+            return F.concat(imports, F.filter(declared, lambda d: d["property"].isin(*properties)))
+        known = F.transform(F.concat(imports, declared), lambda d: d["raw"])
+        plain = F.transform(css.css_urls(clean), lambda u: F.struct(u.alias("raw"), none.alias("property")))
+        return F.concat(imports, declared, F.filter(plain, lambda p: ~F.array_contains(known, p["raw"])))
+
+    rows = sheets.select(F.col(url_col).alias("css_url"), F.explode(urls.let(css.without_comments(text), found)).alias("f")).select("css_url", "f.*")
     rows = rows.withColumn("asset", urls.resolve(F.col("raw"), F.col("css_url"), mode)).filter("asset IS NOT NULL")
     category = F.when(F.col("property") == "@import", "stylesheets").otherwise(classify.css_asset_category(F.col("asset"), F.coalesce("property", F.lit(""))))
     return rows.select("css_url", category.alias("category"), "asset").distinct()
 
 
+def fetched_sheets(results: DataFrame) -> DataFrame:
+    """Results (url, success, local_path, ...) that are style sheets: fetched, stored, to process, and named so."""
+    u = F.col("url")
+    return results.filter(F.col("success") & F.col("local_path").isNotNull() & urls.should_process(u) & F.lower(u).contains(".css"))
+
+
+def sheet_step(results: DataFrame, sheets: DataFrame, mode: str = "rfc3986") -> DataFrame:
+    """Distinct (css_url, category, asset) of one batch of results: the fetched sheets' texts (url, css), that are not among the results yet."""
+    texts = sheets.join(fetched_sheets(results).select("url").distinct(), "url", "left_semi").withColumnRenamed("url", "css_url")
+    return discover_css(texts, mode).join(results.select(F.col("url").alias("asset")).distinct(), "asset", "left_anti").select("css_url", "category", "asset")
+
+
+def import_edges(results: DataFrame, sheets: DataFrame, mode: str = "rfc3986") -> DataFrame:
+    """Distinct (src, dst): what the fetched sheets import."""
+    texts = sheets.join(fetched_sheets(results).select("url").distinct(), "url", "left_semi")
+    raw = F.explode(urls.let(css.without_comments(F.col("css")), css.css_imports))
+    return texts.select(F.col("url").alias("src"), raw.alias("raw")).select("src", urls.resolve(F.col("raw"), F.col("src"), mode).alias("dst")).filter("dst IS NOT NULL").distinct()
+
+
 def per_category(assets: DataFrame) -> DataFrame:
     return assets.groupBy("category").agg(F.count("*").alias("n_assets"), F.count_distinct("asset").alias("n_urls"))
 

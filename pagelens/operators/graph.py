@@ -28,10 +28,13 @@ class Caps:
 
 
 def _ready(spark: SparkSession) -> None:
-    """A checkpoint folder: the cluster's, or for local tests one of our own."""
+    """A checkpoint folder: the cluster's, or on a local master (tests) one of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pagelens-graph-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: closures need a folder that all executors share")
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="pagelens-graph-"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 8) -> DataFrame:
@@ -49,18 +52,21 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 8) -> DataFrame
     return visited
 
 
-def on_cycles(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def on_cycles(edges: DataFrame, peels: int = 4) -> DataFrame:
     """(node, reaches_cycle) of every node: nodes without successors are peeled off until none is left.
 
-    What remains are the nodes that can reach a cycle.
+    What remains are the nodes that can reach a cycle.  A round peels
+    ``peels`` times and then stores what is left.
     """
     _ready(edges.sparkSession)
     edges = edges.select("src", "dst").distinct().checkpoint()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     left, n = edges, edges.count()
     while n:
-        alive = left.select(F.col("src").alias("dst")).distinct()
-        new = left.join(alive, "dst", "left_semi").select("src", "dst").checkpoint()
+        new = left
+        for _ in range(peels):
+            new = new.join(new.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        new = new.checkpoint()
         m = new.count()
         if m == n:
             break

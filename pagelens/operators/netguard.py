@@ -54,10 +54,10 @@ def _private_ipv6(col: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def dns_guard(dns: DataFrame, ipv6: bool = False) -> DataFrame:
+def dns_guard(dns: DataFrame, ipv6: bool = True) -> DataFrame:
     """(hostname, allowed) of a table (hostname, ip): false if any address is private or no address at all.
 
-    ``ipv6`` also reads IPv6 addresses, which takes a Python step; else they count as unparsable.
+    IPv4 is arithmetic; IPv6 takes an Arrow step.  Without ``ipv6`` such addresses count as unparsable.
     """
     ip = F.col("ip")
     bad = F.when(ipv4_number(ip).isNotNull(), is_private_ipv4(ip)).otherwise(F.arrow_udf(_private_ipv6, "boolean")(ip) if ipv6 else F.lit(True))
@@ -115,6 +115,11 @@ def headers_of(config: dict) -> dict[str, str]:
     raise ValueError(f"unknown authentication type: {kind}")
 
 
+def composite_headers(configs: list[dict]) -> dict[str, str]:
+    """Headers of several strategies; later ones win."""
+    return {k: v for c in configs for k, v in headers_of(c).items()}
+
+
 def auth_rules(spark, config: dict) -> DataFrame:
     """(domain, priority, headers) of a configuration; the default has a null domain."""
     rows = [(None, 1 << 30, headers_of(config.get("default", {"type": "none"}) if config.get("type") == "domain_based" else config))]

@@ -82,10 +82,21 @@ def breaker_status(replay: DataFrame, key: str = "domain") -> DataFrame:
     return replay.groupBy(key).agg(F.max_by("state", F.struct("ts", "request_id")).alias("state"), F.count_if(~F.col("executed")).alias("rejected"))
 
 
-def trailing_rate(log: DataFrame, key: str = "domain", limit: int = 10) -> DataFrame:
-    """Adds the requests of the key in the second up to each one, and whether they exceed ``limit``."""
-    w = W.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-999_999, 0)
-    return log.withColumn("in_last_second", F.count("*").over(w)).withColumn("over_limit", F.col("in_last_second") > limit)
+def trailing_rate(log: DataFrame, key: str = "domain", limit: int = 10, slice_seconds: int = 60) -> DataFrame:
+    """Adds the requests of the key in the second up to each one, and whether they exceed ``limit``.
+
+    A key's requests are divided into slices of time, so a frequent key is
+    many groups; the last second of a slice is also read with the next one.
+    """
+    columns, length = log.columns, slice_seconds * 1_000_000
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = F.floor(t / F.lit(length)).cast("long")
+    rows = log.select(F.struct(*columns).alias("row"), F.col(key).alias("k"), t.alias("t"), own.alias("own"))
+    with_next = F.when(F.col("t") - F.col("own") * length > length - 1_000_000, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))
+    rows = rows.withColumn("slice", F.explode(F.coalesce(with_next, F.array(F.lit(None).cast("long")))))
+    w = W.partitionBy("k", "slice").orderBy("t").rangeBetween(-999_999, 0)
+    counted = rows.withColumn("in_last_second", F.count("*").over(w)).filter(F.col("slice").eqNullSafe(F.col("own")))
+    return counted.select("row.*", "in_last_second").withColumn("over_limit", F.col("in_last_second") > limit)
 
 
 def limiter_schedule(log: DataFrame, key: str = "domain", per_second: int = 10, burst: int = 5) -> DataFrame:
@@ -134,14 +145,16 @@ def alternates(failed: DataFrame, snapshot: DataFrame) -> DataFrame:
 def dns_as_of(requests: DataFrame, verdicts: DataFrame, ttl_seconds: int = 300) -> DataFrame:
     """Each request (request_id, hostname, ts) with the last verdict (hostname, checked_at, allowed) that is not older than the TTL.
 
-    Requests and verdicts are merged in time order per host; the last verdict is carried forward.
+    Requests and verdicts are merged in time order per host and slice of one
+    TTL; the last verdict is carried forward.  A verdict is read in its own
+    slice and in the next: beyond that it is too old.
     """
-    asks = requests.select("hostname", "ts", F.lit(1).alias("kind"), "request_id", F.lit(None).cast("boolean").alias("allowed"))
-    known = verdicts.select("hostname", F.col("checked_at").alias("ts"), F.lit(0).alias("kind"), F.lit(None).cast(dict(requests.dtypes)["request_id"]).alias("request_id"), "allowed")
-    w = W.partitionBy("hostname").orderBy("ts", "kind").rowsBetween(W.unboundedPreceding, 0)
+    slice_of = lambda c: F.floor(F.col(c).cast("timestamp").cast("double") / ttl_seconds).cast("long")
+    asks = requests.select("hostname", "ts", slice_of("ts").alias("slice"), F.lit(1).alias("kind"), "request_id", F.lit(None).cast("boolean").alias("allowed"))
+    own = slice_of("checked_at")
+    known = verdicts.select("hostname", F.col("checked_at").alias("ts"), F.explode(F.array(own, own + 1)).alias("slice"), F.lit(0).alias("kind"), F.lit(None).cast(dict(requests.dtypes)["request_id"]).alias("request_id"), "allowed")
+    w = W.partitionBy("hostname", "slice").orderBy("ts", "kind").rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(F.col("kind") == 0, F.struct("ts", "allowed")), ignorenulls=True).over(w)
     rows = asks.unionByName(known).withColumn("last", last).filter("kind = 1")
     fresh = F.col("ts").cast("timestamp").cast("double") - F.col("last.ts").cast("timestamp").cast("double") < ttl_seconds
     return rows.select("request_id", "hostname", "ts", F.when(fresh, F.col("last.allowed")).alias("cached_verdict"))
-
-

@@ -45,15 +45,26 @@ def _applied(documents: DataFrame, maps: DataFrame, key: str, text: str, functio
     return out.withColumn("status", status).drop("_old", "changes")
 
 
-def rewrite_pages(pages: DataFrame, mapping: DataFrame, mode: str = "rfc3986", against: str = "page", site_url: str = "") -> DataFrame:
-    """Pages (page_id, url, html, page_dir) with rewritten html and a status: changed, unchanged or failed.
+REWRITTEN = ("attribute", "inline_style", "style_tag", "modern_css")
+
+
+def page_links(pages: DataFrame, mode: str = "rfc3986", against: str = "page", site_url: str = "", extractors: tuple[str, ...] = REWRITTEN) -> DataFrame:
+    """(page_id, page_dir, raw, asset) of pages (page_id, url, html, page_dir): what rewriting may change.
 
     ``against``: references are resolved on their page, or on the site's base URL.
     """
     parsed = discover.parsed(pages, keep=("page_id", "url", "page_dir"))
-    found = discover.references(parsed, ("attribute", "inline_style", "style_tag", "modern_css")).filter(~F.col("raw").rlike(PASSED))
+    found = discover.references(parsed, extractors).filter(~F.col("raw").rlike(PASSED))
     base = F.col("url") if against == "page" else F.lit(site_url)
-    links = found.select("page_id", "page_dir", "raw", urls.resolve(F.col("raw"), base, mode).alias("asset")).filter("asset IS NOT NULL")
+    return found.select("page_id", "page_dir", "raw", urls.resolve(F.col("raw"), base, mode).alias("asset")).filter("asset IS NOT NULL")
+
+
+def rewrite_pages(pages: DataFrame, mapping: DataFrame, mode: str = "rfc3986", against: str = "page", site_url: str = "", links: DataFrame | None = None) -> DataFrame:
+    """Pages (page_id, url, html, page_dir) with rewritten html and a status: changed, unchanged or failed.
+
+    ``links``: a stored ``page_links`` of these pages, so that they are not parsed again.
+    """
+    links = page_links(pages, mode, against, site_url) if links is None else links
     return _applied(pages, _maps(links, mapping, "page_id"), "page_id", "html", html.rewrite_html)
 
 

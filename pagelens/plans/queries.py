@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import SCHEMA, Settings
 from ..functions import classify, css, html, paths, urls, validate
 from ..operators import accounting, discover, graph, index, netguard, repository, resilience, rewrite
 from ..sources import readers, sinks
@@ -134,6 +134,18 @@ def validate_sizes(spark, d):
     return V.frame(spark, SIZES, "v string").select("v", validate.checked_size(F.col("v"), 104857600).alias("c")).select("v", F.col("c.value").alias("size"), F.col("c.error").alias("error"))
 
 
+_KINDS = "CASE json_type(value) WHEN 'BOOLEAN' THEN 'flag' WHEN 'VARCHAR' THEN 'text' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'map' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'number' ELSE 'whole number' END"
+_ALLOWED = V.values([(k, " or ".join(kinds), "|".join((*kinds, *(["flag"] if "whole number" in kinds else [])))) for k, kinds in SCHEMA.items()], "key", "wanted", "kinds")
+
+
+@query(
+    f"SELECT id, key, CASE WHEN ok THEN value ->> '$' END AS value, CASE WHEN NOT ok THEN 'must be ' || wanted || ', not ' || kind END AS error FROM (SELECT *, list_contains(string_split(kinds, '|'), kind) AS ok FROM (SELECT c.id, e.key, e.value, {_KINDS} AS kind FROM (SELECT id, config::JSON AS config FROM {V.values(V.CONFIGS, 'id', 'config')} WHERE json_valid(config) AND starts_with(config, '{{')) c, json_each(c.config) e) JOIN {_ALLOWED} a USING (key)) "
+    f"UNION ALL SELECT id, NULL, NULL, 'must be a map' FROM {V.values(V.CONFIGS, 'id', 'config')} WHERE NOT starts_with(config, '{{')"
+)
+def config_check(spark, d):
+    return validate.checked_configs(V.frame(spark, V.CONFIGS, "id int, config string"), SCHEMA)
+
+
 # Paths and formats.
 
 GOLDEN_PATHS = [
@@ -284,6 +296,43 @@ def discover_css(spark, d):
     return discover.discover_css(V.frame(spark, V.CSS, "id long, css_url string, css string"))
 
 
+_SHEETS = "id long, css_url string, css string"
+
+
+@query(f"SELECT css_url, category, asset FROM {V.values(V.COMMENTED_ASSETS, 'css_url', 'category', 'asset')}")
+def discover_css_comments(spark, d):
+    return discover.discover_css(V.frame(spark, V.COMMENTED_CSS, _SHEETS))
+
+
+@query(f"SELECT css_url, category, asset FROM {V.values(V.COMMENTED_ASSETS, 'css_url', 'category', 'asset')} WHERE NOT contains(asset, 'thing')")
+def discover_css_properties(spark, d):
+    """Only properties that are known to hold a url()."""
+    return discover.discover_css(V.frame(spark, V.COMMENTED_CSS, _SHEETS), properties=css.URL_PROPERTIES)
+
+
+def _sheet_results(spark) -> DataFrame:
+    return V.frame(spark, V.SHEET_RESULTS, "url string, success boolean, local_path string")
+
+
+_FETCHED = f"(SELECT url FROM {V.values([r[0] for r in V.SHEET_RESULTS if r[1]], 'url')} WHERE contains(url, '.css'))"
+
+
+@query(f"SELECT css_url, category, asset FROM {V.values(V.COMMENTED_ASSETS, 'css_url', 'category', 'asset')} WHERE css_url IN {_FETCHED} AND asset NOT IN (SELECT url FROM {V.values([r[0] for r in V.SHEET_RESULTS], 'url')})")
+def sheet_step(spark, d):
+    """What one scan of the fetched sheets adds."""
+    return discover.sheet_step(_sheet_results(spark), V.frame(spark, V.COMMENTED_CSS, _SHEETS).select(F.col("css_url").alias("url"), "css"))
+
+
+_IMPORTS = f"(SELECT css_url AS src, asset AS dst FROM {V.values(V.COMMENTED_ASSETS, 'css_url', 'category', 'asset')} WHERE category = 'stylesheets' AND css_url IN {_FETCHED})"
+
+
+@query(f"WITH RECURSIVE r(node, depth) AS (SELECT 'https://e.com/s/b.css', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN {_IMPORTS} e ON e.src = r.node WHERE r.depth < 8) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def sheet_closure(spark, d):
+    """The closure of imports, from fetched sheets."""
+    texts = V.frame(spark, V.COMMENTED_CSS, _SHEETS).select(F.col("css_url").alias("url"), "css")
+    return graph.css_closure(discover.import_edges(_sheet_results(spark), texts), V.frame(spark, ["https://e.com/s/b.css"], "node string"))
+
+
 @query(f"SELECT id, kind, unnest(refs) AS ref FROM (SELECT id, 'variable' AS kind, {S.matches('css', css.CSS_VARIABLE)} AS refs FROM {_CSS} UNION ALL SELECT id, 'image_set', {S.matches('css', css.CSS_IMAGE_SET)} FROM {_CSS} UNION ALL SELECT id, 'filter', {S.matches('css', css.CSS_FILTER)} FROM {_CSS})")
 def extract_modern_css(spark, d):
     rows = V.frame(spark, V.CSS, "id long, css_url string, css string")
@@ -339,7 +388,7 @@ def snapshot_fetch(spark, d):
 @query(f"SELECT l.page_id, l.raw, coalesce(repeat('../', 2) || 'p/' || m.page_id || '.html', l.raw) AS new FROM ({S.resolve_from(LINKS, 'raw', 'url', 'rfc3986')}) l LEFT JOIN (SELECT min(page_id) AS page_id, asset FROM ({S.resolve_from(LINKS, 'raw', 'url', 'rfc3986')}) WHERE page_id % 2 = 0 GROUP BY asset) m USING (asset) WHERE l.asset IS NOT NULL")
 def mapping_lookup(spark, d):
     """Every link of every page against a mapping made of half the pages' links."""
-    refs = discover.resolved(discover.references(discover.parsed(_pages(spark, d)), ("attribute",)))
+    refs = discover.resolved(discover.references(discover.parsed(_pages(spark, d)), ("attribute",))).select("page_id", "raw", "asset").persist()  # parsed once, read twice
     links = refs.select("page_id", F.lit("a/b").alias("page_dir"), "raw", "asset")
     mapping = refs.filter("page_id % 2 = 0").groupBy(F.col("asset").alias("url")).agg(F.concat(F.lit("p/"), F.min("page_id").cast("string"), F.lit(".html")).alias("relative_url"))
     return rewrite.lookup(links, mapping).select("page_id", "raw", "new")
@@ -532,7 +581,7 @@ def css_cycles(spark, d):
 def _cidr_sql(ip: str) -> str:
     n = f"(CAST(string_split({ip}, '.')[1] AS BIGINT) * 16777216 + CAST(string_split({ip}, '.')[2] AS BIGINT) * 65536 + CAST(string_split({ip}, '.')[3] AS BIGINT) * 256 + CAST(string_split({ip}, '.')[4] AS BIGINT))"
     ranges = " OR ".join(f"{n} BETWEEN {a} AND {b}" for a, b in netguard._ranges(netguard.PRIVATE_NETWORKS + netguard.RESERVED_NETWORKS))
-    return rf"(CASE WHEN regexp_full_match({ip}, '\d{{1,3}}(\.\d{{1,3}}){{3}}') THEN ({ranges}) ELSE TRUE END)"
+    return rf"(CASE WHEN regexp_full_match({ip}, '\d{{1,3}}(\.\d{{1,3}}){{3}}') THEN ({ranges}) WHEN regexp_full_match({ip}, '[0-9a-f:]*:[0-9a-f:]*') AND NOT contains({ip}, ':::') THEN regexp_matches({ip}, '^(::1$|f[cd][0-9a-f][0-9a-f]:|fe[89ab][0-9a-f]:)') ELSE TRUE END)"
 
 
 @query(f"SELECT hostname, NOT bool_or({_cidr_sql('ip')}) AS allowed FROM {V.values(V.DNS, 'hostname', 'ip')} GROUP BY hostname")
@@ -558,6 +607,19 @@ def auth_match(spark, d):
     return netguard.match_auth(asked, netguard.auth_rules(spark, V.AUTH)).select("url", F.explode("headers").alias("name", "value"))
 
 
+COMPOSED = [("Accept", "b"), ("Authorization", "Bearer dummy-3"), ("X-A", "1")]
+
+
+@query(f"SELECT name, value FROM {V.values(COMPOSED, 'name', 'value')}")
+def auth_composite(spark, d):
+    """Basic, then bearer and two sets of own headers: later ones win, on the driver and as columns."""
+    own = {"X-A": "1", "Accept": "a"}
+    settled = netguard.composite_headers([{"type": "basic", "username": "u", "password": "p"}, {"type": "bearer", "token": "dummy-3"}, {"type": "custom", "headers": own}, {"type": "custom", "headers": {"Accept": "b"}}])
+    each = [netguard.basic_header(F.lit("u"), F.lit("p")), netguard.bearer_header(F.lit("dummy-3")), F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.create_map(F.lit("Accept"), F.lit("b"))]
+    columns = spark.range(1).select(F.explode(netguard.merged_headers(*each)).alias("name", "value"))
+    return columns.join(V.frame(spark, sorted(settled.items()), "name string, value string"), ["name", "value"])
+
+
 # Time: rates, attempts, alternates, replays.
 
 
@@ -594,19 +656,61 @@ def dns_ttl(spark, d):
     return resilience.dns_as_of(ev.select(F.col("event_id").alias("request_id"), "hostname", "ts"), verdicts).select("request_id", "cached_verdict")
 
 
-@query()
+def _breaker_sql(failures: int, timeout: float, successes: int = 2) -> str:
+    """The breaker as a recursive query: one request of every key in each round."""
+    out = f"(r.state = 'open' AND l.t - r.last < {timeout})"
+    now = "(CASE WHEN r.state = 'open' THEN 'half_open' ELSE r.state END)"
+    return f"""
+WITH RECURSIVE log AS (SELECT event_id AS request_id, 'd' || user_id AS domain, ts, epoch_us(ts) / 1e6 AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r(k, domain, request_id, ts, ok, executed, state, failed, succeeded, last) AS (
+  SELECT 0::BIGINT, domain, NULL::BIGINT, NULL::TIMESTAMP, NULL::BOOLEAN, NULL::BOOLEAN, 'closed', 0, 0, NULL::DOUBLE FROM (SELECT DISTINCT domain FROM log)
+  UNION ALL
+  SELECT l.k, l.domain, l.request_id, l.ts, l.ok, NOT {out},
+    CASE WHEN {out} THEN 'open' WHEN l.ok THEN CASE WHEN {now} = 'half_open' AND r.succeeded + 1 < {successes} THEN 'half_open' ELSE 'closed' END WHEN {now} = 'half_open' OR r.failed + 1 >= {failures} THEN 'open' ELSE {now} END,
+    CASE WHEN {out} THEN r.failed WHEN l.ok THEN CASE WHEN {now} = 'half_open' AND r.succeeded + 1 < {successes} THEN r.failed ELSE 0 END ELSE r.failed + 1 END,
+    CASE WHEN {out} THEN r.succeeded WHEN l.ok THEN CASE WHEN {now} = 'half_open' AND r.succeeded + 1 < {successes} THEN r.succeeded + 1 WHEN {now} = 'half_open' THEN 0 ELSE r.succeeded END WHEN {now} = 'half_open' THEN 0 ELSE r.succeeded END,
+    CASE WHEN {out} OR l.ok THEN r.last ELSE l.t END
+  FROM r JOIN log l ON l.domain = r.domain AND l.k = r.k + 1)
+"""
+
+
+_BREAKER = _breaker_sql(2, 86400.0)
+
+
+@query(_BREAKER + "SELECT request_id, domain, epoch_us(ts) AS t, ok, executed, state FROM r WHERE k > 0")
 def breaker_replay(spark, d):
-    return resilience.breaker_replay(_log(spark, d), failures=2, timeout=86400.0)
+    return resilience.breaker_replay(_log(spark, d), failures=2, timeout=86400.0).withColumn("t", F.unix_micros("ts")).drop("ts")
 
 
-@query()
+@query(_BREAKER + "SELECT domain, arg_max(state, k) AS state, count(*) FILTER (NOT executed) AS rejected FROM r WHERE k > 0 GROUP BY domain")
 def breaker_status(spark, d):
     return resilience.breaker_status(resilience.breaker_replay(_log(spark, d), failures=2, timeout=86400.0))
 
 
-@query()
+def _limiter_sql(per_second: int = 10, burst: int = 5) -> str:
+    """The limiter as a recursive query; thirty days of events pass in some twenty minutes, so that it has to hold requests back."""
+    now = "greatest(l.t, r.clock)"
+    anew = f"({now} - r.reset >= 1.0)"
+    used = f"(CASE WHEN {anew} THEN 0 ELSE r.used END)"
+    recent = f"list_filter(r.recent, lambda x: {now} - x < 1.0)"
+    start = f"(CASE WHEN {used} < {burst} OR len({recent}) < {per_second} THEN {now} ELSE greatest({now}, {recent}[1] + 1.0) END)"
+    return f"""
+WITH RECURSIVE log AS (SELECT event_id AS request_id, user_id % 5 AS domain, (epoch_us(ts) - 1704067200000000) // 2592 AS us, row_number() OVER (PARTITION BY user_id % 5 ORDER BY (epoch_us(ts) - 1704067200000000) // 2592, event_id) AS k FROM events),
+timed AS (SELECT *, us / 1e6 AS t FROM log),
+r(k, domain, request_id, wait, recent, used, reset, clock) AS (
+  SELECT 0::BIGINT, domain, NULL::BIGINT, NULL::DOUBLE, []::DOUBLE[], 0, min(t), min(t) FROM timed GROUP BY domain
+  UNION ALL
+  SELECT l.k, l.domain, l.request_id, {start} - l.t, list_append({recent}, {start}), {used} + CASE WHEN {used} < {burst} THEN 1 ELSE 0 END, CASE WHEN {anew} THEN {now} ELSE r.reset END, {start}
+  FROM r JOIN timed l ON l.domain = r.domain AND l.k = r.k + 1)
+SELECT request_id, domain, wait FROM r WHERE k > 0
+"""
+
+
+@query(_limiter_sql())
 def limiter_schedule(spark, d):
-    return resilience.limiter_schedule(_log(spark, d))
+    us = F.expr("(unix_micros(cast(ts AS timestamp)) - 1704067200000000) div 2592")
+    log = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 5).alias("domain"), F.timestamp_micros(us).alias("ts"))
+    return resilience.limiter_schedule(log).select("request_id", "domain", "wait")
 
 
 # Rewriting.
@@ -632,23 +736,23 @@ def rewrite_html(spark, d):
     return rewrite.rewrite_pages(before, mapping).select("page_id", "html", "status")
 
 
-@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)) AS raw FROM pages) GROUP BY page_id")
+@query(f"SELECT page_id, coalesce('../f/' || md5(asset), raw) AS target, count(*) AS n FROM ({S.resolve_from(LINKS, 'raw', 'url', 'rfc3986')}) GROUP BY ALL")
 def rewrite_all_pages(spark, d):
-    """Every link of every page mapped to a local file: afterwards each page has as many local links as it had links."""
+    """Every link of every page mapped to a local file, and the targets read back from the rewritten pages."""
     p = _pages(spark, d).withColumn("page_dir", F.lit("x"))
-    assets = discover.discover(p, extractors=("attribute",)).select(F.col("asset").alias("url")).distinct()
-    done = rewrite.rewrite_pages(p, assets.withColumn("relative_url", F.concat(F.lit("f/"), F.md5(F.col("url").cast("binary")))))
-    links = F.regexp_extract_all("html", F.lit('<a[^>]*href="(\\.\\./f/[0-9a-f]{32})"'), F.lit(1))
-    return done.filter("status = 'changed'").select("page_id", F.size(links).cast("long").alias("n"))
+    links = rewrite.page_links(p).persist()  # parsed once, read for the mapping and for the pages
+    mapping = links.select(F.col("asset").alias("url")).distinct().withColumn("relative_url", F.concat(F.lit("f/"), F.md5(F.col("url").cast("binary"))))
+    done = rewrite.rewrite_pages(p, mapping, links=links)
+    target = F.explode(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), F.lit(1)))
+    return done.select("page_id", target.alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
 # Sources and sinks.
 
 
-@query(f"SELECT hex, text FROM {V.values([('636166c3a9', 'café'), ('636166e9', 'café'), ('', ''), ('ff00', chr(255) + chr(0)), ('68656c6c6f', 'hello')][:3] + [('68656c6c6f', 'hello')], 'hex', 'text')}")
+@query(f"SELECT hex, CASE WHEN hex = 'ff00' THEN chr(255) || chr(0) ELSE text END AS text FROM {V.values([('636166c3a9', 'café'), ('636166e9', 'café'), ('', ''), ('ff00', ''), ('68656c6c6f', 'hello')], 'hex', 'text')}")
 def decode_bytes(spark, d):
-    rows = V.frame(spark, [b for b in V.BYTES if b != "ff00"], "hex string")
-    return rows.select("hex", readers.decoded(F.unhex("hex")).alias("text"))
+    return V.frame(spark, V.BYTES, "hex string").select("hex", readers.decoded(F.unhex("hex")).alias("text"))
 
 
 @query(f"SELECT local_path, n FROM (SELECT local_path, file_size AS n FROM {RESULTS} WHERE success UNION ALL SELECT 'index.html', file_size FROM {RESULTS} WHERE local_path = 'p/1.html')")

@@ -92,13 +92,30 @@ def test_scope_vectors(spark):
 
 
 def test_settings_round_trip(tmp_path):
-    s = Settings(target_url="https://e.com", blocked_domains=frozenset({"b.c"}), custom_headers={"A": "b"})
+    s = Settings(target_url="https://e.com", blocked_domains=frozenset({"b.c"}), other={"custom_headers": {"A": "b"}})
     s.to_file(str(tmp_path / "c.json"))
     assert Settings.from_file(str(tmp_path / "c.json")) == s and Settings.from_file(str(tmp_path / "none.json")) == Settings()
-    (tmp_path / "bad.json").write_text(json.dumps({"unknown": 1}))
-    with pytest.raises(TypeError):
-        Settings.from_file(str(tmp_path / "bad.json"))
-    assert s.with_flags(max_depth=None, max_retries=2).max_retries == 2 and s.with_flags(max_depth=None).max_depth == 3
+    for wrong in ({"unknown": 1}, {"max_depth": "3"}, {"allowed_domains": "e.com"}, {"same_domain_only": 1}, [1]):
+        (tmp_path / "bad.json").write_text(json.dumps(wrong))
+        with pytest.raises(TypeError):
+            Settings.from_file(str(tmp_path / "bad.json"))
+    assert Settings.of({"retry_delay": 2, "max_depth": True}).other == {"retry_delay": 2}
+    assert s.with_flags(max_depth=None, max_retries=2).other["max_retries"] == 2 and s.with_flags(max_depth=None).max_depth == 3 and s.with_flags(max_depth=5).max_depth == 5
+
+
+def test_rates_and_verdicts_across_slices(spark):
+    """Slices of time change nothing: against plain windows over whole keys."""
+    from pyspark.sql import Window as W
+
+    from pagelens.operators import resilience
+
+    log = spark.range(3000).select(F.col("id").alias("request_id"), (F.col("id") % 2).alias("domain"), F.timestamp_micros((F.col("id") * F.col("id") * 37_003) % 90_000_000).alias("ts")).withColumn("k", F.lit(1)).withColumn("row", F.lit(2))
+    w = W.partitionBy("domain").orderBy(F.unix_micros("ts")).rangeBetween(-999_999, 0)
+    want = {r["request_id"]: r["n"] for r in log.select("request_id", F.count("*").over(w).alias("n")).collect()}
+    for seconds in (1, 7, 60):
+        out = resilience.trailing_rate(log, slice_seconds=seconds)
+        assert out.columns == [*log.columns, "in_last_second", "over_limit"]
+        assert {r["request_id"]: r["in_last_second"] for r in out.collect()} == want
 
 
 def test_validators(spark):
