@@ -11,7 +11,7 @@ Each id takes the minimum number of bits that the vocabulary needs.  A file
 A reader seeks to the block of any id and unpacks it with numpy alone.  A
 writer holds one block and its documents' numbers, not the shard.
 
-A shard has about ``shard_bytes`` of text, so shards grow in number with the
+A shard has about ``shard_rows`` documents, so shards grow in number with the
 corpus, not in size.  Rows of one id that would fill several shards, or of no
 id, are divided among these by the hash of their text.
 
@@ -28,7 +28,8 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from itertools import chain, repeat
+from array import array
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +124,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.most = self.tokenizer.model, most
-        self.letters = _byte_letters()
+        self.letters = _byte_letters()  # also a table for str.translate of bytes read as Latin-1
         spec = json.loads(self.tokenizer.to_str())
         self.by_word = spec["model"].get("end_of_word_suffix") == "</w>" and any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
         self.clear()
@@ -131,34 +132,32 @@ class WordEncoder:
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}  # of whole ids: a place in the arrays
         self.sizes: dict[bytes, int] = {}  # where only lengths are asked for
-        self.cores: dict[str, list[int]] = {}
-        self.signs: dict[str, list[int]] = {}
+        self.cores: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.flat, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
         self.start = np.empty(0, np.int64)
+        self.hits = np.empty(0, np.int32)  # in how many calls
 
-    def whole(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+    # Ids of a piece are kept as bytes (little-endian unsigned 32-bit integers): small, and nothing for the garbage collector to visit.
 
-    def core(self, core: str) -> list[int]:
+    def whole(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def core(self, core: str) -> bytes:
         """Ids of lower-case letters."""
         ids = self.cores.get(core)
         if ids is None:
-            word = core if core.isascii() else "".join(self.letters[b] for b in core.encode())
-            ids = self.cores[core] = [t.id for t in self.model.tokenize(word)]
+            word = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            ids = self.cores[core] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         return ids
 
-    def sign(self, sign: str) -> list[int]:
+    def sign(self, sign: str) -> bytes:
         ids = self.signs.get(sign)
         if ids is None:
             ids = self.signs[sign] = self.whole(sign)
         return ids
 
-    def piece(self, raw: bytes) -> list[int]:
-        # Most pieces are ASCII letters, with one sign at the end at most.
-        if raw.isalpha():
-            return self.core(raw.lower().decode())
-        if raw[-1] in PLAIN_SIGNS and raw[:-1].isalpha():
-            return self.core(raw[:-1].lower().decode()) + self.sign(raw[-1:].decode())
+    def piece(self, raw: bytes) -> bytes:
         text = raw.decode()
         m = _TAIL.match(text)
         if not m or "'" in m[2] or "<" in m[2] or "Σ" in text or not m[2].isascii():
@@ -170,19 +169,47 @@ class WordEncoder:
                 return self.whole(text)
         return self.core(core) + self.sign(sign) if sign else self.core(core)
 
-    def learn(self, words) -> None:
+    def pieces(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of ``words``; most are ASCII letters, with one sign at the end at most."""
+        get, core, out = self.cores.get, self.core, []
+        for raw, low in zip(words, b" ".join(words).lower().decode().split(" ")):
+            if raw.isalpha():
+                out.append(get(low) or core(low))
+            elif raw[-1] in PLAIN_SIGNS and raw[:-1].isalpha():
+                low, sign = low[:-1], low[-1]
+                out.append((get(low) or core(low)) + self.sign(sign))
+            else:
+                out.append(self.piece(raw))
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
         """Add the pieces of ``words``, distinct and new, to the cache."""
-        ids = [self.piece(w) for w in words]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = self.pieces(words)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.index.update(zip(words, range(len(self.size), len(self.size) + len(ids))))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        self.hits = np.concatenate([self.hits, np.zeros(len(ids), np.int32)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+
+    def forget(self) -> None:
+        """Drop what was of use in one call only; all of it, if that would not halve the cache."""
+        keep = np.flatnonzero(self.hits > 1)
+        if not len(self.index) or len(keep) > self.most // 2:
+            self.clear()
+            return
+        kept_words = list(compress(self.index, self.hits > 1))
+        size, start, flat = self.size[keep], self.start[keep], self.flat
+        self.clear()
+        self.index = dict(zip(kept_words, range(len(kept_words))))
+        ends = np.cumsum(size)
+        self.flat = flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.size, self.start, self.hits = size, ends - size, np.zeros(len(size), np.int32)
 
     def words(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """The white-space-separated words of all texts in order, and where each text's begin and end."""
         if len(self.index) + len(self.sizes) > self.most:
-            self.clear()
+            self.forget()
         parts = [t.split() for t in texts]
         return list(chain.from_iterable(parts)), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
 
@@ -196,8 +223,9 @@ class WordEncoder:
         new = np.flatnonzero(at < 0)
         if len(new):
             late = [words[k] for k in new]
-            self.learn(dict.fromkeys(late))
-            at[new] = [self.index[w] for w in late]
+            self.learn(list(dict.fromkeys(late)))
+            at[new] = np.fromiter(map(self.index.get, late), np.int64, len(late))
+        self.hits[at] += 1
         sizes = self.size[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
@@ -213,8 +241,9 @@ class WordEncoder:
         new = np.flatnonzero(sizes < 0)
         if len(new):
             late = [words[k] for k in new]
-            known.update((w, len(self.piece(w))) for w in dict.fromkeys(late))
-            sizes[new] = [known[w] for w in late]
+            fresh = list(dict.fromkeys(late))
+            known.update((w, len(ids) // 4) for w, ids in zip(fresh, self.pieces(fresh)))
+            sizes[new] = np.fromiter(map(known.get, late), np.int64, len(late))
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ends[edges[1:]] - ends[edges[:-1]]
 
@@ -245,13 +274,13 @@ class Shards:
         return np.where(valid, out, np.minimum((share * self.null_shards).astype(np.int64), max(0, self.null_shards - 1)))
 
 
-def plan_shards(docs: DataFrame, shard_bytes: int, id_col: str, text_col: str) -> Shards | None:
-    """Shards of about ``shard_bytes`` of text; None for an empty table.  Quantiles come from the ids alone, so texts are encoded once."""
+def plan_shards(docs: DataFrame, shard_rows: int, id_col: str) -> Shards | None:
+    """Shards of about ``shard_rows`` rows; None for an empty table.  Only ids are read, so texts are read and encoded once."""
     key = F.col(id_col).cast("long")
-    rows, ids, size = docs.agg(F.count(F.lit(1)), F.count(key), F.sum(F.octet_length(text_col))).first()
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count(key)).first()
     if not rows:
         return None
-    wanted = max(1, -(-(size or 0) // shard_bytes))
+    wanted = -(-rows // shard_rows)
     nulls = -(-wanted * (rows - ids) // rows)
     parts = max(1, wanted - nulls)
     quantiles = docs.select(F.percentile_approx(key, [k / parts for k in range(1, parts)], min(100 * parts, 1_000_000))).first()[0] if parts > 1 else []
@@ -285,7 +314,7 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = 32_000_000, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_rows: int = 8192, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` and write one file per shard below ``path`` (a URI that all executors reach).
 
     A task writes to a name of its own and renames it at the end: a repeated
@@ -296,7 +325,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
 
     schema = "shard int, file string, n_docs long, n_tokens long"
     width = bit_width(Tokenizer.from_file(tokenizer).get_vocab_size())
-    shards = plan_shards(docs, shard_bytes, id_col, text_col)
+    shards = plan_shards(docs, shard_rows, id_col)
     if shards is None:
         return docs.sparkSession.createDataFrame([], schema)
     encoded = encode_documents(docs, tokenizer, end_id, id_col, text_col, shards)

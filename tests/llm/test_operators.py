@@ -63,7 +63,7 @@ def test_token_files_equal_the_library(spark, awkward):
     from pagelens.llm.token_pack import ShardReader, _open, read_tokens, write_tokens
 
     path = scratch_path(spark, "tokens")
-    manifest = write_tokens(awkward, path, tokenizer_path(), 1, shard_bytes=100_000, block_ids=64)
+    manifest = write_tokens(awkward, path, tokenizer_path(), 1, shard_rows=4, block_ids=64)
     assert manifest.count() > 1
     got = sorted(read_tokens(manifest, path, per_read=500).collect(), key=lambda r: r["start"])
     tk = Tokenizer.from_file(tokenizer_path())
@@ -93,11 +93,11 @@ def test_shards_divide_repeated_and_null_ids(spark, words):
     rng = random.Random(3)
     rows = [(7, prose(words, rng, 20)) for _ in range(400)] + [(None, prose(words, rng, 20)) for _ in range(300)] + [(k, prose(words, rng, 20)) for k in range(20, 320)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    shards = plan_shards(docs, 6000, "doc_id", "text")
+    shards = plan_shards(docs, 50, "doc_id")
     placed = encode_documents(docs, tokenizer_path(), 1, shards=shards).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).collect()
     assert len(placed) > 15 and max(r["n"] for r in placed) < 150 and all(0 <= r["shard"] < shards.count for r in placed)
     path = scratch_path(spark, "tokens")
-    got = sorted(read_tokens(write_tokens(docs, path, tokenizer_path(), 1, shard_bytes=6000), path).collect(), key=lambda r: r["start"])
+    got = sorted(read_tokens(write_tokens(docs, path, tokenizer_path(), 1, shard_rows=50), path).collect(), key=lambda r: r["start"])
     assert len(got) == 1000 and [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
     keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
     assert keys == sorted(keys)
