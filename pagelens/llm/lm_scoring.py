@@ -264,7 +264,8 @@ def lm_score(docs: DataFrame, modulus: int = 7, order: int = 3, prior: float = 6
     def exchange(messages: DataFrame, hop: int, of: int) -> DataFrame:
         """The answers to ``messages``; ``of`` parts divide all keys."""
         if hop == len(radix):
-            return messages.groupBy("part").applyInArrow(count, told_type)
+            # As many tasks as parts, however many shuffle partitions are set.
+            return messages.repartition(of, "part").groupBy("part").applyInArrow(count, told_type)
         into = radix[hop]
         joint = F.floor(F.col("block") / fan_out).alias("joint")
 
