@@ -405,20 +405,29 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     return out if with_text_hash else out.drop("text_hash")
 
 
-def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sized(keys: DataFrame, most: int) -> DataFrame:
+    """Keys stored, and broadcast if there are at most ``most`` rows; else Spark shuffles for the join."""
+    keys = materialize(keys, "keys")
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 200_000) -> DataFrame:
     """One row of each class of ``ngram_join``, the one with the smallest id; all columns unchanged.
 
     Texts without words stay, but one row of each id and text; rows with a
-    null id all stay.
+    null id all stay.  The ids that go are broadcast if they are at most
+    ``most_broadcast``.
     """
     columns = docs.columns
     names = [free_name(c, columns) for c in ("gone_id", "gone_text")]
     pair = F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])
     joined = materialize(ngram_join(docs, n, threshold, id_col=id_col, text_col=text_col, with_text_hash=True).filter("doc_id IS NOT NULL"), "joined")
     gone = joined.filter("NOT kept").select(*pair)
-    again = joined.filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select(*pair)
+    again = materialize(joined.filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select(*pair), "repeated-rows")
     same = (F.col(id_col).cast("long") == F.col(names[0])) & (F.xxhash64(F.col(text_col)) == F.col(names[1]))
-    once = docs.join(gone.unionByName(again).distinct(), same, "left_anti")
+    once = docs.join(_sized(gone.unionByName(again).distinct(), most_broadcast), same, "left_anti")
+    if again.isEmpty():
+        return once
     # Of repeated rows of an id and text one stays, whichever; pre-aggregated, so very many of them do no harm.
-    several = docs.join(again, same, "left_semi").groupBy(F.col(id_col).alias(names[0]), F.xxhash64(F.col(text_col)).alias(names[1])).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    several = docs.join(_sized(again, most_broadcast), same, "left_semi").groupBy(F.col(id_col).alias(names[0]), F.xxhash64(F.col(text_col)).alias(names[1])).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
     return once.unionByName(several)

@@ -172,18 +172,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, modulus: int =
     open_labels = labels.filter(~held_out("doc_id", modulus) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = open_labels.agg(F.avg((F.col("quality") == 1).cast("double")), F.min("quality"), F.max("quality")).first()
     sound = docs.filter(~held_out("doc_id", modulus) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    positives = sound.join(open_labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id")
-
-    def sample(df: DataFrame) -> np.ndarray:
-        """Features of the ``most`` rows with the least hashes, in an order of their own; rows are bounded, whatever their ids."""
-        order = F.xxhash64("doc_id", "text")
-        top = df.select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-        if top is None:
-            return np.empty((0, N_FEATURES))
-        x = np.array(feature_table(df.filter(order <= top)).limit(most).toArrow().column("x").to_pylist(), dtype=float)
+    # At most ``most`` ids; a repeated one may have any number of rows, of which ``most`` features come back.
+    ids = open_labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    order = F.xxhash64("doc_id", "text")
+    top = sound.select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+
+    def sample(rows: DataFrame) -> np.ndarray:
+        """Features of at most ``most`` rows, in an order of their own."""
+        x = np.array(feature_table(rows).limit(most).toArrow().column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES)
         return x[np.lexsort(x.T)]
 
-    positive, rest = sample(positives), sample(sound)
+    positive, rest = sample(sound.join(F.broadcast(ids), "doc_id")), sample(sound.filter(order <= F.lit(top)))
     if share[0] is not None and share[1] != share[2]:
         prior = float(np.clip(share[0], 0.02, 0.98))
     elif len(positive) and len(rest):
