@@ -1018,3 +1018,88 @@ def test_batches_by_size_covers_all_rows():
 
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "", "b" * 1000, "c"]})
     assert [t for b in batches_by_size([batch], chars=16) for t in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
+# The pipeline
+
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    """Every stage's output on the smallest tables, in a row."""
+    import corpus_pipeline as cp
+    from pagelens.llm.common import materialize
+
+    d = "/root/testdata/sf0.001"
+    out = [spark.read.parquet(f"{d}/documents.parquet")]
+    for name, stage in cp.STAGES:
+        out.append(materialize(stage(spark, out[-1], d), name))
+    return d, cp, out
+
+
+def test_pipeline_stages_against_plain_versions(spark, staged):
+    import re
+
+    from pagelens.llm import quality
+    from pagelens.llm.decontaminate import budget, myers, normal
+    from pagelens.llm.packing import measure
+    from pagelens.llm.queries import PSEUDONYM_KEY, word_tokenizer
+
+    d, cp, out = staged
+    rows = [{r["doc_id"]: r for r in t.collect()} if k < 5 else t.collect() for k, t in enumerate(out)]
+    assert all(t.columns == out[0].columns for t in out[:-1])
+    # Quality: the features and the network by hand, one text at a time.
+    model = quality.train(out[0], spark.read.parquet(f"{d}/labels.parquet"))
+    w1, b1, w2, b2 = model.weights
+    keep = set()
+    for k, r in rows[0].items():
+        z = np.clip((np.array(quality.features(r["text"] or "")) - model.mean) / model.scale, -8, 8)
+        logit = math.fsum(np.tanh(np.concatenate([z, np.tanh(z) ** 2]) @ w1 + b1) * w2) + b2
+        if 1 / (1 + math.exp(-logit)) >= 0.7:
+            keep.add(k)
+    assert set(rows[1]) == keep and 0 < len(keep) < len(rows[0])
+    # Near copies: all pairs of shingle sets.
+    sets = {}
+    for k, r in rows[1].items():
+        w = re.findall(r"[^\W_]+", (r["text"] or "").lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    up = {k: k for k in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    assert set(rows[2]) == {k for k in sets if root(k) == k}
+    # Decontamination: Myers over whole texts, without pieces.
+    items = [normal(r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    clean = {k for k, r in rows[2].items() if not any(myers(i, normal(r["text"] or ""), budget(len(i), 0.06)) for i in items)}
+    assert set(rows[3]) == clean and len(clean) < len(rows[2])
+    # Personal data: everyone stays, the holder of the key gets the text back, and no validated card or IBAN is left.
+    from pagelens.llm.pii import Pseudonyms
+
+    back = Pseudonyms(PSEUDONYM_KEY, back=True)
+    assert set(rows[4]) == clean
+    for k, r in rows[4].items():
+        assert back.text(r["text"])[0] == rows[3][k]["text"] and r["n_chars"] == len(r["text"])
+        assert not cards_and_ibans(rows[3][k]["text"]) & cards_and_ibans(r["text"])
+    # Packing: every token once, bins within bounds and without two of one source.
+    sizes = {r["doc_id"]: r["n_tokens"] for r in measure(out[4], word_tokenizer()).collect()}
+    packed, bins = collections.Counter(), collections.defaultdict(list)
+    for r in rows[5]:
+        packed[r["doc_id"]] += r["n_tokens"]
+        bins[r["bin"]].append(r)
+    assert packed == sizes
+    for b in bins.values():
+        sources = [rows[4][r["doc_id"]]["source"] for r in b]
+        assert sum(r["n_tokens"] for r in b) <= 2048 and len(sources) == len(set(sources))
+
+
+def test_pipeline_run_equals_its_stages(spark, staged):
+    d, cp, out = staged
+    key = lambda t: sorted((r["doc_id"], r["piece"], r["n_tokens"]) for r in t.collect())
+    assert key(cp.run(spark, d)) == key(out[-1])
