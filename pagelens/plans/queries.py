@@ -146,6 +146,35 @@ def config_check(spark, d):
     return validate.checked_configs(V.frame(spark, V.CONFIGS, "id int, config string"), SCHEMA)
 
 
+ASKED = f"(SELECT url FROM {U} UNION ALL SELECT ref AS url FROM {V.values(V.REFS, 'ref')} UNION ALL SELECT domain AS url FROM {V.values(V.DOMAINS, 'domain')})"
+_HTTP = f"url <> '' AND {S.isin(S.scheme('url'), ('http', 'https'))} AND {S.authority('url')} <> ''"
+
+
+@query(
+    f"SELECT url, CASE WHEN {_HTTP} THEN url END AS absolute, CASE WHEN NOT ({_HTTP}) THEN 'not a valid URL' END AS absolute_error, nullif(url, '') AS relative, CASE WHEN url = '' THEN 'not a valid URL' END AS relative_error, "
+    f"CASE WHEN url <> '' AND NOT contains(url, '..') THEN url END AS path, CASE WHEN url = '' OR contains(url, '..') THEN 'not a safe path' END AS path_error, "
+    f"CASE WHEN regexp_full_match(url, '{_LABEL}(?:\\.{_LABEL})*') THEN lower(url) END AS domain, CASE WHEN NOT regexp_full_match(url, '{_LABEL}(?:\\.{_LABEL})*') THEN 'not a valid domain' END AS domain_error FROM {ASKED}"
+)
+def checked_values(spark, d):
+    """Every value, or the reason for which it is rejected."""
+    u = F.col("url")
+    asked = _urls(spark, d).union(V.frame(spark, V.REFS, "url string")).union(V.frame(spark, V.DOMAINS, "url string"))
+    checks = {"absolute": validate.checked_url(u), "relative": validate.checked_url(u, allow_relative=True), "path": validate.checked_path(u), "domain": validate.checked_domain(u)}
+    out = asked.select("url", *[c.alias(n) for n, c in checks.items()])
+    return out.select("url", *[F.col(f"{n}.{part}").alias(n + end) for n in checks for part, end in (("value", ""), ("error", "_error"))])
+
+
+HEADERS = [(1, "X-Client", "lens"), (2, "bad name", "v"), (3, None, None), (4, "a_b-9", "v w"), (5, "né", "v"), (6, "X:", "v")]
+_NAMED = r"coalesce(regexp_full_match(name, '[a-zA-Z0-9_\-]+'), TRUE)"
+
+
+@query(f"SELECT id, CASE WHEN {_NAMED} THEN CASE WHEN name IS NULL THEN '{{}}' ELSE '{{\"' || name || '\":\"' || value || '\"}}' END END AS headers, CASE WHEN NOT {_NAMED} THEN 'not a valid header name' END AS error FROM {V.values(HEADERS, 'id', 'name', 'value')}")
+def checked_headers(spark, d):
+    rows = V.frame(spark, HEADERS, "id int, name string, value string")
+    given = F.when(F.col("name").isNotNull(), F.create_map("name", "value"))
+    return rows.select("id", validate.checked_headers(given).alias("c")).select("id", F.to_json("c.value").alias("headers"), F.col("c.error").alias("error"))
+
+
 # Paths and formats.
 
 GOLDEN_PATHS = [
@@ -183,6 +212,28 @@ def sanitized_names(spark, d):
     return V.frame(spark, NAMES, "name string").select("name", paths.sanitized_name(F.col("name")).alias("safe"))
 
 
+#: Names beyond the limit of length, and names whose compatibility form differs.
+LONG_NAMES = [("a" * 150 + ".txt", "a" * 96 + ".txt"), ("b" * 150, "b" * 100), ("é" * 101 + ".png", "é" * 96 + ".png"), ("c" * 96 + ".css", "c" * 96 + ".css")]
+WIDE_PATHS = [("https://e.com/%EF%AC%81le%E2%91%A0.png", "e.com/file1.png"), ("https://e.com/%EF%BC%8E%EF%BC%8E/x.css", "e.com/x.css"), ("https://e.com/%E2%85%A7/a.js", "e.com/VIII/a.js"), ("https://e.com/plain.css", "e.com/plain.css")]
+
+
+@query(f"SELECT name, safe FROM {V.values(LONG_NAMES, 'name', 'safe')}")
+def long_names(spark, d):
+    return V.frame(spark, [n for n, _ in LONG_NAMES], "name string").select("name", paths.sanitized_name(F.col("name")).alias("safe"))
+
+
+@query(f"SELECT url, local_path FROM {V.values(WIDE_PATHS, 'url', 'local_path')}")
+def wide_paths(spark, d):
+    """Paths whose names are normalised before they are cleaned."""
+    return V.frame(spark, [u for u, _ in WIDE_PATHS], "url string").select("url", paths.local_path(F.col("url"), F.lit("https://e.com"), unicode=True).alias("local_path"))
+
+
+@query(f"SELECT url, 'safe_file_' || substr(md5(url), 1, 12) || '.html' AS fallback, coalesce(nullif(substr(regexp_replace(lower({S.ext('url')}), '[^a-z0-9]', '', 'g'), 1, 10), ''), 'html') AS extension FROM {U}")
+def fallback_names(spark, d):
+    u = F.col("url")
+    return _urls(spark, d).select("url", paths.fallback_name(u).alias("fallback"), paths.sanitized_extension(urls.url_ext(u)).alias("extension"))
+
+
 RELATIVE = [("", "e.com/a.png"), (".", "e.com/a.png"), ("e.com", "e.com/a.png"), ("e.com/page", "e.com/a.png"), ("a/b/c", "x\\y.css")]
 
 
@@ -259,6 +310,13 @@ def asset_census(spark, d):
     return discover.per_category(discover.discover(_pages(spark, d), extractors=("attribute",)))
 
 
+@query(f"SELECT DISTINCT asset FROM (SELECT asset FROM ({S.resolve_from(LINKS, 'raw', 'url', 'rfc3986')}) UNION ALL SELECT url FROM pages) WHERE asset IS NOT NULL")
+def united_assets(spark, d):
+    """What the pages refer to and the pages themselves, each once."""
+    p = _pages(spark, d)
+    return discover.union_assets(discover.discover(p, extractors=("attribute",)).select("asset"), p.select(F.col("url").alias("asset")))
+
+
 @query(f"SELECT count(*) AS n FROM ({S.resolve_from(LINKS, 'raw', 'url', 'strict')}) WHERE asset IS NOT NULL")
 def strict_links(spark, d):
     refs = discover.references(discover.parsed(_pages(spark, d)), ("attribute",))
@@ -534,6 +592,18 @@ def repo_delete(spark, d):
     return repository.delete(t, repository.find_by_status(t, "pending")).filter("status <> 'failed'").select("url", "status")
 
 
+_FIRST = "(SELECT url FROM pages ORDER BY page_id LIMIT 1)"
+
+
+@query(f"SELECT url, status, 'host' AS found FROM {REPO} WHERE {S.domain('url')} = (SELECT {S.domain('url')} FROM {_FIRST}) UNION ALL SELECT url, status, 'url' FROM {REPO} WHERE url = {_FIRST}")
+def repo_find(spark, d):
+    """The records of the first page's host, and its own."""
+    t = _repository(spark, d)
+    first = _pages(spark, d).orderBy("page_id").select("url", urls.authority(F.col("url")).alias("host")).first()
+    both = repository.find_by_domain(t, first["host"].upper()).withColumn("found", F.lit("host")).unionByName(repository.get(t, first["url"]).withColumn("found", F.lit("url")))
+    return both.select("url", "status", "found")
+
+
 @query("SELECT url FROM pages WHERE url ILIKE '%://%.com/%'")
 def repo_like_domain(spark, d):
     return index.by_domain_like(_pages(spark, d), "%.com").select("url")
@@ -589,6 +659,21 @@ def cidr_guard(spark, d):
     return netguard.dns_guard(V.frame(spark, V.DNS, "hostname string, ip string"))
 
 
+HOSTS = ["ok.com", "mixed.com", "loop6.com", "unknown.com", "10.0.0.1", "8.8.8.8", "127.0.0.1", "1.2.3", "172.32.0.1"]
+_OWN = r"regexp_full_match(hostname, '[0-9.]+')"
+
+
+@query(
+    rf"SELECT hostname, CASE WHEN {_OWN} THEN regexp_full_match(hostname, '\d+(\.\d+){{3}}') AND NOT coalesce({_cidr_sql('literal')}, TRUE) ELSE coalesce(g.allowed, TRUE) END AS allowed, CASE WHEN {_OWN} THEN TRUE ELSE coalesce(g.allowed, TRUE) END AS bypassed "
+    rf"FROM (SELECT hostname, CASE WHEN regexp_full_match(hostname, '\d+(\.\d+){{3}}') THEN hostname END AS literal FROM {V.values(HOSTS, 'hostname')}) LEFT JOIN ({ORACLES['cidr_guard']}) g USING (hostname)"
+)
+def guarded_hosts(spark, d):
+    """Requests against the guard; literal addresses tested, and let through as the second column."""
+    hosts, guard = V.frame(spark, HOSTS, "hostname string"), netguard.dns_guard(V.frame(spark, V.DNS, "hostname string, ip string"))
+    bypassed = netguard.guarded(hosts, guard, literal_bypass=True).select("hostname", F.col("allowed").alias("bypassed"))
+    return netguard.guarded(hosts, guard).select("hostname", "allowed").join(bypassed, "hostname")
+
+
 NETWORKS = ["10.0.0.0/8", "172.16.0.0/12", "93.184.216.34/32", "0.0.0.0/0"]
 
 

@@ -18,6 +18,8 @@ REFS = [
     "https://ex.com/a;p?x=1", "https://ex.com:443/", "https://10.example.com/x", "https://172.217.0.1/", "#x", "mailto:x@y.z", "", "ws://x", "  /trim.png ", "sub/a/./b.js?z=1&y=2#frag", "JavaScript:void(0)", "https://localhost/x", "http://", "./", "..",
 ]
 
+DOMAINS = ["Ex.com", "localhost", "a-.com", "-a.com", "a..com", "e.com.", "a.b-c.d9", "e.com/x", "../x", "a/b.css"]
+
 CSS = [
     (1, "https://e.com/s/a.css", "a{b:url( \"https://e.com/x.png\" )} @import \"b.css\"; @import url('c.css');"),
     (2, "https://e.com/a.css", ".x{background-image:url(i/bg.webp);cursor:url('c.cur')} @font-face{src:url(f.woff2)}"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,25 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_safe_path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir (on a local master one of our own); removed when Python ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: files need a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pagelens-files-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def remove():
+        try:
+            clear_state(spark, path)
+        except Exception:  # the JVM may have ended first; it is scratch space
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def site_table(files: DataFrame, path: str) -> None:
     """(local_path, content) as Parquet: the scalable form of a site."""
     files.filter(is_safe_path(F.col("local_path")) & ~F.col("local_path").startswith("/")).write.mode("overwrite").parquet(path)
