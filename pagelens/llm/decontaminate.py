@@ -122,7 +122,7 @@ class Matcher:
 
 def blocks(benchmark: DataFrame, block_chars: int = 4_000_000, id_col: str = "item_id", text_col: str = "text"):
     """The items in blocks of at most ``block_chars`` characters (one item at least), and whether more follow; rows of a block reach the driver together."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("text != ''")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     # Rows in hash order, read partition by partition: nothing but the block and one partition is on the driver.
     parts = max(1, -(-total // block_chars))
@@ -163,10 +163,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns unchanged; with several blocks, stored after each but the last."""
+    left, stored = docs, None
     for items, more in blocks(benchmark, **options):
-        left = docs.filter(F.size(matches(docs.sparkSession, F.col(text_col), items, error_rate)) == 0)
+        left = left.filter(F.size(matches(docs.sparkSession, F.col(text_col), items, error_rate)) == 0)
         if more:
-            left, before = materialize(left, "uncontaminated"), docs
-            drop_materialized(before)
-        docs = left
-    return docs
+            left = materialize(left, "uncontaminated")
+            if stored is not None:  # only tables of this function: ``docs`` is the caller's
+                drop_materialized(stored)
+            stored = left
+    return left

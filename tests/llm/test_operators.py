@@ -247,6 +247,7 @@ def test_matcher_equals_brute_force(words):
 
 
 def test_decontamination_tables(spark, awkward, words):
+    from pagelens.llm.common import materialize
     from pagelens.llm.decontaminate import contaminated, drop_contaminated
 
     rng = random.Random(2)
@@ -259,6 +260,8 @@ def test_decontamination_tables(spark, awkward, words):
         assert [(r["doc_id"], r["item_id"], r["distance"]) for r in contaminated(docs, more, block_chars=chars).collect()] == [(99, 1, 0)] * 2
         left = drop_contaminated(docs, more, block_chars=chars)
         assert left.columns == docs.columns and left.count() == docs.count() - 1
+    stored = materialize(docs, "documents")  # a stored table of the caller stays readable
+    assert drop_contaminated(stored, more, block_chars=50).count() == docs.count() - 1 and stored.count() == docs.count()
     assert drop_contaminated(docs, bench.limit(0)).count() == docs.count()
     assert contaminated(empty(spark), bench).count() == 0
 
