@@ -23,14 +23,20 @@ def tokens(url: Column, strict_host: bool = False) -> Column:
 
 def build(records: DataFrame, order: str = "seq", strict_host: bool = False) -> DataFrame:
     """One row per token list: the last URL and path win, metadata are merged (later keys win).
+    Repeats are aggregated before they are shuffled, so a URL with very many records is no large group.
 
     ``records``: url, local_path, metadata, and a column that orders the inserts.
     """
-    rows = records.withColumn("tokens", tokens(F.col("url"), strict_host))
-    last = F.max_by(F.struct("url", "local_path"), order)
-    entries = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))).alias("m")))), lambda r: F.map_from_entries(r["m"]))
-    merged = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(m, k)), m))
-    return rows.groupBy("tokens").agg(last.alias("r"), merged.alias("metadata"), F.count("*").alias("inserts")).select("tokens", "r.*", "metadata", "inserts", urls.domain(F.col("r.url")).alias("domain"))
+    entry = "struct<k:string,v:string>"
+    # A row of its own for each metadata entry, and one without a key for the record: what meets in a group is the latest only.
+    entries = F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    each = F.concat(F.array(F.lit(None).cast(entry)), F.transform(entries, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
+    rows = records.select(tokens(F.col("url"), strict_host).alias("tokens"), "url", "local_path", F.col(order).alias("o"), F.explode(each).alias("e"))
+    latest = rows.groupBy("tokens", F.col("e.k").alias("k")).agg(F.max(F.struct("o", "url", "local_path")).alias("r"), F.max(F.struct("o", "e.v")).alias("m"), F.count("*").alias("n"))
+    own = F.col("k").isNull()
+    merged = F.map_from_entries(F.sort_array(F.collect_list(F.when(~own, F.struct("k", "m.v")))))
+    found = latest.groupBy("tokens").agg(F.max(F.when(own, F.col("r"))).alias("r"), merged.alias("metadata"), F.max(F.when(own, F.col("n"))).alias("inserts"))
+    return found.select("tokens", "r.url", "r.local_path", "metadata", "inserts", urls.domain(F.col("r.url")).alias("domain"))
 
 
 def search(index: DataFrame, queries: DataFrame, strict_host: bool = False) -> DataFrame:

@@ -557,6 +557,17 @@ def index_glob(spark, d):
     return found.filter(F.col("url").rlike(r"(?i)^HTTPS://.*\.com/.*/.\d*")).select("url", "local_path")
 
 
+@query(
+    """WITH r AS (SELECT regexp_extract(url, '^https?://[^/?#]+') AS url, page_id FROM pages), e AS (SELECT url, 'page' AS k, page_id FROM r UNION ALL SELECT url, 'k' || page_id % 3, page_id FROM r), m AS (SELECT url, k, max(page_id) AS v FROM e GROUP BY ALL)
+    SELECT url, max(v) AS last, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS metadata, (SELECT count(*) FROM r WHERE r.url = m.url) AS inserts FROM m GROUP BY url"""
+)
+def index_merged(spark, d):
+    """The pages as records of their sites: later values of a metadata key win."""
+    page = F.col("page_id").cast("string")
+    site = _pages(spark, d).select(F.regexp_extract("url", "^https?://[^/?#]+", 0).alias("url"), page.alias("local_path"), F.create_map(F.lit("page"), page, F.concat(F.lit("k"), (F.col("page_id") % 3).cast("string")), page).alias("metadata"), F.col("page_id").alias("seq"))
+    return index.build(site).select("url", F.col("local_path").cast("long").alias("last"), F.to_json("metadata").alias("metadata"), "inserts")
+
+
 @query(f"SELECT sum(inserts)::BIGINT AS total_urls, max(len(tokens)) AS max_depth, count(DISTINCT {S.domain('url')}) AS unique_domains, (SELECT count(DISTINCT p) + 1 FROM (SELECT unnest(list_transform(range(1, len(tokens) + 1), lambda k: tokens[1:k])) AS p FROM {INDEX})) AS total_nodes FROM {INDEX}")
 def index_stats(spark, d):
     return index.stats(index.build(_records(spark, d)))
