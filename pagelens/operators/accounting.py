@@ -109,8 +109,18 @@ def retry_settings(attempt: Column, retries: int = 5, timeout: int = 30, delay:
     return F.struct(F.least(F.lit(5), F.lit(retries) + attempt).alias("retries"), F.least(F.lit(60), F.lit(timeout) + 10 * attempt).alias("timeout"), (F.lit(delay) + 0.5 * attempt).alias("delay"))
 
 
-def attempts(log: DataFrame, retry_delay: float = 1.0, timeout: int = 60) -> DataFrame:
-    """Adds attempt (from 1), the linear delay and the timeout of each try, and the exponential backoff before it."""
-    w = W.partitionBy("url").orderBy("ts", "request_id")
-    n = F.row_number().over(w)
-    return log.withColumn("attempt", n).withColumn("delay", retry_delay * F.col("attempt")).withColumn("timeout", F.lit(timeout) * F.col("attempt")).withColumn("backoff", F.pow(F.lit(2.0), F.col("attempt") - 1))
+def attempts(log: DataFrame, retry_delay: float = 1.0, timeout: int = 60, slice_seconds: int = 3600) -> DataFrame:
+    """Adds attempt (from 1), the linear delay and the timeout of each try, and the exponential backoff before it.
+
+    Tries are numbered within slices of time and the earlier slices' counts
+    added, so a frequent URL is many groups.  Requests without a time come first.
+    """
+    columns = log.columns
+    own = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(slice_seconds * 1_000_000)).cast("long")
+    # The URL in a struct, so that null joins null.
+    rows = log.select(F.struct(*columns).alias("row"), F.struct("url").alias("k"), F.coalesce(own, F.lit(-(1 << 62))).alias("slice"))
+    earlier = W.partitionBy("k").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy("k", "slice").agg(F.count("*").alias("n")).select("k", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("k", "slice").orderBy("row.ts", "row.request_id"))
+    numbered = rows.withColumn("within", within).join(before, ["k", "slice"]).select("row.*", (F.col("within") + F.col("before")).cast("int").alias("attempt"))
+    return numbered.withColumn("delay", retry_delay * F.col("attempt")).withColumn("timeout", F.lit(timeout) * F.col("attempt")).withColumn("backoff", F.pow(F.lit(2.0), F.col("attempt") - 1))

@@ -3,6 +3,7 @@
 import datetime
 import importlib
 import json
+import random
 import sys
 
 import pytest
@@ -190,6 +191,16 @@ def test_index_ambiguity_and_merge(spark):
     assert index.tokens(F.lit("x")) is not None
 
 
+def test_attempts_across_slices(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, u, start + datetime.timedelta(minutes=25 * k)) for k in range(8) for u in ("a", None)] + [(90, "a", None), (91, "b", None)]
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    got = {(r["url"], r["request_id"]): (r["attempt"], r["within"]) for r in accounting.attempts(spark.createDataFrame(rows, "request_id long, url string, ts timestamp").withColumn("within", F.lit("x"))).collect()}
+    want = {(u, k): (k + 1 + (u == "a"), "x") for k in range(8) for u in ("a", None)} | {("a", 90): (1, "x"), ("b", 91): (1, "x")}
+    assert got == want
+
+
 def test_repository_cycle(spark, tmp_path):
     t = repository.add(repository.empty(spark), spark.createDataFrame([("https://a.b/x",), ("https://a.b/y",), ("https://a.b/x",)], "url string"))
     assert repository.count(t).first()["n"] == 2
