@@ -15,18 +15,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder of a local session that names none.
+_LOCAL_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, a temporary folder is set on a local master (tests);
-    a cluster must name one.
+    Where it is unset, this process makes one temporary folder on a local
+    master (tests); a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: this operator needs a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="pagelens-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL_DIR:
+            _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="pagelens-shared-"))
+        root = _LOCAL_DIR[0]
     return root.rstrip("/")
 
 
@@ -60,11 +66,11 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagelens_path = path
     return out

@@ -88,7 +88,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op4_licenses, op5_ngram_join, op6_quality, op7_pii, op8_vectors, op9_packing, op10_lm_scoring)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import rebuilt_prefix_trie
+
+    return rebuilt_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op4_licenses, op5_ngram_join, op6_quality, op7_pii, op8_vectors, op9_packing, op10_lm_scoring, op11_exact_dedup, op12_whitening, op13_conversation_trie)}
 
 
 def _license_sql() -> str:
@@ -126,4 +144,32 @@ FROM placed p LEFT JOIN own o USING (r) LEFT JOIN near n ON n.r = p.r AND n.k =
 """
 
 
-ORACLES: dict[str, str] = {"op4_licenses": _license_sql()}
+_DEDUP_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(length(text), 0) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
+placed AS (SELECT doc_id, plain, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size, row_number() OVER w AS k FROM texts WINDOW w AS (PARTITION BY plain ORDER BY points DESC, doc_id))
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(plain) AS text_sha256 FROM placed
+"""
+
+_TRIE_SQL = r"""
+WITH turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT c, xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')],
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT h.c, t.r AS k, t.role, t.text FROM heads h JOIN turns t ON t.c = h.c - h.c % 5 AND t.r <= h.h
+  UNION ALL SELECT h.c, t.r + 100000, t.role, t.text FROM heads h JOIN turns t ON t.c = h.c AND t.r > h.h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, {'role': role, 'text': text} AS turn FROM rebuilt),
+path AS (SELECT c, list(turn ORDER BY d) AS turns FROM placed GROUP BY c UNION ALL SELECT c, [] FROM heads WHERE c NOT IN (SELECT c FROM placed)),
+prefix AS (SELECT c, d, CASE WHEN d = 0 THEN '' ELSE sha256(to_json(turns[:d])) END AS key, CASE WHEN d = 0 THEN NULL WHEN d = 1 THEN '' ELSE sha256(to_json(turns[:d - 1])) END AS above, CASE WHEN d = 0 THEN 0 ELSE strlen(turns[d].text) END AS bytes, d = len(turns) AS ends
+  FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM path)),
+node AS (SELECT key, any_value(above) AS above, d, min(c) AS conv_id, count(*) AS n, any_value(bytes) AS bytes, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM prefix GROUP BY key, d),
+child AS (SELECT above, count(*) AS n FROM node WHERE above IS NOT NULL GROUP BY above),
+below AS (SELECT DISTINCT a.key AS top, b.key AS key FROM prefix a JOIN prefix b ON a.c = b.c AND b.d >= a.d),
+total AS (SELECT b.top, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((n.n - 1) * n.bytes) AS saved FROM below b JOIN node n ON n.key = b.key LEFT JOIN child c ON c.above = b.key GROUP BY b.top)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0) AS n_children, t.n_leaves, t.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM node n JOIN total t ON t.top = n.key LEFT JOIN child c ON c.above = n.key LEFT JOIN node p ON p.key = n.above
+"""
+
+
+ORACLES: dict[str, str] = {"op4_licenses": _license_sql(), "op11_exact_dedup": _DEDUP_SQL, "op13_conversation_trie": _TRIE_SQL}
