@@ -33,24 +33,11 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group)), lambda m: F.trim(m))
 
 
-#: Quoted strings and url(), which may hold what looks like a comment, or a comment.
-COMMENT_OR_QUOTED = r"""(?s)("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|url\([^)"']*\))|/\*.*?(?:\*/|\z)"""
-
-
-def without_comments(css: Column) -> Column:
-    return F.regexp_replace(css, COMMENT_OR_QUOTED, "$1")
-
-
 def css_urls(css: Column) -> Column:
     """url() references, then @import strings, each once."""
     return F.array_union(all_matches(css, CSS_URL), all_matches(css, CSS_IMPORT))
 
 
-def css_imports(css: Column) -> Column:
-    """Targets of @import, as strings or url()."""
-    return F.array_union(all_matches(css, CSS_IMPORT), all_matches(css, r"""(?i)@import\s+url\s*\(\s*["']?([^"')]+)["']?\s*\)"""))
-
-
 def css_declarations(css: Column) -> Column:
     """array<struct(property, url)> of declarations with a url()."""
     found = F.regexp_extract_all(F.coalesce(css, F.lit("")), F.lit(r"""(?i)([a-z-]+\s*:\s*[^;{}]*?url\s*\(\s*["']?[^"')]+["']?\s*\))"""), F.lit(1))

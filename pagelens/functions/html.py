@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import css
+from . import csslex
 
 RAW_TEXT = ("script", "style")
 ELEMENTS = "array<struct<seq:int,tag:string,attrs:map<string,string>,text:string>>"
@@ -83,23 +83,6 @@ def parse_elements(html: Column) -> Column:
     return F.arrow_udf(_parse, ELEMENTS)(html)
 
 
-def rewritten_css(text: str, new: dict[str, str]) -> str:
-    """url() and @import references replaced by ``new``; quotes stay, references without an entry stay untouched."""
-
-    def url(m: re.Match) -> str:
-        target = new.get(m[1].strip())
-        if target is None:
-            return m[0]
-        quote = m[0][4] if m[0][:4] == "url(" and m[0][4:5] in ("'", '"') else ""
-        return f"url({quote}{target}{quote})"
-
-    def imported(m: re.Match) -> str:
-        target = new.get(m[1].strip())
-        return m[0] if target is None else m[0].replace(m[1], target)
-
-    return re.sub(css.CSS_IMPORT, imported, re.sub(css.CSS_URL, url, text))
-
-
 def rewritten_srcset(value: str, new: dict[str, str]) -> str:
     out = []
     for part in value.split(","):
@@ -123,7 +106,7 @@ def _rewritten_tag(raw: str, new: dict[str, str]) -> str:
         quote = value[0] if value[:1] in ("'", '"') else ""
         old = changed = unescape(value[1:-1] if quote else value)
         if name == "style":
-            changed = rewritten_css(old, new)
+            changed = csslex.rewritten(old, new)
         elif name == "srcset" and tag in URL_ATTRIBUTES["srcset"]:
             if any(c.split() and c.split()[0] in new for c in old.split(",")):
                 changed = rewritten_srcset(old, new)
@@ -149,7 +132,7 @@ def rewritten_html(html: str, new: dict[str, str]) -> str:
         if m["script"]:
             return _rewritten_tag(m["script"], new) + m["code"]
         if m["style"]:
-            return _rewritten_tag(m["style"], new) + rewritten_css(m["sheet"], new)
+            return _rewritten_tag(m["style"], new) + csslex.rewritten(m["sheet"], new)
         return _rewritten_tag(m["tag"], new)
 
     return _PIECES.sub(piece, html)
@@ -171,4 +154,4 @@ def rewrite_html(html: Column, mapping: Column) -> Column:
 
 
 def rewrite_css(text: Column, mapping: Column) -> Column:
-    return F.arrow_udf(_mapper(rewritten_css), "string")(text, mapping)
+    return F.arrow_udf(_mapper(csslex.rewritten), "string")(text, mapping)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, css, html, urls
+from ..functions import classify, css, csslex, html, urls
 
 PRELOAD_RELS = ("preload", "prefetch", "preconnect", "dns-prefetch", "modulepreload")
 CARD_NAMES = ("twitter:image", "twitter:image:src")
@@ -163,26 +163,31 @@ def asset_map(assets: DataFrame) -> DataFrame:
 def discover_css(sheets: DataFrame, mode: str = "rfc3986", url_col: str = "css_url", css_col: str = "css", properties: tuple[str, ...] | None = None) -> DataFrame:
     """Distinct (css_url, category, asset): imports are style sheets, declarations by property, the rest by suffix.
 
-    Comments are left out.  With ``properties``, only imports and declarations of these properties count.
+    Sheets are read by the lexer of ``csslex``: comments and strings hold no
+    references.  With ``properties``, only imports and declarations of these
+    properties count.
     """
-    text = F.col(css_col)
-    none = F.lit(None).cast("string")
-
-    def found(clean: Column) -> Column:
-        imports = F.transform(css.css_imports(clean), lambda u: F.struct(u.alias("raw"), F.lit("@import").alias("property")))
-        declared = F.transform(css.css_declarations(clean), lambda d: F.struct(d["url"].alias("raw"), d["property"].alias("property")))
-        if properties is not None:
-            return F.concat(imports, F.filter(declared, lambda d: d["property"].isin(*properties)))
-        known = F.transform(F.concat(imports, declared), lambda d: d["raw"])
-        plain = F.transform(css.css_urls(clean), lambda u: F.struct(u.alias("raw"), none.alias("property")))
-        return F.concat(imports, declared, F.filter(plain, lambda p: ~F.array_contains(known, p["raw"])))
-
-    rows = sheets.select(F.col(url_col).alias("css_url"), F.explode(urls.let(css.without_comments(text), found)).alias("f")).select("css_url", "f.*")
-    rows = rows.withColumn("asset", urls.resolve(F.col("raw"), F.col("css_url"), mode)).filter("asset IS NOT NULL")
-    category = F.when(F.col("property") == "@import", "stylesheets").otherwise(classify.css_asset_category(F.col("asset"), F.coalesce("property", F.lit(""))))
+    rows = sheet_references(sheets, url_col, css_col)
+    if properties is not None:
+        rows = rows.filter((F.col("kind") == "import") | F.col("property").isin(*properties))
+    rows = rows.withColumn("asset", urls.resolve(F.col("ref"), F.col("css_url"), mode)).filter("asset IS NOT NULL")
+    category = F.when(F.col("kind") == "import", "stylesheets").otherwise(classify.css_asset_category(F.col("asset"), F.coalesce("property", F.lit(""))))
     return rows.select("css_url", category.alias("category"), "asset").distinct()
 
 
+def sheet_references(sheets: DataFrame, url_col: str = "css_url", css_col: str = "css") -> DataFrame:
+    """One row per reference of a sheet: css_url, ref, kind (import, declaration, other), property, rule, func."""
+    rows = sheets.select(F.col(url_col).alias("css_url"), F.explode(csslex.css_references(F.col(css_col))).alias("f"))
+    return rows.select("css_url", F.col("f.url").alias("ref"), "f.kind", "f.property", "f.rule", "f.func")
+
+
+def style_references(pages: DataFrame) -> DataFrame:
+    """(page_id, url, seq, ref, kind, property, rule, func) of the pages' style elements."""
+    styles = parsed(pages).select("page_id", "url", F.explode("elements").alias("e")).filter("e.tag = 'style'")
+    rows = styles.select("page_id", "url", "e.seq", F.explode(csslex.css_references(F.col("e.text"))).alias("f"))
+    return rows.select("page_id", "url", "seq", F.col("f.url").alias("ref"), "f.kind", "f.property", "f.rule", "f.func")
+
+
 def fetched_sheets(results: DataFrame) -> DataFrame:
     """Results (url, success, local_path, ...) that are style sheets: fetched, stored, to process, and named so."""
     u = F.col("url")
@@ -198,8 +203,8 @@ def sheet_step(results: DataFrame, sheets: DataFrame, mode: str = "rfc3986") ->
 def import_edges(results: DataFrame, sheets: DataFrame, mode: str = "rfc3986") -> DataFrame:
     """Distinct (src, dst): what the fetched sheets import."""
     texts = sheets.join(fetched_sheets(results).select("url").distinct(), "url", "left_semi")
-    raw = F.explode(urls.let(css.without_comments(F.col("css")), css.css_imports))
-    return texts.select(F.col("url").alias("src"), raw.alias("raw")).select("src", urls.resolve(F.col("raw"), F.col("src"), mode).alias("dst")).filter("dst IS NOT NULL").distinct()
+    rows = sheet_references(texts, "url").filter("kind = 'import'")
+    return rows.select(F.col("css_url").alias("src"), urls.resolve(F.col("ref"), F.col("css_url"), mode).alias("dst")).filter("dst IS NOT NULL").distinct()
 
 
 def per_category(assets: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def empty(spark) -> DataFrame:
 
 
 def add(table: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
-    """Insert the URLs that are not there yet (the first of repeated ones); others stay as they are."""
+    """Insert the URLs that are not there yet (one, arbitrary, of repeated ones); others stay as they are."""
     now = F.current_timestamp() if now is None else now
     column = lambda c, otherwise: F.col(c) if c in new.columns else otherwise
     rows = new.dropDuplicates(["url"]).join(table.select("url"), "url", "left_anti")
@@ -44,12 +44,19 @@ def get(table: DataFrame, url: str) -> DataFrame:
 
 
 def update(table: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
-    """Set the columns of ``changes`` (url and some of UPDATABLE, null: unchanged) and the time of update."""
+    """Set the columns of ``changes`` (url and some of UPDATABLE, null: unchanged) and the time of update.
+
+    Of several changes of a URL the greatest ``seq`` counts where there is
+    such a column, else the greatest row; a URL stays one record.
+    """
     now = F.current_timestamp() if now is None else now
     set_ = [c for c in changes.columns if c in UPDATABLE]
     if not set_:
         return table
-    renamed = changes.select("url", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in set_])
+    order = [F.col("seq")] if "seq" in changes.columns else []
+    comparable = [F.to_json(c) if dict(changes.dtypes)[c].startswith("map") else F.col(c) for c in set_]
+    last = changes.groupBy("url").agg(F.max_by(F.struct(*set_), F.struct(*order, *comparable)).alias("last"))
+    renamed = last.select("url", F.lit(True).alias("_hit"), *[F.col(f"last.{c}").alias(f"_new_{c}") for c in set_])
     joined = table.join(renamed, "url", "left")
     out = []
     for c in table.columns:

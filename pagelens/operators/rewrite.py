@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import css, html, paths, urls
+from ..functions import csslex, html, paths, urls
 from . import discover
 
 PASSED = r"^(#|data:|javascript:)"
@@ -70,6 +70,6 @@ def rewrite_pages(pages: DataFrame, mapping: DataFrame, mode: str = "rfc3986", a
 
 def rewrite_sheets(sheets: DataFrame, mapping: DataFrame, mode: str = "rfc3986") -> DataFrame:
     """Style sheets (css_url, css, page_dir) with rewritten css and a status."""
-    links = sheets.select("css_url", "page_dir", F.explode(css.css_urls(F.col("css"))).alias("raw")).filter(~F.col("raw").rlike(PASSED))
+    links = sheets.select("css_url", "page_dir", F.explode(csslex.css_references(F.col("css"))["url"]).alias("raw")).filter(~F.col("raw").rlike(PASSED))
     links = links.withColumn("asset", urls.resolve(F.col("raw"), F.col("css_url"), mode)).filter("asset IS NOT NULL")
     return _applied(sheets, _maps(links, mapping, "css_url"), "css_url", "css", html.rewrite_css)

@@ -334,88 +334,6 @@ def asset_dictionary(spark, d):
     return found.select("page_id", F.explode("assets").alias("category", "urls")).select("page_id", "category", F.size("urls").cast("long").alias("n"))
 
 
-_CSS = V.values(V.CSS, "id", "css_url", "css")
-
-
-@query(f"SELECT id, unnest({S.union(S.matches('css', css.CSS_URL), S.matches('css', css.CSS_IMPORT))}) AS ref FROM {_CSS}")
-def extract_css(spark, d):
-    return V.frame(spark, V.CSS, "id long, css_url string, css string").select("id", F.explode(css.css_urls(F.col("css"))).alias("ref"))
-
-
-CSS_ASSETS = [
-    ("https://e.com/s/a.css", "images", "https://e.com/x.png"), ("https://e.com/s/a.css", "stylesheets", "https://e.com/s/b.css"), ("https://e.com/s/a.css", "stylesheets", "https://e.com/s/c.css"),
-    ("https://e.com/a.css", "images", "https://e.com/i/bg.webp"), ("https://e.com/a.css", "images", "https://e.com/c.cur"), ("https://e.com/a.css", "fonts", "https://e.com/f.woff2"),
-    ("https://e.com/d/m.css", "images", "https://e.com/d/v.svg"), ("https://e.com/d/m.css", "images", "https://e.com/d/s.png"), ("https://e.com/d/m.css", "images", "https://e.com/d/fx.svg"),
-]
-
-
-@query(f"SELECT css_url, category, asset FROM {V.values(CSS_ASSETS, 'css_url', 'category', 'asset')}")
-def discover_css(spark, d):
-    return discover.discover_css(V.frame(spark, V.CSS, "id long, css_url string, css string"))
-
-
-_SHEETS = "id long, css_url string, css string"
-
-
-@query(f"SELECT css_url, category, asset FROM {V.values(V.COMMENTED_ASSETS, 'css_url', 'category', 'asset')}")
-def discover_css_comments(spark, d):
-    return discover.discover_css(V.frame(spark, V.COMMENTED_CSS, _SHEETS))
-
-
-@query(f"SELECT css_url, category, asset FROM {V.values(V.COMMENTED_ASSETS, 'css_url', 'category', 'asset')} WHERE NOT contains(asset, 'thing')")
-def discover_css_properties(spark, d):
-    """Only properties that are known to hold a url()."""
-    return discover.discover_css(V.frame(spark, V.COMMENTED_CSS, _SHEETS), properties=css.URL_PROPERTIES)
-
-
-def _sheet_results(spark) -> DataFrame:
-    return V.frame(spark, V.SHEET_RESULTS, "url string, success boolean, local_path string")
-
-
-_FETCHED = f"(SELECT url FROM {V.values([r[0] for r in V.SHEET_RESULTS if r[1]], 'url')} WHERE contains(url, '.css'))"
-
-
-@query(f"SELECT css_url, category, asset FROM {V.values(V.COMMENTED_ASSETS, 'css_url', 'category', 'asset')} WHERE css_url IN {_FETCHED} AND asset NOT IN (SELECT url FROM {V.values([r[0] for r in V.SHEET_RESULTS], 'url')})")
-def sheet_step(spark, d):
-    """What one scan of the fetched sheets adds."""
-    return discover.sheet_step(_sheet_results(spark), V.frame(spark, V.COMMENTED_CSS, _SHEETS).select(F.col("css_url").alias("url"), "css"))
-
-
-_IMPORTS = f"(SELECT css_url AS src, asset AS dst FROM {V.values(V.COMMENTED_ASSETS, 'css_url', 'category', 'asset')} WHERE category = 'stylesheets' AND css_url IN {_FETCHED})"
-
-
-@query(f"WITH RECURSIVE r(node, depth) AS (SELECT 'https://e.com/s/b.css', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN {_IMPORTS} e ON e.src = r.node WHERE r.depth < 8) SELECT node, min(depth) AS depth FROM r GROUP BY node")
-def sheet_closure(spark, d):
-    """The closure of imports, from fetched sheets."""
-    texts = V.frame(spark, V.COMMENTED_CSS, _SHEETS).select(F.col("css_url").alias("url"), "css")
-    return graph.css_closure(discover.import_edges(_sheet_results(spark), texts), V.frame(spark, ["https://e.com/s/b.css"], "node string"))
-
-
-@query(f"SELECT id, kind, unnest(refs) AS ref FROM (SELECT id, 'variable' AS kind, {S.matches('css', css.CSS_VARIABLE)} AS refs FROM {_CSS} UNION ALL SELECT id, 'image_set', {S.matches('css', css.CSS_IMAGE_SET)} FROM {_CSS} UNION ALL SELECT id, 'filter', {S.matches('css', css.CSS_FILTER)} FROM {_CSS})")
-def extract_modern_css(spark, d):
-    rows = V.frame(spark, V.CSS, "id long, css_url string, css string")
-    kinds = F.create_map(*[x for k, p in (("variable", css.CSS_VARIABLE), ("image_set", css.CSS_IMAGE_SET), ("filter", css.CSS_FILTER)) for x in (F.lit(k), css.all_matches(F.col("css"), p))])
-    return rows.select("id", F.explode(kinds).alias("kind", "refs")).select("id", "kind", F.explode("refs").alias("ref"))
-
-
-_SCRIPTS = V.values(V.SCRIPTS, "id", "script")
-
-
-@query(f"SELECT id, unnest({S.union(*(S.matches('script', p) for p in css.SCRIPT_PATTERNS))}) AS ref FROM {_SCRIPTS}")
-def extract_script(spark, d):
-    return V.frame(spark, V.SCRIPTS, "id long, script string").select("id", F.explode(css.script_urls(F.col("script"))).alias("ref"))
-
-
-@query(f"SELECT id, unnest({S.union(*(S.matches('script', p) for p in css.WORKER_PATTERNS))}) AS ref FROM {_SCRIPTS} WHERE contains(lower(script), 'serviceworker')")
-def extract_workers(spark, d):
-    return V.frame(spark, V.SCRIPTS, "id long, script string").select("id", F.explode(css.worker_urls(F.col("script"))).alias("ref"))
-
-
-@query(f"SELECT value, unnest(list_filter(list_transform(string_split(value, ','), lambda p: regexp_extract(trim(p), '^(\\S+)', 1)), lambda u: u <> '')) AS ref FROM {V.values(V.SRCSETS, 'value')}")
-def extract_srcset(spark, d):
-    return V.frame(spark, V.SRCSETS, "value string").select("value", F.explode(css.srcset_urls(F.col("value"))).alias("ref"))
-
-
 @query(f"SELECT page_id, count(*) FILTER (category = 'preload') AS preload, count(*) FILTER (category = 'manifests') AS manifests, count(*) FILTER (category = 'service_workers') AS workers FROM {V.values(V.HTML_ASSETS, 'page_id', 'category', 'asset')} GROUP BY page_id")
 def special_extractors(spark, d):
     found = discover.discover(V.frame(spark, V.HTML, "page_id long, url string, html string"))
@@ -627,35 +545,6 @@ def state_merge(spark, d):
     return repository.upsert_latest(versions)
 
 
-# Graphs.
-
-_EDGES = V.values(V.EDGES, "src", "dst")
-CLOSURE = f"WITH RECURSIVE r(node, depth) AS (SELECT * FROM (VALUES ('a', 0), ('f', 0), ('n0', 0)) AS s(node, depth) UNION SELECT e.dst, r.depth + 1 FROM r JOIN {_EDGES} e ON e.src = r.node WHERE r.depth < 8)"
-
-
-def _edges(spark) -> DataFrame:
-    return V.frame(spark, V.EDGES, "src string, dst string")
-
-
-def _seeds(spark) -> DataFrame:
-    return V.frame(spark, ["a", "f", "n0"], "node string")
-
-
-@query(f"{CLOSURE} SELECT node, min(depth) AS depth FROM r GROUP BY node")
-def css_closure(spark, d):
-    return graph.css_closure(_edges(spark), _seeds(spark))
-
-
-@query(f"{CLOSURE}, c AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT max(depth)::BIGINT AS max_depth, count(*) AS files, (SELECT count(*) FROM {_EDGES} WHERE src IN (SELECT node FROM c)) AS imports FROM c")
-def css_depth(spark, d):
-    return graph.closure_summary(graph.css_closure(_edges(spark), _seeds(spark)), _edges(spark))
-
-
-@query(f"WITH RECURSIVE reach(s, d) AS (SELECT src, dst FROM {_EDGES} UNION SELECT r.s, e.dst FROM reach r JOIN {_EDGES} e ON e.src = r.d), cyc AS (SELECT s FROM reach WHERE s = d), nodes AS (SELECT src AS node FROM {_EDGES} UNION SELECT dst FROM {_EDGES}) SELECT node, node IN (SELECT s FROM cyc) OR node IN (SELECT s FROM reach WHERE d IN (SELECT s FROM cyc)) AS reaches_cycle FROM nodes")
-def css_cycles(spark, d):
-    return graph.on_cycles(_edges(spark))
-
-
 # Guards and headers.
 
 
@@ -811,16 +700,6 @@ def limiter_schedule(spark, d):
 
 # Rewriting.
 
-SHEET_MAP = [("https://e.com/x.png", "img/x.png"), ("https://e.com/s/b.css", "css/b.css"), ("https://e.com/i/bg.webp", "img/bg.webp")]
-SHEETS_AFTER = [(1, "a{b:url(../img/x.png)} @import \"../css/b.css\"; @import url('c.css');", "changed"), (2, ".x{background-image:url(../img/bg.webp);cursor:url('c.cur')} @font-face{src:url(f.woff2)}", "changed"), (3, V.CSS[2][2], "unchanged"), (4, V.CSS[3][2], "unchanged")]
-
-
-@query(f"SELECT id, css, status FROM {V.values(SHEETS_AFTER, 'id', 'css', 'status')}")
-def rewrite_css(spark, d):
-    sheets = V.frame(spark, [(*r, "s") for r in V.CSS], "id long, css_url string, css string, page_dir string")
-    return rewrite.rewrite_sheets(sheets, V.frame(spark, SHEET_MAP, "url string, relative_url string")).select("id", "css", "status")
-
-
 PAGES_BEFORE = [(1, "https://e.com/d/p.html", "<p class=x><a href='q.html?a=1&amp;b=2'>q</a><img src=\"/i.png\" srcset=\"/i.png 1x, /n.png 2x\" style='background:url(/i.png)'><style>a{b:url(/i.png)}</style><!-- <img src=/i.png> --></p>", "e.com/d"), (2, "https://e.com/", "<a href='#x'>x</a>", "")]
 PAGES_AFTER = [(1, "<p class=x><a href='../../e.com/d/q_1.html'>q</a><img src=\"../../e.com/i.png\" srcset=\"../../e.com/i.png 1x, /n.png 2x\" style='background:url(../../e.com/i.png)'><style>a{b:url(../../e.com/i.png)}</style><!-- <img src=/i.png> --></p>", "changed"), (2, "<a href='#x'>x</a>", "unchanged")]
 

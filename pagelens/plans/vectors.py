@@ -20,42 +20,9 @@ REFS = [
 
 DOMAINS = ["Ex.com", "localhost", "a-.com", "-a.com", "a..com", "e.com.", "a.b-c.d9", "e.com/x", "../x", "a/b.css"]
 
-CSS = [
-    (1, "https://e.com/s/a.css", "a{b:url( \"https://e.com/x.png\" )} @import \"b.css\"; @import url('c.css');"),
-    (2, "https://e.com/a.css", ".x{background-image:url(i/bg.webp);cursor:url('c.cur')} @font-face{src:url(f.woff2)}"),
-    (3, "https://e.com/d/m.css", ":root{--img:url(v.svg)} .a{background:image-set(url(\"s.png\") 1x)} .b{filter:url(#f);backdrop-filter:url(fx.svg)}"),
-    (4, "https://e.com/none.css", "p{color:red}"),
-]
-
-#: Sheets with comments, and strings that look like comments or rules.
-COMMENTED_CSS = [
-    (1, "https://e.com/s/a.css", "/* a{b:url(no.png)} */ @import /* x */ \"b.css\"; .s{content:'/* no comment';background:url(yes.png)} /* @import 'not.css' */ .t{mask:url('t*/.svg')}"),
-    (2, "https://e.com/s/b.css", "@import url(/c.css); p{cursor:url(x.cur); -x-thing:url(thing.bin)} /* open url(never.png)"),
-    (3, "https://e.com/c.css", "@import 's/a.css'; q{src:url(f.woff2)}"),
-    (4, "https://e.com/lost.css", "@import 'none.css';"),
-]
-COMMENTED_ASSETS = [
-    ("https://e.com/s/a.css", "stylesheets", "https://e.com/s/b.css"), ("https://e.com/s/a.css", "images", "https://e.com/s/yes.png"), ("https://e.com/s/a.css", "images", "https://e.com/s/t*/.svg"),
-    ("https://e.com/s/b.css", "stylesheets", "https://e.com/c.css"), ("https://e.com/s/b.css", "images", "https://e.com/s/x.cur"), ("https://e.com/s/b.css", "other", "https://e.com/s/thing.bin"),
-    ("https://e.com/c.css", "stylesheets", "https://e.com/s/a.css"), ("https://e.com/c.css", "fonts", "https://e.com/f.woff2"), ("https://e.com/lost.css", "stylesheets", "https://e.com/none.css"),
-]
-#: What fetching these sheets gave.
-SHEET_RESULTS = [("https://e.com/s/a.css", True, "s/a.css"), ("https://e.com/s/b.css", True, "s/b.css"), ("https://e.com/c.css", True, "c.css"), ("https://e.com/lost.css", False, None), ("https://e.com/page", True, "page.html"), ("https://e.com/s/yes.png", True, "s/yes.png")]
-
 #: Settings files, good and bad.
 CONFIGS = [(1, '{"max_depth":3,"target_url":"https://e.com","same_domain_only":true,"allowed_domains":["e.com"],"retry_delay":1.5}'), (2, '{"max_depth":"3","retry_delay":2,"custom_headers":{"A":"b"},"unknown":1,"user_agent":null}'), (3, '{"max_depth":true,"same_domain_only":1,"blocked_domains":{},"custom_headers":[]}'), (4, "[1]"), (5, "no json"), (6, "{}")]
 
-SCRIPTS = [
-    (1, "load('/js/app.js'); var o={src: \"img.png\", url:'api/x', href : 'y.css'};"),
-    (2, "navigator.serviceWorker.register('/sw.js'); registerServiceWorker('sw2.js');"),
-    (3, "registerServiceWorker('only.js')"),
-    (4, "nothing here"),
-]
-
-SRCSETS = ["https://e.com/a.png 1x, https://e.com/b.png 2x", "a.png, b.png 2x,", "one.jpg 640w,two.jpg 1280w", ""]
-
-EDGES = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("e", "e"), ("f", "g"), ("g", "f"), ("h", "f"), *[(f"n{k}", f"n{k + 1}") for k in range(9)]]
-
 DNS = [("ok.com", "93.184.216.34"), ("mixed.com", "93.184.216.34"), ("mixed.com", "10.1.2.3"), ("link.com", "169.254.1.1"), ("edge.com", "172.32.0.1"), ("in.com", "172.16.0.1"), ("bad.com", "not an address"), ("six.com", "2606:2800:220:1::1"), ("loop6.com", "::1"), ("local6.com", "fd12:3456::1"), ("link6.com", "fe80::1"), ("both.com", "2606:2800:220:1::1"), ("both.com", "10.1.2.3"), ("wrong6.com", "2606:::1")]
 
 AUTH = {

@@ -5,6 +5,7 @@ import importlib
 import json
 import random
 import sys
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagelens.config import Settings
-from pagelens.functions import classify, css, html, paths, urls, validate
+from pagelens.functions import classify, css, csslex, html, paths, urls, validate
 from pagelens.operators import accounting, discover, graph, index, netguard, repository, resilience, rewrite
 from pagelens.sources import readers, sinks
 from pagelens.streaming import events as stream
@@ -149,7 +150,7 @@ def test_rewrite_leaves_all_else_untouched():
     page = "<!DOCTYPE html><DIV CLASS=a>&amp; &#39;<a href=/x>1</a><a HREF = '/x'>2</a></DIV><script>a='<img src=/x>'</script><!-- <a href=/x> -->"
     assert html.rewritten_html(page, {"/y": "z"}) == page == html.rewritten_html(page, {})
     assert html.rewritten_html(page, {"/x": "l\"&"}).count("l") > page.count("l")
-    assert html.rewritten_css("URL( \"U\" )", {"U": "new"}) == "url(new)" and html.rewritten_css("URL( \"V\" )", {"U": "new"}) == "URL( \"V\" )"
+    assert csslex.rewritten("URL( \"U\" )", {"U": "new"}) == "URL( \"new\" )" and csslex.rewritten("URL( \"V\" )", {"U": "new"}) == "URL( \"V\" )"
     assert html.rewritten_srcset("a 1x,, b 2x,", {"a": "c"}) == "c 1x, b 2x"
 
 
@@ -209,6 +210,8 @@ def test_repository_cycle(spark, tmp_path):
     t = repository.update(t, spark.createDataFrame([("https://a.b/x", "failed", "HTTP 500")], "url string, status string, last_error string"))
     assert [r["url"] for r in repository.find_by_status(t, "failed").collect()] == ["https://a.b/x"]
     assert repository.update(t, spark.createDataFrame([("https://a.b/x", 1)], "url string, other int")) is t
+    twice = repository.update(t, spark.createDataFrame([("https://a.b/x", "failed", "a", 2), ("https://a.b/x", "failed", "b", 1)], "url string, status string, last_error string, seq int"))
+    assert [r["last_error"] for r in twice.filter("url = 'https://a.b/x'").collect()] == ["a"]
     repository.save(t, str(tmp_path / "repo"))
     back = repository.load(spark, str(tmp_path / "repo"))
     assert repository.statistics(back).first().asDict() == {"total": 2, "pending": 1, "downloading": 0, "completed": 0, "failed": 1}
@@ -216,6 +219,81 @@ def test_repository_cycle(spark, tmp_path):
     assert repository.delete(back, back.filter("status = 'failed'")).count() == 1
 
 
+REFERENCES = [
+    ("/* a{b:url(no.png)} */ @import /* x */ \"b.css\" supports(url(x));", [("b.css", "import", None, None, None)]),
+    ("@import url( 'c d.css' ) screen; @namespace svg url(http://n); @charset \"u\";", [("c d.css", "import", None, None, "url")]),
+    (".s:hover{content:'/* no';background:url(yes\\29 .png) , url(\"t*/.svg\")}", [("yes).png", "declaration", "background", None, "url"), ("t*/.svg", "declaration", "background", None, "url")]),
+    ("@media print{@supports (x:y){.a[href=\"x\"]{MASK:image-set(\"a.webp\" type(\"image/webp\") 1x, url(b.png) 2x)}}} p{src:url(q)}", [("a.webp", "declaration", "mask", "supports", "image-set"), ("b.png", "declaration", "mask", "supports", "image-set"), ("q", "declaration", "src", None, "url")]),
+    (".v{--X:url(v.svg);filter:URL('#f')} .bad{x:url(a b.png);y:url(ok.png)}", [("v.svg", "declaration", "--X", None, "url"), ("#f", "declaration", "filter", None, "url"), ("ok.png", "declaration", "y", None, "url")]),
+    ("a{b:\"never ends\n;c:url(x.cur)} /* open url(never.png)", [("x.cur", "declaration", "c", None, "url")]),
+    ("url(alone.png) .x{y:myurl(no.png);z:url()}", [("alone.png", "other", None, None, "url")]),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize("text, want", REFERENCES)
+def test_sheet_references(text, want):
+    assert [r[:5] for r in csslex.references(text)] == want
+    assert csslex.rewritten(text, {}) == text
+    moved = csslex.rewritten(text, {r[0]: f"m{k}(" for k, r in enumerate(want)})
+    assert [r[0] for r in csslex.references(moved)] == [f"m{k}(" for k in range(len(want))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="url(@import \"'\\);{}:/*a-\n", max_size=60))
+def test_any_sheet_is_read_and_copied(text):
+    found = csslex.references(text)
+    assert all(0 <= r[5] <= r[6] <= len(text) for r in found) and [r[5] for r in found] == sorted(r[5] for r in found)
+    assert csslex.rewritten(text, {"no such": "x"}) == text
+
+
+def test_long_and_deep_sheets_are_linear(spark):
+    data = "data:image/png;base64," + "QUJD" * 250_000
+    sheets = [f'a{{b:url("{data}");c:url(x.png)}}', f"a{{b:url({data})}} @import 'y.css';", "{" * 200_000 + "a:url(z.png)", "url(" * 100_000, "a(" * 100_000 + "'x'", '"' + "\\\"" * 200_000, "/*" + "*" * 500_000]
+    df = spark.createDataFrame([(f"https://e.com/s/{k}.css", t) for k, t in enumerate([*sheets, None])], "css_url string, css string")
+    began = time.perf_counter()
+    got = {(r["css_url"][-5:], r["asset"]) for r in discover.discover_css(df).collect()}
+    assert got == {("0.css", "https://e.com/s/x.png"), ("1.css", "https://e.com/s/y.css"), ("2.css", "https://e.com/s/z.png")}
+    assert time.perf_counter() - began < 60
+    assert discover.style_references(spark.createDataFrame([(1, "https://e.com/", f"<style>{sheets[0]}</style>")], "page_id long, url string, html string")).count() == 2
+
+
+def test_strong_components_equal_brute_force(spark):
+    rng = random.Random(1)
+    random_edges = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(55)]
+    path = [(f"p{k}", f"p{k + 1}") for k in range(40)] + [("p40", "p20"), ("x", "x"), ("x", "x"), (None, "p1"), ("p2", None)]
+    edges = random_edges + path
+    out = {}
+    for a, b in edges:
+        if a and b:
+            out.setdefault(a, set()).add(b)
+            out.setdefault(b, set())
+    reach = {}
+    for n in out:
+        seen, todo = set(), [n]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[n] = seen
+    parts = {n: {n} | {m for m in reach[n] if n in reach[m]} for n in out}
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r["node"]: (r["component"], r["size"]) for r in graph.strong_components(df).collect()}
+    assert got == {n: (min(p), len(p)) for n, p in parts.items()}
+    assert graph.strong_components(df.filter("src = 'none'")).collect() == []
+
+
+def test_closures_do_not_shuffle_edges(spark):
+    edges = spark.createDataFrame([(f"a{k % 50}", f"b{k}") for k in range(500)], "src string, dst string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with graph.by_source(edges) as stored:
+            plan = edges.select(F.col("src").alias("node")).join(stored, F.col("node") == F.col("src"))._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and "hashpartitioning(src" not in plan and "hashpartitioning(node" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_closure_caps_and_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("b", "d")], "src string, dst string")
     assert {r["node"]: r["reaches_cycle"] for r in graph.on_cycles(edges).collect()} == {"a": True, "b": True, "c": True, "d": False}
