@@ -14,10 +14,19 @@ group of digits, the longest first.  A card keeps its Luhn sum at the other
 parity, so digits after or before it read the same with its pseudonym.
 
 A secret is what follows a key word (password, token, ...) and = or :, in
-quotes, or without them if it holds a digit and a letter or follows =.
+quotes, or without them if it holds a digit and a letter (among its first 512
+characters) or follows =; what follows "password is" or "bearer" and holds
+both; and keys that a prefix marks (AKIA, ghp_).  IBANs in small letters or
+with hyphens get the pseudonym of the same IBAN in its plain form, addresses
+in an IPv6 form that ends in an IPv4 address that of the IPv4 address.
+
+Patterns begin at the start of a run of their characters and look ahead a
+bounded way, so time is linear in the text, whatever it holds.
 
 A null text stays null with no values; an empty text stays empty.  Rows are
-independent: repeated rows get equal results.  Other columns pass unchanged.
+independent: repeated rows get equal results.  Other columns pass unchanged;
+where the table has a column ``n_values`` or ``value_kinds``, the new one gets
+underscores behind its name.
 """
 
 from __future__ import annotations
@@ -31,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 8
 
 #: Alphabets that a character of a value may stand in.
@@ -160,7 +171,10 @@ class Pseudonyms:
                 return _fill(s, new)
 
     def iban(self, s: str) -> str | None:
-        plain = s.replace(" ", "")
+        if s[0].islower():
+            new = self.iban(s.upper()) if s[:2].upper() in IBAN_LENGTHS and len(re.sub("[ -]", "", s)) == IBAN_LENGTHS[s[:2].upper()] else None
+            return new and new.lower()
+        plain = re.sub("[ -]", "", s)
         as_number = lambda x: int("".join(str(int(c, 36)) for c in x))
         if not 15 <= len(plain) <= 34 or as_number(plain[4:] + plain[:4]) % 97 != 1:
             return None
@@ -168,19 +182,22 @@ class Pseudonyms:
         while True:
             body = self._mixed(body, b"iban" + plain[:2].encode())
             it = iter(plain[:2] + f"{98 - as_number(body + plain[:2] + '00') % 97:02d}" + body)
-            new = "".join(c if c == " " else next(it) for c in s)
+            new = "".join(c if c in " -" else next(it) for c in s)
             # A value of another length than its country's must not begin with one of that length.
-            short = new[: self._ends("iban", new, 0, len(new))[0]].replace(" ", "")
+            short = re.sub("[ -]", "", new[: self._ends("iban", new, 0, len(new))[0]])
             if len(short) == len(plain) or as_number(short[4:] + short[:4]) % 97 != 1:
                 return new
 
     def phone(self, s: str) -> str | None:
-        head = re.match(r"\+\d{1,3}(?=[\s.(-])|0(?=\d[ .-]\d\d[ .-])|\(?0(?=\d{1,4}[) /-])", s)
+        head = re.match(r"\(\+\d{1,3}\)|00[1-9]\d{0,2}(?=[ .-])|0(?=[1-9]\d{8}\Z)|\+\d{1,3}(?=[\s.(-])|0(?=\d[ .-]\d\d[ .-])|\(?0(?=\d{1,4}[) /-])", s)
         rest = s[head.end() if head else 0 :]
         digits = re.sub(r"\D", "", rest)
         if not 7 <= len(digits) <= 14:
             return None
-        return s[: len(s) - len(rest)] + _fill(rest, self._number(digits, b"phone"))
+        bare, digits = head is not None and rest == digits and head[0] == "0", self._number(digits, b"phone")
+        while bare and digits[0] == "0":  # 00 would begin an international number
+            digits = self._number(digits, b"phone")
+        return s[: len(s) - len(rest)] + _fill(rest, digits)
 
     def national_id(self, s: str) -> str | None:
         area, group, serial = s[:3], s[4:6], s[7:]
@@ -190,8 +207,7 @@ class Pseudonyms:
         n = self.feistel.permute((areas.index(int(area)) * 99 + int(group) - 1) * 9999 + int(serial) - 1, len(areas) * 99 * 9999, b"national id", self.back)
         return f"{areas[n // 9999 // 99]:03d}{s[3]}{n // 9999 % 99 + 1:02d}{s[6]}{n % 9999 + 1:04d}"
 
-    def bare_secret(self, s: str) -> str | None:
-        return self.secret(s)
+    bare_secret = said_secret = bearer_secret = marked_secret = secret
 
     def ipv6(self, s: str) -> str | None:
         """The groups that are written, each in its own letters and length."""
@@ -215,6 +231,55 @@ class Pseudonyms:
             if (any(map(str.isalpha, text)) or not upper) and (len(groups) > 2 or any(map(str.isdigit, text))):
                 return new
 
+    def ipv6_mapped(self, s: str) -> str | None:
+        """An IPv6 address that ends in an IPv4 address: the latter's own pseudonym, and prefixes that are no fixed ones group by group."""
+        head, _, tail = s.rpartition(":")
+        try:
+            ipaddress.IPv6Address(s)
+        except ValueError:
+            return None
+        if head.lower() not in self.MAPPED:
+            groups = "".join(g for g in head.split(":"))
+            it = iter(self._mixed(groups.lower(), b"ipv6 head" + re.sub(r"\w", "h", head).encode(), HEX[:1]))
+            head = "".join(c if c == ":" else next(it) for c in head)
+            if head.lower() in self.MAPPED:
+                return None
+        return f"{head}:{self.ipv4(tail)}"
+
+    def card_dots(self, s: str) -> str | None:
+        return self.card(s)
+
+    def low_iban(self, s: str) -> str | None:
+        return self.iban(s)
+
+    def short_date(self, s: str) -> str | None:
+        """Year, month and day without leading zeros; one of them has one digit, also in the pseudonym."""
+        y, m, d = map(int, re.split("[-/]", s))
+        try:
+            day = self._day(y, m, d)
+        except ValueError:
+            return None
+        while day.month > 9 and day.day > 9:
+            day = self._day(day.year, day.month, day.day)
+        return f"{day.year:04d}{s[4]}{day.month}{s[4]}{day.day}"
+
+    def named_date(self, s: str) -> str | None:
+        """Day, English month and year in either order; letters' case, short names and leading zeros stay."""
+        d, name, y = re.search(r"\b\d\d?\b", s)[0], re.search(r"[A-Za-z]+", s)[0], s[-4:]
+        short = name.lower() not in self.MONTHS
+        month = next(k for k, m in enumerate(self.MONTHS, 1) if m.startswith(name.lower()))
+        try:
+            day = self._day(int(y), month, int(d))
+        except ValueError:
+            return None
+        # "May" is read as a whole name, a day with a leading zero as one of a single digit.
+        while (short and day.month == 5) or (d[0] == "0" and day.day > 9):
+            day = self._day(day.year, day.month, day.day)
+        new = self.MONTHS[day.month - 1][: 3 if short else None]
+        new = new.upper() if name.isupper() else new if name.islower() else new.capitalize()
+        number = f"{day.day:02d}" if d[0] == "0" else str(day.day)
+        return re.sub(r"[A-Za-z]+", new, re.sub(r"\b\d\d?\b", number, s[:-4], count=1), count=1) + f"{day.year:04d}"
+
     def ipv4(self, s: str) -> str | None:
         parts = [int(x) for x in s.split(".")]
         if any(x > 255 for x in parts):
@@ -245,20 +310,33 @@ class Pseudonyms:
             return f"{first:02d}{sep}{second:02d}{sep}{day.year:04d}"
         return None
 
+    #: Prefixes of addresses that end in an IPv4 address.
+    MAPPED = (":", "::ffff", "::ffff:0", "64:ff9b:")
+    #: The months.
+    MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+    _MONTH = "(?:" + "|".join(f"(?i:{m[:3]}(?:{m[3:]})?)" for m in MONTHS) + ")"
     #: Words that name a secret.
     SECRET_WORDS = r"token|secret|password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key"
     #: Tried in this order at each place.
     KINDS = {
         "secret": rf"""(?i:{SECRET_WORDS})["']?\s*[=:]\s*["'](?P<secret>[^"'\s]{{6,}})["']""",
-        "bare_secret": rf"""(?i:{SECRET_WORDS})["']?(?:\s*=\s*|:\s*(?=[^\s"'<>,;]*\d)(?=[^\s"'<>,;]*[A-Za-z]))(?P<bare_secret>[^\s"'<>,;=][^\s"'<>,;]*[^\s"'<>,;.!?)\]}}]{{4,}})""",
-        "email": r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
-        "iban": r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b)",
-        "ipv6": r"(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d|[0-9A-Fa-f]*::|(?:[0-9A-Fa-f]+:){7})(?:[0-9A-Fa-f]{1,4}:){1,7}(?::(?:[0-9A-Fa-f]{1,4}:){0,6})?(?:[0-9A-Fa-f]{1,4})?(?![\w:])|(?<![\w:.])::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}(?![\w:]))",
+        "bare_secret": rf"""(?i:{SECRET_WORDS})["']?(?:\s*=\s*|:\s*(?=[^\s"'<>,;]{{0,512}}\d)(?=[^\s"'<>,;]{{0,512}}[A-Za-z]))(?P<bare_secret>[^\s"'<>,;=][^\s"'<>,;]*[^\s"'<>,;.!?)\]}}]{{4,}})""",
+        "said_secret": r"""(?<!\w)(?i:password|passwd|passphrase|pwd) (?i:is):? (?=[^\s"'<>,;]{0,512}\d)(?=[^\s"'<>,;]{0,512}[A-Za-z])(?P<said_secret>[^\s"'<>,;=][^\s"'<>,;]*[^\s"'<>,;.!?)\]}]{4,})""",
+        "bearer_secret": r"(?<!\w)(?i:bearer) (?=[\w.~+/-]{0,512}\d)(?=[\w.~+/-]{0,512}[A-Za-z])(?P<bearer_secret>[A-Za-z0-9_.~+/-]{15,}[A-Za-z0-9_~+/-])",
+        "marked_secret": r"(?<!\w)(?:A[KS]IA(?=[A-Z0-9]{16}(?!\w))|gh[pousr]_(?=[A-Za-z0-9]{36}))(?P<marked_secret>[A-Za-z0-9]{16,255})(?!\w)",
+        "email": r"(?P<email>(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
+        "iban": r"(?P<iban>\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}\b)",
+        "low_iban": r"(?P<low_iban>(?<![\w-])[a-z]{2}\d{2}(?:[ -]?[a-z0-9]){11,30}\b)",
+        "ipv6_mapped": r"(?P<ipv6_mapped>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,6}\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))",
+        "ipv6": r"(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d|[0-9A-Fa-f]*::|(?:[0-9A-Fa-f]+:){7})(?:[0-9A-Fa-f]{1,4}:){1,7}(?::(?:[0-9A-Fa-f]{1,4}:){0,6})?(?:[0-9A-Fa-f]{1,4})?(?![\w:]|\.\d)|(?<![\w:.])::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d))",
         "ipv4": r"(?P<ipv4>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))",
         "iso_date": r"(?P<iso_date>(?<![\d-])\d{4}[-/.]\d{2}[-/.]\d{2}(?![\d-]))",
+        "short_date": r"(?P<short_date>(?<![\d/-])(?:19|20)\d\d(?:-(?:[1-9]-[1-9]\d?|[1-9]\d-[1-9])|/(?:[1-9]/[1-9]\d?|[1-9]\d/[1-9]))(?![\d/-]))",
+        "named_date": rf"(?P<named_date>(?<![\w.-])\d{{1,2}} {_MONTH} (?:19|20)\d\d(?!\w)|(?<!\w){_MONTH} \d{{1,2}},? (?:19|20)\d\d(?!\w))",
         "day_date": r"(?P<day_date>(?<![\d/.-])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{4}(?![\d/-]))",
         "national_id": r"(?P<national_id>(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-]))",
-        "phone": r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d\)[ .-]?)?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])0\d(?:[ .-]\d{2}){4}(?!\d|[.-]\d)|(?<![\w.-])(?:0\d{2,4}[ /-]|\(0\d{1,4}\) ?)\d{3,4}(?:[ -]?\d{2,4}){1,2}(?![\w-]|\.\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))",
+        "card_dots": r"(?P<card_dots>(?<![\d.-])\d{4}(?:\.\d{4}){3}(?![\d-]|\.\d))",
+        "phone": r"(?P<phone>\(\+\d{1,3}\)[ .-]?\d{1,4}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])00[1-9]\d{0,2}[ .-]\d{1,4}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])0[1-9]\d{8}(?![\w-]|\.\d)|\+\d{1,3}[ .-]?(?:\(\d\)[ .-]?)?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])0\d(?:[ .-]\d{2}){4}(?!\d|[.-]\d)|(?<![\w.-])(?:0\d{2,4}[ /-]|\(0\d{1,4}\) ?)\d{3,4}(?:[ -]?\d{2,4}){1,2}(?![\w-]|\.\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))",
         "card": r"(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d))",
     }
     PATTERN = re.compile("|".join(KINDS.values()))
@@ -268,11 +346,11 @@ class Pseudonyms:
     @staticmethod
     def _ends(kind: str, text: str, a: int, b: int) -> list[int]:
         """Where a value that the match ``a`` to ``b`` begins with may end, in the order to try."""
-        if kind == "iban":
-            left = IBAN_LENGTHS.get(text[a : a + 2], 0)
+        if kind in ("iban", "low_iban"):
+            left = IBAN_LENGTHS.get(text[a : a + 2].upper(), 0)
             for end in range(a, b):
-                left -= text[end] != " "
-                if left == 0 and (end + 1 == b or text[end + 1] == " "):
+                left -= text[end] not in " -"
+                if left == 0 and (end + 1 == b or text[end + 1] in " -"):
                     return [end + 1, b] if end + 1 < b else [b]
         if kind in ("card", "phone"):
             return [b, *(e for e in range(b - 1, a, -1) if text[e - 1].isdigit() and not text[e].isdigit())]
@@ -346,10 +424,8 @@ def pseudonyms(text: Column, key: bytes, back: bool = False) -> Column:
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; adds ``n_values`` and ``value_kinds`` if ``counts``."""
-    name = "_pseudonyms"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("_pseudonyms", docs.columns)
     out = docs.withColumn(name, pseudonyms(F.col(text_col), key)).withColumn(text_col, F.col(name)["text"])
     if counts:
-        out = out.withColumn("n_values", F.col(name)["n"]).withColumn("value_kinds", F.col(name)["kinds"])
+        out = out.withColumn(free_name("n_values", docs.columns), F.col(name)["n"]).withColumn(free_name("value_kinds", docs.columns), F.col(name)["kinds"])
     return out.drop(name)
