@@ -14,8 +14,13 @@ on the sample, on its links and on vectors moved to the threshold in the
 directions of the data, and the planes are read to the ``recall`` quantile.
 With ``recall`` = 1 the whole distance counts, and no link is lost.
 
-Centroids and codebooks are fitted on a bounded sample, in the order of a hash
-of the vector: eight rows for each list, ``sample`` at least and
+Equal unit vectors of a label are one vector with a weight: they are grouped
+before the index is built, a link counts for the copies of its other end, and
+copies link with each other, so a vector that a third of all rows repeat costs
+no more than another.
+
+Centroids and codebooks are fitted on a bounded sample of different vectors, in
+the order of a hash of the vector: eight rows for each list, ``sample`` at least and
 ``most_sample`` at most.  There are as many lists as it takes for ``list_rows``
 rows in each, up to an eighth of ``most_sample``; from there on lists grow and
 are read in blocks.  Every row is indexed and every row queries.  Vectors are
@@ -193,7 +198,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str)
 
 
 def find_links(sound: DataFrame, dim: int, total: int, threshold: float, recall: float, sample: int, most_sample: int, list_rows: int, subspaces: int, block: int) -> DataFrame:
-    """(key, other, links) of the ``total`` vectors of one length (key, label, unit): link counts (other null) and a spanning forest (links 0)."""
+    """(key, other, links) of the ``total`` different vectors of one length (key, label, unit, weight): link counts by weight (other null) and a spanning forest (links 0)."""
     spark = sound.sparkSession
     parts_of = next(s for s in range(min(subspaces, dim), 0, -1) if dim % s == 0)
     lists = int(np.clip(total // list_rows, 1, max(1, most_sample // 8)))
@@ -218,16 +223,16 @@ def find_links(sound: DataFrame, dim: int, total: int, threshold: float, recall:
             codes = own.encode(x, home)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(k) for k in range(3)),
+                    *(batch.column(k) for k in range(4)),
                     pa.array(home.astype(np.int32)),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array(np.linalg.norm(x - own.decode(home, codes), axis=1)),
                     pa.array(np.linalg.norm(x - own.centres[home], axis=1)),
                 ],
-                names=["key", "label", "unit", "home", "codes", "error", "radius"],
+                names=["key", "label", "unit", "weight", "home", "codes", "error", "radius"],
             )
 
-    dealt = materialize(sound.select("key", "label", "unit").mapInArrow(deal, "key long, label string, unit binary, home int, codes binary, error double, radius double"), "inverted-lists")
+    dealt = materialize(sound.select("key", "label", "unit", "weight").mapInArrow(deal, "key long, label string, unit binary, weight long, home int, codes binary, error double, radius double"), "inverted-lists")
     radii = np.zeros(lists)
     for r in dealt.groupBy("home").agg(F.max("radius").alias("radius")).collect():  # one row per list
         radii[r["home"]] = r["radius"]
@@ -242,18 +247,18 @@ def find_links(sound: DataFrame, dim: int, total: int, threshold: float, recall:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, home, runs = _unit_rows(batch, "unit", dim), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            x, home, runs = _unit_rows(batch, "unit", dim), batch.column(4).to_numpy(), batch.column(5).to_numpy()
             asked = []
             for a in range(0, len(x), chunk):
                 for k, row in enumerate(own.probed(x[a : a + chunk], home[a : a + chunk], every_list, reach, margin), a):
                     asked.append(np.unique(np.flatnonzero(row) * int(runs[k]) // lists).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(asked, pa.list_(pa.int32()))], names=["key", "label", "unit", "home", "asked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(asked, pa.list_(pa.int32()))], names=["key", "label", "unit", "weight", "home", "asked"])
 
-    queries = materialize(based.select("key", "label", "unit", "home", "runs").mapInArrow(ask, "key long, label string, unit binary, home int, asked array<int>"), "vector-queries")
+    queries = materialize(based.select("key", "label", "unit", "weight", "home", "runs").mapInArrow(ask, "key long, label string, unit binary, weight long, home int, asked array<int>"), "vector-queries")
     # Large runs are cut into blocks of index rows times blocks of queries, by counts of both.
     run = F.floor(F.col("home").cast("long") * F.col("runs") / F.lit(lists)).cast("int")
-    indexed = based.select("key", "label", run.alias("run"), F.lit(1).alias("indexed"), "home", "unit", "codes", "error")
-    asking = queries.select("key", "label", F.explode("asked").alias("run"), F.lit(0).alias("indexed"), "home", "unit", F.lit(b"").alias("codes"), F.lit(0.0).alias("error"))
+    indexed = based.select("key", "label", run.alias("run"), F.lit(1).alias("indexed"), "home", "unit", "weight", "codes", "error")
+    asking = queries.select("key", "label", F.explode("asked").alias("run"), F.lit(0).alias("indexed"), "home", "unit", "weight", F.lit(b"").alias("codes"), F.lit(0.0).alias("error"))
     cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
     sizes = indexed.groupBy("label", "run").agg(F.count("*").alias("n_index")).join(asking.groupBy("label", "run").agg(F.count("*").alias("n_query")), ["label", "run"])
     sized = indexed.unionByName(asking).join(sizes.select("label", "run", cut("n_index").alias("bi"), cut("n_query").alias("bq")), ["label", "run"])
@@ -265,6 +270,7 @@ def find_links(sound: DataFrame, dim: int, total: int, threshold: float, recall:
         own = Index(*sent.value)
         side = table.column("indexed").to_numpy()
         ids, home, units = table.column("key").to_numpy(), table.column("home").to_numpy(), table.column("unit").to_pylist()
+        weight = table.column("weight").to_numpy()
         q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         links, forest = {}, Forest()
         if len(q) and len(x):
@@ -288,9 +294,13 @@ def find_links(sound: DataFrame, dim: int, total: int, threshold: float, recall:
                     sure = np.concatenate([np.einsum("ij,ij->i", queries[k[i : i + 65536]], base[j[i : i + 65536]]) for i in range(0, len(k), 65536)] or [np.empty(0)]) >= threshold
                     k, j = k[sure], j[sure]
                     # Within a list both ends ask; between two lists only the first does.
-                    for rows in (q[k], x[j[asked[k] != c]]):
-                        for v, m in zip(*np.unique(ids[rows], return_counts=True)):
-                            links[int(v)] = links.get(int(v), 0) + int(m)
+                    outer = asked[k] != c
+                    for rows, ends in ((q[k], x[j]), (x[j[outer]], q[k[outer]])):
+                        found, at_row = np.unique(ids[rows], return_inverse=True)
+                        sums = np.zeros(len(found), np.int64)
+                        np.add.at(sums, at_row, weight[ends])
+                        for v, m in zip(found.tolist(), sums.tolist()):
+                            links[v] = links.get(v, 0) + m
                     for one, two in zip(ids[q[k]].tolist(), ids[x[j]].tolist()):
                         forest.join(one, two)
         a, b = forest.stars()
@@ -298,7 +308,7 @@ def find_links(sound: DataFrame, dim: int, total: int, threshold: float, recall:
             [pa.array([*links, *a.tolist()], pa.int64()), pa.array([*[None] * len(links), *b.tolist()], pa.int64()), pa.array([*links.values(), *[0] * len(a)], pa.int64())], names=["key", "other", "links"]
         )
 
-    found = materialize(tasks.select("task", "key", "indexed", "home", "unit", "codes", "error").groupBy("task").applyInArrow(search, "key long, other long, links long"), "vector-links")
+    found = materialize(tasks.select("task", "key", "indexed", "home", "unit", "weight", "codes", "error").groupBy("task").applyInArrow(search, "key long, other long, links long"), "vector-links")
     for t in (dealt, queries):
         drop_materialized(t)
     return found
@@ -309,14 +319,21 @@ def near_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     every = materialize(unit_vectors(vectors, id_col, vec_col, label_col), "unit-vectors")
-    dims = every.filter("unit IS NOT NULL").groupBy("dim").count().orderBy("dim").collect()  # one row per vector length
+    # Equal vectors of a label are one: the least key, and how many there are.
+    same = ["label", "dim", "unit"]
+    groups = every.filter("unit IS NOT NULL").groupBy(*same).agg(F.min("key").alias("rep"), F.count("*").alias("weight"), F.min("vec_id").alias("least_id"))
+    groups = materialize(groups, "different-vectors")
+    dims = groups.groupBy("dim").count().orderBy("dim").collect()  # one row per vector length
     found = every.sparkSession.createDataFrame([], "key long, other long, links long")
     for r in dims:
         if r["count"] > 1:
-            found = found.unionByName(find_links(every.filter((F.col("dim") == r["dim"]) & F.col("unit").isNotNull()), r["dim"], r["count"], threshold, recall, sample, most_sample, list_rows, subspaces, block))
-    counts = found.filter("other IS NULL").groupBy("key").agg(F.sum("links").alias("n_links"))
-    groups = components(found.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "key")
-    least = groups.join(every.select("key", "vec_id"), "key").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = every.select("key", "vec_id").join(counts, "key", "left").join(groups.join(least, "component").select("key", "component_id"), "key", "left")
+            some = groups.filter(F.col("dim") == r["dim"]).select(F.col("rep").alias("key"), "label", "unit", "weight")
+            found = found.unionByName(find_links(some, r["dim"], r["count"], threshold, recall, sample, most_sample, list_rows, subspaces, block))
+    counts = found.filter("other IS NULL").groupBy(F.col("key").alias("rep")).agg(F.sum("links").alias("links"))
+    parts = components(found.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "rep")
+    least = parts.join(groups.select("rep", "least_id"), "rep").groupBy("component").agg(F.min("least_id").alias("part_id"))
+    known = groups.join(counts, "rep", "left").join(parts.join(least, "component").select("rep", "part_id"), "rep", "left")
+    known = known.select(*same, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("part_id", "least_id").alias("component_id"))
+    out = every.select("vec_id", *same).join(known, same, "left")
     group = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.alias("component_id"), F.coalesce(group == F.col("vec_id"), F.lit(True)).alias("kept"))

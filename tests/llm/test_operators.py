@@ -854,6 +854,19 @@ def test_vectors_equal_brute_force(spark):
     assert near_vectors(df.filter("vec_id = 901")).count() == 1
 
 
+def test_many_copies_of_a_vector(spark):
+    from pagelens.llm.vector_dedup import near_vectors
+
+    rng = np.random.default_rng(9)
+    a, b, c = rng.normal(size=(3, 16))
+    near = a + 0.02 * b
+    rows = [(k, (a * (1 + k % 3)).tolist(), 1) for k in range(3000)] + [(5000 + k, near.tolist(), 1) for k in range(5)] + [(6000, c.tolist(), 1), (6001, a.tolist(), 2), (6002, a.tolist(), 2), (6003, a.tolist(), None)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == (3004, 0, k == 0) for k in [*range(3000), *range(5000, 5005)])
+    assert got[6000] == (0, 6000, True) and got[6001] == (1, 6001, True) and got[6002] == (1, 6001, False) and got[6003] == (0, 6003, True)
+
+
 def test_vectors_recall_in_a_hot_group_of_near_vectors(spark):
     """Many more lists than a fixed number of probes, and a third of the rows near, not equal, to each other."""
     from pagelens.llm.vector_dedup import near_vectors
