@@ -6,8 +6,8 @@ non-negative unbiased PU risk: with class prior p,
     risk = p * E_pos[loss(+)] + max(0, E_unl[loss(-)] - p * E_pos[loss(-)])
 
 Logistic loss makes the sigmoid of the network's output an estimate of
-P(positive | text).  The prior is estimated from the labelled training rows
-where both classes are marked, else by the Elkan-Noto ratio of held-in scores.
+P(positive | text).  The prior is estimated from positives and unlabelled text
+alone (``estimate_prior``); label 0 is never learned from.
 
 Features describe form, not words, so any language can be scored.  Training
 takes a bounded sample (``most`` rows of each kind, chosen by hash of id and
@@ -148,12 +148,29 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return model
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Elkan-Noto: the mean score of unlabelled rows over that of held-in positives, under a plain positive-against-unlabelled fit."""
-    cut = max(1, len(positive) * 4 // 5)
-    plain = fit_nnpu(positive[:cut], unlabelled, 0.5, steps=200)
-    top = plain.score(positive[cut:] if len(positive) > cut else positive).mean()
-    return float(np.clip(plain.score(unlabelled).mean() / max(top, 1e-6), 0.05, 0.98))
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives among the unlabelled, by the best bin of held-out scores.
+
+    A plain positive-against-unlabelled fit ranks the rows that it has not
+    seen.  Above any score lie at least prior times the positives' share, so
+    the least ratio of the two shares bounds the prior from above, and is it
+    where a top of the ranking holds positives only.  The bin is chosen by an
+    upper confidence bound of the ratio.  Both halves take each part once.
+    """
+    found = []
+    for turn in (0, 1):
+        fit, test = slice(turn, None, 2), slice(1 - turn, None, 2)
+        p, u = positive[fit], unlabelled[fit]
+        plain = fit_nnpu(p, u, 0.5, steps=200)
+        held_p, held_u = (positive[test], unlabelled[test]) if len(positive) > 1 and len(unlabelled) > 1 else (p, u)
+        sp, su = np.sort(plain.score(held_p)), np.sort(plain.score(held_u))
+        cuts = np.unique(sp)
+        share_p = 1 - np.searchsorted(sp, cuts) / len(sp)
+        share_u = 1 - np.searchsorted(su, cuts) / len(su)
+        doubt = (np.sqrt(np.log(4 / delta) / 2 / len(su)) + np.sqrt(np.log(4 / delta) / 2 / len(sp))) * (1 + slack)
+        best = np.argmin((share_u + doubt) / share_p)
+        found.append(share_u[best] / share_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +187,6 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, modulus: int = 4) -> Model:
     """Fit on rows that are not held out: up to ``most`` trusted positives and ``most`` unlabelled texts, by order of a hash."""
     open_labels = labels.filter(~held_out("doc_id", modulus) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = open_labels.agg(F.avg((F.col("quality") == 1).cast("double")), F.min("quality"), F.max("quality")).first()
     sound = docs.filter(~held_out("doc_id", modulus) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # At most ``most`` ids; a repeated one may have any number of rows, of which ``most`` features come back.
     ids = open_labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -183,13 +199,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, modulus: int =
         return x[np.lexsort(x.T)]
 
     positive, rest = sample(sound.join(F.broadcast(ids), "doc_id")), sample(sound.filter(order <= F.lit(top)))
-    if share[0] is not None and share[1] != share[2]:
-        prior = float(np.clip(share[0], 0.02, 0.98))
-    elif len(positive) and len(rest):
-        prior = estimate_prior(positive[np.random.default_rng(1).permutation(len(positive))], rest)
-    else:
-        prior = 0.5
-    return fit_nnpu(positive, rest, prior)
+    if not len(positive) or not len(rest):
+        return fit_nnpu(positive, rest, 0.5)
+    shuffled = lambda x, seed: x[np.random.default_rng(seed).permutation(len(x))]
+    return fit_nnpu(positive, rest, estimate_prior(shuffled(positive, 1), shuffled(rest, 2)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -556,7 +556,9 @@ def test_nnpu_learns_from_positives_and_unlabelled():
     unlabelled = np.vstack([good(1400), bad(600)])
     model = fit_nnpu(good(800), unlabelled, 0.7, steps=300)
     assert (model.score(good(500)) >= 0.7).mean() > 0.97 and (model.score(bad(500)) < 0.7).mean() > 0.97
-    assert abs(estimate_prior(good(800), unlabelled) - 0.7) < 0.15
+    for share in (0.3, 0.7, 0.9):
+        mixed = np.vstack([good(int(2000 * share)), bad(2000 - int(2000 * share))])
+        assert abs(estimate_prior(good(800), mixed[rng.permutation(2000)]) - share) < 0.06
 
 
 def test_quality_tables(spark, awkward):
@@ -584,6 +586,16 @@ def test_quality_of_large_and_repeated_ids(spark, words):
     assert quality.score(docs, model).count() == 100
 
 
+def test_quality_learns_nothing_from_label_0(spark, words):
+    from pagelens.llm import quality
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, prose(words, rng, 60) if k % 3 else "$$$ ### 12 !! " * 20) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    with_0, without = quality.train(docs, labels), quality.train(docs, labels.filter("quality = 1"))
+    assert with_0.prior == without.prior and all(np.array_equal(a, b) for a, b in zip(with_0.weights, without.weights))
+
+
 def test_quality_held_out_accuracy(spark):
     from pagelens.llm.queries import op6_quality
 
