@@ -78,6 +78,6 @@ def by_glob(index: DataFrame, glob: str) -> DataFrame:
 
 def stats(index: DataFrame) -> DataFrame:
     """One row: inserts, distinct prefixes with the root, longest token list, distinct domains."""
-    prefixes = index.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda k: F.slice("tokens", F.lit(1), k))).alias("p")).distinct().agg((F.count("*") + 1).alias("total_nodes"))
+    prefixes = index.filter(F.size("tokens") > 0).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda k: F.slice("tokens", F.lit(1), k))).alias("p")).distinct().agg((F.count("*") + 1).alias("total_nodes"))
     own = index.agg(F.coalesce(F.sum("inserts"), F.lit(0)).alias("total_urls"), F.coalesce(F.max(F.size("tokens")), F.lit(0)).cast("long").alias("max_depth"), F.count_distinct(F.nullif("domain", F.lit(""))).alias("unique_domains"))
     return own.crossJoin(prefixes)  # one row each

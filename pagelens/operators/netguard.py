@@ -71,19 +71,64 @@ def guarded(requests: DataFrame, guard: DataFrame, literal_bypass: bool = False)
     return requests.join(guard, "hostname", "left").withColumn("allowed", F.when(literal, own).otherwise(F.coalesce("allowed", F.lit(True))))
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, or null if it is none (zone names are not read).
+
+    A dotted quad at the end counts as two groups; one '::' stands for at least one group of zeros.
+    """
+    t = F.lower(ip)
+    quad = F.regexp_extract(t, r":(\d{1,3}(?:\.\d{1,3}){3})\z", 1)
+    n = ipv4_number(quad)
+    plain = F.when(quad == "", t).otherwise(F.concat(t.substr(F.lit(1), F.length(t) - F.length(quad)), F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535))))
+    halves = F.split(F.lower(plain), "::", -1)
+    groups = lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":", -1))
+    head, tail = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    size = F.size(head) + F.size(tail)
+    digits = F.concat(head, F.array_repeat(F.lit("0"), 8 - size), tail)
+    fits = ((F.size(halves) == 1) & (size == 8)) | ((F.size(halves) == 2) & (size < 8))
+    good = F.forall(F.concat(head, tail), lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+    return F.when(fits & good, F.array_join(F.transform(digits, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def address_hex(ip: Column) -> Column:
+    """Hexadecimal digits of an address, 8 for IPv4 and 32 for IPv6, or null."""
+    return F.coalesce(F.lower(F.lpad(F.hex(ipv4_number(ip)), 8, "0")), ipv6_hex(ip))
+
+
+def _leading(digits: Column, bits: Column) -> Column:
+    """The first ``bits`` bits: whole digits, and what is left of the next one."""
+    whole, rest = F.floor(bits / 4).cast("int"), bits % 4
+    digit = F.conv(digits.substr(whole + 1, F.lit(1)), 16, 10).cast("int")
+    part = F.floor(digit / F.pow(F.lit(2), 4 - rest))
+    return F.concat(digits.substr(F.lit(1), whole), F.when(rest > 0, F.concat(F.lit("/"), part.cast("string"))).otherwise(F.lit("")))
+
+
+def _matches(ips: DataFrame, networks: DataFrame) -> DataFrame:
+    """(ip, network, bits) by an equi-join: an address has one key for each length that occurs in its family (at most 33 and 129).
+
+    Bits of a network beyond its length are ignored; without a length it is one address.  What cannot be read matches nothing.
+    """
+    nets = networks.select("network", address_hex(F.split("network", "/")[0]).alias("digits"), F.try_element_at(F.split("network", "/"), F.lit(2)).alias("size")).filter("digits IS NOT NULL")
+    nets = nets.withColumn("width", F.length("digits") * 4).withColumn("bits", F.when(F.col("size").isNull(), F.col("width")).otherwise(F.col("size").try_cast("int"))).filter("bits BETWEEN 0 AND width")
+    keyed = nets.select("network", "width", "bits", _leading(F.col("digits"), F.col("bits")).alias("key"))
+    lengths = nets.agg(F.collect_set(F.struct("width", "bits")).alias("lengths"))  # one row, at most 162 entries
+    asked = ips.select("ip", address_hex(F.col("ip")).alias("digits")).filter("digits IS NOT NULL").crossJoin(F.broadcast(lengths))
+    asked = asked.select("ip", "digits", F.explode(F.filter("lengths", lambda x: x["width"] == F.length("digits") * 4)).alias("x")).select("ip", "digits", "x.width", "x.bits")
+    asked = asked.select("ip", "width", "bits", _leading(F.col("digits"), F.col("bits")).alias("key"))
+    return asked.join(keyed, ["width", "bits", "key"]).select("ip", "network", "bits")
+
+
 def in_networks(ips: DataFrame, networks: DataFrame) -> DataFrame:
-    """(ip, network) pairs of IPv4 addresses and any number of networks (network), as an equi-join.
+    """(ip, network): all pairs of addresses (ip) and networks (network) that hold them, IPv4 and IPv6."""
+    return _matches(ips, networks).select("ip", "network")
+
+
+def longest_network(ips: DataFrame, networks: DataFrame) -> DataFrame:
+    """(ip, network): the longest network that holds each different address; equal ones in two writings count as the later text.
 
-    Each address is tested against its own prefix of each length that occurs (at most 33).
+    Addresses are made different first, so a frequent one is one row.
     """
-    base = F.split("network", "/")
-    nets = networks.select("network", base[1].cast("int").alias("bits"), ipv4_number(base[0]).alias("n")).filter("n IS NOT NULL")
-    size = lambda b: F.pow(F.lit(2.0), F.lit(32) - b).cast("bigint")
-    keyed = nets.select("network", "bits", F.floor(F.col("n") / size(F.col("bits"))).cast("bigint").alias("key"))
-    lengths = F.array(*[F.lit(k) for k in range(33)])
-    asked = ips.select("ip", ipv4_number(F.col("ip")).alias("n")).filter("n IS NOT NULL").select("ip", "n", F.explode(lengths).alias("bits"))
-    asked = asked.select("ip", "bits", F.floor(F.col("n") / size(F.col("bits"))).cast("bigint").alias("key"))
-    return asked.join(keyed, ["bits", "key"]).select("ip", "network")
+    return _matches(ips.select("ip").distinct(), networks.distinct()).groupBy("ip").agg(F.max_by("network", F.struct("bits", "network")).alias("network"))
 
 
 def basic_header(user: Column, password: Column) -> Column:
