@@ -1,10 +1,12 @@
-"""Queries over the index in token order, many globs, and networks of both address families, on the given tables."""
+"""Queries over the index in token order, many globs, networks of both address families, and encodings, on the given tables."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import charset
 from ..operators import index, intervals, netguard, trigrams
 from . import sql as S
 from .queries import INDEX, ORACLES, _pages, _records, query
@@ -85,3 +87,26 @@ def networks_of_addresses(spark, d):
 @query(f"SELECT ip, arg_max(network, bits) AS network FROM {_HELD} GROUP BY ip")
 def longest_networks(spark, d):
     return netguard.longest_network(_addresses(spark, d), _networks(spark))
+
+
+#: How a document is written: 0-6 by its number.
+WRITINGS = ("utf-8", "utf-8-sig", "utf-16-le", "utf-16", "cp1252", "mac_roman", "cp850")
+
+
+def _written(text: pa.Array, kind: pa.Array) -> pa.Array:
+    def one(s, k):
+        try:
+            return s.encode(WRITINGS[k])
+        except UnicodeEncodeError:  # a page that lacks a character
+            return s.encode("utf-8")
+
+    return pa.array([None if s is None else one(s, k) for s, k in zip(text.to_pylist(), kind.to_pylist())], pa.binary())
+
+
+@query("SELECT doc_id, md5(text) AS digest, CASE doc_id % 7 WHEN 2 THEN CASE WHEN text = '' THEN 'utf-8' ELSE 'utf-16-le' END WHEN 3 THEN 'utf-16-le' WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8' END AS certain FROM documents")
+def decode_documents(spark, d):
+    """Every document written in one of seven ways and read back by detection; the encoding's name is compared where a text alone decides it."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 7).cast("int").alias("kind"))
+    detected = charset.detector(charset.model(charset.pair_counts(docs)))
+    found = docs.select("doc_id", "kind", detected(F.arrow_udf(_written, "binary")("text", "kind")).alias("found"))
+    return found.select("doc_id", F.md5(F.col("found.text").cast("binary")).alias("digest"), F.when(F.col("kind") < 4, F.col("found.encoding")).alias("certain"))

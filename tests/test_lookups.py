@@ -5,7 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from pagelens.functions import charset
 from pagelens.operators import index, intervals, netguard, trigrams
 
 
@@ -85,3 +87,33 @@ def test_ipv6_digits_and_networks(spark):
     for ip, n in expected:
         best[ip] = max(best.get(ip, (-1, "")), (read[n].prefixlen, n))
     assert rows(netguard.longest_network(frame.union(frame), table)) == sorted((ip, n) for ip, (_, n) in best.items())
+
+
+RUSSIAN = "Съешь же ещё этих мягких французских булок, да выпей чаю. Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства."
+FRENCH = "Dès Noël où un zéphyr haï me vêt de glaçons würmiens, je dîne d'exquis rôtis de bœuf au kir à l'aÿ d'âge mûr."
+
+
+def test_encodings(spark):
+    pages = ("cp1252", "mac_roman", "cp850", "cp1251", "koi8_r", "cp866")
+    texts = spark.createDataFrame([(RUSSIAN,), (RUSSIAN.upper(),), (FRENCH,), (None,), ("",), ("plain",)], "text string").repartition(3)
+    counts = charset.pair_counts(texts, pages)
+    shares = charset.model(counts, pages)
+    plain = {}
+    for s in (RUSSIAN, RUSSIAN.upper(), FRENCH):
+        b = b" " + s.encode("cp1251", "ignore") + b" "
+        for x, y in zip(b, b[1:]):
+            if x > 127 or y > 127:
+                plain[x * 256 + y] = plain.get(x * 256 + y, 0) + 1
+    assert {r.pair: r.n for r in counts.filter("page = 'cp1251'").collect()} == plain
+    cases = [(RUSSIAN[:60], p) for p in pages[3:]] + [("dîne à l'âge mûr, où ", p) for p in pages[:3]] + [(t, e) for t in (RUSSIAN, FRENCH, "plain") for e in ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "utf-32")]
+    cases += [("é" * 300_000 + "x", "utf-8"), ("", "utf-8"), (None, "utf-8")]
+    rows_ = [(k, None if t is None else t.encode(e)) for k, (t, e) in enumerate(cases)] + [(len(cases), b"\xff\xfe\x00"), (len(cases) + 1, b"a\x00b\x81"), (len(cases) + 2, b"\x81\x8d")]
+    frame = spark.createDataFrame(rows_, "k int, content binary")
+    found = {r.k: r.d for r in frame.select("k", charset.detector(shares, pages)(F.col("content")).alias("d")).collect()}
+    for k, (t, e) in enumerate(cases):
+        assert (found[k] and found[k].text) == t, e
+        if t and e in pages:
+            assert found[k].encoding == e
+    assert all(found[k].text is not None for k in range(len(cases), len(cases) + 3))
+    # Pages that lack a byte are passed over.
+    assert charset.detect(b"\x81\x8d", charset.model(counts, ("cp1252",)), ("cp1252",))[0] == "iso-8859-1"
