@@ -76,23 +76,30 @@ def ipv6_hex(ip: Column) -> Column:
 
     A dotted quad at the end counts as two groups; one '::' stands for at least one group of zeros.
     """
-    t = F.lower(ip)
-    quad = F.regexp_extract(t, r":(\d{1,3}(?:\.\d{1,3}){3})\z", 1)
-    n = ipv4_number(quad)
-    plain = F.when(quad == "", t).otherwise(F.concat(t.substr(F.lit(1), F.length(t) - F.length(quad)), F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535))))
-    halves = F.split(F.lower(plain), "::", -1)
-    groups = lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":", -1))
-    head, tail = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    size = F.size(head) + F.size(tail)
-    digits = F.concat(head, F.array_repeat(F.lit("0"), 8 - size), tail)
-    fits = ((F.size(halves) == 1) & (size == 8)) | ((F.size(halves) == 2) & (size < 8))
-    good = F.forall(F.concat(head, tail), lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
-    return F.when(fits & good, F.array_join(F.transform(digits, lambda g: F.lpad(g, 4, "0")), ""))
+    none = F.array().cast("array<string>")
+
+    def without_quad(t):
+        quad = F.regexp_extract(t, r":(\d{1,3}(?:\.\d{1,3}){3})\z", 1)
+        return F.when(t.rlike(r":\d+\.\d+\.\d+\.\d+\z"), urls.let(quad, lambda q: urls.let(ipv4_number(q), lambda n: F.concat(t.substr(F.lit(1), F.length(t) - F.length(q)), F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535)))))).otherwise(t)
+
+    def filled(head, tail, halves):
+        size = F.size(head) + F.size(tail)
+        fits = ((halves == 1) & (size == 8)) | ((halves == 2) & (size < 8))
+        return F.when(fits, F.concat(head, F.array_repeat(F.lit("0"), 8 - size), tail))
+
+    def expanded(halves):
+        groups = lambda h: F.when(h == "", none).otherwise(F.split(h, ":", -1))
+        return urls.let(groups(F.get(halves, F.lit(0))), lambda head: urls.let(groups(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))), lambda tail: filled(head, tail, F.size(halves))))
+
+    # Groups that are not one to four digits are left out here, so the length tells.
+    joined = lambda g: F.array_join(F.transform(F.filter(g, lambda x: x.rlike(r"^[0-9a-f]{1,4}\z")), lambda x: F.lpad(x, 4, "0")), "")
+    digits = urls.let(F.split(F.lower(without_quad(ip)), "::", -1), lambda h: joined(expanded(h)))
+    return urls.let(F.when(ip.contains(":"), digits), lambda d: F.when(F.length(d) == 32, d))
 
 
 def address_hex(ip: Column) -> Column:
     """Hexadecimal digits of an address, 8 for IPv4 and 32 for IPv6, or null."""
-    return F.coalesce(F.lower(F.lpad(F.hex(ipv4_number(ip)), 8, "0")), ipv6_hex(ip))
+    return F.when(ip.contains(":"), ipv6_hex(ip)).otherwise(F.lower(F.lpad(F.hex(ipv4_number(ip)), 8, "0")))
 
 
 def _leading(digits: Column, bits: Column) -> Column:
