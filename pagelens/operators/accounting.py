@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.classify import is_essential
+from ..sources.sinks import scratch
 
 SIZE_TOLERANCE = 1024
 
@@ -84,6 +85,26 @@ def event_stats(events: DataFrame) -> DataFrame:
     return out.withColumn("success_rate", F.col("downloads_completed") / F.greatest("downloads_started", F.lit(1)))
 
 
+def completed_phases(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """(position, ts, phase): the phases of a log in order of time and name, counted from 0; a null time comes first.
+
+    The table form of ``phases_completed``, for logs of any length: equal rows
+    are counted first, so a frequent one is one row until the end; ranges are
+    numbered by themselves and moved by the sizes of the ranges before.
+    """
+    spark = events.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = events.filter("event_type = 'phase_completed'").groupBy("ts", "phase").agg(F.count("*").alias("n"))
+    path = scratch(spark, "phases")
+    counted.repartitionByRange(n, "ts", "phase").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    table = spark.read.parquet(path)
+    offsets = table.groupBy("part").agg(F.sum("n").alias("size"))  # as many rows as parts
+    offsets = offsets.select("part", (F.sum("size").over(W.orderBy("part")) - F.col("size")).alias("offset"))
+    first = F.col("offset") + F.sum("n").over(W.partitionBy("part").orderBy("ts", "phase")) - F.col("n")
+    rows = table.join(F.broadcast(offsets), "part").withColumn("first", first)
+    return rows.select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("position"), "ts", "phase")
+
+
 def as_events(results: DataFrame) -> DataFrame:
     """One started and one completed or failed event per result."""
     kind = F.when(F.col("success"), "download_completed").otherwise("download_failed")

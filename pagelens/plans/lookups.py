@@ -1,4 +1,4 @@
-"""Queries over the index in token order, many globs, networks of both address families, and encodings, on the given tables."""
+"""Queries over the index in token order, many globs, networks of both address families, encodings and phases, on the given tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import charset
-from ..operators import index, intervals, netguard, trigrams
+from ..operators import accounting, index, intervals, netguard, trigrams
 from . import sql as S
 from .queries import INDEX, ORACLES, _pages, _records, query
 
@@ -110,3 +110,12 @@ def decode_documents(spark, d):
     detected = charset.detector(charset.model(charset.pair_counts(docs)))
     found = docs.select("doc_id", "kind", detected(F.arrow_udf(_written, "binary")("text", "kind")).alias("found"))
     return found.select("doc_id", F.md5(F.col("found.text").cast("binary")).alias("digest"), F.when(F.col("kind") < 4, F.col("found.encoding")).alias("certain"))
+
+
+@query("SELECT row_number() OVER (ORDER BY date_trunc('day', ts), user_id) - 1 AS position, date_trunc('day', ts)::TIMESTAMP AS ts, 'u' || lpad(user_id::VARCHAR, 9, '0') AS phase FROM events WHERE event_type = 'purchase'")
+def event_phases(spark, d):
+    """Purchases as phases of their day, in order; those of a user on one day are equal."""
+    log = spark.read.parquet(f"{d}/events.parquet")
+    kind = F.when(F.col("event_type") == "purchase", "phase_completed").otherwise(F.col("event_type"))
+    name = F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
+    return accounting.completed_phases(log.select(kind.alias("event_type"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), name.alias("phase")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens.functions import charset
-from pagelens.operators import index, intervals, netguard, trigrams
+from pagelens.operators import accounting, index, intervals, netguard, trigrams
 
 
 def records(spark, urls):
@@ -117,3 +117,13 @@ def test_encodings(spark):
     assert all(found[k].text is not None for k in range(len(cases), len(cases) + 3))
     # Pages that lack a byte are passed over.
     assert charset.detect(b"\x81\x8d", charset.model(counts, ("cp1252",)), ("cp1252",))[0] == "iso-8859-1"
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_phases_in_order(spark, parts):
+    r = random.Random(9)
+    log = [(r.choice(["phase_completed", "warning_raised"]), r.choice([None, *range(40)]), r.choice(["a", "b", None])) for _ in range(500)] + [("phase_completed", 7, "hot")] * 300
+    got = rows(accounting.completed_phases(spark.createDataFrame(log, "event_type string, ts long, phase string"), parts))
+    known = sorted(((t, p) for e, t, p in log if e == "phase_completed"), key=lambda x: tuple((v is not None, v if v is not None else 0) for v in x[:1]) + ((x[1] is not None, x[1] or ""),))
+    assert got == [(k, *x) for k, x in enumerate(known)]
+    assert rows(accounting.completed_phases(spark.createDataFrame([], "event_type string, ts long, phase string"), parts)) == []
