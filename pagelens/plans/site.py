@@ -188,3 +188,33 @@ def rewrite_css(spark, d):
     sheets = _sheets(spark, d).withColumn("page_dir", F.lit("s"))
     mapping = _pages(spark, d).filter("page_id % 3 = 0").selectExpr(f"concat('https://e.com/i/', {K1}, '.png') AS url", f"concat('img/', {K1}, '.png') AS relative_url").distinct()
     return rewrite.rewrite_sheets(sheets, mapping).select("page_id", F.md5(F.col("css").cast("binary")).alias("css_md5"), "status")
+
+
+#: Markup for every page that each of the nine extractors reads; what a page has depends on its number.
+MARKUP = f"""concat('<img src="/i/', {K1}, '.png" srcset="/s/', {K1}, '.png 1x, /s/', {K2}, '.png 2x"><p style="background:url(/b/', {K2}, '.png)">t</p>',
+  '<style>.q{{background:url(/t/', {K3}, '.png);--pic:url(/v/', {K1}, '.svg)}}.r{{backdrop-filter:url(/y/', {K3}, '.svg)}}</style>',
+  '<script src="/j/', {K2}, '.js"></script><script>load(', {Q}, '/js/', {K1}, '.js', {Q}, ');',
+  CASE WHEN page_id % 3 = 0 THEN concat('navigator.serviceWorker.register(', {Q}, '/sw/', {K3}, '.js', {Q}, ');') ELSE '' END, '</script>',
+  CASE WHEN page_id % 4 = 0 THEN concat('<META Property="og:image" content="/o/', {K1}, '.png">') ELSE '' END,
+  '<meta name="msapplication-TileImage" content="/w/', {K2}, '.png"><meta http-equiv="refresh" content="5; url=/r/', {K3}, '">',
+  '<link rel="Manifest" href="/m/', {K1}, '.json"><link rel="x preload" as="font" href="/p/', {K2}, '.woff2">')"""
+_MARKED = f"(SELECT page_id, {K1} AS k1, {K2} AS k2, {K3} AS k3 FROM pages)"
+#: What each extractor must find: its name, the reference, the category that it sets, and the pages that have it.
+_EXPECTED = [
+    ("attribute", "'/i/' || k1 || '.png'", None, "true"), ("attribute", "'/s/' || k1 || '.png'", None, "true"), ("attribute", "'/s/' || k2 || '.png'", None, "true"), ("attribute", "'/j/' || k2 || '.js'", None, "true"),
+    ("attribute", "'/r/' || k3", None, "true"), ("attribute", "'/m/' || k1 || '.json'", None, "true"), ("attribute", "'/p/' || k2 || '.woff2'", None, "true"),
+    ("inline_style", "'/b/' || k2 || '.png'", None, "true"), ("style_tag", "'/t/' || k3 || '.png'", None, "true"), ("style_tag", "'/v/' || k1 || '.svg'", None, "true"), ("style_tag", "'/y/' || k3 || '.svg'", None, "true"),
+    ("script", "'/js/' || k1 || '.js'", None, "true"), ("service_worker", "'/sw/' || k3 || '.js'", "service_workers", "page_id % 3 = 0"), ("script", "'/sw/' || k3 || '.js'", None, "page_id % 3 = 0"),
+    ("meta", "'/o/' || k1 || '.png'", None, "page_id % 4 = 0"), ("meta", "'/w/' || k2 || '.png'", "other", "true"), ("manifest", "'/m/' || k1 || '.json'", "manifests", "true"),
+    ("preload", "'/p/' || k2 || '.woff2'", "preload", "true"), ("preload", "'/p/' || k2 || '.woff2'", "fonts", "true"), ("modern_css", "'/v/' || k1 || '.svg'", None, "true"), ("modern_css", "'/y/' || k3 || '.svg'", "other", "true"),
+]
+
+
+@query(
+    "SELECT page_id, 'attribute' AS via, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)) AS raw, NULL AS category FROM pages UNION ALL "
+    + " UNION ALL ".join(f"SELECT page_id, {S.q(via)}, {raw}, {S.q(kind) if kind else 'NULL'} FROM {_MARKED} WHERE {where}" for via, raw, kind, where in _EXPECTED)
+)
+def page_references(spark, d):
+    """All nine extractors over every page and its own links."""
+    pages = _pages(spark, d).selectExpr("page_id", "url", f"replace(html, '<body>', concat('<body>', {MARKUP})) AS html")
+    return discover.references(discover.parsed(pages)).select("page_id", "via", "raw", "category")
