@@ -119,3 +119,19 @@ def event_phases(spark, d):
     kind = F.when(F.col("event_type") == "purchase", "phase_completed").otherwise(F.col("event_type"))
     name = F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
     return accounting.completed_phases(log.select(kind.alias("event_type"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), name.alias("phase")))
+
+
+#: Addresses that every event resolves its host to, by the host's kind: public, private, public IPv6, link-local IPv6, public with some private ones, unreadable.
+RESOLVED = f"""CASE user_id % 6 WHEN 0 THEN concat('93.184.', {A}, '.', event_id % 250) WHEN 1 THEN concat('10.', {A}, '.0.', event_id % 250) WHEN 2 THEN concat('2a00:1450:', lower(hex({A})), '::', {HEX})
+  WHEN 3 THEN concat('fe80::', {HEX}) WHEN 4 THEN CASE WHEN event_id % 40 = 0 THEN concat('169.254.0.', event_id % 250) ELSE concat('93.185.0.', event_id % 250) END ELSE concat('host-', event_id) END"""
+
+
+@query(
+    "SELECT 'h' || user_id AS hostname, NOT bool_or(CASE user_id % 6 WHEN 0 THEN FALSE WHEN 2 THEN FALSE WHEN 4 THEN event_id % 40 = 0 ELSE TRUE END) AS allowed FROM events GROUP BY user_id UNION ALL SELECT DISTINCT 'x' || user_id, TRUE FROM events"
+)
+def guard_of_hosts(spark, d):
+    """The guard over the addresses of every event's host; hosts that never resolved pass."""
+    log = spark.read.parquet(f"{d}/events.parquet")
+    guard = netguard.dns_guard(log.selectExpr("concat('h', user_id) AS hostname", f"{RESOLVED} AS ip"))
+    asked = log.selectExpr("explode(array(concat('h', user_id), concat('x', user_id))) AS hostname").distinct()
+    return netguard.guarded(asked, guard).select("hostname", "allowed")
