@@ -36,10 +36,11 @@ def pair_counts(texts: DataFrame, pages: tuple[str, ...] = PAGES) -> DataFrame:
     def run(batches):
         counts = np.zeros((len(pages), PAIRS), np.int64)
         for b in batches:
-            for s in b.column("text"):
+            for s in b.column("text").drop_null():
                 for k, page in enumerate(pages):
                     # A space before and after: the ends of a text are ends of words.
-                    counts[k] += np.bincount(high_pairs(b" " + (s.as_py() or "").encode(page, "ignore") + b" "), minlength=PAIRS) if s.is_valid else 0
+                    pair, n = np.unique(high_pairs(b" " + s.as_py().encode(page, "ignore") + b" "), return_counts=True)
+                    counts[k, pair] += n
         at, pair = counts.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array([pages[k] for k in at], pa.string()), pa.array(pair, pa.int32()), pa.array(counts[at, pair], pa.int64())], ["page", "pair", "n"])
 
