@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import readers, sinks
+from ..sources import readers, sinks, tree
 from ..streaming import events
-from .queries import RESULTS, _pages, _results, query
+from .queries import ORACLES, RESULTS, _pages, _results, query
 
 
 @query("SELECT 'p/' || page_id || '.html' AS local_path, strlen(html) AS n_bytes, md5(html) AS digest FROM pages UNION ALL SELECT '../out.html', NULL, NULL")
@@ -15,14 +15,24 @@ def site_files(spark, d):
     root = sinks.scratch(spark, "site")
     files = _pages(spark, d).select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("local_path"), F.col("html").alias("content"))
     outside = spark.createDataFrame([("../out.html", "never")], "local_path string, content string")
-    written = spark.read.schema("local_path string, written boolean, bytes long").parquet(_stored(sinks.site_tree(files.unionByName(outside), root), sinks.scratch(spark, "written")))
+    written = sinks.site_tree(files.unionByName(outside), root)
     back = readers.text_files(spark, root).select(F.regexp_extract("path", "(p/[^/]*)$", 1).alias("local_path"), F.md5(F.col("text").cast("binary")).alias("digest"))
     return written.join(back, "local_path", "left").select("local_path", F.when(F.col("written"), F.col("bytes")).alias("n_bytes"), "digest")
 
 
-def _stored(df, path: str) -> str:
-    df.write.parquet(path)
-    return path
+@query(
+    "SELECT arg_min(local_path, sha256(content) || local_path) AS local_path, md5(arg_min(content, sha256(content) || local_path)) AS digest, TRUE AS intact FROM (SELECT 's/' || page_id || '/index.html' AS place, 's/' || page_id || '/index.html' AS local_path, html AS content FROM pages"
+    " UNION ALL SELECT 's/' || page_id || '/index.html', 's//' || page_id || '/./index.html', url FROM pages) GROUP BY place"
+)
+def site_source(spark, d):
+    """Two rows for each page's file, through the data source and back: of rows with one place the smallest digest's is written, and a page's folder is no file."""
+    root = sinks.scratch(spark, "tree")
+    pages, k = _pages(spark, d), F.col("page_id").cast("string")
+    files = pages.select(F.concat(F.lit("s/"), k, F.lit("/index.html")).alias("local_path"), F.col("html").alias("content"))
+    again = pages.select(F.concat(F.lit("s//"), k, F.lit("/./index.html")), "url")
+    folders = pages.select(F.concat(F.lit("s/"), k), F.lit("a file in place of a folder"))
+    tree.write_tree(files.union(again).union(folders), root)
+    return tree.read_tree(spark, root).select("local_path", F.md5("content").alias("digest"), "intact")
 
 
 @query(f"SELECT local_path, error, file_size, url, 'ours' AS target FROM {RESULTS}")
@@ -65,3 +75,54 @@ def event_windows(spark, d):
     run = stats.writeStream.outputMode("complete").option("checkpointLocation", sinks.scratch(spark, "windows-state"))
     run.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stats.schema).parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+#: The time of the rows that close a replay: later than any other (within nanoseconds of 64 bits), so that all slices end. Their kinds and user pass the filters of the streams, which Spark moves below the watermark.
+CLOSING = "2261-01-01"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _replayed(spark, d, form):
+    """The result of a stream over all events: one run over the table, then, from its checkpoint, one that reads the closing rows."""
+    path = f"{d}/events.parquet"
+    columns = spark.read.parquet(path).select("event_id", "ts", "user_id", "event_type").schema
+    close, out, state = (sinks.scratch(spark, name) for name in ("closing", "replayed", "replay-state"))
+    last = spark.createDataFrame([(-1, CLOSING, -1, kind) for kind in ("signup", "purchase")], "event_id long, ts string, user_id long, event_type string").select(*[F.col(c.name).cast(c.dataType) for c in columns])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        for rows in (last.limit(0), last):
+            rows.write.mode("append").parquet(close)
+            streams = [spark.readStream.schema(columns).parquet(p) for p in (path[:-1] + "[t]", close)]
+            result = form(streams[0].unionByName(streams[1]).withColumn("ts", F.col("ts").cast("timestamp")))
+            result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(result.schema).parquet(out)
+
+
+@query(ORACLES["dns_ttl"])
+def dns_ttl_stream(spark, d):
+    """Requests and verdicts of the events as two streams joined by time, to their end."""
+
+    def form(log):
+        rows = log.withColumn("hostname", F.col("user_id").cast("string"))
+        verdicts = rows.filter("event_type IN ('error', 'signup')").select("hostname", F.col("ts").alias("checked_at"), F.col("event_id").alias("verdict_id"), (F.col("event_type") != "error").alias("allowed"))
+        return events.verdict_stream(rows.select(F.col("event_id").alias("request_id"), "hostname", "ts"), verdicts)
+
+    return _replayed(spark, d, form).select("request_id", "cached_verdict")
+
+
+@query(
+    "SELECT time_bucket(INTERVAL '1 hour', ts) AS slice, row_number() OVER (PARTITION BY time_bucket(INTERVAL '1 hour', ts) ORDER BY date_trunc('minute', ts), 'u' || user_id) - 1 AS position, date_trunc('minute', ts)::TIMESTAMP AS ts, 'u' || user_id AS phase FROM events WHERE event_type = 'purchase'"
+)
+def event_phase_stream(spark, d):
+    """Purchases as phases of their minute, ordered within each hour by state with timers."""
+
+    def form(log):
+        kind = F.when(F.col("event_type") == "purchase", "phase_completed").otherwise(F.col("event_type"))
+        return events.phase_stream(log.select(kind.alias("event_type"), F.date_trunc("minute", "ts").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("phase")))
+
+    rows = _replayed(spark, d, form)
+    return rows.select(F.col("slice").cast("timestamp_ntz").alias("slice"), "position", F.col("ts").cast("timestamp_ntz").alias("ts"), "phase")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_safe_path
+from . import tree
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -40,32 +41,9 @@ def site_table(files: DataFrame, path: str) -> None:
 def site_tree(files: DataFrame, root: str) -> DataFrame:
     """Write each row (local_path string, content string or binary) to its own file below ``root`` (a URI all executors reach).
 
-    Returns (local_path, written, bytes); a path that leaves the root is not written.
+    Returns (local_path, written, bytes); a path that leaves the root is not written. See ``tree`` for repeated paths and failures.
     """
-
-    def run(frames):
-        import posixpath
-
-        from pyarrow import fs
-
-        where, base = fs.FileSystem.from_uri(root)
-        for f in frames:
-            done, sizes = [], []
-            for path, content in zip(f["local_path"], f["content"]):
-                norm = posixpath.normpath(path or "..")
-                ok = bool(path) and not norm.startswith(("..", "/")) and content is not None
-                data = content.encode() if isinstance(content, str) else bytes(content or b"")
-                if ok:
-                    full = f"{base.rstrip('/')}/{norm}"
-                    where.create_dir(posixpath.dirname(full), recursive=True)
-                    with where.open_output_stream(full + ".part") as out:
-                        out.write(data)
-                    where.move(full + ".part", full)
-                done.append(ok)
-                sizes.append(len(data) if ok else 0)
-            yield f.assign(written=done, bytes=sizes)[["local_path", "written", "bytes"]]
-
-    return files.select("local_path", "content").mapInPandas(run, "local_path string, written boolean, bytes long")
+    return tree.write_tree(files, root).drop("sha256")
 
 
 def with_index(files: DataFrame, main_path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streaming forms: windowed event statistics with watermarks, and a breaker per domain."""
+"""Streaming forms: windowed event statistics with watermarks, verdicts joined to requests, phases of a log in order, and a breaker per domain."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.resilience import Breaker
 
+PHASES = "slice timestamp, position long, ts timestamp, phase string"
 BREAKER_STATE = "state string, failed int, succeeded int, last_failure double"
 
 
@@ -25,6 +27,70 @@ def windowed_stats(events: DataFrame, size: str = "5 minutes", late: str = "10 m
     )
 
 
+def verdict_stream(requests: DataFrame, verdicts: DataFrame, ttl_seconds: int = 300, late: str = "10 minutes") -> DataFrame:
+    """(request_id, hostname, ts, cached_verdict): the streaming form of ``resilience.dns_as_of``.
+
+    Streams of requests (request_id, hostname, ts timestamp) and verdicts
+    (hostname, checked_at timestamp, verdict_id, allowed).  Both sides are kept
+    by host and slice of one TTL, so a busy host is many keys; both conditions
+    on time bound the state, which ends when the watermark passes.  A request
+    is given once, when no verdict of its time can arrive any more; equal
+    requests are one, of verdicts of one time the largest number counts, and a
+    request without a time is never given.
+    """
+    slice_of = lambda c: F.floor(F.unix_micros(c) / F.lit(ttl_seconds * 1_000_000)).cast("long")
+    asks = requests.withWatermark("ts", late).filter("ts IS NOT NULL").select("request_id", "hostname", "ts", slice_of("ts").alias("slice"))
+    own = slice_of("checked_at")
+    known = verdicts.withWatermark("checked_at", late).filter("checked_at IS NOT NULL").select(F.col("hostname").alias("host"), "checked_at", "verdict_id", "allowed", F.explode(F.array(own, own + 1)).alias("read_in"))
+    fresh = (F.col("checked_at") <= F.col("ts")) & (F.col("checked_at") > F.col("ts") - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
+    pairs = asks.join(known, (F.col("hostname") == F.col("host")) & (F.col("slice") == F.col("read_in")) & fresh, "leftOuter")
+    return pairs.groupBy("request_id", "hostname", "ts").agg(F.max_by("allowed", F.struct("checked_at", "verdict_id")).alias("cached_verdict"))
+
+
+class PhaseSlice(StatefulProcessor):
+    """Keeps the phases of one slice of time with counts and gives them in order when the slice's timer fires."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getListState("seen", "ts timestamp, phase string, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.seen.exists():
+            self.handle.registerTimer(int(pd.Timestamp(key[0]).timestamp() * 1000) + self.seconds * 1000)
+        for frame in rows:
+            # Equal rows of a batch are one entry.
+            counted = frame.groupby(["ts", "phase"], dropna=False, sort=False).size()
+            self.seen.appendList([(t.to_pydatetime(), None if pd.isna(p) else p, int(n)) for (t, p), n in counted.items()])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seen = pd.DataFrame(list(self.seen.get()), columns=["ts", "phase", "n"])
+        self.seen.clear()
+        rows = seen.sort_values(["ts", "phase"], na_position="first", kind="stable")
+        rows = rows.loc[rows.index.repeat(rows["n"])]
+        yield pd.DataFrame({"slice": pd.Series([key[0]] * len(rows), dtype="datetime64[us]"), "position": range(len(rows)), "ts": rows["ts"].to_numpy(), "phase": rows["phase"].to_numpy()})
+
+    def close(self) -> None:
+        pass
+
+
+def phase_stream(events: DataFrame, slice_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """(slice, position, ts, phase): the streaming form of ``accounting.completed_phases``.
+
+    Completed phases of a stream (event_type, ts timestamp, phase), in order of
+    time and name within each slice of time and counted from 0 there (a null
+    name first).  A slice is given once, when the watermark passes its end; it
+    is one key, so ``slice_seconds`` bounds what one task keeps.  Rows without
+    a time are left out.  Needs the RocksDB state store.
+    """
+    size = f"{slice_seconds} seconds"
+    rows = events.withWatermark("ts", late).filter("event_type = 'phase_completed' AND ts IS NOT NULL").select(F.window("ts", size)["start"].alias("slice"), "ts", "phase")
+    return rows.groupBy("slice").transformWithStateInPandas(PhaseSlice(slice_seconds), PHASES, "Append", "EventTime")
+
+
 def breaker_stream(log: DataFrame, failures: int = 5, timeout: float = 60.0, successes: int = 2) -> DataFrame:
     """(request_id, domain, ts, ok, executed, state) of a stream (request_id long, domain string, ts timestamp, ok boolean).
 
