@@ -1,13 +1,13 @@
 """A site as a tree of files: a data source whose tasks stage and whose commit decides, and a job that publishes.
 
 ``files.write.format("site_tree").mode("append").save(root)`` writes rows
-(local_path string, content binary) as files of their own into
-``<root>.jobs/<job>/<attempt>``, each attempt of a task into a folder of its
-own with a list of what it wrote.  The commit names the attempts that count and
+(local_path string, content binary) into ``<root>.jobs/<job>/<attempt>``: each
+attempt of a task has a folder with all its bytes in one file and a list of
+what lies where, so small files exist only once, at their places.  The commit names the attempts that count and
 removes all others; an abort marks the job and removes it, and a task that
 still ran removes its own folder when it sees the mark (one that was killed
 after that leaves its folder to the next ``publish``).  So nothing of a failed
-or killed task reaches the site.  ``publish`` moves the files of committed jobs to their places below
+or killed task reaches the site.  ``publish`` writes the files of committed jobs to their places below
 ``root`` as a Spark job over the lists; it may be run again after any failure.
 """
 
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-LISTED = "attempt string, local_path string, place string, staged string, bytes long, sha256 string"
+LISTED = "attempt string, row long, local_path string, place string, start long, bytes long, sha256 string"
+#: Bytes of a staged file that one task writes to their places.
+STRETCH = 1 << 24
 PUBLISHED = "local_path string, written boolean, bytes long, sha256 string"
 LIST = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in LISTED.split(", "))])
 
@@ -98,19 +100,18 @@ class TreeWriter(DataSourceArrowWriter):
         where, folder = _where(f"{self.jobs}/{self.job}/{attempt}")
         where.create_dir(folder, recursive=True)
         try:
-            with where.open_output_stream(f"{folder}/list.parquet") as sink, parquet.ParquetWriter(sink, LIST) as listed:
-                n = 0
+            with where.open_output_stream(f"{folder}/data") as out, where.open_output_stream(f"{folder}/list.parquet") as sink, parquet.ParquetWriter(sink, LIST) as listed:
+                row = end = 0
                 for batch in iterator:
                     rows = []
                     for path, content in zip(batch.column("local_path"), batch.column("content")):
-                        place, staged, data = place_of(path.as_py()), None, content.as_py()
+                        place, start, data = place_of(path.as_py()), None, content.as_py()
                         if place is not None and data is not None:
                             data = data.encode() if isinstance(data, str) else data
-                            staged, n = f"{n:09d}", n + 1
-                            with where.open_output_stream(f"{folder}/{staged}") as out:
-                                out.write(data)
-                        kept = staged is not None
-                        rows.append((attempt, path.as_py(), place, staged, len(data) if kept else 0, hashlib.sha256(data).hexdigest() if kept else None))
+                            out.write(data)
+                            start, end = end, end + len(data)
+                        kept, row = start is not None, row + 1
+                        rows.append((attempt, row, path.as_py(), place, start, len(data) if kept else 0, hashlib.sha256(data).hexdigest() if kept else None))
                     listed.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), LIST)] if rows else [pa.array([], f.type) for f in LIST], schema=LIST))
             if _there(f"{self.jobs}/aborted/{self.job}"):
                 raise RuntimeError(f"job {self.job} was aborted")
@@ -183,44 +184,45 @@ class SiteTree(DataSource):
         return TreeWriter(self.options["path"])
 
 
-def _moved(root: str, job: str):
+def _placed(root: str, job: str):
     def run(batches):
         from pyarrow.fs import FileType
 
         where, base = _where(root)
         folder = _where(f"{root}.jobs/{job}")[1]
+        opened, source = None, None
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
+                if r["written"]:
+                    if r["attempt"] != opened:
+                        if source is not None:
+                            source.close()
+                        opened, source = r["attempt"], where.open_input_file(f"{folder}/{r['attempt']}/data")
+                    source.seek(r["start"])
+                    steps = [posixpath.join(base, *r["place"].split("/")[: k + 1]) for k in range(r["place"].count("/") + 1)]
+                    kinds = [i.type for i in where.get_file_info(steps)]
+                    # A folder of an earlier job stands where this file belongs, or a file where its folder does.
+                    r["written"] = kinds[-1] != FileType.Directory and FileType.File not in kinds[:-1]
+                    if r["written"]:
+                        where.create_dir(posixpath.dirname(steps[-1]), recursive=True)
+                        with where.open_output_stream(steps[-1] + ".part") as out:
+                            out.write(source.read(r["bytes"]))
+                        where.move(steps[-1] + ".part", steps[-1])
                 if not r["written"]:
-                    continue
-                source, target = f"{folder}/{r['attempt']}/{r['staged']}", f"{base}/{r['place']}"
-                staged, there = where.get_file_info([source, target])
-                if staged.is_file:
-                    try:
-                        where.create_dir(posixpath.dirname(target), recursive=True)
-                        where.move(source, target)
-                    except OSError:
-                        # A folder of an earlier job stands where this file belongs, or a file where its folder does.
-                        above = [i.is_file for i in where.get_file_info([posixpath.join(base, *r["place"].split("/")[:k]) for k in range(1, r["place"].count("/") + 1)])]
-                        if there.type != FileType.Directory and not any(above):
-                            raise
-                        r["written"] = False
-                elif not there.is_file:
-                    raise FileNotFoundError(f"{source} is neither staged nor published")
-            out = [{"local_path": r["local_path"], "written": r["written"], "bytes": r["bytes"] if r["written"] else 0, "sha256": r["sha256"] if r["written"] else None} for r in rows]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("local_path", pa.string()), ("written", pa.bool_()), ("bytes", pa.int64()), ("sha256", pa.string())]))
+                    r["bytes"], r["sha256"] = 0, None
+            yield pa.RecordBatch.from_pylist([{n: r[n] for n in ("local_path", "written", "bytes", "sha256")} for r in rows], pa.schema([("local_path", pa.string()), ("written", pa.bool_()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     return run
 
 
 def publish(spark: SparkSession, root: str) -> list[str]:
-    """Moves the files of committed jobs to their places, oldest job first; returns the published jobs.
+    """Writes the files of committed jobs to their places, oldest job first; returns the published jobs.
 
     Of rows with one place the one with the smallest digest and path is
     written, so the result doesn't depend on tasks; a file whose place is the
     folder of another is not written.  Every row keeps a line in the job's
-    list.  A move that was done before counts as done, so an interrupted
+    list.  What a job staged stays until all is written, so an interrupted
     ``publish`` is finished by the next.
     """
     root = root.rstrip("/")
@@ -239,13 +241,15 @@ def publish(spark: SparkSession, root: str) -> list[str]:
                 listed = spark.read.schema(LISTED).parquet(f"{stage}/*/list.parquet").join(counted, "attempt", "left_semi")
             else:
                 listed = spark.createDataFrame([], LISTED)
-            best = listed.filter("staged IS NOT NULL").groupBy("place").agg(F.min_by(F.struct("attempt", "staged"), F.struct("sha256", "local_path", "attempt", "staged")).alias("best"))
+            best = listed.filter("start IS NOT NULL").groupBy("place").agg(F.min_by(F.struct("attempt", "row"), F.struct("sha256", "local_path", "attempt", "row")).alias("best"))
             parts = F.split("place", "/")
             above = best.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up"), "place").filter("up <> place").select(F.col("up").alias("place")).distinct()
-            winners = best.join(above, "place", "left_anti").select("best.attempt", "best.staged", F.lit(True).alias("won"))
-            rows = listed.join(winners, ["attempt", "staged"], "left").withColumn("written", F.coalesce("won", F.lit(False))).drop("won")
-            # The parts are many small lists: spread the moves, not the lists.
-            rows.repartition(F.xxhash64("place")).mapInArrow(_moved(root, job), PUBLISHED).write.mode("overwrite").parquet(out)
+            winners = best.join(above, "place", "left_anti").select("best.*", F.lit(True).alias("won"))
+            rows = listed.join(winners, ["attempt", "row"], "left").withColumn("written", F.coalesce("won", F.lit(False))).drop("won")
+            # A task writes whole stretches of a staged file, in its order.
+            stretch = F.coalesce(F.floor(F.col("start") / STRETCH), F.pmod(F.xxhash64("local_path"), F.lit(64)))
+            rows = rows.repartition("attempt", stretch).sortWithinPartitions("attempt", "start")
+            rows.mapInArrow(_placed(root, job), PUBLISHED).write.mode("overwrite").parquet(out)
         _remove(f"{root}.jobs/{job}")
         where, path = _where(f"{root}.jobs/committed/{name}")
         where.delete_file(path)
