@@ -80,6 +80,8 @@ def event_windows(spark, d):
 #: The time of the rows that close a replay: later than any other (within nanoseconds of 64 bits), so that all slices end. Their kinds and user pass the filters of the streams, which Spark moves below the watermark.
 CLOSING = "2261-01-01"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; the tables of both sides of a join share one store.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.join.stateFormatVersion": "3"}
 
 
 def _replayed(spark, d, form):
@@ -88,9 +90,9 @@ def _replayed(spark, d, form):
     columns = spark.read.parquet(path).select("event_id", "ts", "user_id", "event_type").schema
     close, out, state = (sinks.scratch(spark, name) for name in ("closing", "replayed", "replay-state"))
     last = spark.createDataFrame([(-1, CLOSING, -1, kind) for kind in ("signup", "purchase")], "event_id long, ts string, user_id long, event_type string").select(*[F.col(c.name).cast(c.dataType) for c in columns])
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKS)
+    before = {key: spark.conf.get(key) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         for rows in (last.limit(0), last):
             rows.write.mode("append").parquet(close)
@@ -98,7 +100,8 @@ def _replayed(spark, d, form):
             result = form(streams[0].unionByName(streams[1]).withColumn("ts", F.col("ts").cast("timestamp")))
             result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(result.schema).parquet(out)
 
 

@@ -146,16 +146,17 @@ T0 = datetime(2024, 3, 1)
 def batches(spark, tmp_path, name, rows, schema, form, key="ts"):
     """Runs a stream over batches of rows, one file each, each batch from the checkpoint of the one before; returns all that it gave."""
     where, out, state = (str(tmp_path / f"{name}-{k}") for k in ("in", "out", "state"))
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, stored.ROCKS)
+    before = {k: spark.conf.get(k) for k in stored.STATE}
+    for k, v in stored.STATE.items():
+        spark.conf.set(k, v)
     try:
         for batch in rows:
             spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(where)
             result = form(spark.readStream.schema(schema).parquet(where))
             result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(conf, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(result.schema).parquet(out).collect()
 
 
