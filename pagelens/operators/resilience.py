@@ -8,6 +8,7 @@ in memory whatever its size.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -103,26 +104,34 @@ def limiter_schedule(log: DataFrame, key: str = "domain", per_second: int = 10,
     """(request_id, key, ts, wait): the seconds that a limiter with bursts would hold each request back.
 
     The burst allowance starts anew each second; beyond it, at most
-    ``per_second`` requests start within any second.
+    ``per_second`` requests start within any second.  Starts never go back, so
+    those of the last second are the end of a queue, where equal ones are one
+    entry with a count: a request costs the same whatever the backlog.
     """
 
     def run(frames):
-        current, recent, used, reset, clock = None, [], 0, None, 0.0
+        # Starts of the last second with their counts, oldest first, and how many they are.
+        current, recent, n, used, reset, clock = None, deque(), 0, 0, None, 0.0
         for f in frames:
             waits = []
             for k, t in zip(f[key], f["t"]):
                 if k != current or reset is None:
-                    current, recent, used, reset, clock = k, [], 0, t, t
+                    current, recent, n, used, reset, clock = k, deque(), 0, 0, t, t
                 now = max(t, clock)
                 if now - reset >= 1.0:
                     used, reset = 0, now
-                recent = [x for x in recent if now - x < 1.0]
+                while recent and not now - recent[0][0] < 1.0:
+                    n -= recent.popleft()[1]
                 start = now
                 if used < burst:
                     used += 1
-                elif len(recent) >= per_second:
-                    start = max(now, recent[0] + 1.0)
-                recent.append(start)
+                elif n >= per_second:
+                    start = max(now, recent[0][0] + 1.0)
+                if recent and recent[-1][0] == start:
+                    recent[-1][1] += 1
+                else:
+                    recent.append([start, 1])
+                n += 1
                 clock = start
                 waits.append(start - t)
             yield f.assign(wait=waits)[["request_id", key, "ts", "wait"]]
