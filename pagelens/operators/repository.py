@@ -70,9 +70,10 @@ def update(table: DataFrame, changes: DataFrame, now: Column | None = None) -> D
 
 
 def upsert_latest(versions: DataFrame, key: str = "url", order: str = "version") -> DataFrame:
-    """The last version of each key."""
+    """The last version of each key; of several with one number the greatest row."""
     rest = [c for c in versions.columns if c not in (key, order)]
-    return versions.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+    comparable = [F.to_json(c) if dict(versions.dtypes)[c].startswith("map") else F.col(c) for c in rest]
+    return versions.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, *comparable)).alias("r")).select(key, "r.*")
 
 
 def delete(table: DataFrame, gone: DataFrame) -> DataFrame:

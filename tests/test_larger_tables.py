@@ -2,9 +2,12 @@
 
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from pagelens.operators import resilience
+from pagelens import plans
+from pagelens.operators import repository, resilience
 
 
 def plain_limiter(times, per_second, burst):
@@ -35,3 +38,33 @@ def test_limiter_with_a_long_backlog(spark):
     began = time.monotonic()
     assert resilience.limiter_schedule(log(200_000, 3)).agg(F.max("wait").alias("w")).first().w > 0.9
     assert time.monotonic() - began < 60
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def shared_urls(tmp_path_factory):
+    """Pages of which five share a URL, with all states among them, and the SQL over them."""
+    d = str(tmp_path_factory.mktemp("shared"))
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT range AS page_id, 'https://h' || range // 5 % 2 || '.example.com/p' || range // 5 AS url, '<html></html>' AS html FROM range(60) ORDER BY md5(range::VARCHAR)) TO '{d}/pages.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
+    return d, con
+
+
+def same_as_sql(spark, shared_urls, name):
+    d, con = shared_urls
+    df = plans.QUERIES[name](spark, d)
+    expected = con.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall()
+    assert rows(df) == sorted(expected)
+
+
+def test_state_merge_of_pages_that_share_a_url(spark, shared_urls):
+    same_as_sql(spark, shared_urls, "state_merge")
+
+
+def test_versions_with_one_number(spark):
+    versions = spark.createDataFrame([("u", -n % 7, 0) for n in range(70)] + [("v", 9, 0), ("v", 1, 2), ("v", 0, 2)], "url string, page_id int, version int").coalesce(1)
+    assert rows(repository.upsert_latest(versions)) == [("u", 6), ("v", 1)]
