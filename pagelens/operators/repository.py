@@ -21,11 +21,14 @@ def empty(spark) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
-def add(table: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
-    """Insert the URLs that are not there yet (one, arbitrary, of repeated ones); others stay as they are."""
+def add(table: DataFrame, new: DataFrame, now: Column | None = None, key: str = "url") -> DataFrame:
+    """Insert the URLs that are not there yet (one, arbitrary, of repeated ones); others stay as they are.
+
+    ``key``: what a record is one of; with ``local_path``, a URL that several files have is as many records.
+    """
     now = F.current_timestamp() if now is None else now
     column = lambda c, otherwise: F.col(c) if c in new.columns else otherwise
-    rows = new.dropDuplicates(["url"]).join(table.select("url"), "url", "left_anti")
+    rows = new.dropDuplicates([key]).join(table.select(key), key, "left_anti")
     rows = rows.select(
         "url",
         column("local_path", F.lit(None).cast("string")).alias("local_path"),
@@ -43,21 +46,21 @@ def get(table: DataFrame, url: str) -> DataFrame:
     return table.filter(F.col("url") == url)
 
 
-def update(table: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
-    """Set the columns of ``changes`` (url and some of UPDATABLE, null: unchanged) and the time of update.
+def update(table: DataFrame, changes: DataFrame, now: Column | None = None, key: str = "url") -> DataFrame:
+    """Set the columns of ``changes`` (the key and some of UPDATABLE, null: unchanged) and the time of update.
 
-    Of several changes of a URL the greatest ``seq`` counts where there is
-    such a column, else the greatest row; a URL stays one record.
+    Of several changes of a key the greatest ``seq`` counts where there is
+    such a column, else the greatest row; a key stays one record.
     """
     now = F.current_timestamp() if now is None else now
-    set_ = [c for c in changes.columns if c in UPDATABLE]
+    set_ = [c for c in changes.columns if c in UPDATABLE and c != key]
     if not set_:
         return table
     order = [F.col("seq")] if "seq" in changes.columns else []
     comparable = [F.to_json(c) if dict(changes.dtypes)[c].startswith("map") else F.col(c) for c in set_]
-    last = changes.groupBy("url").agg(F.max_by(F.struct(*set_), F.struct(*order, *comparable)).alias("last"))
-    renamed = last.select("url", F.lit(True).alias("_hit"), *[F.col(f"last.{c}").alias(f"_new_{c}") for c in set_])
-    joined = table.join(renamed, "url", "left")
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*set_), F.struct(*order, *comparable)).alias("last"))
+    renamed = last.select(key, F.lit(True).alias("_hit"), *[F.col(f"last.{c}").alias(f"_new_{c}") for c in set_])
+    joined = table.join(renamed, key, "left")
     out = []
     for c in table.columns:
         if c in set_:

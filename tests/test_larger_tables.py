@@ -61,6 +61,11 @@ def same_as_sql(spark, shared_urls, name):
     assert rows(df) == sorted(expected)
 
 
+@pytest.mark.parametrize("name", ["status_histogram"])
+def test_pages_that_share_a_url_are_records_of_their_own(spark, shared_urls, name):
+    same_as_sql(spark, shared_urls, name)
+
+
 def test_state_merge_of_pages_that_share_a_url(spark, shared_urls):
     same_as_sql(spark, shared_urls, "state_merge")
 
