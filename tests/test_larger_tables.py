@@ -61,7 +61,7 @@ def same_as_sql(spark, shared_urls, name):
     assert rows(df) == sorted(expected)
 
 
-@pytest.mark.parametrize("name", ["status_histogram", "repo_delete", "repo_find"])
+@pytest.mark.parametrize("name", ["status_histogram", "repo_delete", "repo_find", "repo_upsert"])
 def test_pages_that_share_a_url_are_records_of_their_own(spark, shared_urls, name):
     same_as_sql(spark, shared_urls, name)
 
