@@ -77,3 +77,17 @@ def test_versions_with_one_number(spark):
 
 def test_mapping_stats_of_pages_that_share_a_url(spark, shared_urls):
     same_as_sql(spark, shared_urls, "mapping_stats")
+
+
+def test_code_pages_of_late_and_repeated_marks(spark, tmp_path):
+    late = "plain words and more of them. " * 400
+    words = {"de": "Äen Änder über fünf Öfen schöner Straße", "fr": "éen été père à ceux réen éenne créen", "es": "año niño señal acción está más"}
+    texts = [late + w for w in words.values()] + [w + " the end" for w in words.values()] * 3 + ["Die Äen Äen Äen Äen Änder über", "un éen éen créen père", late + "Die Öfen"] + ["les éen et les éen"] * 4
+    rows_ = [(7 * n + kind, t) for n, t in enumerate(texts) for kind in range(7)] + [(100_002, ""), (100_003, None), (100_004, None)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    df = plans.QUERIES["decode_documents"](spark, d)
+    expected = con.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES['decode_documents']})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, expected))
