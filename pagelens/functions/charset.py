@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import in_pieces
+
 #: Byte order marks, longer ones first.
 MARKS = ((codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 #: Pages by default: western Windows, Macintosh and DOS.
@@ -126,8 +128,10 @@ def detect(data: bytes, shares: np.ndarray, pages: tuple[str, ...] = PAGES) -> t
 def detector(shares: np.ndarray, pages: tuple[str, ...] = PAGES) -> Callable[[Column], Column]:
     """struct(encoding, text) of a binary column; null stays null."""
 
+    def each(rows: list) -> list:
+        return [None if v is None else dict(zip(("encoding", "text"), detect(v, shares, pages))) for v in rows]
+
     def run(col: pa.Array) -> pa.Array:
-        out = [None if v is None else dict(zip(("encoding", "text"), detect(v, shares, pages))) for v in col.to_pylist()]
-        return pa.array(out, pa.struct([("encoding", pa.string()), ("text", pa.string())]))
+        return in_pieces(each, pa.struct([("encoding", pa.string()), ("text", pa.string())]), col)
 
     return F.arrow_udf(run, "struct<encoding:string,text:string>")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, css, csslex, html, urls
+from ..functions.pieces import small_batches
 
 PRELOAD_RELS = ("preload", "prefetch", "preconnect", "dns-prefetch", "modulepreload")
 CARD_NAMES = ("twitter:image", "twitter:image:src")
@@ -25,7 +26,7 @@ _FOUND = "array<struct<raw:string,via:string,tag:string,attr:string,category:str
 
 def parsed(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Pages with ``elements``; the only Python step of discovery."""
-    return pages.select(*keep, html.parse_elements(F.col(html_col)).alias("elements"))
+    return small_batches(pages).select(*keep, html.parse_elements(F.col(html_col)).alias("elements"))
 
 
 def _row(raw: Column, via: str, tag: Column | None = None, attr: str | None = None, category: Column | str | None = None) -> Column:
@@ -177,7 +178,7 @@ def discover_css(sheets: DataFrame, mode: str = "rfc3986", url_col: str = "css_u
 
 def sheet_references(sheets: DataFrame, url_col: str = "css_url", css_col: str = "css") -> DataFrame:
     """One row per reference of a sheet: css_url, ref, kind (import, declaration, other), property, rule, func."""
-    rows = sheets.select(F.col(url_col).alias("css_url"), F.explode(csslex.css_references(F.col(css_col))).alias("f"))
+    rows = small_batches(sheets).select(F.col(url_col).alias("css_url"), F.explode(csslex.css_references(F.col(css_col))).alias("f"))
     return rows.select("css_url", F.col("f.url").alias("ref"), "f.kind", "f.property", "f.rule", "f.func")
 
 

@@ -1,12 +1,15 @@
 """What larger tables hold and the small ones do not: long backlogs, URLs of several pages, texts whose marks come late."""
 
 import time
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagelens import plans
+from pagelens.functions import csslex, html, pieces
 from pagelens.operators import repository, resilience
 
 
@@ -91,3 +94,44 @@ def test_code_pages_of_late_and_repeated_marks(spark, tmp_path):
     df = plans.QUERIES["decode_documents"](spark, d)
     expected = con.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES['decode_documents']})").fetchall()
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, expected))
+
+
+def test_batches_become_objects_by_pieces():
+    lengths = []
+
+    def each(texts, numbers):
+        lengths.append((len(texts), sum(len(t or b"") for t in texts)))
+        return [None if t is None else f"{len(t)}:{n}" for t, n in zip(texts, numbers)]
+
+    texts = ["a" * 300_000] * 40 + [None] + ["é"] * 2000 + ["b" * 3_000_000, ""]
+    got = pieces.in_pieces(each, pa.string(), pa.array(texts), pa.array(range(len(texts))))
+    assert got.to_pylist() == [None if t is None else f"{len(t)}:{k}" for k, t in enumerate(texts)]
+    assert max(n for n, _ in lengths) <= pieces.ROWS and max(b for n, b in lengths if n > 1) < 4_500_000
+    for f, kind in ((html._parse, html._ELEMENT_TYPE), (csslex._lex, csslex._TYPE)):
+        assert f(pa.array([], pa.string())) == pa.array([], kind)
+        assert len(f(pa.array(["a{b:url(c)}", None] * 3000)[1:])) == 5999
+
+
+@pytest.mark.parametrize("step", ["parse", "lex"])
+def test_objects_of_a_large_batch_stay_small(step):
+    text = "<a href='x'>" * 200 if step == "parse" else "a{b:url(c)}" * 200
+    batch = pa.array([text] * 5000)
+    f = html._parse if step == "parse" else csslex._lex
+    tracemalloc.start()
+    assert len(f(batch)) == 5000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+
+
+@pytest.mark.parametrize("name", ["strict_links", "style_references", "css_cycles", "rewrite_css"])
+def test_documents_come_in_small_batches(spark, shared_urls, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, held in (("64m", str(pieces.BATCH)), ("1m", "1m")):
+            spark.conf.set(key, given)
+            plans.QUERIES[name](spark, shared_urls[0])
+            assert spark.conf.get(key).removesuffix("b") in (held, held.replace("1m", "1048576"))
+    finally:
+        spark.conf.set(key, before)
