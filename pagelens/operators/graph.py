@@ -156,6 +156,8 @@ def strong_components(edges: DataFrame, trims: int = 2) -> DataFrame:
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(node, reaches_cycle) of every node: whether it lies on a cycle or leads to one."""
+    _ready(edges.sparkSession)
+    edges = _stored(edges.select("src", "dst"))  # read three times
     parts = strong_components(edges)
     loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
     # Cyclic nodes get the greatest names, so one backward search tells who reaches any of them.
