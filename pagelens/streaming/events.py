@@ -31,20 +31,34 @@ def verdict_stream(requests: DataFrame, verdicts: DataFrame, ttl_seconds: int =
     """(request_id, hostname, ts, cached_verdict): the streaming form of ``resilience.dns_as_of``.
 
     Streams of requests (request_id, hostname, ts timestamp) and verdicts
-    (hostname, checked_at timestamp, verdict_id, allowed).  Both sides are kept
-    by host and slice of one TTL, so a busy host is many keys; both conditions
-    on time bound the state, which ends when the watermark passes.  A request
-    is given once, when no verdict of its time can arrive any more; equal
-    requests are one, of verdicts of one time the largest number counts, and a
-    request without a time is never given.
+    (hostname, checked_at timestamp, verdict_id, allowed).  Both are kept in
+    one state by host and window of two TTLs: a request in the window whose
+    second half it is in, a verdict in both of its windows.  A window ends when
+    the watermark (of the slower stream) passes; then each of its requests
+    seeks its verdict in the sorted ones, so no pairs are made.  A request is
+    given once, when no verdict of its time can arrive any more; equal requests
+    are one, of verdicts of one time the largest number counts, and a request
+    without a time is never given.  One host's window is one row of state, so
+    the TTL bounds what a row holds.
     """
-    slice_of = lambda c: F.floor(F.unix_micros(c) / F.lit(ttl_seconds * 1_000_000)).cast("long")
-    asks = requests.withWatermark("ts", late).filter("ts IS NOT NULL").select("request_id", "hostname", "ts", slice_of("ts").alias("slice"))
-    own = slice_of("checked_at")
-    known = verdicts.withWatermark("checked_at", late).filter("checked_at IS NOT NULL").select(F.col("hostname").alias("host"), "checked_at", "verdict_id", "allowed", F.explode(F.array(own, own + 1)).alias("read_in"))
-    fresh = (F.col("checked_at") <= F.col("ts")) & (F.col("checked_at") > F.col("ts") - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
-    pairs = asks.join(known, (F.col("hostname") == F.col("host")) & (F.col("slice") == F.col("read_in")) & fresh, "leftOuter")
-    return pairs.groupBy("request_id", "hostname", "ts").agg(F.max_by("allowed", F.struct("checked_at", "verdict_id")).alias("cached_verdict"))
+    asks = requests.withWatermark("ts", late).filter("ts IS NOT NULL").select("hostname", "ts", F.struct("ts", "request_id").alias("request"))
+    # A host without a name has requests, but no verdicts.
+    known = verdicts.withWatermark("checked_at", late).filter("checked_at IS NOT NULL AND hostname IS NOT NULL").select("hostname", F.col("checked_at").alias("ts"), F.struct("checked_at", "verdict_id", "allowed").alias("verdict"))
+    rows = asks.unionByName(known, allowMissingColumns=True).withColumn("window", F.window("ts", f"{2 * ttl_seconds} seconds", f"{ttl_seconds} seconds"))
+    ttl = F.expr(f"INTERVAL {ttl_seconds} SECONDS")
+    kept = rows.filter(F.col("verdict").isNotNull() | (F.col("ts") >= F.col("window.start") + ttl))
+    closed = kept.groupBy("window", "hostname").agg(F.collect_list("request").alias("requests"), F.collect_list("verdict").alias("verdicts")).filter(F.size("requests") > 0)
+    ordered = closed.select("hostname", F.array_sort("requests").alias("requests"), F.array_sort("verdicts").alias("verdicts"))
+    halves = F.sequence(F.floor(F.log2(F.size("verdicts"))).cast("int"), F.lit(0), F.lit(-1))
+
+    def earlier(t):
+        """How many verdicts are not later than ``t``, by halving."""
+        return F.aggregate(halves, F.lit(0), lambda n, k: n + F.when(F.get("verdicts", n + F.pow(F.lit(2), k).cast("int") - 1)["checked_at"] <= t, F.pow(F.lit(2), k).cast("int")).otherwise(0))
+
+    once = F.filter("requests", lambda r, i: ~r.eqNullSafe(F.get("requests", i - 1)))
+    found = ordered.select("hostname", F.explode(F.transform(once, lambda r: F.struct(r.alias("request"), F.get("verdicts", earlier(r["ts"]) - 1).alias("last")))).alias("found"))
+    ts, last = F.col("found.request.ts"), F.col("found.last")
+    return found.select("found.request.request_id", "hostname", ts.alias("ts"), F.when(last["checked_at"] > ts - ttl, last["allowed"]).alias("cached_verdict"))
 
 
 class PhaseSlice(StatefulProcessor):

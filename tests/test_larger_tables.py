@@ -1,6 +1,8 @@
 """What larger tables hold and the small ones do not: long backlogs, URLs of several pages, texts whose marks come late."""
 
 import time
+from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pyarrow as pa
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from pagelens import plans
 from pagelens.functions import csslex, html, pieces
 from pagelens.operators import repository, resilience
+from pagelens.plans import stored
+from pagelens.sources import sinks
+from pagelens.streaming import events
 
 
 def plain_limiter(times, per_second, burst):
@@ -122,3 +127,42 @@ def test_documents_come_in_small_batches(spark, shared_urls, name):
             assert spark.conf.get(key).removesuffix("b") in (held, held.replace("1m", "1048576"))
     finally:
         spark.conf.set(key, before)
+
+
+def test_verdict_stream_of_a_busy_host(spark, tmp_path):
+    """Ten thousand verdicts and as many requests of one host within one TTL: as pairs they are fifty million."""
+    n, t0 = 20_000, 1_709_251_200_000_000
+    log = spark.range(n).select("id", F.lit("h").alias("hostname"), F.timestamp_micros(F.lit(t0) + F.col("id") * 10_000).alias("ts"))
+    end = spark.sql("SELECT -1L AS id, 'h' AS hostname, TIMESTAMP'2030-01-01' AS ts UNION ALL SELECT -2L, 'h', TIMESTAMP'2030-01-01'")
+    log.unionByName(end).coalesce(1).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
+    verdicts = stream.filter("id % 2 = 0").select("hostname", F.col("ts").alias("checked_at"), F.col("id").alias("verdict_id"), (F.col("id") % 3 == 0).alias("allowed"))
+    result = events.verdict_stream(stream.filter("id % 2 <> 0").withColumnRenamed("id", "request_id"), verdicts)
+    began = time.monotonic()
+    run = result.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    try:
+        assert run.awaitTermination(60)
+    finally:
+        run.stop()
+    assert time.monotonic() - began < 60
+    got = spark.read.schema(result.schema).parquet(str(tmp_path / "out")).select("request_id", "cached_verdict")
+    assert rows(got) == [(k, (k - 1) % 3 == 0) for k in range(1, n, 2)]
+
+
+@pytest.mark.parametrize("name", ["dns_ttl_stream", "event_phase_stream"])
+def test_replay_is_two_batches_of_one_state(spark, tmp_path, monkeypatch, name):
+    """A batch of each state store costs a commit, whatever the table holds; there were four, of two stores a partition for the verdicts."""
+    # Copies of hosts and times, so that one instant has several requests and verdicts.
+    duckdb.sql(f"""COPY (SELECT k * 4 + j AS event_id, TIMESTAMP '2024-03-01' + INTERVAL (k // 3 * 47) SECOND AS ts, k % 5 AS user_id, ['view', 'error', 'signup', 'purchase'][1 + (k * 7 + j * j) % 4] AS event_type, 1.5::DOUBLE AS value, '' AS props
+        FROM range(150) a(k), range(4) b(j)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    places, scratch = {}, sinks.scratch
+    monkeypatch.setattr(sinks, "scratch", lambda spark, name: places.setdefault(name, scratch(spark, name)))
+    settings = {k: spark.conf.get(k, None) for k in stored.STATE | stored.CHANGES}
+    df = plans.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert Counter(map(tuple, df.collect())) == Counter(con.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall())
+    state = Path(places["replay-state"].removeprefix("file://"))
+    assert len([f for f in (state / "commits").iterdir() if f.name.isdigit()]) == 2
+    assert len(list((state / "state").iterdir())) == 1
+    assert {k: spark.conf.get(k, None) for k in settings} == settings
